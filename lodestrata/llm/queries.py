@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op10_bpe": "bpe",
     "op1_substring_dedup": "substring_dedup",
 }
 
