@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op7_quality_rules": "quality",
     "op10_bpe": "bpe",
     "op1_substring_dedup": "substring_dedup",
 }

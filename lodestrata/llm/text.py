@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.shipping import ship
+
 CHUNK_BYTES = 2 << 20
 
 SEPARATOR = np.zeros(256, bool)
@@ -139,4 +141,5 @@ def chunks(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterato
 
 def texts_of(documents: DataFrame) -> DataFrame:
     """doc_id as long and text alone; a row without doc_id can't be named in a result and is left out."""
+    ship(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
