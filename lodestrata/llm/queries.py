@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op3_pii": "pii",
+    "op4_ngram_jaccard_join": "ngram_join",
     "op7_quality_rules": "quality",
     "op10_bpe": "bpe",
     "op1_substring_dedup": "substring_dedup",
