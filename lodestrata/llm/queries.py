@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op5_url_filters": "url_filter",
+    "op6_chat_formatting": "chat",
+    "op8_warc": "warc",
     "op3_pii": "pii",
     "op4_ngram_jaccard_join": "ngram_join",
     "op7_quality_rules": "quality",
