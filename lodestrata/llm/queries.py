@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op2_benchmark_decontamination": "decontaminate",
     "op5_url_filters": "url_filter",
     "op6_chat_formatting": "chat",
     "op8_warc": "warc",
