@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 OPERATORS = {
+    "op9_html_extraction": "html_extract",
     "op2_benchmark_decontamination": "decontaminate",
     "op5_url_filters": "url_filter",
     "op6_chat_formatting": "chat",
@@ -18,7 +21,7 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"lodestrata.llm.{module}"), name) for name, module in OPERATORS.items()}
+    return {name: getattr(importlib.import_module(f"lodestrata.llm.{module}"), name) for name, module in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
