@@ -31,13 +31,22 @@ def words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"[\x20\x09-\x0D]+"))
 
 
-def shingles(name: str) -> Column:
-    """Hashes of the SHINGLE words from each place of the array column on; of the whole array, if it is shorter."""
-    w = F.col(name)
+def let(x: Column, f) -> Column:
+    """f(x), with x evaluated once however often f uses it and wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def shingles(w: Column) -> Column:
+    """Hashes of the SHINGLE words from each place of an array on; of the whole array, if it is shorter."""
     each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
     return F.when(F.size(w) >= SHINGLE, each).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def hashed(text: Column) -> Column:
+    """struct(n: the number of words, s: their shingles)."""
+    return let(words(text), lambda w: F.struct(F.size(w).alias("n"), shingles(w).alias("s")))
+
+
 def simhash(hashes: Column) -> Column:
     """64 bits, each the majority of that bit over the hashes; sixteen longs count four bits each in lanes of 16."""
     lanes = 16
@@ -59,7 +68,7 @@ def _bits(lanes: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("__lanes", simhash(F.col(name))).withColumn("fp", _bits(F.col("__lanes"))).drop("__lanes")
+    return df.withColumn("fp", let(simhash(F.col(name)), _bits))
 
 
 def block(fp: Column, k: int) -> Column:
@@ -79,8 +88,8 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
-    return rows.where(F.size("w") > 0).select("item_id", F.size("w").alias("size"), shingles("w").alias("item"))
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), hashed(F.col("text")).alias("x"))
+    return rows.select("item_id", F.col("x.n").alias("size"), F.col("x.s").alias("item")).where("size > 0")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -95,9 +104,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, percent: int = PER
     keys = items.select("item_id", "size", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h"))
     n_keys = items.agg(F.sum(F.size("item"))).first()[0] or 0
     keys = F.broadcast(keys) if n_keys <= BROADCAST_SHINGLES else stored(keys, "op2-keys").hint("merge")
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    hashed = texts.select("doc_id", F.size("w").alias("n"), shingles("w").alias("s"))
-    hits = hashed.select("doc_id", "n", F.posexplode("s").alias("pos", "h")).join(keys, "h")
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hits = texts.select("doc_id", hashed(F.col("text")).alias("x")).select("doc_id", F.col("x.n").alias("n"), F.posexplode(F.col("x.s")).alias("pos", "h")).join(keys, "h")
     last = F.greatest(F.col("n") - F.col("size"), F.lit(0))
     within = F.least(F.col("m"), F.greatest(F.col("n") - SHINGLE + 1, F.lit(1)))
     lists = hits.groupBy("doc_id", "n", "item_id", "size", "m").agg(F.collect_set("pos").alias("p")).withColumns({"last": last, "within": within})
@@ -105,9 +113,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, percent: int = PER
     starts = F.array_distinct(F.transform("p", lambda p: F.least(p, F.col("last"))))
     enough = F.filter(starts, lambda s: F.size(F.filter("p", lambda p: (p >= s) & (p < s + F.col("within")))) >= need(F.col("m"), F.col("within")))
     wanted = lists.select("doc_id", "size", F.explode(enough).alias("start")).groupBy("doc_id").agg(F.collect_set(F.struct("size", "start")).alias("wanted"))
-    held = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(stored(wanted, "op2-wanted").hint("merge"), "doc_id")
-    held = held.select("doc_id", "wanted", words(F.col("text")).alias("w")).select("doc_id", "wanted", shingles("w").alias("s"))
-    windows = held.select("doc_id", "s", F.explode("wanted").alias("x")).select("doc_id", "x.start", "x.size", F.slice("s", F.col("x.start") + 1, F.greatest(F.col("x.size") - SHINGLE + 1, F.lit(1))).alias("window"))
+    held = texts.join(stored(wanted, "op2-wanted").hint("merge"), "doc_id")
+    cut = lambda s: F.transform("wanted", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.slice(s, x["start"] + 1, F.greatest(x["size"] - SHINGLE + 1, F.lit(1))).alias("window")))
+    windows = held.select("doc_id", F.explode(let(hashed(F.col("text")), lambda x: cut(x["s"]))).alias("x")).select("doc_id", "x.*")
     windows = stored(with_fingerprint(windows, "window"), "op2-windows")
     blocks = lambda extra: F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)])).alias(extra)
     filed = with_fingerprint(items, "item").withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp"))
