@@ -230,5 +230,9 @@ def redact(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in KINDS]
     return found.select(F.col("doc_id").cast("long"), *counts, F.sha2(say(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), say(F.col("pii")).alias("spans"))

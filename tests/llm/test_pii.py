@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm.pii import KINDS, Trees, find, redact
+from lodestrata.llm.pii import KINDS, Trees, find, op3_pii, redact
 
 
 def luhn(d):
@@ -62,3 +63,12 @@ def test_trees_and_odd_tables(spark):
     assert sorted((x.doc_id or 0, len(x.pii)) for x in find(df).collect()) == [(0, 0), (2, 1), (2, 1)]
     assert find(df.limit(0)).collect() == []
     assert [x.text for x in redact(df).orderBy("doc_id").collect()] == [None, "[EMAIL]", "[EMAIL]"]
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "a@b.co +1 (826) 555-7388"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op3_pii(spark, str(tmp_path)).collect()}
+    base = "email:0:6,phone:7:24"
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 0, 0, 1)
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[1].spans == base
+    assert (got[2].n_phone, got[2].base_sha256, got[2].spans) == (0, hashlib.sha256(b"").hexdigest(), "")
