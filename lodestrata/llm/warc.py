@@ -58,8 +58,8 @@ def write_archive(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES) ->
     firsts = spark.read.schema(firsts.schema).parquet(f"{path}/firsts")
     if not firsts.where("clash").isEmpty():
         raise ValueError("two payloads have one SHA-256")
-    where = rows.select("page_id", "payload").join(firsts.select(F.col("first").alias("page_id"), "sha256").hint("merge"), "page_id")
-    once = where.where(F.sha2("payload", 256) == F.col("sha256")).dropDuplicates(["page_id", "sha256"])
+    keyed = rows.select("page_id", F.sha2("payload", 256).alias("sha256"), "payload")
+    once = keyed.join(firsts.select(F.col("first").alias("page_id"), "sha256").hint("merge"), ["page_id", "sha256"]).dropDuplicates(["page_id", "sha256"])  # in the join's partitions
     once.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     first = F.when(F.col("size") >= min_bytes, F.col("first"))
     met = facts.join(firsts.select("sha256", "first").hint("merge"), "sha256")
