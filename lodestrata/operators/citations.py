@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.tables import stored
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order."""
@@ -52,11 +54,11 @@ def canonicalize(aliases: DataFrame, most: int = 64) -> DataFrame:
     Self-aliases are dropped, an alias's first row by canonical id counts, and members of a cycle map to its least id.
     """
     step = aliases.where("alias <> canonical_id").groupBy("alias").agg(F.min("canonical_id").alias("canonical_id"))
-    for k in range(most):
+    for _ in range(most):
         ahead = step.select(F.col("alias").alias("canonical_id"), F.col("canonical_id").alias("further"))
         joined = step.join(ahead, "canonical_id", "left")
         moved = joined.select("alias", F.when(F.col("further") == F.col("alias"), F.least("alias", "canonical_id")).otherwise(F.coalesce("further", "canonical_id")).alias("canonical_id"), F.col("further").isNotNull().alias("moved"))
-        moved = moved.checkpoint() if k % 3 == 2 and aliases.sparkSession.sparkContext.getCheckpointDir() else moved
+        moved = stored(moved, "aliases")
         if moved.where("moved and alias <> canonical_id").isEmpty():
             return moved.select("alias", "canonical_id")
         step = moved.select("alias", "canonical_id")
@@ -80,11 +82,11 @@ def coherence(visits: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
     nodes = visits.groupBy("agent_id", "node").agg(F.min("ordinal").alias("ordinal"))
     a, b = nodes.select("agent_id", F.col("node").alias("src")), nodes.select("agent_id", F.col("node").alias("dst"))
     inside = edges.join(a, "src").join(b, ["agent_id", "dst"])
-    both = inside.select("agent_id", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(inside.select("agent_id", F.col("dst").alias("node"), F.col("src").alias("next"))).distinct().cache()
-    seen = nodes.groupBy("agent_id").agg(F.min_by("node", F.struct("ordinal", "node")).alias("node"))
-    edge = seen
+    both = inside.select("agent_id", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(inside.select("agent_id", F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
+    both = stored(both, "inside")
+    seen = edge = stored(nodes.groupBy("agent_id").agg(F.min_by("node", F.struct("ordinal", "node")).alias("node")), "reached")
     for _ in range(most):
-        edge = edge.join(both, ["agent_id", "node"]).select("agent_id", F.col("next").alias("node")).distinct().join(seen, ["agent_id", "node"], "left_anti").cache()
+        edge = stored(edge.join(both, ["agent_id", "node"]).select("agent_id", F.col("next").alias("node")).distinct().join(seen, ["agent_id", "node"], "left_anti"), "reached")
         if edge.isEmpty():
             break
         seen = seen.unionByName(edge)

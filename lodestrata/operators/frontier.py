@@ -64,13 +64,13 @@ def best_candidates(frontier: DataFrame, key: str = "agent_id") -> DataFrame:
 
 def greedy(candidates: DataFrame, capacity: int, key: str = "agent_id") -> DataFrame:
     """candidates with rank and reason: by score to nine places, then id; chosen up to the capacity, if the score is positive."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "id"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "id")).cast("long")
     rows = candidates.withColumn("rank", rank)
     return rows.withColumn("reason", F.when(F.col("score") <= 0, "no_score").when(F.col("rank") <= capacity, "selected").otherwise("over_capacity"))
 
 
 def top_alternatives(scores: DataFrame, n: int = 12, key: str = "agent_id") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n)
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= n)
 
 
 def update_pheromone(pheromone: DataFrame, traversals: DataFrame, *, rho: float = 0.1, low: float = 0.01, high: float = 10.0) -> DataFrame:

@@ -1,0 +1,153 @@
+"""Queries of entity resolution, text segmentation and evidence memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.functions import texts
+from lodestrata.operators import evidence as ev
+from lodestrata.operators import resolution as rs
+from lodestrata.operators import segments as sg
+from lodestrata.plans.registry import query
+from lodestrata.plans.scalar import _TITLE, _TOKENS
+
+c = F.col
+CREDIT = "SELECT DISTINCT paper_id FROM {acquired} WHERE content_kind IN ('full_text', 'abstract')"
+_ENTRIES = """SELECT doc_id, unnest([1, 2, 3]) AS ordinal, unnest(['Smith, A. On the ' || p_name || '. 2001. doi:10.1000/' || p_partkey || '.', 'Jones, B. Notes on ' || p_type || '. arXiv:2101.' || (10000 + p_partkey % 10000) || 'v2.', 'Brown, C. A survey of ' || p_brand || '. PMID: ' || (p_partkey + 1)]) AS raw FROM (SELECT p_partkey AS doc_id, * FROM {part}) p"""
+
+
+def bib_entries(t):
+    return t.bib_texts.select("doc_id", F.posexplode(rs.segment_bibliography(c("text"))).alias("k", "raw")).select("doc_id", (c("k") + 1).alias("ordinal"), "raw")
+
+
+@query("exp_segment_bibliography", _ENTRIES)
+def exp_segment_bibliography(t):
+    return bib_entries(t)
+
+
+@query("exp_explicit_references", f"SELECT doc_id, CASE ordinal WHEN 1 THEN 'doi:10.1000/' || doc_id ELSE 'arxiv:2101.' || (10000 + doc_id % 10000) END AS ref, ordinal FROM ({_ENTRIES}) e WHERE ordinal < 3")
+def exp_explicit_references(t):
+    return rs.explicit_references(bib_entries(t))
+
+
+@query("flt_verify_mapped", "SELECT p_partkey || ':1' AS entry_id, CASE WHEN p_partkey % 3 <> 0 THEN '10.1000/' || p_partkey END AS doi, NULL::VARCHAR AS arxiv_id, CASE WHEN p_partkey % 3 = 0 THEN 0.4 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 <> 0 THEN 'mapped' ELSE 'unparsed' END AS status FROM {part}")
+def flt_verify_mapped(t):
+    k = c("doc_id")
+    claimed = bib_entries(t).where("ordinal = 1").select(F.concat(k.cast("string"), F.lit(":1")).alias("entry_id"), "raw", F.when(k % 2 == 0, "t").alias("title"), F.concat(F.lit("https://doi.org/10.1000/"), F.when(k % 3 == 0, "x").otherwise(k.cast("string"))).alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("pmid"), F.lit(0.8).alias("confidence"))
+    return rs.verify_mapped(claimed).drop("pmid")
+
+
+def _catalog(t):
+    return t.papers.select("id", "title", "doi", c("arxiv_id").alias("arxiv"), F.array("author").alias("authors"), c("year").cast("int").alias("year"))
+
+
+def _queries(t):
+    """Entries made of papers: some with identifiers, some with changed titles."""
+    k = c("p_partkey")
+    title = F.when(k % 4 == 0, F.concat(F.upper("title"), F.lit("!"))).otherwise(c("title"))
+    return t.papers.where(k % 2 == 0).select(c("p_partkey").cast("string").alias("entry_id"), title.alias("title"), F.when(k % 6 == 0, c("doi")).alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.array("author").alias("authors"), c("year").cast("int").alias("year"), F.array(F.concat(F.lit("pmid:"), k.cast("string"))).alias("keys"))
+
+
+_E = "SELECT p_partkey::VARCHAR AS entry_id, CASE WHEN p_partkey % 4 = 0 THEN upper(title) || '!' ELSE title END AS title, CASE WHEN p_partkey % 6 = 0 THEN doi END AS doi, author, year, p_partkey FROM {papers} WHERE p_partkey % 2 = 0"
+
+
+@query("join_alias_stage", f"SELECT entry_id, 'p:' || p_partkey AS id, 1.0::DOUBLE AS confidence FROM ({_E}) e WHERE p_partkey % 10 = 0")
+def join_alias_stage(t):
+    known = t.papers.where("p_partkey % 10 = 0").select(F.concat(F.lit("pmid:"), c("p_partkey").cast("string")).alias("alias"), F.concat(F.lit("p:"), c("p_partkey").cast("string")).alias("id"))
+    return rs.alias_stage(_queries(t), known)
+
+
+@query("join_doi_stage", f"SELECT e.entry_id, p.id FROM ({_E}) e JOIN {{papers}} p ON p.doi = e.doi")
+def join_doi_stage(t):
+    return rs.identifier_stage(_queries(t), _catalog(t), "doi")
+
+
+@query("join_title_candidates", f"""WITH e AS (SELECT entry_id, {_TITLE.format("title")} AS a, {_TOKENS.format("title")} AS x FROM ({_E}) q WHERE title IS NOT NULL), k AS (SELECT id, {_TITLE.format("title")} AS b, {_TOKENS.format("title")} AS y FROM {{papers}} WHERE title IS NOT NULL)
+  SELECT entry_id, id, round(jaccard, 6) AS jaccard FROM (SELECT entry_id, id, a, b, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS jaccard FROM e, k) z WHERE a = b OR jaccard >= 2 * 0.82 - 1""".replace("WITH e", "SELECT * FROM (WITH e") + ") w")
+def join_title_candidates(t):
+    return rs.title_candidates(_queries(t), _catalog(t)).select("entry_id", "id", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("join_title_stage")
+def join_title_stage(t):
+    return rs.title_stage(_queries(t), _catalog(t)).select("entry_id", "id", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), "rank")
+
+
+@query("job_resolve_entries")
+def job_resolve_entries(t):
+    known = t.papers.where("p_partkey % 10 = 0").select(F.concat(F.lit("pmid:"), c("p_partkey").cast("string")).alias("alias"), "id")
+    return rs.resolve(_queries(t), _catalog(t), known)
+
+
+@query("agg_decide", "SELECT c_nationkey::VARCHAR AS entry_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'rejected' END AS status, CASE WHEN n = 1 THEN best.id END AS id, best.confidence AS confidence, CASE WHEN n = 0 THEN reason END AS reason FROM (SELECT c_nationkey, count(DISTINCT CASE WHEN ok THEN key END) AS n, max(struct_pack(ok := ok::INT, confidence := confidence, id := id)) AS best, min(reason) AS reason FROM (SELECT c_nationkey, c_custkey::VARCHAR AS id, (c_custkey % 2)::VARCHAR AS key, round(c_acctbal / 10000, 6)::DOUBLE AS confidence, c_acctbal > 9000 AS ok, CASE WHEN c_acctbal <= 9000 THEN c_mktsegment END AS reason FROM {customer}) x GROUP BY c_nationkey) y")
+def agg_decide(t):
+    ok = c("c_acctbal") > 9000
+    rows = t.customer.select(c("c_nationkey").cast("string").alias("entry_id"), c("c_custkey").cast("string").alias("id"), (c("c_custkey") % 2).cast("string").alias("key"), F.round(c("c_acctbal") / 10000, 6).cast("double").alias("confidence"), ok.alias("accepted"), F.when(~ok, c("c_mktsegment")).alias("reason"))
+    return rs.decide(rows)
+
+
+@query("exp_chunks", "SELECT doc_id, i, substring(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(least(8, ceil(length(text) / 500)::BIGINT))) AS i FROM {documents}) x WHERE trim(regexp_replace(substring(text, i * 500 + 1, 500), '\\s+', '', 'g')) <> ''")
+def exp_chunks(t):
+    return t.documents.select("doc_id", F.explode(sg.chunk_text(c("text"), 500, 8)).alias("x")).select("doc_id", c("x.i").cast("long").alias("i"), "x.text")
+
+
+@query("top_batches", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM {conversations}")
+def top_batches(t):
+    return sg.to_batches(t.conversations, "conv_id", "turn", 3).select("conv_id", "turn", "batch")
+
+
+@query("win_pack_context", "SELECT conv_id, left(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1000) AS context FROM {conversations} GROUP BY conv_id")
+def win_pack_context(t):
+    return sg.pack_context(t.conversations, "conv_id", "turn", "text", 1000)
+
+
+@query("join_evidence_resolves", f"SELECT claim_id FROM {{claims}} WHERE paper_id IN ({CREDIT})")
+def join_evidence_resolves(t):
+    return ev.resolving(t.claims, t.acquired).select("claim_id")
+
+
+@query("exp_enforce_ledger", f"SELECT claim_id, CASE WHEN d THEN 'proposed' ELSE status END AS status, d AS demoted FROM (SELECT claim_id, status, status IN ('supported', 'disputed') AND paper_id NOT IN ({CREDIT}) AS d FROM {{claims}}) x")
+def exp_enforce_ledger(t):
+    return ev.enforce_ledger(t.claims, t.acquired).select("claim_id", "status", "demoted")
+
+
+@query("exp_apply_verdicts", f"SELECT claim_id, status AS before, CASE WHEN v = 0 THEN 'proposed' WHEN v = 1 AND b THEN 'disputed' WHEN v = 1 THEN 'proposed' WHEN v = 2 AND status = 'proposed' AND b THEN 'supported' ELSE status END AS status FROM (SELECT claim_id, status, claim_id % 6 AS v, paper_id IN ({CREDIT}) AS b FROM {{claims}}) x")
+def exp_apply_verdicts(t):
+    k = c("claim_id") % 6
+    verdicts = t.claims.where(k < 3).select("claim_id", F.when(k == 0, "unsupported").when(k == 1, "contradicted").otherwise("supported").alias("verdict"))
+    return ev.apply_verdicts(t.claims, verdicts, t.acquired)
+
+
+@query("agg_merge_claims", f"SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, min(claim_id) AS claim_id, max(confidence) AS confidence, count(DISTINCT paper_id) AS papers, bool_or(status = 'supported') AND bool_or(paper_id IN ({CREDIT})) AS supported FROM {{claims}} GROUP BY 1")
+def agg_merge_claims(t):
+    return ev.merge_claims(t.claims, t.acquired)
+
+
+@query("agg_grounding", f"SELECT agent_id, round(0.5 * avg(k::INT) + 0.3 * coalesce(avg(CASE WHEN status = 'supported' THEN k::INT END), 0) + 0.2 * min(CASE WHEN status IN ('supported', 'disputed') THEN k::INT ELSE 1 END), 6)::DOUBLE AS grounding FROM (SELECT *, paper_id IN ({CREDIT}) AS k FROM {{claims}}) x GROUP BY agent_id")
+def agg_grounding(t):
+    return ev.grounding(t.claims, t.acquired)
+
+
+@query("agg_concepts", "SELECT lower(trim(label)) AS concept, arg_min(label, (doc_id, label)) AS label, count(DISTINCT doc_id) AS papers FROM (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS label FROM {documents}) x WHERE trim(label) <> '' GROUP BY 1")
+def agg_concepts(t):
+    labels = t.documents.select("doc_id", F.explode(F.split(F.left("text", F.lit(200)), " ")).alias("label"))
+    return ev.concepts(labels.select("label", c("doc_id").alias("paper_id"), c("doc_id").alias("ordinal")))
+
+
+_W = "SELECT {k}, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3))) AS word FROM {t}"
+
+
+@query("join_relevant_claims", "SELECT question_id, claim_id, count(*) AS overlap FROM (" + _W.replace("{k}", "claim_id").replace("{t}", "{claims}") + ") a JOIN (" + _W.replace("{k}", "item_id AS question_id").replace("{t}", "{benchmark}") + ") b ON a.word = b.word GROUP BY 1, 2")
+def join_relevant_claims(t):
+    return ev.relevant_claims(t.claims, t.benchmark.select(c("item_id").alias("question_id"), "text"))
+
+
+@query("win_build_pack", "SELECT paper_id, hash, CASE WHEN content_kind = 'metadata' THEN 'no_evidence' WHEN paper_id > min(CASE WHEN content_kind <> 'metadata' THEN paper_id END) OVER (PARTITION BY hash) THEN 'duplicate_content' ELSE 'included' END AS status FROM (SELECT a.paper_id, a.content_kind, sha256(d.text) AS hash FROM {acquired} a JOIN {documents} d ON d.doc_id = a.paper_id) x")
+def win_build_pack(t):
+    rows = t.acquired.join(t.documents, c("doc_id") == c("paper_id")).select("paper_id", "content_kind", texts.sha256_text(c("text")).alias("hash"))
+    return ev.build_pack(rows)
+
+
+@query("agg_integrity", f"SELECT 'missing_paper' AS name, count(*) AS failures FROM {{claims}} WHERE paper_id NOT IN (SELECT paper_id FROM {{acquired}}) UNION ALL SELECT 'unsupported', count(*) FROM {{claims}} WHERE status = 'supported' AND paper_id NOT IN ({CREDIT}) UNION ALL SELECT 'confidence_range', count(*) FROM {{claims}} WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT 'duplicate_text', count(*) - count(DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) FROM {{claims}}")
+def agg_integrity(t):
+    return ev.integrity(t.claims, t.acquired)

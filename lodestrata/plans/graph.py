@@ -14,7 +14,7 @@ c = F.col
 
 
 @query("snk_upsert_papers", """SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NOT NULL THEN b.title ELSE a.title END AS title, coalesce(b.embedding, a.embedding) AS embedding, coalesce(a.integrated, false) OR coalesce(b.integrated, false) AS integrated
-  FROM (SELECT id, title, abstract AS embedding, p_partkey % 3 = 0 AS integrated FROM {papers} WHERE p_partkey % 4 <> 0) a FULL JOIN (SELECT id, concat(title, '!') AS title, CASE WHEN p_partkey % 5 = 1 THEN 'new' END AS embedding, p_partkey % 7 = 0 AS integrated FROM {papers} WHERE p_partkey % 2 = 0) b ON a.id = b.id""")
+  FROM (SELECT id, title, abstract AS embedding, p_partkey % 3 = 0 AS integrated FROM {papers} WHERE p_partkey % 4 <> 0) a FULL JOIN (SELECT id, title || '!' AS title, CASE WHEN p_partkey % 5 = 1 THEN 'new' END AS embedding, p_partkey % 7 = 0 AS integrated FROM {papers} WHERE p_partkey % 2 = 0) b ON a.id = b.id""")
 def snk_upsert_papers(t):
     k = c("p_partkey")
     old = t.papers.where(k % 4 != 0).select("id", "title", c("abstract").alias("embedding"), (k % 3 == 0).alias("integrated"))
