@@ -76,22 +76,29 @@ def k_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def coherence(visits: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def coherence(visits: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     """agent_id, coherence: the share of an agent's visited nodes that its first one reaches inside the visited set, over
-    edges of either direction."""
+    edges of either direction.
+
+    Each node takes the least label among its own and its neighbours', then the label of that label, until none changes.
+    """
     nodes = visits.groupBy("agent_id", "node").agg(F.min("ordinal").alias("ordinal"))
     a, b = nodes.select("agent_id", F.col("node").alias("src")), nodes.select("agent_id", F.col("node").alias("dst"))
     inside = edges.join(a, "src").join(b, ["agent_id", "dst"])
-    both = inside.select("agent_id", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(inside.select("agent_id", F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
-    both = stored(both, "inside")
-    seen = edge = stored(nodes.groupBy("agent_id").agg(F.min_by("node", F.struct("ordinal", "node")).alias("node")), "reached")
+    both = stored(inside.select("agent_id", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(inside.select("agent_id", F.col("dst").alias("node"), F.col("src").alias("next"))).distinct(), "inside")
+    labels = stored(nodes.select("agent_id", "node", "ordinal", F.col("node").alias("label")), "labels")
     for _ in range(most):
-        edge = stored(edge.join(both, ["agent_id", "node"]).select("agent_id", F.col("next").alias("node")).distinct().join(seen, ["agent_id", "node"], "left_anti"), "reached")
-        if edge.isEmpty():
+        near = both.join(labels.select("agent_id", F.col("node").alias("next"), "label"), ["agent_id", "next"]).groupBy("agent_id", "node").agg(F.min("label").alias("near"))
+        low = labels.join(near, ["agent_id", "node"], "left").select("agent_id", "node", "ordinal", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        low = stored(low, "labels")
+        jump = low.select("agent_id", F.col("node").alias("label"), F.col("label").alias("further"))
+        new = stored(low.join(jump, ["agent_id", "label"], "left").select("agent_id", "node", "ordinal", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
+        labels = new.select("agent_id", "node", "ordinal", "label")
+        if new.where("label <> was").isEmpty():
             break
-        seen = seen.unionByName(edge)
-    total = nodes.groupBy("agent_id").agg(F.count("*").alias("n"))
-    return seen.groupBy("agent_id").agg(F.count("*").alias("reached")).join(total, "agent_id").select("agent_id", (F.col("reached") / F.col("n")).alias("coherence"))
+    first = labels.groupBy("agent_id").agg(F.min_by("label", F.struct("ordinal", "node")).alias("label"), F.count("*").alias("n"))
+    reached = labels.groupBy("agent_id", "label").agg(F.count("*").alias("reached"))
+    return first.join(reached, ["agent_id", "label"]).select("agent_id", (F.col("reached") / F.col("n")).alias("coherence"))
 
 
 def source_distance(papers: DataFrame, edges: DataFrame, seed: str) -> DataFrame:

@@ -1,0 +1,124 @@
+"""Queries of examinations and benchmarks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.operators import exams as ex
+from lodestrata.plans.registry import query
+
+c = F.col
+ITEMS = """SELECT item_id, CASE WHEN item_id % 17 = 0 THEN 'All of the above: ' || question ELSE question END AS question, category, CASE WHEN item_id % 13 = 0 THEN 'odd' ELSE difficulty END AS difficulty, CASE WHEN item_id % 11 = 0 THEN NULL ELSE correct_option_id END AS k, item_id % 9 = 0 AS rejected, item_id % 7 = 0 AS lost FROM {exam_items}"""
+
+
+def _items(t):
+    k = c("item_id")
+    texts = F.array(*[F.struct(F.lit(x).alias("id"), F.lit(f"an option {x}").alias("text")) for x in "ABCD"])
+    return t.exam_items.select("item_id", F.when(k % 17 == 0, F.concat(F.lit("All of the above: "), "question")).otherwise(c("question")).alias("question"), texts.alias("options"), F.when(k % 11 != 0, c("correct_option_id")).alias("correct_option_id"), F.array(F.when(k % 7 == 0, "no").otherwise("yes")).alias("evidence"), "category", F.when(k % 13 == 0, "odd").otherwise(c("difficulty")).alias("difficulty"), F.when(k % 9 == 0, "rejected").otherwise("accepted").alias("critic"))
+
+
+@query("flt_validate_items", f"SELECT item_id, concat_ws(',', CASE WHEN k IS NULL THEN 'missing_key' END, CASE WHEN lost THEN 'unresolved_evidence' END, CASE WHEN difficulty = 'odd' THEN 'invalid_difficulty' END, CASE WHEN k IS NULL OR question LIKE 'All of the above%' THEN 'answer_leakage' END, CASE WHEN rejected THEN 'critic_rejected' END) AS reasons FROM ({ITEMS}) i")
+def flt_validate_items(t):
+    pack = t.spark.createDataFrame([("yes",)], "source_id string")
+    return ex.validate_items(_items(t), pack)
+
+
+@query("flt_validate_answers", "SELECT responder, item_id, CASE WHEN item_id % 8 = 3 THEN 'E' ELSE option_id END AS option_id, CASE WHEN item_id % 8 = 3 THEN 'invalid_option' END AS reason FROM {answers} WHERE item_id >= 5 UNION ALL SELECT responder, item_id, CASE WHEN item_id % 8 = 3 THEN 'E' ELSE option_id END, 'unknown_question' FROM {answers} WHERE item_id < 5 UNION ALL SELECT 'naive', item_id, NULL, 'missing' FROM {exam_items} WHERE item_id >= 5 AND item_id % 9 = 0")
+def flt_validate_answers(t):
+    answers = t.answers.withColumn("option_id", F.when(c("item_id") % 8 == 3, "E").otherwise(c("option_id")))
+    return ex.validate_answers(answers, t.exam_items.where("item_id >= 5"))
+
+
+_GRADED = "SELECT r.responder, i.item_id, i.category, i.difficulty, coalesce(a.option_id = i.correct_option_id, false) AS correct FROM (SELECT DISTINCT responder FROM {answers}) r CROSS JOIN {exam_items} i LEFT JOIN {answers} a ON a.responder = r.responder AND a.item_id = i.item_id"
+
+
+@query("agg_score_exam", f"SELECT responder, CASE WHEN GROUPING(category) = 0 THEN 'category' WHEN GROUPING(difficulty) = 0 THEN 'difficulty' ELSE 'all' END AS dimension, coalesce(category, difficulty, 'all') AS bucket, count(*) FILTER (correct) AS correct, count(*) AS total FROM ({_GRADED}) g GROUP BY GROUPING SETS ((responder), (responder, category), (responder, difficulty))")
+def agg_score_exam(t):
+    return ex.score_exam(t.answers, t.exam_items)
+
+
+def _pairs(t):
+    rows = ex.graded(t.answers, t.exam_items)
+    return ex.paired(rows.where("responder = 'survivor'"), rows.where("responder = 'naive'"))
+
+
+_PAIRS = f"SELECT item_id, bool_or(correct AND responder = 'survivor') AS first, bool_or(correct AND responder = 'naive') AS second FROM ({_GRADED}) g GROUP BY item_id"
+
+
+@query("join_paired_outcomes", _PAIRS)
+def join_paired_outcomes(t):
+    return _pairs(t)
+
+
+@query("agg_paired_ci", f"SELECT n, round(mean, 6) AS mean, round(mean - half, 6) AS low, round(mean + half, 6) AS high FROM (SELECT count(*) AS n, avg(first::INT - second::INT) AS mean, 1.96 * stddev_samp(first::INT - second::INT) / sqrt(count(*)) AS half FROM ({_PAIRS}) p) x")
+def agg_paired_ci(t):
+    return ex.paired_ci(_pairs(t)).select("n", *[F.round(x, 6).alias(x) for x in ("mean", "low", "high")])
+
+
+@query("agg_paired_summary", f"SELECT count(*) FILTER (first AND second) AS both, count(*) FILTER (first AND NOT second) AS first_only, count(*) FILTER (NOT first AND second) AS second_only, count(*) FILTER (NOT first AND NOT second) AS neither FROM ({_PAIRS}) p")
+def agg_paired_summary(t):
+    return ex.paired_summary(_pairs(t))
+
+
+@query("top_partition_bank", "SELECT item_id, CASE WHEN k <= 20 THEN 'selection' ELSE 'holdout' END AS part FROM (SELECT item_id, row_number() OVER (ORDER BY sha256('7:' || item_id), item_id) AS k FROM {exam_items}) x WHERE k <= 30")
+def top_partition_bank(t):
+    return ex.partition_bank(t.exam_items, 20, 10, 7)
+
+
+@query("set_disjoint", "SELECT 0::BIGINT AS common, least(30, count(*)) AS items FROM {exam_items}")
+def set_disjoint(t):
+    parts = ex.partition_bank(t.exam_items, 20, 10, 7)
+    a, b = parts.where("part = 'selection'").select("item_id"), parts.where("part = 'holdout'").select("item_id")
+    return a.intersect(b).agg(F.count("*").alias("common")).join(F.broadcast(parts.agg(F.count("*").alias("items"))))
+
+
+@query("itr_near_duplicates")
+def itr_near_duplicates(t):
+    bank = t.exam_items.select("item_id", "question").unionByName(t.exam_items.where("item_id % 3 = 0").select((c("item_id") + 1000).alias("item_id"), F.concat("question", F.lit(" more")).alias("question")))
+    return ex.reject_near_duplicates(bank)
+
+
+@query("agg_score_multiselect", "SELECT item_id, item_id % 3 = 0 AS exact, CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE round(2 / 3, 6) END::DOUBLE AS partial FROM {exam_items}")
+def agg_score_multiselect(t):
+    letters = lambda s: F.array(*[F.lit(x) for x in s])
+    questions = t.exam_items.select("item_id", letters("ABCD").alias("options"), letters("AC").alias("key"))
+    k = c("item_id") % 3
+    responses = t.exam_items.select("item_id", F.when(k == 0, letters("CA")).when(k == 1, letters("A")).otherwise(letters("ABC")).alias("chosen"))
+    return ex.score_multiselect(questions, responses).withColumn("partial", F.round("partial", 6))
+
+
+QUOTAS = [("easy", 14), ("medium", 13), ("expert", 2)]
+
+
+@query("agg_distribution_issues", "SELECT coalesce(f.label, q.label) AS label, coalesce(found, 0) AS found, coalesce(wanted, 0)::BIGINT AS wanted FROM (SELECT difficulty AS label, count(*) AS found FROM {exam_items} GROUP BY 1) f FULL JOIN (VALUES ('easy', 14), ('medium', 13), ('expert', 2)) q(label, wanted) ON q.label = f.label WHERE coalesce(found, 0) <> coalesce(wanted, 0)")
+def agg_distribution_issues(t):
+    return ex.distribution_issues(t.exam_items, t.spark.createDataFrame(QUOTAS, "label string, wanted int"), "difficulty")
+
+
+@query("top_select_survivor", "SELECT agent_id, terminal, row_number() OVER (ORDER BY terminal DESC, selection DESC, grounding DESC, process DESC, agent_id) AS rank FROM (SELECT *, round(0.7 * selection + 0.2 * process + 0.1 * grounding, 6)::DOUBLE AS terminal FROM (SELECT c_nationkey AS agent_id, round(avg(c_acctbal) / 10000, 4)::DOUBLE AS selection, (c_nationkey % 3) / 2 AS process, (c_nationkey % 5) / 4 AS grounding FROM {customer} GROUP BY c_nationkey) a) b")
+def top_select_survivor(t):
+    rows = t.customer.groupBy(c("c_nationkey").alias("agent_id")).agg(F.round(F.avg("c_acctbal") / 10000, 4).cast("double").alias("selection")).withColumns({"process": (c("agent_id") % 3) / 2, "grounding": (c("agent_id") % 5) / 4})
+    return ex.select_survivor(rows)
+
+
+@query("top_blueprint", "SELECT paper_id, paper_id || '-q' || lpad((row_number() OVER (PARTITION BY paper_id ORDER BY sha256('3:' || paper_id || ':' || label || ':' || k)))::VARCHAR, 3, '0') AS question_id, label FROM (SELECT p_partkey AS paper_id FROM {part}) p CROSS JOIN (SELECT label, unnest(range(1, wanted + 1)) AS k FROM (VALUES ('easy', 14), ('medium', 13), ('expert', 2)) q(label, wanted)) l")
+def top_blueprint(t):
+    return ex.blueprint(t.part.select(c("p_partkey").alias("paper_id")), t.spark.createDataFrame(QUOTAS, "label string, wanted int"), 3)
+
+
+@query("flt_critic_gate", "SELECT item_id, item_id % 4 = 1 AND item_id % 5 <> 0 AS kept FROM {exam_items}")
+def flt_critic_gate(t):
+    k = c("item_id")
+    questions = t.exam_items.select("item_id", F.array("correct_option_id").alias("key"))
+    verdicts = t.exam_items.where(k % 7 != -1).select("item_id", (k % 4 != 0).alias("accepted"), (k % 5 != 0).alias("evidence_ok"), F.when(k % 4 == 1, F.array("correct_option_id")).otherwise(F.array(F.lit("A"), F.lit("B"))).alias("defensible"))
+    return ex.critic_gate(questions, verdicts)
+
+
+@query("snk_answer_key", "SELECT item_id, correct_option_id FROM {exam_items} WHERE item_id % 9 <> 0")
+def snk_answer_key(t):
+    return t.exam_items.where("item_id % 9 <> 0").select("item_id", "correct_option_id")
+
+
+@query("snk_public_exam", "SELECT item_id, question, category, difficulty FROM {exam_items}")
+def snk_public_exam(t):
+    return t.exam_items.drop("correct_option_id")
