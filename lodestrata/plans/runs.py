@@ -1,0 +1,153 @@
+"""Queries of run logs and evaluations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.operators import runs as rn
+from lodestrata.plans.registry import query
+
+c = F.col
+_LEGACY = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rn.LEGACY.items()) + " ELSE type END"
+
+
+@query("src_run_events", "SELECT run_id, seq, type, coalesce(TRY_CAST(payload AS JSON)::VARCHAR, '{{}}') AS payload FROM {run_events}".replace("{{}}", "{ }").replace("'{ }'", "chr(123) || chr(125)"))
+def src_run_events(t):
+    return t.run_events.select("run_id", "seq", "type", F.when(F.try_parse_json("payload").isNotNull(), c("payload")).otherwise("{}").alias("payload"))
+
+
+@query("stm_canonical_type", f"SELECT run_id, seq, {_LEGACY} AS type FROM {{run_events}}")
+def stm_canonical_type(t):
+    return t.run_events.select("run_id", "seq", rn.canonical_type(c("type")).alias("type"))
+
+
+@query("snk_append_events", "SELECT run_id, seq, type, concat('token=***', chr(59), ' x') AS payload FROM (SELECT run_id, type, event_id, coalesce((SELECT max(seq) FROM {run_events} r WHERE r.run_id = e.run_id AND r.seq <= 2), 0) + row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS seq FROM {run_events} e WHERE seq > 2) x")
+def snk_append_events(t):
+    new = t.run_events.where("seq > 2").withColumn("payload", F.concat(F.lit("token="), "type", F.lit("; x")))
+    return rn.append_events(t.run_events.where("seq <= 2"), new, "event_id")
+
+
+@query("win_fill_agent", "SELECT run_id, seq, last_value(agent_id IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS agent FROM {run_events}")
+def win_fill_agent(t):
+    return rn.fill_agent(t.run_events).select("run_id", "seq", "agent")
+
+
+@query("win_retained", "SELECT run_id, seq, seen, greatest(0, seen - 3)::BIGINT AS dropped FROM (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r, count(*) OVER (PARTITION BY run_id) AS seen FROM {run_events}) x WHERE r <= 3")
+def win_retained(t):
+    return rn.retained_window(t.run_events, 3).select("run_id", "seq", "seen", "dropped")
+
+
+@query("win_verify_chain", "SELECT run_id, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS broken, 0::BIGINT AS gaps FROM {run_events} GROUP BY run_id")
+def win_verify_chain(t):
+    state = t.run_events.withColumns({"state": c("event_id").cast("string"), "h": F.sha2(c("event_id").cast("string").cast("binary"), 256)})
+    from pyspark.sql import Window
+
+    before = F.lag("h").over(Window.partitionBy("run_id").orderBy("seq"))
+    rows = state.select("run_id", "seq", "state", c("h").alias("state_hash"), F.when(c("event_id") % 10 == 0, "wrong").otherwise(before).alias("prev_hash"))
+    return rn.verify_chain(rows)
+
+
+@query("join_state_as_of", "SELECT a.run_id, a.asof, max(s.seq) AS seq, arg_max(s.type, s.seq) AS state FROM (SELECT run_id, seq AS asof FROM {run_events} WHERE seq % 3 = 0) a LEFT JOIN (SELECT run_id, seq, type FROM {run_events} WHERE seq % 2 = 0) s ON s.run_id = a.run_id AND s.seq <= a.asof GROUP BY a.run_id, a.asof")
+def join_state_as_of(t):
+    states = t.run_events.where("seq % 2 = 0").select("run_id", "seq", c("type").alias("state"))
+    return rn.state_as_of(states, t.run_events.where("seq % 3 = 0").select("run_id", c("seq").alias("asof")))
+
+
+@query("win_delta_q", "SELECT run_id, wave, round(q - lag(q) OVER (PARTITION BY run_id ORDER BY wave), 6) AS delta FROM {evaluations}")
+def win_delta_q(t):
+    return rn.delta_q(t.evaluations).select("run_id", "wave", F.round("delta", 6).alias("delta"))
+
+
+@query("win_best_so_far", "SELECT run_id, wave, max(q) OVER (PARTITION BY run_id ORDER BY wave) AS best, coalesce(q > max(q) OVER (PARTITION BY run_id ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM {evaluations}")
+def win_best_so_far(t):
+    return rn.best_so_far(t.evaluations).select("run_id", "wave", "best", "improved")
+
+
+_PLATEAU = "SELECT run_id, wave, coalesce(row_number() OVER (PARTITION BY run_id ORDER BY wave) > 2 AND q - lag(q, 1) OVER (PARTITION BY run_id ORDER BY wave) < 0.05, false) AS plateau FROM {evaluations}"
+
+
+@query("win_plateau", _PLATEAU)
+def win_plateau(t):
+    return rn.plateau(t.evaluations, 2, 0.05).select("run_id", "wave", "plateau")
+
+
+@query("win_convergence", f"SELECT run_id, min(wave) AS wave, arg_min(reason, wave) AS reason FROM (SELECT run_id, wave, CASE WHEN wave >= 4 THEN 'budget' WHEN plateau THEN 'quality_plateau' END AS reason FROM ({_PLATEAU}) p) x WHERE reason IS NOT NULL GROUP BY run_id")
+def win_convergence(t):
+    return rn.convergence(t.evaluations, 2, 0.05, 4)
+
+
+@query("win_latest_eval", "SELECT run_id, max(wave) AS wave, arg_max(q, wave) AS q FROM {evaluations} GROUP BY run_id")
+def win_latest_eval(t):
+    return rn.latest(t.evaluations, "run_id", "wave", "q")
+
+
+@query("win_quality_evolution", "SELECT run_id, arg_min(q, wave) AS first, arg_max(q, wave) AS last, max(q) AS best, round(arg_max(q, wave) - arg_min(q, wave), 6) AS gain FROM {evaluations} GROUP BY run_id")
+def win_quality_evolution(t):
+    return rn.quality_evolution(t.evaluations).withColumn("gain", F.round("gain", 6))
+
+
+@query("win_agent_labels", "SELECT run_id, agent_id, 'A' || lpad((row_number() OVER (PARTITION BY run_id ORDER BY seq))::VARCHAR, 2, '0') AS label FROM (SELECT run_id, agent_id, min(seq) AS seq FROM {run_events} WHERE agent_id IS NOT NULL GROUP BY 1, 2) x")
+def win_agent_labels(t):
+    return rn.agent_labels(t.run_events)
+
+
+@query("job_project_runs", f"SELECT run_id, max(seq) AS last_seq, count(*) AS seen, least(count(*), 1000) AS retained, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(agent_id, seq) FILTER (agent_id IS NOT NULL) AS agent_id, count(*) FILTER (kind = 'quality_eval_completed') AS evaluations, max(least(1.0, value / 100)) FILTER (kind = 'quality_eval_completed') AS best_q FROM (SELECT *, CASE kind WHEN 'run_started' THEN 'running' WHEN 'run_completed' THEN 'completed' WHEN 'quality_eval_completed' THEN 'evaluating' END AS status FROM (SELECT *, {_LEGACY} AS kind FROM {{run_events}}) e) x GROUP BY run_id")
+def job_project_runs(t):
+    events = t.run_events
+    return rn.project_runs(events.unionByName(events.where("seq % 2 = 0")))  # repeats change nothing
+
+
+@query("flt_stale_runs", "SELECT run_id, CASE WHEN age > 86400 THEN 'interrupted' ELSE 'running' END AS status, CASE WHEN age > 86400 THEN 'stale_heartbeat' END AS reason FROM (SELECT run_id, date_diff('second', max(ts), (SELECT max(ts) FROM {run_events})) AS age FROM {run_events} GROUP BY run_id) x")
+def flt_stale_runs(t):
+    beats = t.run_events.groupBy("run_id").agg(F.max("ts").alias("heartbeat"), F.lit("running").alias("status"))
+    now = t.run_events.agg(F.max("ts").alias("now"))
+    return rn.stale_runs(beats.join(F.broadcast(now)), c("now"), 86400).select("run_id", "status", "reason")
+
+
+@query("agg_list_runs", "SELECT run_id, count(*) AS events, count(*) FILTER (type = 'evaluation_complete') AS evaluations FROM {run_events} GROUP BY run_id")
+def agg_list_runs(t):
+    return rn.list_runs(t.run_events.select("run_id").distinct(), t.run_events, t.evaluations)
+
+
+@query("agg_peer_score", "SELECT o_custkey % 25 AS subject, median(vote) AS median, round(sum(vote * weight) / sum(weight), 6) AS weighted FROM (SELECT o_custkey, (o_orderkey % 101) / 100 AS vote, (o_orderkey % 7) / 7 AS weight FROM {orders}) x GROUP BY 1")
+def agg_peer_score(t):
+    k = c("o_orderkey")
+    votes = t.orders.select((c("o_custkey") % 25).alias("subject"), ((k % 101) / 100).alias("vote"), ((k % 7) / 7).alias("weight"))
+    return rn.peer_score(votes).withColumn("weighted", F.round("weighted", 6))
+
+
+@query("agg_quality", "SELECT c_custkey, round(greatest(0, least(1, 0.3 * coalesce(s, 0) + 0.3 * coalesce(p, 0) + 0.4 * coalesce(r, 0))), 6)::DOUBLE AS q, concat_ws(',', CASE WHEN p IS NULL THEN 'p' END, CASE WHEN s IS NULL THEN 's' END) AS unavailable FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 11) / 10 END AS s, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 13) / 12 END AS p, (c_custkey % 7) / 6 AS r FROM {customer}) x")
+def agg_quality(t):
+    k = c("c_custkey")
+    rows = t.customer.select("c_custkey", F.when(k % 3 != 0, (k % 11) / 10).alias("s"), F.when(k % 4 != 0, (k % 13) / 12).alias("p"), ((k % 7) / 6).alias("r"))
+    return rn.quality(rows, {"s": 0.3, "p": 0.3, "r": 0.4}).select("c_custkey", F.round("q", 6).alias("q"), "unavailable")
+
+
+@query("agg_rollup_status", "SELECT o_custkey, CASE WHEN bool_or(s = 'active') THEN 'active' WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_and(s IN ('completed', 'failed')) THEN 'completed' ELSE 'pending' END AS status FROM (SELECT o_custkey, CASE o_orderkey % 11 WHEN 0 THEN 'active' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE 'completed' END AS s FROM {orders}) x GROUP BY o_custkey")
+def agg_rollup_status(t):
+    k = c("o_orderkey") % 11
+    rows = t.orders.select("o_custkey", F.when(k == 0, "active").when(k == 1, "failed").when(k == 2, "pending").otherwise("completed").alias("status"))
+    return rn.rollup_status(rows, ["o_custkey"])
+
+
+@query("agg_experiment_report", "SELECT c_mktsegment AS arm, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4)::DOUBLE AS median, round(stddev_samp(c_acctbal), 4) AS deviation FROM {customer} GROUP BY 1")
+def agg_experiment_report(t):
+    rows = rn.experiment_report(t.customer.select(c("c_mktsegment").alias("arm"), c("c_acctbal").cast("double").alias("v")), "arm", "v")
+    return rows.select("arm", "n", *[F.round(x, 4).alias(x) for x in ("mean", "median", "deviation")])
+
+
+@query("agg_usage", "SELECT run_id, sum(CASE WHEN type = 'candidate_selected' THEN value END) AS tokens, count(*) FILTER (type = 'candidate_selected') AS reports FROM {run_events} GROUP BY run_id")
+def agg_usage(t):
+    hit = c("type") == "candidate_selected"
+    return t.run_events.groupBy("run_id").agg(F.sum(F.when(hit, c("value"))).alias("tokens"), F.count_if(hit).alias("reports"))
+
+
+@query("snk_latest_artifact", "SELECT run_id, type AS kind, arg_max(event_id, (ts, event_id)) AS artifact_id FROM {run_events} GROUP BY run_id, type")
+def snk_latest_artifact(t):
+    return t.run_events.groupBy("run_id", c("type").alias("kind")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("artifact_id"))
+
+
+@query("flt_evaluation_summary", "SELECT run_id, wave, q FROM {evaluations} WHERE q > 0.2")
+def flt_evaluation_summary(t):
+    rows = t.evaluations.select(F.to_json(F.struct("run_id", "wave", "q")).alias("j"))
+    return rows.select(F.from_json("j", "run_id long, wave long, q double").alias("e")).select("e.run_id", "e.wave", "e.q").where("q > 0.2")

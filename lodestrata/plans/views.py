@@ -28,7 +28,7 @@ VIEWS = {
     "agents": """SELECT n_nationkey AS agent_id, CASE n_nationkey % 3 WHEN 0 THEN 'fundaciones' WHEN 1 THEN 'impacto' ELSE 'mixto' END AS caste,
         n_nationkey % 10 AS budget FROM {nation}""",
     "visits": """SELECT c_nationkey AS agent_id, concat('o:', CAST(o_orderkey AS STRING)) AS node,
-        row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
+        CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS ordinal FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
     "visits_mixed": """SELECT agent_id, node, min(ordinal) AS ordinal FROM (
         SELECT agent_id, node, ordinal FROM {visits} WHERE ordinal <= 40
         UNION ALL SELECT v.agent_id, e.dst AS node, 1000 + v.ordinal AS ordinal FROM {visits} v JOIN {edges} e ON e.src = v.node
@@ -41,11 +41,11 @@ VIEWS = {
     "paths": """SELECT s_nationkey AS agent_id, concat('o:', CAST(l_orderkey % 100 AS STRING)) AS src, p.id AS dst,
         CASE WHEN l_linenumber % 2 = 0 THEN 'cites' ELSE 'ref' END AS mode, l_orderkey, l_linenumber
         FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {papers} p ON p.p_partkey = l_partkey WHERE l_returnflag = 'R'""",
-    "run_events": """SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts,
+    "run_events": """SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, ts,
         CASE event_type WHEN 'signup' THEN 'orchestrator_start' WHEN 'view' THEN 'agent_step' WHEN 'click' THEN 'candidate_selected'
         WHEN 'purchase' THEN 'evaluation_complete' ELSE 'warning' END AS type,
         CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('agent-', CAST(event_id % 5 AS STRING)) END AS agent_id, value, props AS payload, event_id FROM {events}""",
-    "evaluations": """SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS wave, least(1.0, value / 100) AS q
+    "evaluations": """SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS BIGINT) AS wave, least(1.0, value / 100) AS q
         FROM {run_events} WHERE type = 'evaluation_complete'""",
     "bib_texts": """SELECT p_partkey AS doc_id, concat('Body of ', p_name, chr(10), 'References', chr(10),
         CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), '[1] ') ELSE concat(chr(10), '1. ') END, 'Smith, A. On the ', p_name, '. 2001. doi:10.1000/', CAST(p_partkey AS STRING), '.',
