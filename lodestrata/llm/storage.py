@@ -1,34 +1,5 @@
-"""Tables between the steps of an operator, in the folder that the cluster shares.
+"""Tables between the steps of an operator, in the folder that the cluster shares."""
 
-The folder is spark.checkpoint.dir of the session. Only where that is unset, and only on a local master, a
-temporary folder stands in. A written table cuts lineage: a lost executor costs no earlier step.
-"""
+from lodestrata.tables import new_path, shared_folder, stored
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_folder", "stored"]
