@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages; each works on what the one before it kept.
 
-run(spark, sf_dir) applies STAGES to the table documents, writing and reading Parquet between them.
+run(spark, sf_dir) applies STAGES to the table documents, writing and reading Parquet between them. A row without doc_id
+can't be judged and goes with the first stage; null and empty texts fail the quality rules; extra columns are left out.
 """
 
 from __future__ import annotations
