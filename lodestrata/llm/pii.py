@@ -188,14 +188,15 @@ def train(documents: DataFrame) -> Trees:
 
 
 def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """documents, every column, with pii: array of struct(kind, start, end, base), by kind as in KINDS, then start.
+    """documents, every column, with pii (in place of one of that name): array of struct(kind, start, end, base), by kind as in
+    KINDS, then start.
 
     Positions are code points of the whole text, the end exclusive. Base spans always stay; a loose candidate is
     added if its score reaches the threshold and it overlaps no base span. Null and empty texts have none;
     repeated rows each give one; an empty table gives no rows.
     """
     trees = trees or train(documents)
-    kept = [F.col(f"`{c}`") for c in documents.columns if c != "pii"]
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() != "pii"]
     found = candidates(documents.drop("pii"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     base = F.filter("__candidates", lambda c: c["base"])
@@ -211,9 +212,11 @@ def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 
 def redact(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """documents with the text's personal data replaced by [KIND]; overlapping spans count as the first of them."""
+    """documents with the text's personal data replaced by [KIND]; overlapping spans count as the first of them. Rows and
+    other columns stay as they are, a null text too."""
+    own = {c: f"__own_{i}" for i, c in enumerate(documents.columns) if c.lower() == "pii"}  # a column of the input's
     columns = documents.columns
-    found = find(documents, trees)
+    found = find(documents.withColumnsRenamed(own), trees)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
@@ -224,7 +227,7 @@ def redact(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     clean = F.when(F.size("pii") > 0, clean).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in columns])
+    return found.withColumn("text", clean).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in columns])
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -49,8 +49,9 @@ def test_loose_phone_is_learned_and_redacted(spark):
     r = random.Random(6)
     phone = lambda: f"({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(1000, 9999)}"
     texts = [f"on the {phone() if k % 50 == 0 else '+1 ' + phone()} of 8316107434564120 that" for k in range(400)] + ["clean text of 12 words and 3 numbers 2024-10-11"] * 50
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([(k, x, "own") for k, x in enumerate(texts)], "doc_id long, text string, pii string")
     got = {x.doc_id: x for x in redact(df).collect()}
+    assert {x.pii for x in got.values()} == {"own"}
     assert got[0].text == "on the [PHONE] of 8316107434564120 that" == got[1].text
     assert got[420].text == texts[420]
 
