@@ -178,7 +178,7 @@ def eta_table(t):
     return near.select("id", parts.alias("e")).withColumn("eta", maths.eta(F.col("e"), _WEIGHTS))
 
 
-@query("mth_eta", f"SELECT id, round(sim, 5) AS sim, round(citations, 6) AS citations, round(recency, 6) AS recency, round(confidence, 6) AS confidence, round(1 / (1 + exp(-(0.4 * sim + 0.3 * citations + 0.2 * recency + 0.1 * confidence))), 5) AS eta FROM ({ETA}) e")
+@query("mth_eta", f"SELECT id, round(sim, 5) AS sim, round(citations, 6) AS citations, round(recency, 6) AS recency, round(confidence, 6)::DOUBLE AS confidence, round(1 / (1 + exp(-(0.4 * sim + 0.3 * citations + 0.2 * recency + 0.1 * confidence))), 5) AS eta FROM ({ETA}) e")
 def mth_eta(t):
     return eta_table(t).select("id", F.round("e.sim", 5).alias("sim"), *[F.round(f"e.{x}", 6).alias(x) for x in ("citations", "recency", "confidence")], F.round("eta", 5).alias("eta"))
 
