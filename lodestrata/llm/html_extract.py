@@ -215,7 +215,10 @@ class Field:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """The field of `sample` pages at most: those with the least hash of their page_id."""
-    rows = pages.where("html is not null and page_id is not null").select("page_id", F.col("html").cast("string").alias("html"), F.xxhash64("page_id").alias("h")).orderBy("h", "page_id", "html").limit(sample).collect()
+    usable = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    chosen = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()  # ids alone go to the driver from each task
+    ids = [x.page_id for x in chosen]
+    rows = usable.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect() if ids else []
     labelled = []
     for k, x in enumerate(rows):
         page = blocks(x.html)[:300]
