@@ -160,3 +160,41 @@ def list_runs(runs: DataFrame, events: DataFrame, evals: DataFrame) -> DataFrame
 
 def experiment_report(runs: DataFrame, arm: str, value: str) -> DataFrame:
     return runs.groupBy(arm).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("deviation"))
+
+
+def across_run_ci(uplifts: DataFrame) -> DataFrame:
+    """runs, mean, low, high of one value a run; null bounds under two runs."""
+    n = F.count("*")
+    half = F.when(n >= 2, 1.96 * F.stddev_samp("uplift") / F.sqrt(F.greatest(n, F.lit(1))))
+    return uplifts.agg(n.alias("runs"), F.avg("uplift").alias("mean"), (F.avg("uplift") - half).alias("low"), (F.avg("uplift") + half).alias("high"))
+
+
+def timeline(events: DataFrame) -> DataFrame:
+    """run_id, seq, parent of each event: the last turn (agent_turn_started) before it, else the last wave, else the run's start."""
+    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    kind = canonical_type(F.col("type"))
+    turn = F.last(F.when(kind == "agent_turn_started", F.col("seq")), ignorenulls=True).over(w)
+    wave = F.last(F.when(kind == "wave_started", F.col("seq")), ignorenulls=True).over(w)
+    return events.select("run_id", "seq", F.coalesce(turn, wave, F.lit(0)).cast("long").alias("parent"))
+
+
+def wave_summary(turns: DataFrame) -> DataFrame:
+    """run_id, wave, attempted, integrated, failed and the sorted agents that failed."""
+    bad = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("agent_id").cast("string")))), ",")
+    return turns.groupBy("run_id", "wave").agg(F.count("*").alias("attempted"), F.count_if("ok").alias("integrated"), F.count_if(~F.col("ok")).alias("failed"), bad.alias("failed_agents"))
+
+
+def append_evaluations(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evaluations with the incoming ones, a compact event for each incoming one, q to four places)."""
+    events = incoming.select("run_id", "wave", F.lit("quality_eval_completed").alias("type"), F.to_json(F.struct("wave", F.round("q", 4).alias("q"))).alias("payload"))
+    return current.unionByName(incoming.select(*current.columns)), events
+
+
+def loose_int(c: Column, default: int = 0) -> Column:
+    """A number in a text, or the default."""
+    return F.coalesce(c.try_cast("int"), F.lit(default))
+
+
+def loose_float(c: Column, default: float | None = None) -> Column:
+    value = c.try_cast("double")
+    return value if default is None else F.coalesce(value, F.lit(default))

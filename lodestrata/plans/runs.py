@@ -151,3 +151,38 @@ def snk_latest_artifact(t):
 def flt_evaluation_summary(t):
     rows = t.evaluations.select(F.to_json(F.struct("run_id", "wave", "q")).alias("j"))
     return rows.select(F.from_json("j", "run_id long, wave long, q double").alias("e")).select("e.run_id", "e.wave", "e.q").where("q > 0.2")
+
+
+@query("agg_across_run_ci", "SELECT count(*) AS runs, round(avg(u), 6) AS mean, round(avg(u) - 1.96 * stddev_samp(u) / sqrt(count(*)), 6) AS low, round(avg(u) + 1.96 * stddev_samp(u) / sqrt(count(*)), 6) AS high FROM (SELECT run_id, max(q) - min(q) AS u FROM {evaluations} GROUP BY run_id) x")
+def agg_across_run_ci(t):
+    rows = rn.across_run_ci(t.evaluations.groupBy("run_id").agg((F.max("q") - F.min("q")).alias("uplift")))
+    return rows.select("runs", *[F.round(x, 6).alias(x) for x in ("mean", "low", "high")])
+
+
+@query("win_timeline", "SELECT run_id, seq, coalesce(max(CASE WHEN event_id % 7 = 0 THEN seq END) OVER w, max(CASE WHEN event_id % 7 = 1 THEN seq END) OVER w, 0)::BIGINT AS parent FROM {run_events} WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def win_timeline(t):
+    kind = F.when(c("event_id") % 7 == 0, "agent_turn_start").when(c("event_id") % 7 == 1, "oleada_start").otherwise("warning")
+    return rn.timeline(t.run_events.withColumn("type", kind))
+
+
+@query("agg_wave_summary", "SELECT run_id, wave, count(*) AS attempted, count(*) FILTER (event_id % 4 <> 0) AS integrated, count(*) FILTER (event_id % 4 = 0) AS failed, coalesce(array_to_string(list_sort(list(DISTINCT agent_id) FILTER (event_id % 4 = 0)), ','), '') AS failed_agents FROM (SELECT *, seq // 10 AS wave FROM {run_events}) x GROUP BY run_id, wave")
+def agg_wave_summary(t):
+    return rn.wave_summary(t.run_events.select("run_id", F.floor(c("seq") / 10).cast("long").alias("wave"), "agent_id", (c("event_id") % 4 != 0).alias("ok")))
+
+
+@query("snk_append_evaluations", "SELECT run_id, wave, q FROM {evaluations}")
+def snk_append_evaluations(t):
+    rows = t.evaluations.select("run_id", "wave", "q")
+    return rn.append_evaluations(rows.where("wave <= 3"), rows.where("wave > 3"))[0]
+
+
+@query("snk_evaluation_events", "SELECT run_id, wave, 'quality_eval_completed' AS type, round(q, 4) AS q FROM {evaluations} WHERE wave > 3")
+def snk_evaluation_events(t):
+    rows = t.evaluations.select("run_id", "wave", "q")
+    events = rn.append_evaluations(rows.where("wave <= 3"), rows.where("wave > 3"))[1]
+    return events.select("run_id", "wave", "type", F.get_json_object("payload", "$.q").cast("double").alias("q"))
+
+
+@query("str_loose_numbers", "SELECT event_id, coalesce(TRY_CAST(substr(event_type || event_id, 6) AS INT), -1) AS i, TRY_CAST(value::VARCHAR AS DOUBLE) AS f FROM {events}")
+def str_loose_numbers(t):
+    return t.events.select("event_id", rn.loose_int(F.substr(F.concat("event_type", c("event_id").cast("string")), F.lit(6)), -1).alias("i"), rn.loose_float(c("value").cast("string")).alias("f"))
