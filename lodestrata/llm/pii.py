@@ -2,10 +2,14 @@
 
 Everything over texts is a column expression. Strict generators give the base spans, which always stay; loose
 ones propose spans that may overlap them (a phone number without its country code, an address with its @ spelt
-out). Each candidate has small integer features of its format and its surroundings. Spark counts, over all
-documents, how many candidates with each combination of features cover a base span; the number of combinations
-is bounded by the product of the features' ranges. Depth-2 trees are boosted on that table of counts, a fold of
-documents held out sets the threshold at which PRECISION is reached, and the trees become a column expression.
+out). Each candidate has small integer features of its format and its surroundings. A loose candidate is labelled
+by evidence that isn't a feature: good are those inside a base span (its value without the marker), base addresses
+spelt out, and free ones after a word such as "call"; bad are free ones after a word such as "order", with letters
+or digits at their edge, or without a domain's form. A free candidate without evidence isn't labelled, so it
+counts for neither side. Spark counts the labelled ones with each combination of features; the number of combinations is
+bounded by the product of the features' ranges. For each loose generator depth-2 trees are boosted on that table, a fold of
+documents held out (those without base spans, where they hold good ones) sets the threshold at which PRECISION is reached,
+and the trees become a column expression.
 """
 
 from __future__ import annotations
@@ -30,8 +34,13 @@ LOOSE = {
 }
 NEEDS = {"email": "@|\\bat\\b|\\bAT\\b", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = r"(?i)(mail|contact|write|phone|tel|call|fax|mobile|card|visa|pay|host|server|addr|ip)[^A-Za-z]*$"
-FEATURES = {"source": 6, "length": 8, "digits": 5, "signs": 3, "context": 2, "edge": 2, "inner": 2}  #: and how many values each has
-ROUNDS, RATE, PRECISION, FOLDS = 24, 0.3, 0.9, 5  #: of ten candidates selected, nine at least are of the kind that covers a base span
+#: Words before a loose candidate that speak for and against it.
+FOR = {"email": r"(?i)(?<![a-z])(e-?mail|contact|write|reach|address)( (to|at|me|us))*[^A-Za-z]*$", "phone": r"(?i)(?<![a-z])((tele)?phone|tel|call|fax|mobile|cell|contact|dial|reach)( (me|us|at|on))*[^A-Za-z]*$"}
+AGAINST = r"(?i)(?<![a-z])(order|invoice|isbn|issn|serial|part|item|ref|case|ticket|account|batch|lot|model|version|id|look(s|ed|ing)?)( (no|nr|number|id))*[^A-Za-z]*$"
+FEATURES = {"source": 6, "length": 8, "digits": 5, "signs": 3, "context": 2, "edge": 2, "format": 2}  #: and how many values each has
+UNSEEN = ("source", "context")  #: features that would give a label away; 0 in the training table
+ROUNDS, RATE, PRECISION, FOLDS = 24, 0.3, 0.9, 5  #: of ten labelled candidates selected, nine at least are good
+SPELT = len(BASE) + len(LOOSE)  #: source of base addresses spelt out, for training alone
 
 
 def _matches(text: Column, pattern: str, guard: str) -> tuple[Column, Column]:
@@ -74,7 +83,10 @@ def _candidate(kind: str, strict: bool, source: int):
     def make(s: Column) -> Column:
         m = s["match"]
         digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
-        inner = F.regexp_replace(F.regexp_replace(m, "^[^0-9A-Za-z]+", ""), "^[0-9]{1,3} ", "")
+        edge = s["before"].rlike(r"[0-9A-Za-z.]$") | s["after"].rlike("^[0-9A-Za-z]")
+        form = m.rlike(r"[A-Za-z]{2,}$") if kind == "email" else m.rlike("[2-9][0-9]{2}[ ).-]+[2-9][0-9]{2}[ .-][0-9]{4}$")
+        against = s["before"].rlike(AGAINST) | edge | (~form if kind == "email" else F.lit(False))
+        label = F.lit(0) if strict else F.lit(1) if source == SPELT else F.when(against, -1).when(s["before"].rlike(FOR[kind]), 1).otherwise(0)
         return F.struct(
             F.lit(kind).alias("kind"),
             s["start"].alias("start"),
@@ -85,15 +97,24 @@ def _candidate(kind: str, strict: bool, source: int):
             F.when(digits == 0, 0).when(digits < 9, 1).when(digits < 13, 2).when(digits < 20, 3).otherwise(4).alias("digits"),
             F.when(m.rlike("[().]"), 2).when(m.rlike("[ -]"), 1).otherwise(0).alias("signs"),
             s["before"].rlike(CONTEXT).cast("int").alias("context"),
-            (s["before"].rlike(r"[0-9A-Za-z.]$") | s["after"].rlike("^[0-9A-Za-z]")).cast("int").alias("edge"),
-            inner.rlike("[0-9]{3}[ ).-]+[0-9]{3}[ .-][0-9]{4}$").cast("int").alias("inner"),
+            edge.cast("int").alias("edge"),
+            form.cast("int").alias("format"),
+            label.alias("label"),
         )
 
     return make
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """documents with candidates: array of structs of kind, start, end, base and the features; null text is empty."""
+def _spelt(s: Column) -> Column:
+    """A base address as it would stand spelt out."""
+    local, domain = F.split_part(s["match"], F.lit("@"), F.lit(1)), F.split_part(s["match"], F.lit("@"), F.lit(2))
+    m = F.concat(local, F.lit(" [at] "), F.replace(domain, F.lit("."), F.lit(" [dot] ")))
+    return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(m)).alias("end"), m.alias("match"), s["before"].alias("before"), s["after"].alias("after"))
+
+
+def candidates(documents: DataFrame, spelt: bool = False) -> DataFrame:
+    """documents with candidates: array of structs of kind, start, end, base, the features and the label by evidence; null
+    text is empty. spelt adds the base addresses spelt out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out, kept = documents, documents.columns
     sources = [(k, True, p) for k, p in BASE.items()] + [(k, False, p) for k, p in LOOSE.items()]
@@ -104,6 +125,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     out = out.withColumns(raw)
     out = out.withColumns({name: _located(F.col(f"{name}_m"), F.col(f"{name}_b")) for name in names})
     made = [F.transform(F.col(name), _candidate(kind, strict, i)) for i, (name, (kind, strict, _)) in enumerate(zip(names, sources, strict=True))]
+    if spelt:
+        made.append(F.transform(F.transform(F.col(names[0]), _spelt), _candidate("email", False, SPELT)))
     return out.select(*[F.col(f"`{c}`") for c in kept], F.concat(*made).alias("__candidates"))
 
 
@@ -112,10 +135,28 @@ def _covered(all_: Column, c: Column) -> Column:
     return F.exists(all_, lambda b: b["base"] & (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
-def _table(found: DataFrame) -> list[tuple]:
-    """(fold held out, features..., candidates, of them over base spans): at most 2 * product of FEATURES rows."""
-    rows = found.select((F.abs(F.xxhash64("doc_id")) % FOLDS == 0).alias("held"), F.explode(F.transform("__candidates", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], (c["base"] | _covered(F.col("__candidates"), c)).alias("good")))).alias("c"))
-    return [tuple(r) for r in rows.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.good").alias("good")).collect()]
+def _table(found: DataFrame) -> dict[str, list[tuple]]:
+    """By kind of the loose generator, rows (fold held out, features..., labelled candidates, of them good). Held out are
+    candidates of documents without base spans, or of all documents in the fold where those hold no good one; at most
+    4 * product of FEATURES rows a kind."""
+    found = found.select("doc_id", F.explode(F.array("__candidates")).alias("__candidates"))  # so that the list is made once a row, not once a use
+    every = F.col("__candidates")
+    loose = F.filter(every, lambda c: c["source"] >= len(BASE))
+
+    def row(c: Column) -> Column:
+        inside = (c["source"] < SPELT) & _covered(every, c)
+        seen = {f: F.lit(0) if f in UNSEEN else F.when(inside | (c["source"] == SPELT), 0).otherwise(c[f]) if f == "edge" else c[f] for f in FEATURES}
+        return F.struct(c["kind"].alias("kind"), *[x.cast("int").alias(f) for f, x in seen.items()], F.when(inside, 1).otherwise(c["label"]).alias("label"))
+
+    fold, bare = F.abs(F.xxhash64("doc_id")) % FOLDS == 0, ~F.exists(every, lambda c: c["base"])
+    rows = found.select(fold.alias("held"), bare.alias("bare"), F.explode(F.transform(loose, row)).alias("c")).where("c.label <> 0")
+    counts = rows.groupBy("c.kind", "bare", "held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if(F.col("c.label") > 0).alias("good")).collect()
+    out = {}
+    for kind in LOOSE:
+        mine = [tuple(r)[1:] for r in counts if r[0] == kind]
+        free = any(r[0] and r[1] and r[-1] for r in mine)
+        out[kind] = [r[1:] for r in mine if not r[1] or r[0] or not free]
+    return out
 
 
 class Trees:
@@ -162,7 +203,7 @@ class Trees:
         return self.start + sum(self._leaf(t, row) for t in self.trees)
 
     def _calibrate(self, rows: list[tuple]) -> float:
-        """The least score from which on PRECISION of the held-out candidates cover base spans; never below even odds."""
+        """The least score from which on PRECISION of the held-out candidates are good; never below even odds."""
         threshold, n, good = math.inf, 0, 0
         ranked = sorted(((self.score(r), r[-2], r[-1]) for r in rows), reverse=True)
         for k, (s, count, hits) in enumerate(ranked):
@@ -183,19 +224,21 @@ class Trees:
         return total
 
 
-def train(documents: DataFrame) -> Trees:
-    return Trees(_table(candidates(documents.select(F.col("doc_id"), F.col("text")))))
+def train(documents: DataFrame) -> dict[str, Trees]:
+    """The trees of each loose generator, by kind."""
+    return {kind: Trees(rows) for kind, rows in _table(candidates(documents.select(F.col("doc_id"), F.col("text")), spelt=True)).items()}
 
 
-def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
+def find(documents: DataFrame, trees: dict[str, Trees] | None = None) -> DataFrame:
     """documents, every column, with pii (in place of one of that name): array of struct(kind, start, end, base), by kind as in
     KINDS, then start.
 
     Positions are code points of the whole text, the end exclusive. Base spans always stay; a loose candidate is
-    added if its score reaches the threshold and it overlaps no base span. Null and empty texts have none;
+    added if its score reaches its generator's threshold and it overlaps no base span. Null and empty texts have none;
     repeated rows each give one; an empty table gives no rows.
     """
     trees = trees or train(documents)
+    able = {kind: t for kind, t in trees.items() if math.isfinite(t.threshold)}
     kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() != "pii"]
     found = candidates(documents.drop("pii"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
@@ -203,15 +246,18 @@ def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     def added(c: Column) -> Column:
         free = ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return ~c["base"] & (c["source"] >= len(BASE)) & (trees.column(c) >= trees.threshold) & free
+        chosen = F.lit(False)
+        for kind, t in able.items():
+            chosen = chosen | ((c["kind"] == kind) & (t.column(c) >= t.threshold - 1e-9))  # the column adds up in another order
+        return ~c["base"] & (c["source"] >= len(BASE)) & chosen & free
 
     slim = lambda a: F.transform(a, lambda c: F.struct(order[c["kind"]].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base")))
     found = found.withColumn("__base", base)
-    extra = F.filter("__candidates", added) if math.isfinite(trees.threshold) else F.slice("__candidates", 1, 0)
+    extra = F.filter("__candidates", added) if able else F.slice("__candidates", 1, 0)
     return found.select(*kept, F.array_sort(F.concat(slim(F.col("__base")), slim(extra))).alias("pii"))
 
 
-def redact(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
+def redact(documents: DataFrame, trees: dict[str, Trees] | None = None) -> DataFrame:
     """documents with the text's personal data replaced by [KIND]; overlapping spans count as the first of them. Rows and
     other columns stay as they are, a null text too."""
     own = {c: f"__own_{i}" for i, c in enumerate(documents.columns) if c.lower() == "pii"}  # a column of the input's

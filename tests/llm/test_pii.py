@@ -56,6 +56,22 @@ def test_loose_phone_is_learned_and_redacted(spark):
     assert got[420].text == texts[420]
 
 
+def test_loose_candidates_are_judged_by_evidence(spark):
+    r = random.Random(7)
+    phone = lambda: f"({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(1000, 9999)}"
+    texts = [f"on the {phone()} of that day" for _ in range(300)] + [f"on the +1 {phone()} of that day" for _ in range(40)] + [f"please call {phone()} now" for _ in range(40)]
+    order = len(texts)
+    texts += [f"see order {r.randrange(200, 999)} {r.randrange(200, 999)} {r.randrange(1000, 9999)} of that day" for _ in range(60)]
+    spelt = len(texts)
+    texts += [f"that john{k} [at] example [dot] com was" for k in range(60)] + [f"that mary{k}@example.com was" for k in range(40)]
+    texts += [f"we look [at] {k}.5 and more" for k in range(60)]
+    got = {x.doc_id: x.text for x in redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(order)} == {"on the [PHONE] of that day", "please call [PHONE] now"}
+    assert all(got[k] == texts[k] for k in range(order, spelt))
+    assert {got[k] for k in range(spelt, spelt + 100)} == {"that [EMAIL] was"}
+    assert all(got[k] == texts[k] for k in range(spelt + 100, len(texts)))
+
+
 def test_trees_and_odd_tables(spark):
     rows = [(h, 3, x, 2, 0, 0, 0, int(x > 4), 50, 50 if x > 4 else 1) for h in (False, True) for x in range(8)]
     t = Trees(rows)
