@@ -25,7 +25,7 @@ from lodestrata.llm.text import pieces, texts_of
 #: The pattern that cuts text before the merges (byte-level pre-tokenisation).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = 1 << 16  #: characters of a text handled at a time
-REMEMBERED = 1_000_000  #: words whose ids a task remembers
+REMEMBERED, PAIRS = 50_000, 200_000  #: words whose ids a worker remembers, and pairs of tokens: some 20 MB each
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,7 +50,7 @@ class Transducer:
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.bytes |= {i: s.encode() for s, i in self.specials.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.ids = {token: i for token, i in ids.items() if self.merged(token) == [i]}  # those that an encoding can have
         self.lookahead = max(map(len, self.ids))  #: a token that ends later starts within so many bytes
         self.reach: dict[bytes, int] = {}  # by four bytes: the longest token that ends with them
@@ -79,11 +79,11 @@ class Transducer:
         return parts
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
@@ -121,7 +121,7 @@ class Transducer:
             if start < 0:
                 start = 0
             token = ids(data[start:end])
-            while token is None or start and not ((known := pairs((last[start], token))) or known is None and fits(last[start], token)):
+            while token is None or start and not ((known := pairs(last[start] << 32 | token)) or known is None and fits(last[start], token)):
                 start += 1
                 token = ids(data[start:end])
             last.append(token)
@@ -211,7 +211,7 @@ def _digests(transducer: Transducer, text: str) -> tuple[int, str, str]:
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
-_LOADED: dict[str, Transducer] = {}  # a worker keeps the tables from task to task
+_LOADED: dict[str, Transducer] = {}  # a worker keeps the tables from task to task: one vocabulary's, and the bounded caches
 
 
 def loaded(vocabulary: str) -> Transducer:
