@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.shipping import ship
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
