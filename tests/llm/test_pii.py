@@ -73,9 +73,9 @@ def test_loose_candidates_are_judged_by_evidence(spark):
 
 
 def test_trees_and_odd_tables(spark):
-    rows = [(h, 3, x, 2, 0, 0, 0, int(x > 4), 50, 50 if x > 4 else 1) for h in (False, True) for x in range(8)]
+    rows = [(h, x, 3, 2, 0, 0, int(x > 4), 50, 50 if x > 4 else 1) for h in (False, True) for x in range(8)]
     t = Trees(rows)
-    assert t.score((3, 6, 2, 0, 0, 0, 1)) >= t.threshold > t.score((3, 2, 2, 0, 0, 0, 0))
+    assert t.score((6, 3, 2, 0, 0, 1)) >= t.threshold > t.score((2, 3, 2, 0, 0, 0))
     df = spark.createDataFrame([(None, None, 1), (2, "a@b.co", 1), (2, "a@b.co", 1)], "doc_id long, text string, kind int")
     assert sorted((x.doc_id or 0, len(x.pii)) for x in find(df).collect()) == [(0, 0), (2, 1), (2, 1)]
     assert find(df.limit(0)).collect() == []
