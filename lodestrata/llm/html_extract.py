@@ -3,8 +3,10 @@
 A page is cut into blocks of text between block-level tags. Each has features of its ancestors' tags and class
 names and of its text; a field of two labels scores the sequence, and Viterbi decoding picks the article's
 blocks. The field is trained on a bounded sample of the pages, labelled by their structure (article or main,
-without menus and the like), and on copies of those pages whose article stands in a plain division and that
-carry further parts: side bars, notices, forms, comments.
+without menus and the like) or, where a page has neither element, by density: text of few links that no other page of
+the sample repeats, in the container with most of it. Further training pages are copies of those whose article
+stands in other frames and that carry more parts around and within it: side bars, notices, forms, comments. No
+feature says what the labels' rule says: the field weighs single tags, words of class names, and the text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.text import pieces
 from lodestrata.shipping import ship
 
-SAMPLE = 200  #: pages that the field is trained on at most
+SAMPLE, PAGE_BYTES = 200, 1 << 18  #: pages that the field is trained on at most, and the bytes of such a page
 STEPS, RATE, SHRINK = 200, 0.1, 1e-3
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -87,15 +89,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(b: Block, k: int, n: int) -> list[str]:
+    """Of the ancestors' tags and names, and of the text."""
     size, words = len(b.text), b.text.split(" ", 40)
-    out = ["*", f"leaf={b.path[-1] if b.path else ''}", f"size={min(size.bit_length(), 9)}", f"words={min(len(words).bit_length(), 6)}", f"links={4 * b.links // size}", f"place={4 * k // n}", f"last={k == n - 1}", f"stop={b.text[-1] in '.!?:'}"]
+    out = ["*", f"leaf={b.path[-1] if b.path else ''}", f"size={min(size.bit_length(), 9)}", f"words={min(len(words).bit_length(), 6)}", f"links={4 * b.links // size}", f"place={4 * k // n}", f"last={k == n - 1}", f"stop={b.text[-1] in '.!?:'}", f"commas={min(b.text.count(','), 3)}"]
     out += [f"in={t}" for t in set(b.path)]
     out += [f"name={x}" for n_ in b.names for x in set(re.findall(r"[a-z]+", n_))]
-    if any(t in OUT for t in b.path):
-        out.append("outer")
-    if any(BAD.search(n_) for n_ in b.names):
-        out.append("bad")
-    if b.text[0] == "©":
+    if b.text[0] in "©(" and size < 80:
         out.append("right")
     return out
 
@@ -108,31 +107,76 @@ def structural_labels(page: list[Block]) -> list[int] | None:
     return [label(b) for b in page]
 
 
+def density_labels(page: list[Block], common: set[str]) -> list[int]:
+    """For a page without article or main: 1 for text of few links, said on no other page of the sample, in the
+    container that holds most of such text."""
+    inner = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tbody thead tr td th figure figcaption dl dt dd".split())
+
+    def container(b: Block) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        path = list(b.path)
+        while path and path[-1] in inner:
+            path.pop()
+        return tuple(path), b.names
+
+    able = [not any(t in OUT for t in b.path) and not any(BAD.search(n) for n in b.names) and 2 * b.links < len(b.text) and b.text not in common for b in page]
+    held: dict[tuple, int] = {}
+    for b, y in zip(page, able, strict=True):
+        if y:
+            held[container(b)] = held.get(container(b), 0) + len(b.text)
+    best = max(held, key=lambda c: (held[c], c), default=None)
+    inside = lambda c: c[0][: len(best[0])] == best[0] and c[1][: len(best[1])] == best[1]
+    return [int(y and inside(container(b))) for b, y in zip(page, able, strict=True)]
+
+
+#: Names that parts of a page go by, for the copies in other frames: (tags, names, words, whether linked).
+PARTS = (
+    (("header",), ("site header", "masthead", "banner", "top header"), 4, False),
+    (("div",), ("cookie notice", "consent", "cookies", "alert notice", "notices"), 18, False),
+    (("div",), ("menu", "nav", "navigation menu", "breadcrumb", "breadcrumbs", "navbar"), 4, True),
+    (("div",), ("advert", "ad", "ads", "sponsor", "sponsored", "promo", "advertisement"), 9, False),
+    (("div",), ("popup modal", "newsletter", "subscribe", "share social", "widget"), 10, False),
+    (("aside", "p"), ("sidebar", "side", "aside", "widget"), 25, False),
+    (("div", "p"), ("sidebar", "side widget", "related"), 25, False),
+    (("form", "div"), ("newsletter form", "login", "search form", ""), 6, False),
+    (("section", "div", "p"), ("comments comment", "replies", "respond comment", "comment body"), 30, False),
+    (("div", "p"), ("comments", "comment", "replies", "comment text"), 24, False),
+    (("div", "ul", "li"), ("related links", "related", "share", "footer menu"), 5, True),
+    (("div",), ("footer", "foot", "copyright footer", "site footer"), 7, False),
+)
+LEAVES = (("h2",), ("h3",), ("ul", "li"), ("table", "tr", "td"), ("table", "tr", "td", "table", "tr", "td"), ("blockquote",), ("div",), ("pre",))
+CONTENT = ("content", "post", "entry content", "main text", "story body", "page content", "article body")
+
+
 def variants(page: list[Block], labels: list[int], seed: int) -> list[tuple[list[Block], list[int]]]:
-    """The page and two copies of it in other frames, with parts that it lacks made of its own words."""
+    """The page and three copies of it in other frames, with parts that it lacks made of its own words: around the
+    article, and between its paragraphs."""
     r = np.random.default_rng(seed)
     words = " ".join(b.text for b in page).split()
-    some = lambda n: " ".join(words[i] for i in r.integers(0, len(words), n))
-    noise = [
-        Block(("html", "body", "header"), ("site header",), some(4), 0),
-        Block(("html", "body", "div"), ("cookie notice",), some(18), 0),
-        Block(("html", "body", "aside", "p"), ("sidebar",), some(25), 0),
-        Block(("html", "body", "form", "div"), ("newsletter form",), some(6), 0),
-        Block(("html", "body", "section", "div", "p"), ("comments", "comment"), some(30), 0),
-        Block(("html", "body", "div", "p"), ("comments",), some(12), 0),
-        Block(("html", "body", "div", "ul", "li"), ("related links",), some(5), 20),
-        Block(("html", "body", "div", "div"), ("menu",), some(3), 10),
-        Block(("html", "body", "div"), ("advert",), some(9), 0),
-    ]
+    if not words:
+        return []
+
+    def part(head: tuple[str, ...]) -> tuple[Block, int]:
+        tags, names, n, linked = PARTS[r.integers(len(PARTS))]
+        text = " ".join(words[i] for i in r.integers(0, len(words), r.integers(max(1, n // 3), 2 * n))).rstrip(".") + ("." if r.random() < 0.6 and not linked else "")
+        return Block((*head, *tags), tuple(x for x in (names[r.integers(len(names))],) if x), text, len(text) if linked else 0), 0
+
     out = [(page, labels)]
-    for frame in (("main",), ("div", "div")):
-        moved = [Block(tuple(t for p in b.path for t in (frame if p in ("article", "main") else (p,))), (*b.names, *(("content",) if len(frame) > 1 else ())) if y else b.names, b.text, b.links) for b, y in zip(page, labels, strict=True)]
-        seq = list(zip(moved, labels, strict=True))
-        first = next((k for k, (_, y) in enumerate(seq) if y), len(seq))
-        last = max((k for k, (_, y) in enumerate(seq) if y), default=len(seq) - 1) + 1
-        before, after = [(noise[k], 0) for k in (0, 1, 7, 8)], [(noise[k], 0) for k in (2, 3, 4, 5, 6)]
-        r.shuffle(before)
-        seq = seq[:first] + before[: r.integers(1, 5)] + seq[first:last] + after[: r.integers(1, 6)] + seq[last:]
+    for frame in (("main",), ("div", "div"), ("div",)):
+        own = () if frame == ("main",) else (CONTENT[r.integers(len(CONTENT))],)
+        moved = [(Block(tuple(t for p in b.path for t in (frame if p in ("article", "main") else (p,))), (*own, *b.names) if y else b.names, b.text, b.links), y) for b, y in zip(page, labels, strict=True)]
+        first = next((k for k, (_, y) in enumerate(moved) if y), len(moved))
+        last = max((k for k, (_, y) in enumerate(moved) if y), default=len(moved) - 1) + 1
+        some = lambda head, most: [part(head) for _ in range(r.integers(0, most))]
+        body = []
+        for b, y in moved[first:last]:
+            if y and b.path[-1:] == ("p",) and r.random() < 0.3:  # a heading, an item or a cell in place of a paragraph
+                short = " ".join(b.text.split()[: r.integers(1, 8)])
+                b = Block((*b.path[:-1], *LEAVES[r.integers(len(LEAVES))]), b.names, short if r.random() < 0.7 else b.text, 0)
+            body.append((b, y))
+            if r.random() < 0.15:
+                inside = part(("html", "body", *frame))
+                body.append((Block(inside[0].path, (*own, *inside[0].names), inside[0].text, inside[0].links), 0))
+        seq = moved[:first] + some(("html", "body"), 5) + body + some(("html", "body", *(frame if r.random() < 0.5 else ())), 6) + moved[last:]
         out.append(([b for b, _ in seq], [y for _, y in seq]))
     return out
 
@@ -152,9 +196,8 @@ class Field:
         if not longest:
             return cls({}, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
         at = np.array([(i, k) for i, p in enumerate(rows) for k in range(len(p))])
-        x = np.zeros((len(at), len(names)))
-        for j, (i, k) in enumerate(at):
-            x[j, rows[i][k]] = 1
+        each = [np.unique(rows[i][k]) for i, k in at]
+        block, feature = np.repeat(np.arange(len(at)), [len(e) for e in each]), np.concatenate(each)  # the ones of a sparse matrix
         y = np.array([v for _, labels in pages for v in labels])
         size = np.array([len(p) for p, _ in pages])
         live = np.arange(longest)[:, None] < size  # by place, then page
@@ -168,7 +211,7 @@ class Field:
         moments = [[np.zeros_like(a), np.zeros_like(a)] for a in (w, t, f)]
         for step in range(1, STEPS + 1):
             score = np.zeros((longest, len(pages), 2))
-            score[at[:, 1], at[:, 0], 1] = x @ w
+            score[at[:, 1], at[:, 0], 1] = np.bincount(block, w[feature], len(at))
             alpha, beta = np.zeros_like(score), np.zeros_like(score)
             alpha[0] = score[0] + f
             for k in range(1, longest):
@@ -184,7 +227,7 @@ class Field:
             for k in range(1, longest):
                 joint = np.exp(alpha[k - 1][:, :, None] + t + (score[k] + beta[k])[:, None, :] - z[:, None, None])
                 expected += joint[live[k]].sum(0)
-            grads = (x.T @ (y - p[at[:, 1], at[:, 0], 1]), pairs - expected, heads - p[0][live[0]].sum(0))
+            grads = (np.bincount(feature, (y - p[at[:, 1], at[:, 0], 1])[block], len(names)), pairs - expected, heads - p[0][live[0]].sum(0))
             for a, g, m in zip((w, t, f), grads, moments, strict=True):
                 g = g / len(y) - SHRINK * a / 10
                 m[0] = 0.9 * m[0] + 0.1 * g
@@ -213,18 +256,27 @@ class Field:
         return out[::-1]
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field of `sample` pages at most: those with the least hash of their page_id."""
-    usable = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+def train(pages: DataFrame, sample: int = SAMPLE, page_bytes: int = PAGE_BYTES) -> Field:
+    """The field of `sample` pages at most, of page_bytes at most: those with the least hash of their page_id."""
+    usable = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= page_bytes)
     chosen = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()  # ids alone go to the driver from each task
     ids = [x.page_id for x in chosen]
     rows = usable.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect() if ids else []
+    return fitted([x.html for x in rows])
+
+
+def fitted(sample: list[str]) -> Field:
+    """The field of some pages: labelled by their structure where they have one, else by density."""
+    parsed = [blocks(x) for x in sample]
+    said: dict[str, int] = {}
+    for page in parsed:
+        for text in {b.text for b in page}:
+            said[text] = said.get(text, 0) + 1
+    common = {text for text, n in said.items() if n > 1}
     labelled = []
-    for k, x in enumerate(rows):
-        page = blocks(x.html)[:300]
+    for k, page in enumerate(parsed):
         labels = structural_labels(page)
-        if labels:
-            labelled += variants(page, labels, k)
+        labelled += variants(page, density_labels(page, common) if labels is None else labels, k)
     return Field.trained(labelled)
 
 

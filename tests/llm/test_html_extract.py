@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lodestrata.llm.html_extract import Block, Field, blocks, extract, features, structural_labels, train, variants
+from lodestrata.llm.html_extract import Block, Field, blocks, extract, features, fitted, structural_labels, train, variants
 
 
 def test_blocks():
@@ -59,3 +59,39 @@ def test_table(spark):
         p = blocks(page)
         assert by[url] == "\n".join(b.text for b, y in zip(p, structural_labels(p), strict=True) if y)
     assert by[None] == "" and extract(df.limit(0)).collect() == []
+
+
+A, B_, C_ = ("Rivers carry sand to the sea, where tides sort it by size.", "Coarse grains stay near the shore, fine ones drift out further.", "Over years, this builds the long bars that shelter the coast.")
+#: Frames labelled by hand: (page, the article's blocks).
+FRAMES = [
+    (f'<body><div class="masthead">The Daily Coast</div><div class="menu"><a href="/">Home</a> <a href="/n">News</a></div><div class="content"><h1>How sand moves</h1><p>{A}</p><p>{B_}</p><p>{C_}</p></div><div class="sidebar"><p>Weather today: rain, and wind from the west all day.</p></div><div class="footer">© 2020 The Daily Coast</div></body>', ["How sand moves", A, B_, C_]),
+    (f'<body><article><h1>How sand moves</h1><p>{A}</p><p>{B_}</p><section class="comments"><div class="comment"><p>Nice read, I have seen this at our beach many times.</p></div><div class="comment"><p>Not so sure about the second point, to be honest.</p></div></section></article></body>', ["How sand moves", A, B_]),
+    (f'<body><main><h2>Sand</h2><p>{A}</p><div class="cookie notice">We use cookies to make this site better, accept them all?</div><p>{B_}</p><div class="advert">Buy one shovel and get another one free.</div><p>{C_}</p></main><footer>Imprint</footer></body>', ["Sand", A, B_, C_]),
+    (f'<body><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><article><h1>Grain sizes</h1><p>{A}</p><table><tr><td>Coarse <table><tr><td>2 mm</td></tr></table></td><td>Shore.</td></tr></table><p>{B_}</p></article></body>', ["Grain sizes", A, "Coarse", "2 mm", "Shore.", B_]),
+    (f"<body><article><h1>Sand<p>{A}<p>{B_}<p><b>{C_}</article><footer>About us", ["Sand", A, B_, C_]),
+    (f'<body><header><h1>Site</h1></header><div class="post"><h2>Sand</h2><p>{A}</p><ul><li>Coarse grains.</li><li>Fine grains.</li></ul><p>{B_}</p></div><form class="newsletter"><div>Subscribe to our letter</div></form><aside><p>Popular this week: ten beaches you have to see.</p></aside></body>', ["Sand", A, "Coarse grains.", "Fine grains.", B_]),
+    (f'<body><div><div class="story body"><h1>Sand</h1><p>{A}</p><p>{B_}</p></div><div class="related"><ul><li><a href="/1">Dunes of the north</a></li><li><a href="/2">Cliffs of the south</a></li></ul></div></div></body>', ["Sand", A, B_]),
+]
+
+
+def article(field, page):
+    p = blocks(page)
+    return [b.text for b, y in zip(p, field.decode(p), strict=True) if y]
+
+
+def overlap(got, want):
+    return 2 * sum(min(got.count(x), want.count(x)) for x in set(want)) / (len(got) + len(want))
+
+
+def test_frames_labelled_by_hand():
+    field = fitted([page for _, _, page in pages(60, 1)])
+    scores = [overlap(article(field, page), want) for page, want in FRAMES]
+    assert sum(scores) / len(scores) >= 0.95 and min(scores) >= 0.85, scores
+
+
+def test_pages_without_article_anywhere_have_text():
+    plain = [f'<html><body><div class="menu"><a href="/">Home</a></div><p>{A} {k}</p><p>{B_} {k}</p><div>Copyright of the site</div></body></html>' for k in range(12)]
+    field = fitted(plain)
+    for k, page in enumerate(plain):
+        assert article(field, page) == [f"{A} {k}", f"{B_} {k}"]
+    assert fitted([]).decode(blocks(plain[0])) == [0] * 4 and fitted(["", "<p>"]).decode([]) == []
