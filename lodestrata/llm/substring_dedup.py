@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.postings import repeated
-from lodestrata.llm.storage import stored
-from lodestrata.llm.text import chunks, pieces, texts_of, window_hashes
+from lodestrata.llm.text import chunks, has_repeated_ids, numbered, pieces, texts_of, window_hashes
+from lodestrata.tables import stored
 
 WINDOW, PERIOD, COVER = 35, 21, (3, 6, 7, 12, 14)
 BUCKET_WORDS = 100_000  #: words of the corpus for each bucket
@@ -102,19 +102,28 @@ def remove_repeated_passages(documents: DataFrame, *, window: int = WINDOW, peri
     all words of the text stay).
 
     A word goes if a window of `window` words that covers it has a word sequence that starts anywhere else too, in
-    the same text or another; windows are judged on the input. Null and empty texts have no words; texts under
+    the same text or another; windows are judged on the input. Sameness is that of 96 bits of hash and more. Null and empty texts have no words; texts under
     `window` words lose none; a row that repeats another, doc_id and all, is a copy of it like any other, and both
     give a row; rows without doc_id are left out; other columns are ignored; an empty table gives no rows.
     """
     if not is_cover(period, cover) or window < period:
         raise ValueError("cover must have every difference modulo period, and window be period at least")
     texts = texts_of(documents)
+    if not has_repeated_ids(texts):
+        return _removed(texts, window, period, cover)
+    rows = numbered(texts, "op1-rows")
+    out = _removed(rows.select(F.col("row").alias("doc_id"), "text"), window, period, cover).withColumnRenamed("doc_id", "row")
+    return out.join(rows.select("row", "doc_id").hint("merge"), "row").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+
+
+def _removed(texts: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """remove_repeated_passages of rows with different doc_ids."""
     whole = stored(texts.mapInArrow(_whole, "doc_id long, n_words long, sha256 string"), "op1-whole")
     buckets = bucket_count(whole.agg(F.sum("n_words")).first()[0] or 0)
     # Copies of one word sequence lose all their words; the first stands for them from here on.
     same = stored(whole.where(F.col("n_words") >= window).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "op1-same").select("doc_id", "copies")
     hits = repeated(texts, _anchors(window, period, cover), buckets).groupBy("doc_id").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
-    held = stored(texts.join(stored(hits.join(same, "doc_id"), "op1-hits").hint("merge"), "doc_id"), "op1-held")
+    held = stored(texts.join(stored(hits.hint("merge").join(same, "doc_id"), "op1-hits").hint("merge"), "doc_id"), "op1-held")
     found = repeated(held, _windows(window, period), buckets, width=8, second=True).groupBy("doc_id").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
     cut = stored(held.select("doc_id", "text").join(found.hint("merge"), "doc_id").mapInArrow(_removal(window), "doc_id long, n_removed long, kept string").dropDuplicates(["doc_id"]), "op1-cut")
     copies = whole.where(F.col("n_words") >= window).join(stored(whole.where(F.col("n_words") >= window).groupBy("sha256").agg(F.count("*").alias("copies")).where("copies > 1"), "op1-copies").hint("merge"), "sha256").select("doc_id", F.lit(True).alias("copied")).distinct()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.shipping import ship
+from lodestrata.tables import stored
 
 CHUNK_BYTES = 1 << 20
 
@@ -143,3 +144,13 @@ def texts_of(documents: DataFrame) -> DataFrame:
     """doc_id as long and text alone; a row without doc_id can't be named in a result and is left out."""
     ship(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+
+
+def has_repeated_ids(texts: DataFrame) -> bool:
+    """Whether two rows have one doc_id; reads that column alone."""
+    return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def numbered(texts: DataFrame, name: str) -> DataFrame:
+    """texts, written with a number of its own for each row: for tables in which a doc_id has several texts."""
+    return stored(texts.withColumn("row", F.monotonically_increasing_id()), name)

@@ -53,3 +53,9 @@ def test_hot_passage_and_empty_table(spark):
     assert run(spark, rows) == brute(rows, 35)
     assert run(spark, []) == []
     assert run(spark, [(None, "a")]) == []
+
+
+def test_two_texts_under_one_id(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, f"a {shared}"), (1, f"b {shared} c d"), (2, f"x {shared}"), (2, f"x {shared}"), (3, "short")]
+    assert run(spark, rows) == brute(rows, 35)
