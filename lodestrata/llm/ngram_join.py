@@ -9,12 +9,14 @@ Equal sets are one class, of which the smallest doc_id stands for all. Pairs com
 documents' prefixes (as long as a pair at the threshold must share one), if sizes and the place in the order
 leave room for the threshold. Not all pairs of an n-gram are made: in each of a few rounds the first document of
 an n-gram's list is compared with one document of each other component there; what is left after those rounds
-is compared in full where components still differ, which loses no link between components.
+is compared in full where components still differ, smaller sets by fewer of their n-grams, which loses no link between
+components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
 from lodestrata.llm.postings import repeated
-from lodestrata.llm.storage import stored
-from lodestrata.llm.text import LOWER, Chunk, chunks, mix, texts_of, window_hashes
+from lodestrata.llm.text import LOWER, Chunk, chunks, has_repeated_ids, mix, numbered, texts_of, window_hashes
+from lodestrata.tables import stored
 
 SIZE, PERCENT, ROUNDS = 4, 85, 2
 BUCKET_WORDS = 100_000
@@ -76,6 +78,22 @@ def _room(percent: int):
     return F.col("doc_id").eqNullSafe(F.col("other")) == F.lit(False), (100 + percent) * most >= percent * (F.col("n") + F.col("other_n"))
 
 
+def _last_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents that share an n-gram and whose components differ.
+
+    The smaller set of a pair at the threshold has a common n-gram among fewer of its first ones than the larger: the
+    overlap is at least 2 * percent / (100 + percent) of the smaller. That bound and the sizes' level, by steps of
+    100 / percent, are part of what is joined: an n-gram late in the order of many sets (a licence line in otherwise
+    different texts) makes no pairs.
+    """
+    level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    rows = stored(rows.select("gram", "doc_id", "n", "pos", "component", level.alias("level")), "op4-left")
+    short = rows.where((100 + percent) * (F.col("n") - F.col("pos") + 1) >= 2 * percent * F.col("n"))
+    long = rows.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.explode(F.array("level", F.col("level") - 1)).alias("level"))
+    met = short.hint("merge").join(long, ["gram", "level"])
+    return met.where("component <> other_component and (n < other_n or n = other_n and doc_id < other)")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those at the threshold: overlaps by fragment, then their sum."""
     pairs = stored(pairs, "op4-pairs")
@@ -96,6 +114,18 @@ def similar_sets(documents: DataFrame, *, size: int = SIZE, percent: int = PERCE
     doc_id are left out; other columns are ignored; an empty table gives no rows.
     """
     texts = texts_of(documents)
+    if not has_repeated_ids(texts):
+        return _similar(texts, size, percent, rounds)
+    rows = numbered(texts, "op4-rows")
+    own = stored(_similar(rows.select(F.col("row").alias("doc_id"), "text"), size, percent, rounds).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id").hint("merge"), "row"), "op4-own")
+    for name in ("class_id", "component_id"):
+        least = stored(own.groupBy(name).agg(F.min("doc_id").alias("least")), f"op4-{name}")
+        own = own.join(least.hint("merge"), name).drop(name).withColumnRenamed("least", name)
+    return own.select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def _similar(texts: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+    """similar_sets of rows with different doc_ids."""
     summary = stored(texts.mapInArrow(_summary(size), "doc_id long, n long, digest string"), "op4-sets")
     classes = stored(summary.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("class_id")), "op4-classes")
     buckets = max(1024, -(-(summary.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
@@ -126,9 +156,7 @@ def similar_sets(documents: DataFrame, *, size: int = SIZE, percent: int = PERCE
             best = rows.where("component <> h.component").groupBy("gram", "component").agg(F.min(F.struct("pos", "doc_id", "n")).alias("m"), F.min("h").alias("h"))
             pairs = best.select("m.*", F.col("h.doc_id").alias("other"), F.col("h.n").alias("other_n"), F.col("h.pos").alias("other_pos"))
         else:
-            left = stored(rows.select("gram", "doc_id", "n", "pos", "component"), "op4-left")
-            right = left.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
-            pairs = left.hint("merge").join(right, "gram").where("doc_id < other and component <> other_component")
+            pairs = _last_pairs(rows, percent)
         pairs = pairs.where(differ & room).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
         found = _linked(pairs, segments, percent)
         links = found if links is None else links.unionByName(found)

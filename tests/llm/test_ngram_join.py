@@ -4,7 +4,7 @@ import re
 import pytest
 
 from lodestrata.llm.components import components
-from lodestrata.llm.ngram_join import similar_sets
+from lodestrata.llm.ngram_join import _last_pairs, similar_sets
 
 
 def gram_set(text, size=4):
@@ -67,3 +67,19 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 300)] + [(900, 901), (7, 7)], "a long, b long")
     got = dict(tuple(x) for x in components(links).collect())
     assert got == {k: 0 for k in range(301)} | {900: 900, 901: 900}
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(7, a), (7, b), (9, a + " z"), (3, b + " z"), (4, "c")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 28, 3), (4, 1, 4), (7, 27, 3), (7, 27, 7), (9, 28, 7)]
+
+
+def test_a_licence_line_makes_no_pairs(spark):
+    """Documents of 60 n-grams, 50 of them in all: their n-grams of their own come first, and the line isn't reached."""
+    rows = [(f"line{g}", d, 60, 11 + g, d) for d in range(400) for g in range(50)]
+    df = spark.createDataFrame(rows, "gram string, doc_id long, n long, pos long, component long")
+    assert _last_pairs(df, 85).count() == 0
+    near = spark.createDataFrame([("x", d, 60 + d, 4, d) for d in range(8)] + [("x", 100, 30, 1, 100)], "gram string, doc_id long, n long, pos long, component long")
+    assert sorted((x.doc_id, x.other) for x in _last_pairs(near, 85).collect()) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
