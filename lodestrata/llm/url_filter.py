@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_RULES = 200_000  #: a longer list of rules is joined by shuffle
+BROADCAST_RULES, LITERALS = 200_000, 2_000  #: a list of more rules is joined by shuffle; one of more is local data, not constants
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,23 @@ def word_rule(*words: str) -> Rule:
     return Rule(" ".join(words), "block", rf"(?:^|[^a-z0-9]){inner}(?:[^a-z0-9]|$)", words, "url")
 
 
-PATTERNS = tuple(word_rule(*w) for w in (("casino",), ("poker",), ("viagra",), ("porn",), ("xxx",), ("warez",), ("free", "download"), ("win", "prize")))
+#: Words of hosts and paths that stand for gambling, adult content, pharmacy spam, piracy and lures.
+WORDS = """
+casino; poker; roulette; slots; jackpot; sportsbook; bets; betting; bingo; lottery; gambling
+porn; xxx; sex; nude; escort; camgirls; hentai
+viagra; cialis; pills; pharmacy online; cheap meds; steroids
+warez; torrent; keygen; crack download; cracked; free download; mp3 download
+win prize; free gift; free money; get rich; payday loan; work from home; click here; hot deals; replica watches
+"""
+PATTERNS = tuple(word_rule(*words.split()) for line in WORDS.strip().split("\n") for words in line.split("; "))
+
+
+def rules_of(table: DataFrame, most: int = BROADCAST_RULES) -> tuple[Rule, ...]:
+    """Word rules from a table with a column `words`: tokens of [a-z0-9], separated by spaces; `most` rows at most, else an error."""
+    rows = table.select(F.lower(F.trim("words")).alias("words")).where("words rlike '^[a-z0-9]+( [a-z0-9]+)*$'").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(word_rule(*x.words.split()) for x in sorted(rows))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,10 +70,17 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "[^a-z0-9]+"), lambda x: x != ""))
 
 
+def _table(spark, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A list of rules as a table: constants, without Python workers; a list too long for that as local data."""
+    if len(rows) > LITERALS:
+        return spark.createDataFrame(rows, list(names))
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in rows])))
+
+
 def index(rows: DataFrame, rules: tuple[Rule, ...]) -> list[tuple[str, Rule]]:
     """(token, rule): each rule under the token of it that fewest of the rows' URLs hold."""
     known = sorted({t for r in rules for t in r.tokens})
-    table = rows.sparkSession.createDataFrame([(t,) for t in known], "token string")
+    table = _table(rows.sparkSession, [(t,) for t in known], ("token",))
     table = F.broadcast(table) if len(known) <= BROADCAST_RULES else table.hint("merge")
     counts = {t: n for t, n in rows.select(F.explode("tokens").alias("token")).join(table, "token").groupBy("token").count().collect()}  # a row for each token of the rules
     return [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r) for r in rules]
@@ -68,14 +91,15 @@ def judge_urls(pages: DataFrame, *, places: tuple[Rule, ...] = PLACES, patterns:
 
     The place rule with the longest name that fits gives rule and verdict; without one, rule is null and the
     verdict is block if a pattern fits (pattern: the first by name), else allow. A null URL, or one without ://, has empty host
-    and path; page_id may be null; repeated rows each give one; an empty table gives no rows.
+    and path; page_id may be null; repeated rows each give one; other columns are ignored; an empty table gives no rows;
+    a URL of any length is judged whole.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.translate(F.coalesce(F.col("url").cast("string"), F.lit("")), UPPER, LOWER).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"place": F.concat("host", "path"), "row": F.monotonically_increasing_id()}).withColumn("tokens", tokens(F.concat_ws(" ", "url", F.translate("place", UPPER, LOWER))))
     filed = [(t, r.name, r.verdict, r.regex, r.on, r.on == "place") for t, r in index(rows, (*places, *patterns))]
-    rules = spark.createDataFrame(filed, "token string, name string, rule_verdict string, regex string, over string, is_place boolean")
+    rules = _table(spark, filed, ("token", "name", "rule_verdict", "regex", "over", "is_place"))
     rules = F.broadcast(rules) if len(filed) <= BROADCAST_RULES else rules.hint("merge")
     over = F.when(F.col("over") == "url", F.col("url")).otherwise(F.col("place"))
     fits = rows.select("page_id", "row", "host", "path", "url", "place", F.explode_outer("tokens").alias("token")).join(rules, "token", "left")
