@@ -4,7 +4,7 @@ An archive is a folder with two Parquet tables: `payloads` (sha256, payload) hol
 `headers` (sha256, header) the exact header of every record, response or revisit. A payload's bytes come from
 the row with the least page_id, found by a partial aggregate, so a payload of a third of all pages is neither
 gathered nor moved. Writing compares length and SHA-1 of all rows with one SHA-256 and fails if they differ;
-reading computes the digests of the stored bytes again.
+reading rebuilds the records and computes the digests of the payloads cut out of them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.storage import new_path
+from lodestrata.tables import new_path, stored
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  #: fixed value: base32
 DATE = "1970-01-01T00:00:00Z"  #: pages carry no date
@@ -75,20 +75,32 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload and the record's original bytes (a revisit has no payload of its own)."""
+    """page_id, url, record_type, payload_digest, refers_to, sha256 and record: each record's original bytes, rebuilt from
+    its header and, for a response, the stored payload. A revisit has no block and is not joined."""
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    both = read_headers(spark, path).join(payloads.hint("merge"), "sha256")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return both.select("page_id", "url", "record_type", "refers_to", "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    headers = read_headers(spark, path)
+    whole = headers.where("record_type = 'response'").join(payloads.hint("merge"), "sha256")
+    plain = headers.where("record_type <> 'response'").withColumn("payload", F.lit(b""))
+    return whole.unionByName(plain).select("page_id", "url", "record_type", "payload_digest", "refers_to", "sha256", F.concat(F.encode("header", "UTF-8"), "payload", F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def block_of(record: Column) -> Column:
+    """The bytes behind a record's header, as many as its Content-Length says."""
+    head = F.instr(F.decode(record, "ISO-8859-1"), "\r\n\r\n")  # one character a byte
+    size = F.regexp_extract(F.decode(F.substring(record, F.lit(1), head), "UTF-8"), r"\r\nContent-Length: ([0-9]+)", 1).cast("int")
+    return F.substring(record, head + 4, size)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: headers joined with the digests of the stored bytes."""
-    payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    sound = payloads.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("stored_digest"), (F.sha2("payload", 256) == F.col("sha256")).alias("sound"))
-    both = read_headers(spark, path).select("sha256", "page_id", "payload_digest", "record_type", "refers_to").join(sound.hint("merge"), "sha256")
-    wrong = ~F.col("sound") | (F.col("payload_digest") != F.col("stored_digest"))
-    digest = F.when(wrong, F.raise_error(F.lit("a stored payload doesn't have its digest"))).otherwise(F.col("stored_digest"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record: size and digest are those of the
+    payload cut out of the rebuilt response, which a revisit shares with the record that it refers to."""
+    records = read_records(spark, path).withColumn("block", F.when(F.col("record_type") == "response", block_of(F.col("record"))))
+    kinds = records.select("page_id", "sha256", "payload_digest", "record_type", "refers_to", F.octet_length("block").cast("long").alias("payload_bytes"), base32(F.sha1("block")).alias("own"), F.sha2("block", 256).alias("own_sha256"))
+    kinds = stored(kinds, "op8-records")
+    sound = kinds.where("record_type = 'response'").groupBy("sha256").agg(F.min("payload_bytes").alias("payload_bytes"), F.min("own").alias("own"), F.min(F.col("own_sha256") == F.col("sha256")).alias("sound"))
+    both = kinds.select("sha256", "page_id", "payload_digest", "record_type", "refers_to").join(stored(sound, "op8-sound").hint("merge"), "sha256", "left")
+    wrong = ~F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("own")), F.lit(False))
+    digest = F.when(wrong, F.raise_error(F.lit("a rebuilt payload doesn't have its digest"))).otherwise(F.col("own"))
     return both.select("page_id", "payload_bytes", digest.cast("string").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -46,7 +46,7 @@ def test_archive_round_trip(spark, tmp_path):
             want.append((p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if p == first else "revisit", None if p == first else first))
     assert got == sorted(want, key=lambda x: x[:3])
     records = {x.page_id: x for x in warc.read_records(spark, str(tmp_path / "a")).collect()}
-    assert bytes(records[3].payload) == b"one" and bytes(records[1].record).endswith(b"Content-Length: 3\r\n\r\none\r\n\r\n")
+    assert bytes(records[1].record).endswith(b"Content-Length: 3\r\n\r\none\r\n\r\n")
     assert bytes(records[3].record).count(b"\r\n\r\n") == 2 and records[3].url == "http://a/%20b%0D%0AX:%20y"
     assert len({bytes(x.record) for x in records.values()}) == len(records)
     small = str(tmp_path / "b")
@@ -56,6 +56,34 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_digests(spark, str(tmp_path / "c")).collect() == []
 
 
+def test_records_parse_as_warc(spark, tmp_path):
+    """The bytes of all records, one after the other, read by the format's own rules."""
+    pages = [(k, f"http://h/{k}", t) for k, t in enumerate(["one", "two\r\n\r\n", "one", "", "é\n"])]
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "a"))
+    data = b"".join(bytes(x.record) for x in warc.read_records(spark, str(tmp_path / "a")).orderBy("page_id").collect())
+    got = []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        first, *fields = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in fields)
+        size = int(fields["Content-Length"])
+        assert first == "WARC/1.0" and data[size : size + 4] == b"\r\n\r\n"
+        got.append((fields["WARC-Type"], fields["WARC-Target-URI"], data[:size].decode(), fields.get("WARC-Refers-To")))
+        data = data[size + 4 :]
+    assert got == [("response", "http://h/0", "one", None), ("response", "http://h/1", "two\r\n\r\n", None), ("revisit", "http://h/2", "", "<urn:x-page:0>"), ("response", "http://h/3", "", None), ("response", "http://h/4", "é\n", None)]
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("Fly Fishing ",), ("carp",), ("carp",), (None,), ("a.b",)], "words string")
+    rules = url_filter.rules_of(table)
+    assert [r.name for r in rules] == ["carp", "fly fishing"]
+    df = spark.createDataFrame([(1, "http://x.de/fly-fishing"), (2, "http://x.de/flyfishing"), (3, "http://x.de/" + "a" * 100_000 + "/carp")], "page_id long, url string")
+    want = {1: "fly fishing", 2: None, 3: "carp"}
+    assert {x.page_id: x.pattern for x in url_filter.judge_urls(df, patterns=rules).collect()} == want
+    with pytest.raises(ValueError, match="more than 1"):
+        url_filter.rules_of(table, 1)
+
+
 def test_preferences(spark):
     t = lambda *x: [{"role": r, "text": s} for r, s in x]
     pairs = [(1, t(("user", "q"), ("assistant", "a<|b"), ("user", "é"), ("assistant", "c")), t(("user", "q"), ("assistant", "x"))), (2, t(("user", "q")), t(("user", "q"))), (3, None, t(("assistant", "z"))), (4, t(("user", "q"), ("assistant", "a")), t(("user", "q"), ("assistant", "a"), ("user", "more")))]
