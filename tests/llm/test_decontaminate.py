@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
-from lodestrata.llm.decontaminate import BITS, BLOCKS, RADIUS, judge, near_masks, with_fingerprint
+from pyspark.sql import functions as F
+
+from lodestrata.llm.decontaminate import BITS, BLOCKS, LANE, RADIUS, find_leaks, judge, near_masks, weighted_similarity, with_fingerprint
 
 
 def grams(w, k=5):
@@ -52,6 +54,9 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
     assert sum(map(bool, want.values())) > 40
+    alone = {(x.doc_id, x.item_id) for x in find_leaks(df, bench, complete=False).collect()}  # what the fingerprints find by themselves
+    every = {(d, i) for d, x in want.items() for i in x}
+    assert alone <= every and len(alone) >= 0.9 * len(every)
 
 
 def test_odd_tables(spark):
@@ -68,8 +73,24 @@ def test_index_is_complete_within_the_radius(spark):
     for _ in range(500):
         x = sum(1 << b for b in r.sample(range(BITS), RADIUS))
         assert any(((x >> (k * size)) & ((1 << size) - 1)) in masks for k in range(BLOCKS))
-    hashes = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 300)]
+    hashes = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 300, LANE + 5)]
     rows = with_fingerprint(spark.createDataFrame([(h,) for h in hashes], "h array<bigint>"), "h").collect()
     for x in rows:
         want = sum(1 << b for b in range(64) if 2 * sum((v >> b) & 1 for v in x.h) > len(x.h))
         assert x.fp & (2**64 - 1) == want
+
+
+def test_weighted_similarity(spark):
+    r = random.Random(10)
+    rows = [([r.randrange(k) for _ in range(r.randrange(40))], [r.randrange(k) for _ in range(r.randrange(40))]) for k in (3, 30, 300) for _ in range(30)]
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for x in got:
+        a, b = Counter(x.a), Counter(x.b)
+        assert (x.s.least, x.s.most) == (sum((a & b).values()), sum((a | b).values()))
+
+
+def test_two_texts_under_one_id_and_a_line_said_often(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    docs = [(1, f"x y z {item} q"), (1, "nothing of it " * 20), (2, f"{item}. " * 600), (3, "z " * 50 + item[:60])]
+    got = {(x.doc_id, x.contaminated) for x in judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got == {(1, True), (2, True), (3, False)}
