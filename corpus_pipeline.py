@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages; each works on what the one before it kept.
 
 run(spark, sf_dir) applies STAGES to the table documents, writing and reading Parquet between them. A row without doc_id
-can't be judged and goes with the first stage; null and empty texts fail the quality rules; extra columns are left out.
+can't be judged and goes with the first stage; null and empty texts fail the quality rules; extra columns are left out,
+missing ones of COLUMNS are null; rows of one doc_id with different texts share their fate: they stay in the first stage
+if one of them is kept, the second keeps one row of an id, and a leak in one is a leak in all; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, decontaminate, ngram_join, pii, quality
-from lodestrata.llm.storage import stored
+from lodestrata.tables import stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+SHINGLE, PERCENT = 5, 80  #: words and similarity of near duplicates
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()])
 
 
 def _only(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -26,12 +29,12 @@ def _only(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _only(docs, quality.score(docs).where("kept"), "pipeline-quality")
+    return _only(docs, quality.score(_documents(docs)).where("kept"), "pipeline-quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the least doc_id; repeated rows of it once."""
-    groups = ngram_join.similar_sets(docs).where("component_id = doc_id")
+    """Of each component of documents with a similarity of 0.8 over 5-word shingles, the one with the least doc_id; repeated rows of it once."""
+    groups = ngram_join.similar_sets(docs, size=SHINGLE, percent=PERCENT).where("component_id = doc_id")
     return _only(docs, groups, "pipeline-groups").dropDuplicates(["doc_id"])
 
 
