@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +57,87 @@ def redact_secrets(c: Column) -> Column:
 
 
 def redact_json(payload: Column) -> Column:
-    """A flat JSON object with sensitive keys' values and secrets in the others' text replaced."""
-    fields = F.from_json(payload, "map<string,string>")
-    clean = F.transform_values(fields, lambda k, v: F.when(k.rlike(f"(?i)^{SENSITIVE}$"), F.lit("***")).otherwise(redact_secrets(v)))
-    return F.to_json(clean)
+    """JSON of any depth: what stands under a sensitive key becomes "***" whatever it is, other strings lose their secrets.
+    Keys keep their order; a text that is no JSON is redacted as text; null is null. In Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        key, secret = re.compile(SENSITIVE, re.I), re.compile(SECRET)
+        plain = lambda s: secret.sub(lambda m: f"{m[1]}{m[2]}{m[3]}***", s)
+
+        def clean(v):
+            if isinstance(v, dict):
+                return {k: "***" if key.fullmatch(k) else clean(w) for k, w in v.items()}
+            return [clean(w) for w in v] if isinstance(v, list) else plain(v) if isinstance(v, str) else v
+
+        def one(s):
+            if s is None or s != s:
+                return None
+            try:
+                return json.dumps(clean(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return plain(s)
+
+        return x.map(one)
+
+    return run(payload)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A compact JSON object of the fields by sorted name; nulls are written. The values' own order is that of their types."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def state_hash(fields: dict[str, Column]) -> Column:
+    return sha256_text(canonical_json(fields))
+
+
+def normal_query(c: Column) -> Column:
+    """A search text without case and with single spaces."""
+    return F.lower(collapse(c))
+
+
+def mapping_job_id(*parts: Column) -> Column:
+    return F.left(sha256_text(F.concat_ws("|", *parts)), F.lit(24))
+
+
+def as_list(c: Column) -> Column:
+    """A loose JSON value as a list of trimmed texts: an array's entries, a string or number by itself, null as none; no empty ones."""
+    kind = F.schema_of_variant(c)
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<string>"))
+    one = F.array(F.try_variant_get(c, "$", "string"))
+    found = F.when(c.isNull() | F.is_variant_null(c), F.array().cast("array<string>")).otherwise(F.coalesce(items, one))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def as_text(c: Column) -> Column:
+    """A loose JSON value as one text: the entries of `as_list` with a space between."""
+    return F.array_join(as_list(c), " ")
+
+
+def pick(c: Column, *names: str) -> Column:
+    """The first of a JSON object's values under the names that isn't null or empty."""
+    full = lambda n: F.when(~F.coalesce(F.try_variant_get(c, f"$.{n}", "string"), F.lit("")).isin("", "[]", "{}", "null"), F.try_variant_get(c, f"$.{n}", "variant"))
+    return F.coalesce(*[full(n) for n in names])
+
+
+def narrative(c: Column, fallback: str = "") -> Column:
+    """A model's story from JSON text: a string as it is; an object as paragraphs **name**: value by name, without nulls; a list
+    as bullets, of an object its title or name; the fallback if nothing is left or it is no JSON."""
+    v = F.try_parse_json(c)
+    kind = F.coalesce(F.schema_of_variant(v), F.lit(""))
+    names = F.array_sort(F.json_object_keys(c))
+    value = lambda n: F.call_function("get_json_object", c, F.concat(F.lit("$."), n))
+    fields = F.filter(F.transform(names, lambda n: F.concat(F.lit("**"), n, F.lit("**: "), value(n))), lambda x: x.isNotNull())
+    entries = F.try_variant_get(v, "$", "array<variant>")
+    bullet = lambda x: F.concat(F.lit("- "), F.when(F.schema_of_variant(x).startswith("OBJECT"), F.coalesce(F.try_variant_get(x, "$.title", "string"), F.try_variant_get(x, "$.name", "string"), F.to_json(x))).otherwise(F.try_variant_get(x, "$", "string")))
+    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.array_join(fields, "\n\n")).when(kind.startswith("ARRAY"), F.array_join(F.transform(entries, bullet), "\n"))
+    return F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(fallback)
+
+
+def evidence_setting(fields: Column, provider: Column) -> Column:
+    """The first field of study, else the provider."""
+    return F.coalesce(F.get(fields, F.lit(0)), provider)
 
 
 def content_kind(fulltext: Column, abstract: Column) -> Column:

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import maths
 from lodestrata.tables import stored
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in an order."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    """The first row of each key in an order, by partial aggregates."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def edge_provenance(observed: DataFrame) -> DataFrame:
+    """src, dst, provider, observations: the least provider of each edge and how often it was seen."""
+    return observed.groupBy("src", "dst").agg(F.min("provider").alias("provider"), F.count("*").alias("observations"))
+
+
+def edge_observations(observed: DataFrame, *, src: str | None = None, dst: str | None = None, evidence_type: str | None = None) -> DataFrame:
+    """The observations of edges that have the values asked for, by src, dst, evidence type and provider."""
+    for name, value in (("src", src), ("dst", dst), ("evidence_type", evidence_type)):
+        if value is not None:
+            observed = observed.where(F.col(name) == value)
+    return observed.orderBy("src", "dst", "evidence_type", "provider")
 
 
 def upsert_papers(current: DataFrame, incoming: DataFrame, key: str = "id", sticky: tuple[str, ...] = ("embedding",), flags: tuple[str, ...] = ("integrated",)) -> DataFrame:
@@ -48,30 +65,33 @@ def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def canonicalize(aliases: DataFrame, most: int = 64) -> DataFrame:
+def canonicalize(aliases: DataFrame) -> DataFrame:
     """alias, canonical_id at the end of each chain, by pointer jumping: each round doubles the steps taken.
 
-    Self-aliases are dropped, an alias's first row by canonical id counts, and members of a cycle map to its least id.
+    Self-aliases are dropped, an alias's first row by canonical id counts. Where steps as many as there are aliases lead to no
+    end, they have led into a cycle: its members, and what leads to it, map to its least id.
     """
-    step = aliases.where("alias <> canonical_id").groupBy("alias").agg(F.min("canonical_id").alias("canonical_id"))
-    for _ in range(most):
-        ahead = step.select(F.col("alias").alias("canonical_id"), F.col("canonical_id").alias("further"))
-        joined = step.join(ahead, "canonical_id", "left")
-        moved = joined.select("alias", F.when(F.col("further") == F.col("alias"), F.least("alias", "canonical_id")).otherwise(F.coalesce("further", "canonical_id")).alias("canonical_id"), F.col("further").isNotNull().alias("moved"))
-        moved = stored(moved, "aliases")
-        if moved.where("moved and alias <> canonical_id").isEmpty():
-            return moved.select("alias", "canonical_id")
-        step = moved.select("alias", "canonical_id")
-    return step
+    step = aliases.where("alias <> canonical_id").groupBy("alias").agg(F.min("canonical_id").alias("next")).withColumn("least", F.least("alias", "next"))
+    step = stored(step, "aliases")
+    rows, taken = step.count(), 1
+    while taken < 2 * rows:
+        ahead = step.select(F.col("alias").alias("next"), F.col("next").alias("further"), F.col("least").alias("there"))
+        moved = step.join(ahead, "next", "left").select("alias", F.coalesce("further", "next").alias("next"), F.least("least", "there").alias("least"), F.col("further").isNotNull().alias("moved"))
+        step, taken = stored(moved, "aliases"), 2 * taken
+        if step.where("moved").isEmpty():
+            return step.select("alias", F.col("next").alias("canonical_id"))
+    ring = step.select(F.col("alias").alias("next"), F.col("least").alias("ring"))
+    return step.join(ring, "next", "left").select("alias", F.coalesce("ring", "next").alias("canonical_id"))
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """id, hop: nodes within k steps of the seeds in either direction, each at its least hop."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")))
-    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    edge = seen
+    """id, hop: nodes within k steps of the seeds in either direction, each at its least hop. The two-way edges and each hop's
+    nodes are written once; a hub's edges are split by adaptive execution."""
+    both = stored(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("next"))), "ways")
+    seen = edge = stored(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop")
     for hop in range(1, k + 1):
         edge = edge.join(both, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        edge = stored(edge, "hop")
         seen = seen.unionByName(edge)
     return seen
 
@@ -96,6 +116,8 @@ def coherence(visits: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
         labels = new.select("agent_id", "node", "ordinal", "label")
         if new.where("label <> was").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels still change after {most} rounds")
     first = labels.groupBy("agent_id").agg(F.min_by("label", F.struct("ordinal", "node")).alias("label"), F.count("*").alias("n"))
     reached = labels.groupBy("agent_id", "label").agg(F.count("*").alias("reached"))
     return first.join(reached, ["agent_id", "label"]).select("agent_id", (F.col("reached") / F.col("n")).alias("coherence"))
@@ -110,13 +132,30 @@ def source_distance(papers: DataFrame, edges: DataFrame, seed: str) -> DataFrame
 
 
 def diversity(visits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """agent_id, diversity: 1 less the mean cosine of all pairs of visited vectors, from the sum of unit vectors alone."""
+    """agent_id, diversity: 1 less the mean cosine of all pairs of visited vectors, from the sum of unit vectors alone, one sum
+    for each dimension in one aggregate."""
     unit = F.expr("transform(embedding, x -> cast(x as double) / sqrt(aggregate(embedding, 0D, (s, y) -> s + cast(y as double) * cast(y as double))))")
-    rows = visits.join(vectors.select("id", unit.alias("u")), "id")
-    n = rows.groupBy("agent_id").agg(F.count("*").alias("n"))
-    sums = rows.select("agent_id", F.posexplode("u").alias("k", "x")).groupBy("agent_id", "k").agg(F.sum("x").alias("x")).groupBy("agent_id").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
-    mean = (F.col("square") - F.col("n")) / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1))
-    return n.join(sums, "agent_id").select("agent_id", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean)).alias("diversity"))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = visits.select("agent_id", "id").join(vectors.select("id", unit.alias("u")), "id")
+    sums = rows.groupBy("agent_id").agg(F.count("*").alias("n"), *[F.sum(F.get("u", F.lit(k))).alias(f"x{k}") for k in range(width)])
+    square = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"x{k}") * F.col(f"x{k}"), F.lit(0.0)) for k in range(width)], F.lit(0.0))
+    mean = (square - F.col("n")) / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1))
+    return sums.select("agent_id", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean)).alias("diversity"))
+
+
+def structural(agents: DataFrame, visits: DataFrame, papers: DataFrame, vectors: DataFrame, edges: DataFrame, size: int = 30) -> DataFrame:
+    """agent_id, coverage, diversity, depth, coherence and r, their mean; an agent without visits has zeros. visits: agent_id,
+    node, ordinal."""
+    read = visits.select("agent_id", F.col("node").alias("id"))
+    counts = visits.groupBy("agent_id").agg(F.least(F.lit(1.0), F.count("*") / size).alias("coverage"))
+    depth = read.join(papers.select("id", "citation_count"), "id").groupBy("agent_id").agg(maths.sigmoid(F.log1p(F.avg("citation_count")) / 5).alias("depth"))
+    rows = agents.select("agent_id").join(counts, "agent_id", "left")
+    for part in (diversity(read, vectors), depth, coherence(visits, edges)):
+        rows = rows.join(part, "agent_id", "left")
+    usual = {"coverage": 0.0, "diversity": 1.0, "depth": 0.5, "coherence": 0.0}
+    value = {n: F.when(F.col("coverage").isNull(), 0.0).otherwise(F.coalesce(n, F.lit(x))) for n, x in usual.items()}
+    out = rows.select("agent_id", *[x.alias(n) for n, x in value.items()])
+    return out.withColumn("r", (F.col("coverage") + F.col("diversity") + F.col("depth") + F.col("coherence")) / 4)
 
 
 def search_papers(papers: DataFrame, query: list[str], most: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts
+from lodestrata.tables import stored
 
 CREDITED = ("full_text", "abstract")
+MOST_WORDS = 200_000  #: of questions, to be broadcast
 
 
 def resolving(refs: DataFrame, acquired: DataFrame) -> DataFrame:
@@ -39,15 +41,27 @@ def apply_verdicts(claims: DataFrame, verdicts: DataFrame, acquired: DataFrame)
 
 
 def merge_claims(claims: DataFrame, acquired: DataFrame) -> DataFrame:
-    """One row for each normal text: least claim_id, greatest confidence, number of papers, and supported if any is and any
-    of its papers was acquired."""
+    """One row for each normal text: least claim_id, greatest confidence, number of papers, supported if any is and any of its
+    papers was acquired; and, where claims have them, the union of concepts (sorted) and the evidence (an array of structs
+    with evidence_id), each id once, and the greatest updated_seq."""
     rows = claims.join(acquired.where(F.col("content_kind").isin(*CREDITED)).select("paper_id", F.lit(True).alias("ok")).distinct(), "paper_id", "left")
-    return rows.groupBy(texts.normal_claim(F.col("text")).alias("key")).agg(
+    rows = rows.withColumn("key", texts.normal_claim(F.col("text")))
+    more = [F.max("updated_seq").alias("updated_seq")] if "updated_seq" in claims.columns else []
+    out = rows.groupBy("key").agg(
         F.min("claim_id").alias("claim_id"),
         F.max("confidence").alias("confidence"),
         F.countDistinct("paper_id").alias("papers"),
         (F.max((F.col("status") == "supported").cast("int")) * F.max(F.coalesce(F.col("ok"), F.lit(False)).cast("int")) == 1).alias("supported"),
+        *more,
     )
+    if "concepts" in claims.columns:
+        each = rows.select("key", F.explode("concepts").alias("concept")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("concept")).alias("concepts"))
+        out = out.join(each, "key", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+    if "evidence" in claims.columns:
+        refs = rows.select("key", "claim_id", F.explode("evidence").alias("e"))
+        first = refs.groupBy("key", F.col("e.evidence_id").alias("evidence_id")).agg(F.min_by("e", "claim_id").alias("e"))
+        out = out.join(first.groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("evidence")), "key", "left")
+    return out
 
 
 def grounding(claims: DataFrame, acquired: DataFrame) -> DataFrame:
@@ -67,13 +81,27 @@ def concepts(labels: DataFrame) -> DataFrame:
     return labels.where(key != "").groupBy(key.alias("concept")).agg(F.min_by("label", F.struct("ordinal", "label")).alias("label"), F.countDistinct("paper_id").alias("papers"))
 
 
+STATUS_ORDER = ("supported", "disputed", "proposed", "unknown", "superseded")
+
+
 def relevant_claims(claims: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id, claim_id, overlap: claims that share words with a question; a question without any gets none here
-    (`unanswered` gives those)."""
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) > 3))).alias("word")
-    a = claims.select("claim_id", word(F.col("text")))
-    b = questions.select("question_id", word(F.col("text")))
-    return b.join(a, "word").groupBy("question_id", "claim_id").agg(F.count("*").alias("overlap"))
+    """question_id, claim_id, overlap, rank: claims that share words ([a-z0-9]+) with a question; where none does, all claims
+    (overlap 0). rank orders a question's claims by status, then id.
+
+    The questions are one responder's and few, so their words, of a checked number, are what is sent to the claims; claims
+    are grouped by claim and question in place before anything is shuffled."""
+    word = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda x: x != "")
+    q = stored(questions.select("question_id", F.explode(word(F.col("text"))).alias("word")), "question-words")
+    few = q.count() <= MOST_WORDS
+    a = claims.select("claim_id", F.explode(word(F.col("text"))).alias("word"))
+    met = a.join(F.broadcast(q) if few else q.hint("merge"), "word").groupBy("question_id", "claim_id").agg(F.count("*").alias("overlap"))
+    met = stored(met, "question-claims")
+    alone = questions.select("question_id").join(met.select("question_id").distinct(), "question_id", "left_anti")
+    every = claims.select("claim_id").join(F.broadcast(alone) if few else alone).select("question_id", "claim_id", F.lit(0).cast("long").alias("overlap"))
+    order = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
+    place = F.when(order > 0, order).otherwise(len(STATUS_ORDER) + 1)
+    rows = met.unionByName(every).join(claims.select("claim_id", place.alias("place")), "claim_id")
+    return rows.select("question_id", "claim_id", "overlap", F.row_number().over(Window.partitionBy("question_id").orderBy("place", "claim_id")).cast("long").alias("rank"))
 
 
 def build_pack(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers as ids
+from lodestrata.operators.ranks import ranked
 from lodestrata.tables import stored
 
 #: Fixed values.
@@ -27,7 +28,7 @@ def leakage(question: Column, options: Column, key: Column) -> Column:
 def validate_items(items: DataFrame, pack: DataFrame) -> DataFrame:
     """item_id, reasons of items (question, options, correct_option_id, evidence, category, difficulty, critic): codes in a fixed
     order, none if the item is sound. evidence is an array of the pack's source ids."""
-    refs = items.select("item_id", F.explode("evidence").alias("source_id")).join(pack.select("source_id").distinct(), "source_id", "left_anti")
+    refs = items.select("item_id", F.explode("evidence").alias("source_id")).hint("merge").join(pack.select("source_id").distinct(), "source_id", "left_anti")
     rows = items.join(refs.select("item_id").distinct().withColumn("lost", F.lit(True)), "item_id", "left")
     names = F.transform("options", lambda o: o["id"])
     bad = (F.size("options") != 4) | (F.size(F.array_distinct(names)) != F.size("options")) | F.exists("options", lambda o: F.trim(o["text"]) == "") | (F.trim("question") == "")
@@ -44,10 +45,18 @@ def validate_items(items: DataFrame, pack: DataFrame) -> DataFrame:
     return rows.select("item_id", F.array_join(reasons, ",").alias("reasons"))
 
 
+def _for_each_responder(items: DataFrame, answers: DataFrame, most: int = 10_000) -> DataFrame:
+    """items with responder, once for each of those in answers: the arms of an examination, `most` at most, else an error."""
+    names = [x.responder for x in answers.select("responder").where("responder is not null").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} responders")
+    return items.withColumn("responder", F.explode(F.array(*[F.lit(x) for x in sorted(names)]).cast("array<string>")))
+
+
 def validate_answers(answers: DataFrame, questions: DataFrame, options: tuple[str, ...] = ("A", "B", "C", "D")) -> DataFrame:
     """responder, item_id, option_id, reason of every pair of responder and question and every answer to none: missing,
     invalid_option, unknown_question or null."""
-    wanted = answers.select("responder").distinct().join(F.broadcast(questions.select("item_id", F.lit(True).alias("known"))))  # a bank of questions for each responder
+    wanted = _for_each_responder(questions.select("item_id", F.lit(True).alias("known")), answers)
     both = wanted.join(answers.withColumn("given", F.lit(True)), ["responder", "item_id"], "full")
     reason = F.when(F.col("known").isNull(), "unknown_question").when(F.col("given").isNull(), "missing").when(~F.col("option_id").isin(*options), "invalid_option")
     return both.select("responder", "item_id", "option_id", reason.alias("reason"))
@@ -55,7 +64,7 @@ def validate_answers(answers: DataFrame, questions: DataFrame, options: tuple[st
 
 def graded(answers: DataFrame, items: DataFrame) -> DataFrame:
     """responder, item_id, category, difficulty, correct of every responder and item; what is missing is wrong."""
-    wanted = answers.select("responder").distinct().join(F.broadcast(items))
+    wanted = _for_each_responder(items, answers)
     both = wanted.join(answers, ["responder", "item_id"], "left")
     return both.select("responder", "item_id", "category", "difficulty", F.coalesce(F.col("option_id") == F.col("correct_option_id"), F.lit(False)).alias("correct"))
 
@@ -88,9 +97,10 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 def partition_bank(items: DataFrame, selection: int, holdout: int, seed: int) -> DataFrame:
     """item_id, part: by a seeded hash, the first for selection, the next held out; others are left out."""
-    rank = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("item_id").cast("string")), 256), "item_id"))
-    rows = items.select("item_id", rank.alias("k"))  # a bank of questions
-    return rows.where(F.col("k") <= selection + holdout).select("item_id", F.when(F.col("k") <= selection, "selection").otherwise("holdout").alias("part"))
+    order = [F.col("h"), F.col("item_id")]
+    first = items.select("item_id", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("item_id").cast("string")), 256).alias("h")).orderBy(*order).limit(selection + holdout)
+    rank = F.row_number().over(Window.orderBy(*order))  # of the rows that are left, as many as asked for
+    return first.select("item_id", F.when(rank <= selection, "selection").otherwise("holdout").alias("part"))
 
 
 def reject_near_duplicates(items: DataFrame, least: float = 0.85) -> DataFrame:
@@ -100,10 +110,10 @@ def reject_near_duplicates(items: DataFrame, least: float = 0.85) -> DataFrame:
     """
     words = items.select("item_id", F.array_distinct(F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda x: x != "")).alias("w"))
     df = words.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    ranked = words.select("item_id", F.explode("w").alias("x")).join(df, "x").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
+    ranked = words.select("item_id", F.explode("w").alias("x")).hint("merge").join(df, "x").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
     take = F.size("s") - F.ceil(F.lit(least) * F.size("s")).cast("int") + 1
     keys = ranked.select("item_id", F.explode(F.slice("s", F.lit(1), take)).alias("k")).select("item_id", F.col("k.x").alias("x"))
-    pairs = keys.join(keys.withColumnRenamed("item_id", "earlier"), "x").where("earlier < item_id").select("item_id", "earlier").distinct()
+    pairs = keys.hint("merge").join(keys.withColumnRenamed("item_id", "earlier"), "x").where("earlier < item_id").select("item_id", "earlier").distinct()
     both = pairs.join(words, "item_id").join(words.select(F.col("item_id").alias("earlier"), F.col("w").alias("v")), "earlier")
     alike = stored(both.where(ids.jaccard(F.col("w"), F.col("v")) >= least).select("item_id", "earlier"), "alike")
     decided = items.select("item_id").join(alike.select("item_id").distinct(), "item_id", "left_anti").withColumn("accepted", F.lit(True))
@@ -135,15 +145,16 @@ def distribution_issues(items: DataFrame, quotas: DataFrame, column: str) -> Dat
 def select_survivor(candidates: DataFrame) -> DataFrame:
     """agent_id, terminal, rank: 0.7 selection + 0.2 process + 0.1 grounding to six places, by it, selection, grounding, process, id."""
     terminal = F.round(0.7 * F.col("selection") + 0.2 * F.col("process") + 0.1 * F.col("grounding"), 6)
-    rows = candidates.withColumn("terminal", terminal)
-    rank = F.row_number().over(Window.orderBy(F.desc("terminal"), F.desc("selection"), F.desc("grounding"), F.desc("process"), "agent_id")).cast("long")
-    return rows.select("agent_id", "terminal", rank.alias("rank"))  # as many as agents
+    order = [F.desc("terminal"), F.desc("selection"), F.desc("grounding"), F.desc("process"), F.asc("agent_id")]
+    return ranked(candidates.withColumn("terminal", terminal), order).select("agent_id", "terminal", "rank")
 
 
-def blueprint(papers: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """paper_id, question_id, label: each paper's questions with the quotas' labels in a seeded order."""
-    labels = quotas.select("label", F.explode(F.sequence(F.lit(1), F.col("wanted").cast("int"))).alias("k"))
-    rows = papers.select("paper_id").join(F.broadcast(labels))  # as many labels as a paper has questions
+def blueprint(papers: DataFrame, quotas: DataFrame, seed: int, most: int = 10_000) -> DataFrame:
+    """paper_id, question_id, label: each paper's questions with the quotas' labels in a seeded order. The quotas are a
+    manifest's, `most` labels at most."""
+    wanted = [(x.label, k) for x in quotas.select("label", "wanted").limit(most).collect() for k in range(1, x.wanted + 1)]
+    labels = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("k")) for label, k in wanted])
+    rows = papers.select("paper_id", F.inline(labels))
     order = Window.partitionBy("paper_id").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("paper_id").cast("string"), "label", F.col("k").cast("string")), 256))
     return rows.select("paper_id", "label", F.row_number().over(order).alias("n")).select("paper_id", F.format_string("%s-q%03d", F.col("paper_id").cast("string"), "n").alias("question_id"), "label")
 
@@ -153,3 +164,93 @@ def critic_gate(questions: DataFrame, verdicts: DataFrame) -> DataFrame:
     both = questions.select("item_id", "key").join(verdicts, "item_id", "left")
     ok = F.col("accepted") & F.col("evidence_ok") & (F.array_sort("defensible") == F.array_sort("key"))
     return both.select("item_id", F.coalesce(ok, F.lit(False)).alias("kept"))
+
+
+def validate_suite(questions: DataFrame, papers: DataFrame, quotas: dict[str, dict[str, int]], *, options: int = 4, per_paper: int = 100) -> DataFrame:
+    """code, question_id, detail of what is wrong in a bank of questions (question_id, paper_id, category, difficulty, options:
+    letters, correct: letters, evidence: paper ids, critic): repeated ids, unknown papers, options that aren't A, B and so on, keys
+    outside them, evidence missing or of unknown papers, no critic, papers with another number of questions, and papers whose
+    categories, difficulties or key sizes differ from the quotas (a label of one side alone too)."""
+    known = papers.select("paper_id").distinct()
+    repeated = questions.groupBy("question_id").count().where("count > 1").select(F.lit("duplicate_question_id").alias("code"), "question_id", F.col("question_id").alias("detail"))
+    strange = questions.join(known, "paper_id", "left_anti").select(F.lit("unknown_paper").alias("code"), "question_id", F.col("paper_id").alias("detail"))
+    own = stored(questions.join(known, "paper_id", "left_semi"), "suite")
+    letters = F.array(*[F.lit(chr(65 + k)) for k in range(options)])
+    key = (F.size("correct") == 0) | (F.size(F.array_except("correct", "options")) > 0)
+    codes = F.array_compact(F.array(
+        F.when(F.col("options") != letters, F.lit("invalid_options")),
+        F.when(key, F.lit("invalid_answer_key")),
+        F.when(F.size("evidence") == 0, F.lit("missing_evidence")),
+        F.when(F.coalesce("critic", F.lit("")) == "", F.lit("missing_critic_validation")),
+    ))
+    none = F.lit(None).cast("string")
+    rows = own.select(F.explode(codes).alias("code"), "question_id", none.alias("detail"))
+    foreign = own.select("question_id", F.explode("evidence").alias("paper_id")).hint("merge").join(known, "paper_id", "left_anti").select(F.lit("unknown_evidence_paper").alias("code"), "question_id", none.alias("detail")).distinct()
+    number = known.join(own.groupBy("paper_id").count(), "paper_id", "left").where(F.coalesce("count", F.lit(0)) != per_paper).select(F.lit("invalid_paper_question_count").alias("code"), none.alias("question_id"), F.col("paper_id").alias("detail"))
+    out = repeated.unionByName(strange).unionByName(rows).unionByName(foreign).unionByName(number)
+    for name, column in (("category", F.col("category")), ("difficulty", F.col("difficulty")), ("correct_option_count", F.size("correct").cast("string"))):
+        wanted = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(n).cast("long").alias("wanted")) for k, n in quotas[name].items()])
+        found = own.groupBy("paper_id", column.alias("label")).agg(F.count("*").alias("found"))
+        both = found.join(known.select("paper_id", F.inline(wanted)), ["paper_id", "label"], "full").where("not found <=> wanted")
+        out = out.unionByName(both.select(F.lit(f"invalid_{name}_distribution").alias("code"), none.alias("question_id"), F.col("paper_id").alias("detail")).distinct())
+    return out
+
+
+def naive_sources(pack: DataFrame, distance: str = "direct_reference") -> DataFrame:
+    """The pack's sources that the untrained arm may read: those at the baseline's distance."""
+    return pack.where((F.col("status") == "included") & (F.col("distance") == distance))
+
+
+PRIVATE = ("correct_option_id", "rationale", "answer_key", "evidence_refs")  #: fixed values: names that no public table has
+
+
+def assert_public(df: DataFrame, payload: str | None = None) -> DataFrame:
+    """df, if no column (nor a field of a nested one, nor a key of the JSON objects in `payload`) is private; else an error."""
+
+    def names(kind) -> list[str]:
+        if hasattr(kind, "fields"):
+            return [x for f in kind.fields for x in (f.name, *names(f.dataType))]
+        inner = [getattr(kind, x) for x in ("elementType", "valueType") if hasattr(kind, x)]
+        return [x for k in inner for x in names(k)]
+
+    leaked = sorted(set(PRIVATE) & set(names(df.schema)))
+    if payload and not leaked:
+        held = F.json_object_keys(F.col(payload))
+        leaked = sorted({x.k for x in df.select(F.explode(F.array_intersect(held, F.array(*[F.lit(x) for x in PRIVATE]))).alias("k")).distinct().collect()})  # names of PRIVATE
+    if leaked:
+        raise ValueError(f"private columns in a public table: {', '.join(leaked)}")
+    return df
+
+
+def answer_cost(answers: DataFrame) -> DataFrame:
+    """responder, part, answers, tokens, seconds: sums over the answers of each responder and part of the bank."""
+    return answers.groupBy("responder", "part").agg(F.count("*").alias("answers"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"))
+
+
+def exam_outcome(items: DataFrame, answers: DataFrame, candidates: DataFrame, *, selection: int, holdout: int, seed: int) -> DataFrame:
+    """One row for an examination: how many items are sound, selected and held out, the survivor by its score on the selection,
+    its uplift over the naive arm on what was held out with its interval, and an outcome code.
+
+    items: item_id, question, category, difficulty, correct_option_id, sound. answers: responder (agents as text, and 'naive'),
+    item_id, option_id. candidates: agent_id, process, grounding."""
+    sound = stored(items.where("sound"), "exam-items")
+    parts = stored(partition_bank(sound, selection, holdout, seed), "exam-parts")
+    marks = stored(graded(answers, sound).join(parts, "item_id"), "exam-marks")
+    share = marks.where("part = 'selection' and responder <> 'naive'").groupBy(F.col("responder").alias("agent_id")).agg(F.avg(F.col("correct").cast("double")).alias("selection"))
+    best = stored(select_survivor(candidates.join(share, "agent_id")).where("rank = 1").select(F.col("agent_id").alias("survivor"), "terminal"), "exam-survivor")
+    held = marks.where("part = 'holdout'")
+    own = held.join(best, F.col("responder") == F.col("survivor"), "left_semi")
+    pairs = paired(own, held.where("responder = 'naive'"))
+    ci = paired_ci(pairs)
+    sizes = parts.agg(F.count_if(F.col("part") == "selection").alias("selected"), F.count_if(F.col("part") == "holdout").alias("held"))
+    row = sizes.join(F.broadcast(ci)).join(F.broadcast(best), how="left")  # one row each
+    code = F.when(F.col("survivor").isNull(), "no_survivor").when(F.col("held") == 0, "no_holdout").when(F.col("low") > 0, "uplift").when(F.col("high") < 0, "regression").otherwise("inconclusive")
+    return row.select("selected", "held", "survivor", "terminal", "n", "mean", "low", "high", code.alias("outcome"))
+
+
+def benchmark_scores(questions: DataFrame, responses: DataFrame) -> DataFrame:
+    """dimension, bucket, questions, exact, partial of a multi-select bank: in all, by category, difficulty and paper."""
+    rows = questions.select("item_id", "category", "difficulty", "paper_id").join(score_multiselect(questions, responses), "item_id")
+    kinds = F.array(*[F.struct(F.lit(n).alias("dimension"), (F.lit("all") if n == "all" else F.col(n).cast("string")).alias("bucket")) for n in ("all", "category", "difficulty", "paper_id")])
+    each = rows.select("exact", "partial", F.explode(kinds).alias("d"))
+    return each.groupBy("d.dimension", "d.bucket").agg(F.count("*").alias("questions"), F.avg(F.col("exact").cast("double")).alias("exact"), F.avg("partial").alias("partial"))

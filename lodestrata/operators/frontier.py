@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import maths
+from lodestrata.operators.ranks import ranked
+from lodestrata.tables import stored
 
 
 def assign_castes(agents: DataFrame, total: int) -> DataFrame:
     """agent_id, caste, budget: the first 40 % by id one caste, the next 30 % another (one each at least), the rest mixed."""
-    n = agents.agg(F.count("*").alias("n"))
-    ranked = agents.withColumn("k", F.row_number().over(Window.orderBy("agent_id"))).join(F.broadcast(n))  # a colony: tens of agents
-    first, second = F.greatest(F.lit(1), F.floor(0.4 * F.col("n"))), F.greatest(F.lit(1), F.floor(0.3 * F.col("n")))
+    n = agents.count()
+    first, second = max(1, int(0.4 * n)), max(1, int(0.3 * n))
     caste = F.when(F.col("k") <= first, "fundaciones").when(F.col("k") <= first + second, "impacto").otherwise("mixto")
-    return ranked.select("agent_id", caste.alias("caste"), F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("n"))).cast("long").alias("budget"))
+    return ranked(agents.select("agent_id"), ["agent_id"], "k").select("agent_id", caste.alias("caste"), F.lit(max(1, total // max(1, n))).cast("long").alias("budget"))
 
 
 def eligible(frontier: DataFrame, visits: DataFrame, turn: int, most: int = 3) -> DataFrame:
@@ -24,10 +25,23 @@ def eligible(frontier: DataFrame, visits: DataFrame, turn: int, most: int = 3) -
 
 
 def probabilities(weights: DataFrame, key: str = "agent_id", weight: str = "weight") -> DataFrame:
-    """weights with probability: a row's share of its agent's weights; equal shares where they sum to nothing."""
-    w = Window.partitionBy(key)
-    total, n = F.sum(weight).over(w), F.count("*").over(w)
-    return weights.withColumn("probability", F.when(total <= maths.EPS, 1 / n).otherwise(F.col(weight) / F.greatest(total, F.lit(maths.EPS))))
+    """weights with probability: a row's share of its agent's weights; equal shares where they sum to nothing. The sums are
+    partial aggregates joined back, so an agent's rows need not meet in one task."""
+    weights = stored(weights, "weights")
+    sums = weights.groupBy(key).agg(F.sum(weight).alias("__total"), F.count("*").alias("__n"))
+    share = F.when(F.col("__total") <= maths.EPS, 1 / F.col("__n")).otherwise(F.col(weight) / F.greatest(F.col("__total"), F.lit(maths.EPS)))
+    return weights.join(sums, key).withColumn("probability", share).drop("__total", "__n")
+
+
+def transition_table(frontier: DataFrame, pheromone: DataFrame, eta: DataFrame, agents: DataFrame, alpha: float = 1.5, beta: float = 2.0) -> DataFrame:
+    """agent_id, src, id, mode, tau, weight of every candidate of the frontier (agent_id, src, id, mode): a trail never walked
+    is 1, an unknown eta 0."""
+    trail = pheromone.select("agent_id", "src", F.col("dst").alias("id"), "mode", "tau")
+    rows = frontier.join(trail, ["agent_id", "src", "id", "mode"], "left").withColumn("tau", F.coalesce("tau", F.lit(1.0)))
+    rows = rows.join(eta.select("id", "eta"), "id", "left").join(agents.select("agent_id", "caste"), "agent_id")
+    d = maths.caste_direction(F.col("caste"), F.lit(0.5), F.lit(0.5))
+    w = maths.transition_weight(F.col("tau"), alpha, F.coalesce("eta", F.lit(0.0)), beta, F.when(F.col("mode") == "ref", d["ref"]).otherwise(d["cites"]))
+    return rows.select("agent_id", "src", "id", "mode", "tau", w.alias("weight"))
 
 
 def unit(seed: int, *parts: Column) -> Column:
@@ -35,20 +49,25 @@ def unit(seed: int, *parts: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**31 - 1)).cast("double") + 1) / 2.0**31
 
 
-def draw(weights: DataFrame, seed: int, turn: int, key: str = "agent_id", item: str = "id") -> DataFrame:
-    """One row for each agent, drawn with probability in proportion to weight: the least of exponential times -ln(u) / weight."""
-    time = -F.log(unit(seed, F.lit(turn), F.col(key), F.col(item))) / F.greatest(F.col("weight"), F.lit(maths.EPS))
-    return weights.groupBy(key).agg(F.min_by(item, F.struct(time.alias("t"), F.col(item))).alias(item))
+def draw(weights: DataFrame, seed: int, turn: int, key: str = "agent_id", item: str = "id", epsilon: float = 0.0) -> DataFrame:
+    """One row for each agent, drawn with probability in proportion to weight, or with probability epsilon uniformly: the least
+    of exponential times -ln(u) / weight. The same seed and turn give the same draw. explored tells which branch it was."""
+    explored = unit(seed, F.lit("explore"), F.lit(turn), F.col(key)) < epsilon
+    weight = F.when(explored, 1.0).otherwise(F.greatest(F.col("weight"), F.lit(maths.EPS)))
+    time = -F.log(unit(seed, F.lit(turn), F.col(key), F.col(item))) / weight
+    return weights.groupBy(key).agg(F.min_by(item, F.struct(time.alias("t"), F.col(item))).alias(item), F.max(explored).alias("explored"))
 
 
-def draw_distinct(weights: DataFrame, seed: int, turn: int, priority: DataFrame, rounds: int) -> DataFrame:
-    """agent_id, id: draws without two agents on one candidate; the agent with more priority keeps it, others draw again."""
-    done, left = None, weights
-    for k in range(rounds):
-        drawn = draw(left, seed, turn * 1000 + k).join(priority, "agent_id")
-        kept = drawn.groupBy("id").agg(F.max_by("agent_id", F.struct("priority", -F.col("agent_id"))).alias("agent_id")).select("agent_id", "id")
+def draw_distinct(weights: DataFrame, seed: int, turn: int, priority: DataFrame, rounds: int | None = None, policy=draw) -> DataFrame:
+    """agent_id, id: draws without two agents on one candidate; the agent with more priority keeps it, the others draw again, up
+    to `rounds` times or until no agent with a candidate is left. policy: how an agent chooses (weights, seed, turn)."""
+    done, left, k = None, stored(weights, "draws"), 0
+    while k != rounds and (k == 0 or not left.isEmpty()):
+        drawn = policy(left, seed, turn * 1000 + k).join(priority, "agent_id")
+        kept = stored(drawn.groupBy("id").agg(F.max_by("agent_id", F.struct("priority", -F.col("agent_id"))).alias("agent_id")).select("agent_id", "id"), "drawn")
         done = kept if done is None else done.unionByName(kept)
-        left = left.join(kept.select("agent_id"), "agent_id", "left_anti").join(kept.select("id"), "id", "left_anti")
+        left = stored(left.join(kept.select("agent_id"), "agent_id", "left_anti").join(kept.select("id"), "id", "left_anti"), "draws")
+        k += 1
     return done
 
 

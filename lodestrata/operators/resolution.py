@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from lodestrata.functions import identifiers as ids
 from lodestrata.functions import texts
 from lodestrata.shipping import ship
+from lodestrata.tables import stored
 
 THRESHOLDS = {"title": 0.82, "author": 0.34, "confidence": 0.75, "years": 2}  #: fixed values
-WEIGHTS = {"title": 0.6, "author": 0.25, "year": 0.15}
+WEIGHTS = {"title": 0.6, "author": 0.25, "year": 0.15}  #: fixed values
+#: Reasons to reject, the first that applies counts.
+REASONS = ("unverifiable_identifier", "title_mismatch", "author_mismatch", "year_mismatch", "low_confidence", "multiple_candidates", "no_provider_match", "provider_unavailable")
+METHODS = ("doi", "arxiv", "pmid")
+ARXIV_DOI = "10.48550/arxiv."  #: fixed value: the DOIs of arXiv papers
 
 
 def segment_bibliography(text: Column, most: int = 0) -> Column:
@@ -33,7 +38,7 @@ def segment_bibliography(text: Column, most: int = 0) -> Column:
 def alias_stage(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """entry_id, id: the first of an entry's keys (in their order) that an alias knows; confidence 1."""
     keys = entries.select("entry_id", F.posexplode("keys").alias("rank", "alias"))
-    return keys.join(aliases, "alias").groupBy("entry_id").agg(F.min_by("id", "rank").alias("id"), F.lit(1.0).alias("confidence"))
+    return keys.hint("merge").join(aliases, "alias").groupBy("entry_id").agg(F.min_by("id", "rank").alias("id"), F.lit(1.0).alias("confidence"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -62,12 +67,12 @@ def title_candidates(entries: DataFrame, catalog: DataFrame, least: float = THRE
     df = c.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
     def prefix(rows: DataFrame, key: str) -> DataFrame:
-        known = rows.select(key, F.explode("tokens").alias("token")).join(df, "token", "left")
+        known = rows.select(key, F.explode("tokens").alias("token")).hint("merge").join(df, "token", "left")
         ranked = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("x"))
         take = F.size("x") - F.ceil(F.lit(t) * F.size("x")).cast("int") + 1
         return ranked.select(key, F.explode(F.slice("x", F.lit(1), take)).alias("p")).select(key, F.col("p.token").alias("token"))
 
-    pairs = prefix(e, "entry_id").join(prefix(c, "id"), "token").select("entry_id", "id").distinct()
+    pairs = prefix(e, "entry_id").hint("merge").join(prefix(c, "id"), "token").select("entry_id", "id").distinct()
     same = e.join(c.select("id", "norm"), "norm").where("norm <> ''").select("entry_id", "id")
     both = pairs.unionByName(same).distinct().join(e.select("entry_id", F.col("norm").alias("a"), F.col("tokens").alias("x")), "entry_id").join(c.select("id", F.col("norm").alias("b"), F.col("tokens").alias("y")), "id")
     jac = ids.jaccard(F.col("x"), F.col("y"))
@@ -76,16 +81,18 @@ def title_candidates(entries: DataFrame, catalog: DataFrame, least: float = THRE
 
 def scored(pairs: DataFrame) -> DataFrame:
     """pairs (entry_id, id, a, b, jaccard, authors, candidate_authors, year, candidate_year) with title, author and year
-    scores, confidence over the evidence there is, and the reasons that speak against them."""
+    scores (null where a side lacks the value), confidence over the evidence there is, and the reasons that speak against them."""
     ship(pairs.sparkSession)
-    title = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.5 * ratio(F.col("a"), F.col("b")) + 0.5 * F.col("jaccard"))
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    alike = F.when(filled("a") == filled("b"), 1.0).otherwise(0.5 * ratio(filled("a"), filled("b")) + 0.5 * F.coalesce("jaccard", F.lit(0.0)))
+    title = F.when((filled("a") != "") & (filled("b") != ""), alike)
     author = F.when((F.size("authors") > 0) & (F.size("candidate_authors") > 0), ids.author_overlap(F.col("authors"), F.col("candidate_authors")))
     year = F.when(F.col("year").isNotNull() & F.col("candidate_year").isNotNull(), ids.year_matches(F.col("year"), F.col("candidate_year"), THRESHOLDS["years"]).cast("double"))
     rows = pairs.withColumns({"title_score": title, "author_score": author, "year_score": year})
     part = lambda name: F.when(F.col(f"{name}_score").isNotNull(), WEIGHTS[name] * F.col(f"{name}_score")).otherwise(0.0)
     weight = lambda name: F.when(F.col(f"{name}_score").isNotNull(), WEIGHTS[name]).otherwise(0.0)
     total = weight("title") + weight("author") + weight("year")
-    confidence = (part("title") + part("author") + part("year")) / total
+    confidence = F.when(total > 0, (part("title") + part("author") + part("year")) / F.greatest(total, F.lit(1e-9))).otherwise(0.0)
     reasons = F.array_compact(F.array(
         F.when(F.col("title_score") < THRESHOLDS["title"], F.lit("title_mismatch")),
         F.when(F.col("author_score") < THRESHOLDS["author"], F.lit("author_mismatch")),
@@ -94,44 +101,116 @@ def scored(pairs: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": confidence, "reasons": reasons})
 
 
-def title_stage(entries: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """The k best candidates of each entry by title, scored: confidence, title, then id."""
-    found = title_candidates(entries, catalog)
-    more = found.join(entries.select("entry_id", "authors", "year"), "entry_id").join(catalog.select("id", F.col("authors").alias("candidate_authors"), F.col("year").alias("candidate_year")), "id")
-    rank = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc(F.round("confidence", 6)), F.desc(F.round("title_score", 6)), "id"))
-    return scored(more).withColumn("rank", rank).where(F.col("rank") <= k)
+def verified(rows: DataFrame, method: str) -> DataFrame:
+    """scored rows with method, accepted and reason: the first gate that fails, else a low confidence. Where neither title,
+    authors nor year could be compared, an equal identifier is enough."""
+    bare = F.coalesce("title_score", "author_score", "year_score").isNull() & F.lit(method in METHODS)
+    reason = F.when(F.size("reasons") > 0, F.get("reasons", F.lit(0))).when(~bare & (F.col("confidence") < THRESHOLDS["confidence"]), "low_confidence")
+    return rows.withColumns({"method": F.lit(method), "reason": reason, "accepted": reason.isNull(), "confidence": F.when(bare, 1.0).otherwise(F.col("confidence"))})
+
+
+def _with_both(pairs: DataFrame, entries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(entry_id, id) with what `scored` compares, and the candidate's provider, rank, completeness and dedup key."""
+    e = entries.select("entry_id", "authors", "year", ids.normalize_title(F.col("title")).alias("a"), ids.title_tokens(F.col("title")).alias("x"))
+    c = catalog.select("id", F.col("authors").alias("candidate_authors"), F.col("year").alias("candidate_year"), ids.normalize_title(F.col("title")).alias("b"), ids.title_tokens(F.col("title")).alias("y"), "provider", "provider_rank", "completeness", "key")
+    both = pairs.join(e, "entry_id").join(c, "id")
+    return both.withColumn("jaccard", ids.jaccard(F.col("x"), F.col("y"))).drop("x", "y")
 
 
-def identifier_stage(entries: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """entry_id, id, where a valid normal identifier of the kind is the same."""
-    return entries.where(f"{key} is not null").select("entry_id", key).join(catalog.where(f"{key} is not null").select("id", key), key).select("entry_id", "id")
+def tie_order() -> Column:
+    """The better of two pieces of evidence is less: confidence, title and author to six places, an identifier's method,
+    completeness, the provider's rank, the id."""
+    six = lambda c: -F.round(F.coalesce(F.col(c), F.lit(0.0)), 6)
+    return F.struct(six("confidence").alias("c"), six("title_score").alias("t"), six("author_score").alias("a"), (-F.col("method").isin(*METHODS).cast("int")).alias("m"), (-F.col("completeness")).alias("n"), F.col("provider_rank").alias("p"), F.col("id").alias("i"))
 
 
-def decide(evidence: DataFrame) -> DataFrame:
-    """entry_id, status, id, confidence from evidence (entry_id, id, key, confidence, accepted, reason): one cluster of accepted
-    keys resolves to its best candidate, more are ambiguous, none is rejected with the first reason."""
-    accepted = F.when(F.col("accepted"), F.col("key"))
-    best = F.max(F.struct(F.col("accepted").cast("int").alias("ok"), F.round("confidence", 6).alias("confidence"), F.col("id").alias("id")))
-    rows = evidence.groupBy("entry_id").agg(F.countDistinct(accepted).alias("clusters"), best.alias("best"), F.min("reason").alias("reason"))
+def _until_accepted(evidence: DataFrame) -> DataFrame:
+    """Evidence of the providers up to the first, by rank, that gives an accepted candidate."""
+    first = F.min(F.when(F.col("accepted"), F.col("provider_rank"))).over(Window.partitionBy("entry_id"))
+    return evidence.withColumn("__first", first).where("__first is null or provider_rank <= __first").drop("__first")
+
+
+def title_stage(entries: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+    """The k best candidates of each entry and provider by title, verified: candidates by title similarity, then id."""
+    found = title_candidates(entries, catalog).select("entry_id", "id")
+    rows = scored(_with_both(found, entries, catalog))
+    rank = F.row_number().over(Window.partitionBy("entry_id", "provider").orderBy(F.desc(F.round("title_score", 6)), F.desc(F.round("confidence", 6)), "id"))
+    return verified(rows.withColumn("rank", rank).where(F.col("rank") <= k), "title")
+
+
+_FORMS = {"doi": (ids.normalize_doi, ids.is_valid_doi), "arxiv": (ids.normalize_arxiv, ids.is_valid_arxiv), "pmid": (ids.normalize_pmid, ids.is_valid_pmid)}
+
+
+def identifier_stage(entries: DataFrame, catalog: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
+    """(evidence, attempts) by one kind of identifier: candidates with the entry's normal valid identifier, verified; an
+    arXiv id is also that of the DOI made of it. Attempts are invalid identifiers and those no candidate has."""
+    normal, valid = _FORMS[method]
+    asked = entries.where(F.coalesce(F.col(method), F.lit("")) != "").select("entry_id", normal(F.col(method)).alias("k"))
+    good = asked.where(valid(F.col("k")))
+    known = catalog.where(F.col(method).isNotNull()).select("id", normal(F.col(method)).alias("k"))
+    if method == "arxiv":
+        doi = ids.normalize_doi(F.col("doi"))
+        known = known.unionByName(catalog.where(doi.startswith(ARXIV_DOI)).select("id", F.substr(doi, F.lit(len(ARXIV_DOI) + 1)).alias("k"))).distinct()
+    pairs = good.join(known, "k").select("entry_id", "id")
+    evidence = verified(scored(_with_both(pairs, entries, catalog)), method)
+    missed = good.join(pairs.select("entry_id").distinct(), "entry_id", "left_anti")
+    attempts = asked.where(~valid(F.col("k"))).select("entry_id", F.lit("unverifiable_identifier").alias("reason")).unionByName(missed.select("entry_id", F.lit("no_provider_match").alias("reason")))
+    return evidence, attempts.withColumn("method", F.lit(method))
+
+
+def decide(evidence: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """entry_id, status, id, method, confidence, reason from evidence (as `verified` gives it) and attempts: one cluster of
+    accepted dedup keys resolves to its best candidate, more are ambiguous, none is rejected with the best one's reason, and
+    without evidence with the first of the attempts' reasons in REASONS."""
+    rows = evidence.withColumn("__tie", tie_order())
+    ok = F.col("accepted")
+    facts = F.struct("id", "method", "confidence", "reason")
+    found = rows.groupBy("entry_id").agg(F.count_distinct(F.when(ok, F.col("key"))).alias("clusters"), F.min_by(facts, F.when(ok, F.col("__tie"))).alias("good"), F.min_by(facts, "__tie").alias("bad"))
     status = F.when(F.col("clusters") == 1, "resolved").when(F.col("clusters") > 1, "ambiguous").otherwise("rejected")
-    return rows.select("entry_id", status.alias("status"), F.when(status == "resolved", F.col("best.id")).alias("id"), F.col("best.confidence").alias("confidence"), F.when(status == "rejected", F.col("reason")).alias("reason"))
-
-
-def resolve(entries: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
-    """entry_id, stage, id, confidence: alias, DOI, arXiv, then title; a stage sees only what no earlier one resolved."""
-    open_ = entries
-    out = None
-    for stage in ("alias", "doi", "arxiv", "title"):
-        if stage == "alias":
-            got = alias_stage(open_, aliases)
-        elif stage == "title":
-            got = title_stage(open_, catalog, 1).where((F.size("reasons") == 0) & (F.col("confidence") >= THRESHOLDS["confidence"])).select("entry_id", "id", "confidence")
+    best = F.when(F.col("clusters") > 0, F.col("good")).otherwise(F.col("bad"))
+    reason = F.when(F.col("clusters") > 1, "multiple_candidates").when(F.col("clusters") == 0, best["reason"])
+    out = found.select("entry_id", status.alias("status"), F.when(status == "resolved", best["id"]).alias("id"), best["method"].alias("method"), best["confidence"].alias("confidence"), reason.alias("reason"))
+    if attempts is None:
+        return out
+    order = F.array(*[F.lit(x) for x in REASONS])
+    least = attempts.join(out.select("entry_id"), "entry_id", "left_anti").groupBy("entry_id").agg(F.min(F.array_position(order, F.col("reason"))).alias("k"))
+    none = F.lit(None).cast("string")
+    return out.unionByName(least.select("entry_id", F.lit("rejected").alias("status"), none.alias("id"), none.alias("method"), F.lit(0.0).alias("confidence"), F.get(order, F.col("k").cast("int") - 1).alias("reason")))
+
+
+def resolve_entries(entries: DataFrame, catalog: DataFrame, aliases: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, evidence, attempts): known aliases first, then DOI, arXiv, PMID and title. A stage sees the entries for which
+    no earlier one accepted a candidate; rejected evidence stays. Entries that nothing is known of are rejected."""
+    known = stored(alias_stage(entries, aliases), "resolve-aliases")
+    open_ = entries.join(known.select("entry_id"), "entry_id", "left_anti")
+    evidence = attempts = None
+    keep = ("entry_id", "id", "key", "method", "provider", "provider_rank", "completeness", "confidence", "title_score", "author_score", "accepted", "reason")
+    for method in (*METHODS, "title"):
+        if method == "title":
+            got = title_stage(open_, catalog, k)
+            missed = open_.where("title is not null").select("entry_id", F.lit("no_provider_match").alias("reason"), F.lit(method).alias("method"))
         else:
-            got = identifier_stage(open_, catalog, stage).groupBy("entry_id").agg(F.min("id").alias("id"), F.lit(1.0).alias("confidence"))
-        got = got.select("entry_id", F.lit(stage).alias("stage"), "id", "confidence")
-        out = got if out is None else out.unionByName(got)
-        open_ = open_.join(got.select("entry_id"), "entry_id", "left_anti")
-    return out.unionByName(open_.select("entry_id", F.lit("none").alias("stage"), F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("confidence")))
+            got, missed = identifier_stage(open_, catalog, method)
+        got = stored(_until_accepted(got).select(*keep), f"resolve-{method}")
+        evidence = got if evidence is None else evidence.unionByName(got)
+        attempts = missed if attempts is None else attempts.unionByName(missed)
+        open_ = open_.join(got.where("accepted").select("entry_id").distinct(), "entry_id", "left_anti")
+    attempts = stored(attempts.select("entry_id", "method", "reason"), "resolve-attempts")
+    done = decide(evidence, attempts).unionByName(known.select("entry_id", F.lit("resolved").alias("status"), "id", F.lit("alias").alias("method"), "confidence", F.lit(None).cast("string").alias("reason")))
+    rest = entries.select("entry_id").join(done.select("entry_id"), "entry_id", "left_anti")
+    none = F.lit(None).cast("string")
+    return done.unionByName(rest.select("entry_id", F.lit("rejected").alias("status"), none.alias("id"), none.alias("method"), F.lit(0.0).alias("confidence"), F.lit("no_provider_match").alias("reason"))), evidence, attempts
+
+
+def resolvable(title: Column, doi: Column, arxiv: Column) -> Column:
+    """Whether an entry can be looked for: a PubMed id alone doesn't count."""
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return filled(title) | filled(doi) | filled(arxiv)
+
+
+def dedupe_candidates(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """Each key's row of least ordinal."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), ordinal).alias("r")).select(*keys, "r.*")
 
 
 def verify_mapped(entries: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ LEGACY = {
 }
 RETAINED = 1000
 TERMINAL = ("completed", "cancelled", "failed", "interrupted")
+ENDED = ("completed", "failed", "skipped")  #: of a node in a timeline
 
 
 def canonical_type(c: Column) -> Column:
@@ -49,10 +50,14 @@ def fill_agent(events: DataFrame) -> DataFrame:
 
 
 def retained_window(events: DataFrame, most: int = RETAINED) -> DataFrame:
-    """The last `most` events of each run, with how many were seen and dropped."""
+    """The last `most` events of each run, with how many were seen and dropped.
+
+    Each input partition keeps its own last ones first, so no task sorts more of a run than `most` rows a partition."""
+    n = events.groupBy("run_id").agg(F.count("*").alias("seen"))
+    local = F.row_number().over(Window.partitionBy("run_id", "__p").orderBy(F.desc("seq")))
+    some = events.withColumn("__p", F.spark_partition_id()).withColumn("__l", local).where(F.col("__l") <= most).drop("__l", "__p")
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("seq")))
-    n = F.count("*").over(Window.partitionBy("run_id"))
-    return events.withColumns({"__r": rank, "seen": n}).where(F.col("__r") <= most).withColumn("dropped", F.greatest(F.lit(0), F.col("seen") - most)).drop("__r")
+    return some.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r").join(n, "run_id").withColumn("dropped", F.greatest(F.lit(0), F.col("seen") - most))
 
 
 def verify_chain(events: DataFrame) -> DataFrame:
@@ -88,10 +93,14 @@ def plateau(evals: DataFrame, waves: int, least: float) -> DataFrame:
     return evals.withColumn("plateau", F.coalesce((F.row_number().over(w) > waves) & (F.col("q") - F.lag("q", waves - 1).over(w) < least), F.lit(False)))
 
 
-def convergence(evals: DataFrame, waves: int, least: float, budget: int) -> DataFrame:
-    """run_id, wave, reason of the first wave that stops a run: budget, then plateau."""
+def convergence(evals: DataFrame, waves: int, least: float, budget: int, *, seconds: int | None = None, theta: float | None = None) -> DataFrame:
+    """run_id, wave, reason of the first wave that stops a run, by the first that applies: fetches used up (`fetches`, or the
+    wave's number where there is no such column), time used up (`elapsed`), a plateau, concentrated trails (`concentration`)."""
     rows = plateau(evals, waves, least)
-    reason = F.when(F.col("wave") >= budget, "budget").when(F.col("plateau"), "quality_plateau")
+    spent = F.col("fetches" if "fetches" in evals.columns else "wave") >= budget
+    late = F.lit(False) if seconds is None else F.col("elapsed") >= seconds
+    narrow = F.lit(False) if theta is None else F.col("concentration") > theta
+    reason = F.when(spent, "budget").when(late, "time_budget").when(F.col("plateau"), "quality_plateau").when(narrow, "pheromone_converged")
     return rows.withColumn("reason", reason).where("reason is not null").groupBy("run_id").agg(F.min("wave").alias("wave"), F.min_by("reason", "wave").alias("reason"))
 
 
@@ -109,10 +118,14 @@ def agent_labels(events: DataFrame) -> DataFrame:
     return first.select("run_id", "agent_id", F.format_string("A%02d", F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))).alias("label"))
 
 
-def stale_runs(runs: DataFrame, now: Column, seconds: int = 120) -> DataFrame:
-    """runs with status and reason: running ones whose last sign of life is older become interrupted."""
-    stale = (F.col("status") == "running") & (now.cast("timestamp").cast("long") - F.col("heartbeat").cast("timestamp").cast("long") > seconds)
-    return runs.withColumns({"reason": F.when(stale, "stale_heartbeat"), "status": F.when(stale, "interrupted").otherwise(F.col("status"))})
+def stale_runs(runs: DataFrame, now: Column, seconds: int = 120, host: Column | None = None) -> DataFrame:
+    """runs (status, heartbeat; with host also host and pid_alive) with status and reason. A running one becomes interrupted
+    if its last sign of life is older than `seconds`, or if its process on this host is dead."""
+    running = F.col("status") == "running"
+    old = now.cast("timestamp").cast("long") - F.col("heartbeat").cast("timestamp").cast("long") > seconds
+    dead = F.lit(False) if host is None else F.coalesce((F.col("host") == host) & ~F.col("pid_alive"), F.lit(False))
+    reason = F.when(running & dead, "process_dead").when(running & old, "stale_heartbeat")
+    return runs.withColumns({"reason": reason, "status": F.when(reason.isNotNull(), "interrupted").otherwise(F.col("status"))})
 
 
 def project_runs(events: DataFrame, most: int = RETAINED) -> DataFrame:
@@ -148,9 +161,11 @@ def quality(components: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def rollup_status(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A parent's status from its children's: active if any is, completed if all ended well, failed if any failed, else pending."""
-    active, ended, failed = F.max((F.col("status") == "active").cast("int")), F.min(F.col("status").isin("completed", "failed").cast("int")), F.max((F.col("status") == "failed").cast("int"))
-    return rows.groupBy(*keys).agg(F.when(active == 1, "active").when(failed == 1, "failed").when(ended == 1, "completed").otherwise("pending").alias("status"))
+    """A parent's status from its children's: active if any is; completed if all have ended, well or not; failed if any failed
+    while others wait; else pending."""
+    some = lambda x: F.max((F.col("status") == x).cast("int")) == 1
+    ended = F.min(F.col("status").isin(*ENDED).cast("int")) == 1
+    return rows.groupBy(*keys).agg(F.when(some("active"), "active").when(ended, "completed").when(some("failed"), "failed").otherwise("pending").alias("status"))
 
 
 def list_runs(runs: DataFrame, events: DataFrame, evals: DataFrame) -> DataFrame:
@@ -178,6 +193,38 @@ def timeline(events: DataFrame) -> DataFrame:
     return events.select("run_id", "seq", F.coalesce(turn, wave, F.lit(0)).cast("long").alias("parent"))
 
 
+#: Which events stand in the timeline, and as what.
+ENTRIES = {"reference_mapping_started": "mapping", "reference_mapping_completed": "mapping", "discovery_completed": "discovery", "frontier_completed": "frontier", "paper_integration_completed": "paper", "warning": "warning"}
+
+
+def timeline_rows(events: DataFrame) -> DataFrame:
+    """run_id, entry_id, seq, kind, status of the events that the timeline shows, each the news of an entry: a mapping, discovery or
+    frontier of an agent, a paper's step, a warning of its own. The newest of an entry counts (`upsert_sink` by entry_id)."""
+    kind = canonical_type(F.col("type"))
+    place = F.lit(None).cast("string")
+    for name, entry in ENTRIES.items():
+        place = F.when(kind == name, entry).otherwise(place)
+    alone = place.isin("warning", "paper")
+    entry_id = F.concat_ws(":", place, F.col("run_id").cast("string"), F.when(alone, F.col("seq").cast("string")).otherwise(F.coalesce("agent_id", F.lit("-"))))
+    status = F.when(kind.endswith("_started"), "active").when(kind == "warning", "failed").otherwise("completed")
+    return events.where(place.isNotNull()).select("run_id", entry_id.alias("entry_id"), "seq", place.alias("kind"), status.alias("status"))
+
+
+def exam_projection(events: DataFrame) -> DataFrame:
+    """run_id and what a run's examination has come to: sources, items, sound, selected, held out, survivor and uplift, each the
+    last value that its event gave, and the last stage."""
+    names = {"sources": "exam_pack_built", "items": "exam_generated", "sound": "exam_validated", "held": "exam_split", "survivor": "survivor_selected", "uplift": "benchmark_completed"}
+    rows = events.where(F.col("type").isin(*names.values()))
+    return rows.groupBy("run_id").agg(*[F.max_by("value", F.when(F.col("type") == t, F.col("seq"))).alias(n) for n, t in names.items()], F.max_by("type", "seq").alias("stage"))
+
+
+def private_artifacts(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(artifacts with the incoming ones (run_id, artifact_id, kind, content, private), their events): a private artifact's event holds
+    its id alone."""
+    body = F.when(F.col("private"), F.to_json(F.struct("artifact_id"))).otherwise(F.to_json(F.struct("artifact_id", "kind", "content")))
+    return current.unionByName(incoming.select(*current.columns)), incoming.select("run_id", F.lit("artifact_recorded").alias("type"), body.alias("payload"))
+
+
 def wave_summary(turns: DataFrame) -> DataFrame:
     """run_id, wave, attempted, integrated, failed and the sorted agents that failed."""
     bad = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("agent_id").cast("string")))), ",")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import identifiers as ids
 from lodestrata.functions import texts
 from lodestrata.operators import evidence as ev
 from lodestrata.operators import resolution as rs
@@ -38,28 +39,66 @@ def flt_verify_mapped(t):
 
 
 def _catalog(t):
-    return t.papers.select("id", "title", "doi", c("arxiv_id").alias("arxiv"), F.array("author").alias("authors"), c("year").cast("int").alias("year"))
+    k = c("p_partkey")
+    doi = F.coalesce("doi", F.when(k % 6 == 5, F.concat(F.lit("10.48550/arXiv.2102."), (10000 + k % 10000).cast("string"))))
+    rows = t.papers.select("id", "title", doi.alias("doi"), c("arxiv_id").alias("arxiv"), F.when(k % 5 == 2, (k + 1).cast("string")).alias("pmid"), F.array("author").alias("authors"), c("year").cast("int").alias("year"), "provider", "abstract", k.cast("string").alias("native"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("semantic_scholar", "openalex", "pubmed", "arxiv")]), c("provider"))
+    full = ids.completeness(c("title"), c("doi"), c("arxiv"), c("year"), c("authors"), c("abstract"))
+    key = ids.dedup_key(c("doi"), c("arxiv"), c("title"), c("authors"), c("year"), c("provider"), c("native"))
+    return rows.withColumns({"provider_rank": rank, "completeness": full, "key": key})
 
 
 def _queries(t):
-    """Entries made of papers: some with identifiers, some with changed titles."""
+    """Entries made of papers: identifiers in other spellings, some invalid; some titles, authors and years changed."""
     k = c("p_partkey")
-    title = F.when(k % 4 == 0, F.concat(F.upper("title"), F.lit("!"))).otherwise(c("title"))
-    return t.papers.where(k % 2 == 0).select(c("p_partkey").cast("string").alias("entry_id"), title.alias("title"), F.when(k % 6 == 0, c("doi")).alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.array("author").alias("authors"), c("year").cast("int").alias("year"), F.array(F.concat(F.lit("pmid:"), k.cast("string"))).alias("keys"))
+    title = F.when(k % 4 == 0, F.concat(F.upper("title"), F.lit("!"))).when((k % 4 == 1) & c("title").isNotNull(), "Zzyx wv").otherwise(c("title"))
+    doi = F.when(k % 6 == 0, c("doi")).when(k % 6 == 3, F.concat(F.lit("https://doi.org/"), c("doi"))).when(k % 6 == 4, "no doi")
+    arxiv = F.when(k % 6 == 1, F.concat(F.lit("arXiv:"), c("arxiv_id"), F.lit("v3"))).when(k % 6 == 5, F.concat(F.lit("2102."), (10000 + k % 10000).cast("string")))
+    pmid = F.when(k % 5 == 2, F.concat(F.lit("PMID: "), (k + 1).cast("string")))
+    author = F.when(k % 7 == 3, "Nobody, N.").otherwise(c("author"))
+    year = c("year") + F.when(k % 8 == 5, 5).otherwise(k % 2)
+    return t.papers.select(k.cast("string").alias("entry_id"), title.alias("title"), doi.alias("doi"), arxiv.alias("arxiv"), pmid.alias("pmid"), F.array(author).alias("authors"), year.cast("int").alias("year"), F.array(F.concat(F.lit("pmid:"), k.cast("string"))).alias("keys"))
+
+
+def _known(t):
+    return t.papers.where("p_partkey % 10 = 0").select(F.concat(F.lit("pmid:"), c("p_partkey").cast("string")).alias("alias"), "id")
 
 
-_E = "SELECT p_partkey::VARCHAR AS entry_id, CASE WHEN p_partkey % 4 = 0 THEN upper(title) || '!' ELSE title END AS title, CASE WHEN p_partkey % 6 = 0 THEN doi END AS doi, author, year, p_partkey FROM {papers} WHERE p_partkey % 2 = 0"
+_REASON = "CASE WHEN title IS NOT NULL AND p_partkey % 4 = 1 THEN 'title_mismatch' WHEN p_partkey % 7 = 3 THEN 'author_mismatch' WHEN year IS NOT NULL AND p_partkey % 8 = 5 THEN 'year_mismatch' END"
+_STAGE = f"SELECT p_partkey::VARCHAR AS entry_id, id, {_REASON} IS NULL AS accepted, {_REASON} AS reason FROM {{papers}} WHERE"
+_MISSED = "SELECT p_partkey::VARCHAR AS entry_id, {reason} AS reason FROM {{papers}} WHERE"
 
 
-@query("join_alias_stage", f"SELECT entry_id, 'p:' || p_partkey AS id, 1.0::DOUBLE AS confidence FROM ({_E}) e WHERE p_partkey % 10 = 0")
+@query("join_alias_stage", "SELECT p_partkey::VARCHAR AS entry_id, id, 1.0::DOUBLE AS confidence FROM {papers} WHERE p_partkey % 10 = 0")
 def join_alias_stage(t):
-    known = t.papers.where("p_partkey % 10 = 0").select(F.concat(F.lit("pmid:"), c("p_partkey").cast("string")).alias("alias"), F.concat(F.lit("p:"), c("p_partkey").cast("string")).alias("id"))
-    return rs.alias_stage(_queries(t), known)
+    return rs.alias_stage(_queries(t), _known(t))
+
+
+def _stage(t, method):
+    return rs.identifier_stage(_queries(t), _catalog(t), method)[0].select("entry_id", "id", "accepted", "reason")
 
 
-@query("join_doi_stage", f"SELECT e.entry_id, p.id FROM ({_E}) e JOIN {{papers}} p ON p.doi = e.doi")
+@query("join_doi_stage", f"{_STAGE} p_partkey % 3 = 0")
 def join_doi_stage(t):
-    return rs.identifier_stage(_queries(t), _catalog(t), "doi")
+    return _stage(t, "doi")
+
+
+@query("join_doi_attempts", "SELECT p_partkey::VARCHAR AS entry_id, 'unverifiable_identifier' AS reason, 'doi' AS method FROM {papers} WHERE p_partkey % 6 = 4")
+def join_doi_attempts(t):
+    return rs.identifier_stage(_queries(t), _catalog(t), "doi")[1]
+
+
+@query("join_arxiv_stage", f"{_STAGE} p_partkey % 6 IN (1, 5)")
+def join_arxiv_stage(t):
+    return _stage(t, "arxiv")
+
+
+@query("join_pmid_stage", f"{_STAGE} p_partkey % 5 = 2")
+def join_pmid_stage(t):
+    return _stage(t, "pmid")
+
+
+_E = "SELECT p_partkey::VARCHAR AS entry_id, CASE WHEN p_partkey % 4 = 0 THEN upper(title) || '!' WHEN p_partkey % 4 = 1 AND title IS NOT NULL THEN 'Zzyx wv' ELSE title END AS title FROM {papers}"
 
 
 @query("join_title_candidates", f"""WITH e AS (SELECT entry_id, {_TITLE.format("title")} AS a, {_TOKENS.format("title")} AS x FROM ({_E}) q WHERE title IS NOT NULL), k AS (SELECT id, {_TITLE.format("title")} AS b, {_TOKENS.format("title")} AS y FROM {{papers}} WHERE title IS NOT NULL)
@@ -70,25 +109,46 @@ def join_title_candidates(t):
 
 @query("join_title_stage")
 def join_title_stage(t):
-    return rs.title_stage(_queries(t), _catalog(t)).select("entry_id", "id", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), "rank")
+    return rs.title_stage(_queries(t), _catalog(t)).select("entry_id", "id", "provider", F.round("confidence", 6).alias("confidence"), F.round("title_score", 6).alias("title_score"), "accepted", "reason", "rank")
 
 
 @query("job_resolve_entries")
 def job_resolve_entries(t):
-    known = t.papers.where("p_partkey % 10 = 0").select(F.concat(F.lit("pmid:"), c("p_partkey").cast("string")).alias("alias"), "id")
-    return rs.resolve(_queries(t), _catalog(t), known)
+    results, _, _ = rs.resolve_entries(_queries(t), _catalog(t), _known(t))
+    return results.withColumn("confidence", F.round("confidence", 6))
+
+
+_EV = "SELECT c_nationkey::VARCHAR AS entry_id, c_custkey::VARCHAR AS id, (c_custkey % 2)::VARCHAR AS key, round(c_acctbal / 2000, 0)::DOUBLE / 5 AS confidence, (c_custkey % 11) / 10 AS title_score, (c_custkey % 5) / 4 AS author_score, CASE c_custkey % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' ELSE 'title' END AS method, c_custkey % 7 AS completeness, c_custkey % 3 AS provider_rank, c_nationkey % 3 <> 0 AND c_custkey % (c_nationkey + 20) = 1 AS accepted, CASE WHEN NOT (c_nationkey % 3 <> 0 AND c_custkey % (c_nationkey + 20) = 1) THEN CASE c_mktsegment WHEN 'BUILDING' THEN 'title_mismatch' WHEN 'MACHINERY' THEN 'year_mismatch' WHEN 'FURNITURE' THEN 'author_mismatch' ELSE 'low_confidence' END END AS reason FROM {customer}"
+_TIE = "round(confidence, 6) DESC, round(title_score, 6) DESC, round(author_score, 6) DESC, (method <> 'title')::INT DESC, completeness DESC, provider_rank, id"
+_DECIDED = f"""SELECT entry_id, CASE n WHEN 0 THEN 'rejected' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS id, method, confidence, CASE WHEN n > 1 THEN 'multiple_candidates' WHEN n = 0 THEN reason END AS reason FROM
+  (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY accepted DESC, {_TIE}) AS r, count(DISTINCT CASE WHEN accepted THEN key END) OVER (PARTITION BY entry_id) AS n FROM ({_EV}) e) x WHERE r = 1"""
+_REJECTED = "SELECT 'r' || r_regionkey AS entry_id, 'rejected' AS status, NULL AS id, NULL AS method, 0.0::DOUBLE AS confidence, CASE WHEN r_regionkey % 2 = 0 THEN 'unverifiable_identifier' ELSE 'no_provider_match' END AS reason FROM {region}"
 
 
-@query("agg_decide", "SELECT c_nationkey::VARCHAR AS entry_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'rejected' END AS status, CASE WHEN n = 1 THEN best.id END AS id, best.confidence AS confidence, CASE WHEN n = 0 THEN reason END AS reason FROM (SELECT c_nationkey, count(DISTINCT CASE WHEN ok THEN key END) AS n, max(struct_pack(ok := ok::INT, confidence := confidence, id := id)) AS best, min(reason) AS reason FROM (SELECT c_nationkey, c_custkey::VARCHAR AS id, (c_custkey % 2)::VARCHAR AS key, round(c_acctbal / 10000, 6)::DOUBLE AS confidence, c_acctbal > 9000 AS ok, CASE WHEN c_acctbal <= 9000 THEN c_mktsegment END AS reason FROM {customer}) x GROUP BY c_nationkey) y")
+@query("agg_decide", f"{_DECIDED} UNION ALL {_REJECTED}")
 def agg_decide(t):
-    ok = c("c_acctbal") > 9000
-    rows = t.customer.select(c("c_nationkey").cast("string").alias("entry_id"), c("c_custkey").cast("string").alias("id"), (c("c_custkey") % 2).cast("string").alias("key"), F.round(c("c_acctbal") / 10000, 6).cast("double").alias("confidence"), ok.alias("accepted"), F.when(~ok, c("c_mktsegment")).alias("reason"))
-    return rs.decide(rows)
+    from lodestrata.plans.views import spark_sql
+
+    evidence = spark_sql(t.spark, t.sf_dir, _EV.replace("::VARCHAR", "::string"))
+    reasons = F.array(F.lit("provider_unavailable"), F.lit("no_provider_match"), F.when(c("r_regionkey") % 2 == 0, "unverifiable_identifier").otherwise("provider_unavailable"))
+    attempts = t.region.select(F.concat(F.lit("r"), c("r_regionkey").cast("string")).alias("entry_id"), F.explode(reasons).alias("reason"))
+    return rs.decide(evidence, attempts.unionByName(evidence.select("entry_id", F.lit("unverifiable_identifier").alias("reason"))))
+
+
+@query("flt_resolvable", "SELECT p_partkey, p_partkey % 7 <> 0 OR p_partkey % 3 = 0 OR p_partkey % 6 = 1 AS ok FROM {papers}")
+def flt_resolvable(t):
+    return t.papers.select("p_partkey", rs.resolvable(c("title"), c("doi"), c("arxiv_id")).alias("ok"))
+
+
+@query("win_dedupe_candidates", "SELECT l_partkey, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS l_suppkey FROM {lineitem} GROUP BY l_partkey")
+def win_dedupe_candidates(t):
+    rows = t.lineitem.select("l_partkey", "l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("ordinal"))
+    return rs.dedupe_candidates(rows, ["l_partkey"]).select("l_partkey", "l_suppkey")
 
 
-@query("exp_chunks", "SELECT doc_id, i, substring(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(least(8, ceil(length(text) / 500)::BIGINT))) AS i FROM {documents}) x WHERE trim(regexp_replace(substring(text, i * 500 + 1, 500), '\\s+', '', 'g')) <> ''")
+@query("exp_chunks", "SELECT doc_id, i, substring(text, i * 12000 + 1, 12000) AS text FROM (SELECT doc_id, text, unnest(range(least(8, ceil(length(text) / 12000)::BIGINT))) AS i FROM {documents}) x WHERE trim(regexp_replace(substring(text, i * 12000 + 1, 12000), '\\s+', '', 'g')) <> ''")
 def exp_chunks(t):
-    return t.documents.select("doc_id", F.explode(sg.chunk_text(c("text"), 500, 8)).alias("x")).select("doc_id", c("x.i").cast("long").alias("i"), "x.text")
+    return t.documents.select("doc_id", F.explode(sg.chunk_text(c("text"), 12_000, 8)).alias("x")).select("doc_id", c("x.i").cast("long").alias("i"), "x.text")
 
 
 @query("top_batches", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM {conversations}")
@@ -128,18 +188,22 @@ def agg_grounding(t):
     return ev.grounding(t.claims, t.acquired)
 
 
-@query("agg_concepts", "SELECT lower(trim(label)) AS concept, arg_min(label, (doc_id, label)) AS label, count(DISTINCT doc_id) AS papers FROM (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS label FROM {documents}) x WHERE trim(label) <> '' GROUP BY 1")
+@query("agg_concepts", "SELECT lower(trim(label)) AS concept, arg_min(label, (doc_id, label)) AS label, count(DISTINCT doc_id) AS papers FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS label FROM {documents}) x WHERE trim(label) <> '' GROUP BY 1")
 def agg_concepts(t):
-    labels = t.documents.select("doc_id", F.explode(F.split(F.left("text", F.lit(200)), " ")).alias("label"))
+    labels = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("label"))
     return ev.concepts(labels.select("label", c("doc_id").alias("paper_id"), c("doc_id").alias("ordinal")))
 
 
-_W = "SELECT {k}, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3))) AS word FROM {t}"
+_W = "SELECT {k}, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM {t}"
+_MET = "SELECT question_id, claim_id, count(*) AS overlap FROM (" + _W.replace("{k}", "claim_id").replace("{t}", "{claims}") + ") a JOIN (" + _W.replace("{k}", "question_id").replace("{t}", "q") + ") b ON a.word = b.word GROUP BY 1, 2"
 
 
-@query("join_relevant_claims", "SELECT question_id, claim_id, count(*) AS overlap FROM (" + _W.replace("{k}", "claim_id").replace("{t}", "{claims}") + ") a JOIN (" + _W.replace("{k}", "item_id AS question_id").replace("{t}", "{benchmark}") + ") b ON a.word = b.word GROUP BY 1, 2")
+@query("join_relevant_claims", f"""SELECT question_id, claim_id, overlap, row_number() OVER (PARTITION BY question_id ORDER BY CASE status WHEN 'supported' THEN 1 WHEN 'disputed' THEN 2 WHEN 'proposed' THEN 3 ELSE 4 END, claim_id) AS rank FROM
+  (WITH q AS (SELECT item_id AS question_id, text FROM {{benchmark}} UNION ALL SELECT -1 - r_regionkey, '(%)' FROM {{region}} WHERE r_regionkey < 2), m AS ({_MET})
+  SELECT * FROM m UNION ALL SELECT question_id, claim_id, 0 FROM q, {{claims}} WHERE question_id NOT IN (SELECT question_id FROM m)) x JOIN {{claims}} c USING (claim_id)""")
 def join_relevant_claims(t):
-    return ev.relevant_claims(t.claims, t.benchmark.select(c("item_id").alias("question_id"), "text"))
+    questions = t.benchmark.select(c("item_id").alias("question_id"), "text").unionByName(t.region.where("r_regionkey < 2").select((-1 - c("r_regionkey")).alias("question_id"), F.lit("(%)").alias("text")))
+    return ev.relevant_claims(t.claims, questions)
 
 
 @query("win_build_pack", "SELECT paper_id, hash, CASE WHEN content_kind = 'metadata' THEN 'no_evidence' WHEN paper_id > min(CASE WHEN content_kind <> 'metadata' THEN paper_id END) OVER (PARTITION BY hash) THEN 'duplicate_content' ELSE 'included' END AS status FROM (SELECT a.paper_id, a.content_kind, sha256(d.text) AS hash FROM {acquired} a JOIN {documents} d ON d.doc_id = a.paper_id) x")

@@ -32,8 +32,13 @@ def snk_insert_missing(t):
 @query("snk_edge_provenance", "SELECT src, dst, min(provider) AS provider, count(*) AS observations FROM (SELECT concat('o:', l_orderkey) AS src, p.id AS dst, p.provider || l_linenumber AS provider FROM {lineitem} JOIN {papers} p ON p_partkey = l_partkey) x GROUP BY src, dst")
 def snk_edge_provenance(t):
     seen = t.lineitem.join(t.papers, c("p_partkey") == c("l_partkey")).select(F.concat(F.lit("o:"), c("l_orderkey").cast("string")).alias("src"), c("id").alias("dst"), F.concat("provider", c("l_linenumber").cast("string")).alias("provider"))
-    counts = seen.groupBy("src", "dst").agg(F.count("*").alias("observations"))
-    return g.first_rows(seen, ["src", "dst"], ["provider"]).join(counts, ["src", "dst"])
+    return g.edge_provenance(seen)
+
+
+@query("flt_edge_observations", "SELECT src, dst, evidence_type, provider FROM (SELECT concat('o:', l_orderkey) AS src, p.id AS dst, l_returnflag AS evidence_type, p.provider FROM {lineitem} JOIN {papers} p ON p_partkey = l_partkey) x WHERE evidence_type = 'R' AND dst = 'openalex:4'")
+def flt_edge_observations(t):
+    seen = t.lineitem.join(t.papers, c("p_partkey") == c("l_partkey")).select(F.concat(F.lit("o:"), c("l_orderkey").cast("string")).alias("src"), c("id").alias("dst"), c("l_returnflag").alias("evidence_type"), "provider")
+    return g.edge_observations(seen, dst="openalex:4", evidence_type="R")
 
 
 @query("set_union_edges", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {edges} UNION ALL SELECT dst AS src, src AS dst FROM {edges}) x")
@@ -47,7 +52,7 @@ def join_neighbors(t):
     return g.neighbors(nodes, t.edges)
 
 
-@query("itr_alias_closure", "SELECT alias, 'alias:1' AS canonical_id FROM {aliases}")
+@query("itr_alias_closure", "SELECT * FROM (WITH RECURSIVE r AS (SELECT alias, canonical_id FROM {aliases} UNION ALL SELECT r.alias, a.canonical_id FROM r JOIN {aliases} a ON a.alias = r.canonical_id) SELECT alias, canonical_id FROM r WHERE canonical_id NOT IN (SELECT alias FROM {aliases})) x")
 def itr_alias_closure(t):
     return g.canonicalize(t.aliases)
 
@@ -63,9 +68,12 @@ def itr_k_hop(t):
 _PAIRS = "SELECT a.agent_id, a.node, b.node AS next FROM {visits_mixed} a JOIN {edges} e ON e.src = a.node JOIN {visits_mixed} b ON b.agent_id = a.agent_id AND b.node = e.dst"
 
 
-@query("itr_coherence", f"""SELECT * FROM (WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), q AS MATERIALIZED (SELECT agent_id, node, next FROM p UNION SELECT agent_id, next, node FROM p),
+COHERENCE = f"""SELECT * FROM (WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), q AS MATERIALIZED (SELECT agent_id, node, next FROM p UNION SELECT agent_id, next, node FROM p),
   r AS (SELECT agent_id, arg_min(node, (ordinal, node)) AS node FROM {{visits_mixed}} GROUP BY agent_id UNION SELECT q.agent_id, q.next FROM r JOIN q ON q.agent_id = r.agent_id AND q.node = r.node),
-  n AS (SELECT agent_id, count(*) AS n FROM {{visits_mixed}} GROUP BY agent_id) SELECT r.agent_id, round(count(*) / min(n), 6) AS coherence FROM r JOIN n ON n.agent_id = r.agent_id GROUP BY r.agent_id) x""")
+  n AS (SELECT agent_id, count(*) AS n FROM {{visits_mixed}} GROUP BY agent_id) SELECT r.agent_id, round(count(*) / min(n), 6) AS coherence FROM r JOIN n ON n.agent_id = r.agent_id GROUP BY r.agent_id) x"""
+
+
+@query("itr_coherence", COHERENCE)
 def itr_coherence(t):
     return g.coherence(t.visits_mixed, t.edges).select("agent_id", F.round("coherence", 6).alias("coherence"))
 
@@ -167,16 +175,29 @@ def frontier_scores(t):
     return fr.probabilities(transitions(t)).select("agent_id", "src", "dst", "mode", F.round("weight", 5).alias("weight"), F.round("probability", 7).alias("probability"))
 
 
+_TABLE = f"""SELECT f.agent_id, f.src, f.id, f.mode, coalesce(tau, 1.0) AS tau, round(pow(coalesce(tau, 1.0), 1.5) * pow(coalesce(eta, 0), 2) * CASE WHEN f.mode = 'ref' THEN CASE caste WHEN 'fundaciones' THEN 0.75 WHEN 'impacto' THEN 0.25 ELSE 0.5 END ELSE CASE caste WHEN 'fundaciones' THEN 0.25 WHEN 'impacto' THEN 0.75 ELSE 0.5 END END, 5) AS weight
+  FROM (SELECT agent_id, id, 'o:' || (p_partkey % 100) AS src, CASE WHEN p_partkey % 2 = 0 THEN 'ref' ELSE 'cites' END AS mode FROM {{agents}} CROSS JOIN {{papers}}) f LEFT JOIN (SELECT agent_id, src, dst AS id, mode, tau FROM {{pheromone}}) p USING (agent_id, src, id, mode) LEFT JOIN (SELECT id, 1 / (1 + exp(-(0.4 * sim + 0.3 * citations + 0.2 * recency + 0.1 * confidence))) AS eta FROM ({ETA}) s) e USING (id) JOIN {{agents}} a ON a.agent_id = f.agent_id"""
+
+
+@query("join_transition_table", _TABLE)
+def join_transition_table(t):
+    """Every agent with every paper as a candidate, walked before or not."""
+    k = c("p_partkey")
+    names = [x.agent_id for x in t.agents.select("agent_id").collect()]  # a colony's agents
+    frontier = t.papers.select(F.explode(F.array(*[F.lit(x) for x in names])).alias("agent_id"), "id", F.concat(F.lit("o:"), (k % 100).cast("string")).alias("src"), F.when(k % 2 == 0, "ref").otherwise("cites").alias("mode"))
+    return fr.transition_table(frontier, t.pheromone, eta_table(t), t.agents).withColumn("weight", F.round("weight", 5))
+
+
 @query("top_draw")
 def top_draw(t):
     w = transitions(t).groupBy("agent_id", c("dst").alias("id")).agg(F.sum("weight").alias("weight"))
-    return fr.draw(w, 7, 1)
+    return fr.draw(w, 7, 1, epsilon=0.1)
 
 
 @query("itr_draw_distinct")
 def itr_draw_distinct(t):
     w = transitions(t).groupBy("agent_id", c("dst").alias("id")).agg(F.sum("weight").alias("weight"))
-    return fr.draw_distinct(w, 7, 1, priorities(t).select("agent_id", "priority"), 3)
+    return fr.draw_distinct(w, 7, 1, priorities(t).select("agent_id", "priority"))
 
 
 _DEPOSIT = "SELECT agent_id, src, dst, mode, 0.5 / greatest(1, count(*) OVER (PARTITION BY agent_id, l_orderkey)) AS deposit FROM {paths}"
@@ -196,9 +217,10 @@ def agg_concentration(t):
     return fr.concentration(t.pheromone).withColumn("concentration", F.round("concentration", 6))
 
 
-@query("agg_coverage", "SELECT agent_id, least(1.0, count(*) / 30)::DOUBLE AS coverage FROM {visits} GROUP BY agent_id")
+@query("agg_coverage", "SELECT a.agent_id, least(1.0, count(node) / 30)::DOUBLE AS coverage FROM {agents} a LEFT JOIN (SELECT * FROM {visits} WHERE agent_id <> 3) v ON v.agent_id = a.agent_id GROUP BY a.agent_id")
 def agg_coverage(t):
-    return t.visits.groupBy("agent_id").agg(F.least(F.lit(1.0), F.count("*") / 30).alias("coverage"))
+    counts = t.visits.where("agent_id <> 3").groupBy("agent_id").agg(F.least(F.lit(1.0), F.count("*") / 30).alias("coverage"))
+    return t.agents.select("agent_id").join(counts, "agent_id", "left").select("agent_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 _UNIT = "SELECT id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM {vectors}"
@@ -211,6 +233,17 @@ def agg_diversity(t):
     return g.diversity(t.read_papers, t.vectors).withColumn("diversity", F.round("diversity", 5))
 
 
+_MIXED = "(SELECT agent_id, node AS id FROM {visits_mixed} WHERE agent_id <> 3)"
+
+
+@query("agg_structural", f"""SELECT a.agent_id, round(CASE WHEN c.coverage IS NULL THEN 0 ELSE c.coverage END, 5) AS coverage, round(CASE WHEN c.coverage IS NULL THEN 0 ELSE coalesce(d.diversity, 1) END, 5) AS diversity, round(CASE WHEN c.coverage IS NULL THEN 0 ELSE coalesce(e.depth, 0.5) END, 5) AS depth, round(CASE WHEN c.coverage IS NULL THEN 0 ELSE h.coherence END, 5) AS coherence
+  FROM {{agents}} a LEFT JOIN (SELECT agent_id, least(1.0, count(*) / 30) AS coverage FROM {_MIXED} v GROUP BY agent_id) c ON c.agent_id = a.agent_id LEFT JOIN ({DIVERSITY.replace("{read_papers}", _MIXED)}) d ON d.agent_id = a.agent_id
+  LEFT JOIN (SELECT agent_id, 1 / (1 + exp(-ln(1 + avg(citation_count)) / 5)) AS depth FROM {_MIXED} v JOIN {{papers}} p ON p.id = v.id GROUP BY agent_id) e ON e.agent_id = a.agent_id LEFT JOIN ({COHERENCE}) h ON h.agent_id = a.agent_id""")
+def agg_structural(t):
+    rows = g.structural(t.agents, t.visits_mixed.where("agent_id <> 3"), t.papers, t.vectors, t.edges)
+    return rows.select("agent_id", *[F.round(x, 5).alias(x) for x in ("coverage", "diversity", "depth", "coherence")])
+
+
 @query("agg_depth", "SELECT agent_id, round(1 / (1 + exp(-ln(1 + avg(citation_count)) / 5)), 6) AS depth FROM {read_papers} v JOIN {papers} p ON p.id = v.id GROUP BY agent_id")
 def agg_depth(t):
     return t.read_papers.join(t.papers, "id").groupBy("agent_id").agg(F.round(maths.sigmoid(F.log1p(F.avg("citation_count")) / 5), 6).alias("depth"))

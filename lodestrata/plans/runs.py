@@ -37,11 +37,11 @@ def win_retained(t):
     return rn.retained_window(t.run_events, 3).select("run_id", "seq", "seen", "dropped")
 
 
-@query("win_verify_chain", "SELECT run_id, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS broken, 0::BIGINT AS gaps FROM {run_events} GROUP BY run_id")
+@query("win_verify_chain", "SELECT run_id, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS broken, count(*) FILTER (seq <> coalesce(before, 0) + 1) AS gaps FROM (SELECT run_id, seq, event_id, lag(seq) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM {run_events} WHERE event_id % 6 <> 1) x GROUP BY run_id")
 def win_verify_chain(t):
-    state = t.run_events.withColumns({"state": c("event_id").cast("string"), "h": F.sha2(c("event_id").cast("string").cast("binary"), 256)})
     from pyspark.sql import Window
 
+    state = t.run_events.where("event_id % 6 <> 1").withColumns({"state": c("event_id").cast("string"), "h": F.sha2(c("event_id").cast("string").cast("binary"), 256)})
     before = F.lag("h").over(Window.partitionBy("run_id").orderBy("seq"))
     rows = state.select("run_id", "seq", "state", c("h").alias("state_hash"), F.when(c("event_id") % 10 == 0, "wrong").otherwise(before).alias("prev_hash"))
     return rn.verify_chain(rows)
@@ -76,6 +76,12 @@ def win_convergence(t):
     return rn.convergence(t.evaluations, 2, 0.05, 4)
 
 
+@query("win_stop_reasons", f"SELECT run_id, min(wave) AS wave, arg_min(reason, wave) AS reason FROM (SELECT run_id, wave, CASE WHEN wave * 90 >= 400 THEN 'budget' WHEN wave * 7 >= 26 THEN 'time_budget' WHEN plateau THEN 'quality_plateau' WHEN q > 0.3 THEN 'pheromone_converged' END AS reason FROM ({_PLATEAU}) p JOIN {{evaluations}} e USING (run_id, wave)) x WHERE reason IS NOT NULL GROUP BY run_id")
+def win_stop_reasons(t):
+    rows = t.evaluations.withColumns({"fetches": c("wave") * 90, "elapsed": c("wave") * 7, "concentration": c("q")})
+    return rn.convergence(rows, 2, 0.05, 400, seconds=26, theta=0.3)
+
+
 @query("win_latest_eval", "SELECT run_id, max(wave) AS wave, arg_max(q, wave) AS q FROM {evaluations} GROUP BY run_id")
 def win_latest_eval(t):
     return rn.latest(t.evaluations, "run_id", "wave", "q")
@@ -97,11 +103,15 @@ def job_project_runs(t):
     return rn.project_runs(events.unionByName(events.where("seq % 2 = 0")))  # repeats change nothing
 
 
-@query("flt_stale_runs", "SELECT run_id, CASE WHEN age > 86400 THEN 'interrupted' ELSE 'running' END AS status, CASE WHEN age > 86400 THEN 'stale_heartbeat' END AS reason FROM (SELECT run_id, date_diff('second', max(ts), (SELECT max(ts) FROM {run_events})) AS age FROM {run_events} GROUP BY run_id) x")
+_AGE = "SELECT run_id, date_diff('second', max(ts), (SELECT max(ts) FROM {run_events})) AS age, run_id % 4 = 0 AND run_id % 3 = 0 AS dead FROM {run_events} GROUP BY run_id"
+
+
+@query("flt_stale_runs", f"SELECT run_id, CASE WHEN dead OR age > 86400 THEN 'interrupted' ELSE 'running' END AS status, CASE WHEN dead THEN 'process_dead' WHEN age > 86400 THEN 'stale_heartbeat' END AS reason FROM ({_AGE}) x")
 def flt_stale_runs(t):
-    beats = t.run_events.groupBy("run_id").agg(F.max("ts").alias("heartbeat"), F.lit("running").alias("status"))
-    now = t.run_events.agg(F.max("ts").alias("now"))
-    return rn.stale_runs(beats.join(F.broadcast(now)), c("now"), 86400).select("run_id", "status", "reason")
+    k = c("run_id")
+    beats = t.run_events.groupBy("run_id").agg(F.max("ts").alias("heartbeat"), F.lit("running").alias("status")).withColumns({"host": F.when(k % 4 == 0, "here").otherwise("there"), "pid_alive": k % 3 != 0})
+    now = F.lit(t.run_events.agg(F.max("ts").cast("timestamp")).first()[0])
+    return rn.stale_runs(beats, now, 86400, F.lit("here")).select("run_id", "status", "reason")
 
 
 @query("agg_list_runs", "SELECT run_id, count(*) AS events, count(*) FILTER (type = 'evaluation_complete') AS evaluations FROM {run_events} GROUP BY run_id")
@@ -123,10 +133,10 @@ def agg_quality(t):
     return rn.quality(rows, {"s": 0.3, "p": 0.3, "r": 0.4}).select("c_custkey", F.round("q", 6).alias("q"), "unavailable")
 
 
-@query("agg_rollup_status", "SELECT o_custkey, CASE WHEN bool_or(s = 'active') THEN 'active' WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_and(s IN ('completed', 'failed')) THEN 'completed' ELSE 'pending' END AS status FROM (SELECT o_custkey, CASE o_orderkey % 11 WHEN 0 THEN 'active' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE 'completed' END AS s FROM {orders}) x GROUP BY o_custkey")
+@query("agg_rollup_status", "SELECT o_custkey, CASE WHEN bool_or(s = 'active') THEN 'active' WHEN bool_and(s IN ('completed', 'failed', 'skipped')) THEN 'completed' WHEN bool_or(s = 'failed') THEN 'failed' ELSE 'pending' END AS status FROM (SELECT o_custkey, CASE o_orderkey % 11 WHEN 0 THEN 'active' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' WHEN 3 THEN 'skipped' ELSE 'completed' END AS s FROM {orders}) x GROUP BY o_custkey")
 def agg_rollup_status(t):
     k = c("o_orderkey") % 11
-    rows = t.orders.select("o_custkey", F.when(k == 0, "active").when(k == 1, "failed").when(k == 2, "pending").otherwise("completed").alias("status"))
+    rows = t.orders.select("o_custkey", F.when(k == 0, "active").when(k == 1, "failed").when(k == 2, "pending").when(k == 3, "skipped").otherwise("completed").alias("status"))
     return rn.rollup_status(rows, ["o_custkey"])
 
 
@@ -186,3 +196,32 @@ def snk_evaluation_events(t):
 @query("str_loose_numbers", "SELECT event_id, coalesce(TRY_CAST(substr(event_type || event_id, 6) AS INT), -1) AS i, TRY_CAST(value::VARCHAR AS DOUBLE) AS f FROM {events}")
 def str_loose_numbers(t):
     return t.events.select("event_id", rn.loose_int(F.substr(F.concat("event_type", c("event_id").cast("string")), F.lit(6)), -1).alias("i"), rn.loose_float(c("value").cast("string")).alias("f"))
+
+
+_NEWS = "SELECT run_id, seq, agent_id, CASE event_id % 7 WHEN 0 THEN 'reference_mapping_started' WHEN 1 THEN 'reference_mapping_completed' WHEN 2 THEN 'discovery_completed' WHEN 3 THEN 'frontier_completed' WHEN 4 THEN 'agent_step' WHEN 5 THEN 'warning' ELSE 'candidate_score' END AS type FROM {run_events}"
+
+
+@query("stm_timeline", f"""SELECT entry_id, max(seq) AS seq, arg_max(status, seq) AS status FROM (SELECT seq, kind || ':' || run_id || ':' || CASE WHEN kind IN ('warning', 'paper') THEN seq::VARCHAR ELSE coalesce(agent_id, '-') END AS entry_id, status FROM
+  (SELECT *, CASE WHEN type LIKE 'reference%' THEN 'mapping' WHEN type LIKE 'discovery%' THEN 'discovery' WHEN type LIKE 'frontier%' THEN 'frontier' WHEN type = 'agent_step' THEN 'paper' WHEN type = 'warning' THEN 'warning' END AS kind, CASE WHEN type LIKE '%started' THEN 'active' WHEN type = 'warning' THEN 'failed' ELSE 'completed' END AS status FROM ({_NEWS}) n) x WHERE kind IS NOT NULL) y GROUP BY entry_id""")
+def stm_timeline(t):
+    from lodestrata.plans.views import spark_sql
+
+    return rn.timeline_rows(spark_sql(t.spark, t.sf_dir, _NEWS)).groupBy("entry_id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
+
+
+_STAGES = ("exam_pack_built", "exam_generated", "exam_validated", "exam_split", "survivor_selected", "benchmark_completed")
+_EXAM = "SELECT run_id, seq, value, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_STAGES)) + " ELSE 'warning' END AS type FROM {run_events}"
+
+
+@query("stm_exam_projection", "SELECT run_id, " + ", ".join(f"arg_max(value, seq) FILTER (type = '{n}') AS {a}" for n, a in zip(_STAGES, ("sources", "items", "sound", "held", "survivor", "uplift"), strict=True)) + f", arg_max(type, seq) AS stage FROM ({_EXAM}) e WHERE type <> 'warning' GROUP BY run_id")
+def stm_exam_projection(t):
+    from lodestrata.plans.views import spark_sql
+
+    return rn.exam_projection(spark_sql(t.spark, t.sf_dir, _EXAM))
+
+
+@query("snk_artifact_events", "SELECT run_id, 'artifact_recorded' AS type, event_id AS artifact_id, CASE WHEN event_id % 3 <> 0 THEN props END AS content FROM {run_events} r JOIN (SELECT event_id, props FROM {events}) e USING (event_id)")
+def snk_artifact_events(t):
+    rows = t.run_events.select("run_id", c("event_id").alias("artifact_id"), c("type").alias("kind"), c("payload").alias("content"), (c("event_id") % 3 == 0).alias("private"))
+    news = rn.private_artifacts(rows.limit(0), rows)[1]
+    return news.select("run_id", "type", F.get_json_object("payload", "$.artifact_id").cast("long").alias("artifact_id"), F.get_json_object("payload", "$.content").alias("content"))

@@ -24,15 +24,15 @@ VIEWS = {
         coalesce(n_cites, 0) AS citation_count
         FROM {part} LEFT JOIN {cited} ON l_partkey = p_partkey""",
     "edges": "SELECT DISTINCT concat('o:', CAST(l_orderkey AS STRING)) AS src, p.id AS dst FROM {lineitem} JOIN {papers} p ON p.p_partkey = l_partkey",
-    "aliases": """SELECT concat('alias:', CAST(p_partkey AS STRING)) AS alias, concat('alias:', CAST(p_partkey DIV 2 AS STRING)) AS canonical_id FROM {part} WHERE p_partkey > 1""",
+    "aliases": """SELECT concat('alias:', CAST(p_partkey AS STRING)) AS alias, concat('alias:', CAST(p_partkey DIV 2 AS STRING)) AS canonical_id FROM {part} WHERE p_partkey > 1 AND p_partkey % 7 <> 0""",
     "agents": """SELECT n_nationkey AS agent_id, CASE n_nationkey % 3 WHEN 0 THEN 'fundaciones' WHEN 1 THEN 'impacto' ELSE 'mixto' END AS caste,
         n_nationkey % 10 AS budget FROM {nation}""",
     "visits": """SELECT c_nationkey AS agent_id, concat('o:', CAST(o_orderkey AS STRING)) AS node,
         CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS ordinal FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
     "visits_mixed": """SELECT agent_id, node, min(ordinal) AS ordinal FROM (
-        SELECT agent_id, node, ordinal FROM {visits} WHERE ordinal <= 40
-        UNION ALL SELECT v.agent_id, e.dst AS node, 1000 + v.ordinal AS ordinal FROM {visits} v JOIN {edges} e ON e.src = v.node
-        JOIN {papers} p ON p.id = e.dst WHERE v.ordinal <= 40 AND p.p_partkey % 2 = 0) x GROUP BY agent_id, node""",
+        SELECT agent_id, node, ordinal FROM {visits}
+        UNION ALL SELECT v.agent_id, e.dst AS node, 1000000000 + v.ordinal AS ordinal FROM {visits} v JOIN {edges} e ON e.src = v.node
+        JOIN {papers} p ON p.id = e.dst WHERE p.p_partkey % 2 = 0) x GROUP BY agent_id, node""",
     "read_papers": """SELECT v.agent_id, e.dst AS id, min(v.ordinal) AS ordinal FROM {visits} v JOIN {edges} e ON e.src = v.node GROUP BY v.agent_id, e.dst""",
     "vectors": "SELECT p.id, e.embedding FROM {papers} p JOIN {embeddings} e ON e.vec_id = p.p_partkey % 500",
     "pheromone": """SELECT s_nationkey AS agent_id, concat('o:', CAST(l_orderkey % 100 AS STRING)) AS src, p.id AS dst,
@@ -51,10 +51,10 @@ VIEWS = {
         CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), '[1] ') ELSE concat(chr(10), '1. ') END, 'Smith, A. On the ', p_name, '. 2001. doi:10.1000/', CAST(p_partkey AS STRING), '.',
         CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), '[2] ') ELSE concat(chr(10), '2. ') END, 'Jones, B. Notes on ', p_type, '. arXiv:2101.', CAST(10000 + p_partkey % 10000 AS STRING), 'v2.',
         CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), '[3] ') ELSE concat(chr(10), '3. ') END, 'Brown, C. A survey of ', p_brand, '. PMID: ', CAST(p_partkey + 1 AS STRING)) AS text FROM {part}""",
-    "catalog": "SELECT doc_id, substring(text, 1, 80) AS title, source AS author, CAST(2000 + doc_id % 20 AS INT) AS year FROM {documents} WHERE doc_id % 2 = 0",
-    "entries": "SELECT doc_id, substring(text, 1, 80) AS title, source AS author, CAST(2000 + doc_id % 21 AS INT) AS year FROM {documents} WHERE doc_id % 2 = 1",
+    "catalog": "SELECT doc_id, text AS title, source AS author, CAST(2000 + doc_id % 20 AS INT) AS year FROM {documents} WHERE doc_id % 2 = 0",
+    "entries": "SELECT doc_id, text AS title, source AS author, CAST(2000 + doc_id % 21 AS INT) AS year FROM {documents} WHERE doc_id % 2 = 1",
     "acquired": "SELECT doc_id AS paper_id, CASE WHEN quality = 1 THEN 'full_text' WHEN toxic = 1 THEN 'metadata' ELSE 'abstract' END AS content_kind FROM {labels}",
-    "claims": """SELECT doc_id AS claim_id, doc_id % 25 AS agent_id, substring(text, 1, 60) AS text, doc_id AS paper_id,
+    "claims": """SELECT doc_id AS claim_id, doc_id % 25 AS agent_id, text, doc_id AS paper_id,
         CASE doc_id % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'disputed' WHEN 2 THEN 'proposed' ELSE 'unknown' END AS status,
         CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence FROM {documents}""",
     "exam_items": """SELECT item_id, text AS question, CASE item_id % 6 WHEN 0 THEN 'concepts_definitions' WHEN 1 THEN 'method_experimental_design' WHEN 2 THEN 'results_interpretation'

@@ -59,6 +59,20 @@ def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat(F.lit("pmid:"), "MedlineCitation.PMID._VALUE").alias("id"), F.col("MedlineCitation.PMID._VALUE").alias("pmid"), doi.alias("doi"), F.col(f"{a}.ArticleTitle").alias("title"), year.alias("year"), F.transform(f"{a}.AuthorList.Author", lambda x: F.trim(F.concat_ws(" ", x["ForeName"], x["LastName"]))).alias("authors"), F.nullif(F.array_join(f"{a}.Abstract.AbstractText", " "), F.lit("")).alias("abstract"), F.lit("pubmed").alias("provider"))
 
 
+SUMMARY = "map<string,string>"
+SUMMARY_ROW = "uid string, error string, title string, pubdate string, authors array<struct<name:string>>, articleids array<struct<idtype:string,value:string>>"
+
+
+def read_pubmed_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """papers of summaries, one JSON object a line: its result holds each paper under its id, beside the list uids; papers with an
+    error are left out."""
+    rows = spark.read.text(path)
+    each = rows.select(F.explode(F.from_json(F.get_json_object("value", "$.result"), SUMMARY)).alias("key", "body")).where("key <> 'uids'")
+    x = each.select(F.from_json("body", SUMMARY_ROW).alias("x")).where("x.uid is not null and x.error is null").select("x.*")
+    doi = F.get(F.filter("articleids", lambda a: a["idtype"] == "doi"), F.lit(0))["value"]
+    return x.select(F.concat(F.lit("pmid:"), "uid").alias("id"), F.col("uid").alias("pmid"), doi.alias("doi"), "title", F.expr("try_cast(left(pubdate, 4) as int)").alias("year"), F.transform("authors", lambda a: a["name"]).alias("authors"), F.lit(None).cast("string").alias("abstract"), F.lit("pubmed").alias("provider"))
+
+
 def read_arxiv_atom(spark: SparkSession, path: str) -> DataFrame:
     """papers of Atom entries: id after /abs/ without its version, year from the date, the primary category first."""
     rows = spark.read.format("xml").option("rowTag", "entry").schema(ARXIV).load(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -16,9 +17,15 @@ from lodestrata.shipping import ship
 
 SILENCE_MS = 120_000
 EVENT = StructType([StructField("run_id", LongType()), StructField("seq", LongType()), StructField("ts", TimestampType()), StructField("type", StringType()), StructField("agent_id", StringType()), StructField("value", DoubleType()), StructField("payload", StringType())])
-STATE = StructType([StructField("last_seq", LongType()), StructField("seen", LongType()), StructField("status", StringType()), StructField("agent_id", StringType()), StructField("evaluations", LongType()), StructField("best_q", DoubleType())])
-OUTPUT = StructType([StructField("run_id", LongType()), *STATE.fields, StructField("retained", LongType()), StructField("expired", BooleanType())])
+STATE = StructType([
+    StructField("last_seq", LongType()), StructField("seen", LongType()), StructField("scores", LongType()), StructField("status", StringType()), StructField("agent_id", StringType()),
+    StructField("evaluations", LongType()), StructField("best_q", DoubleType()), StructField("wave", LongType()), StructField("wave_status", StringType()), StructField("phase_status", StringType()),
+    StructField("turns", LongType()), StructField("exam_stage", StringType()), StructField("warnings", LongType()),
+])
+OUTPUT = StructType([StructField("run_id", LongType()), *STATE.fields, StructField("retained", LongType()), StructField("dropped", LongType()), StructField("retained_scores", LongType()), StructField("expired", BooleanType())])
+HELD = StructType([StructField("seq", LongType()), StructField("type", StringType()), StructField("value", DoubleType())])
 _STATUS = {"run_started": "running", "run_completed": "completed", "quality_eval_completed": "evaluating"}
+_ENDED = ("completed", "cancelled", "failed", "interrupted")
 
 
 def ingest(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -28,65 +35,105 @@ def ingest(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
 
 
 class Fold(StatefulProcessor):
-    """A run's state: events with a number up to the last one's are dropped, those of an input batch are taken in order; only
-    counters and the last values are held, whatever the number of events."""
+    """A run's state: events with a number up to the last one's are dropped, those of an input batch are taken in order. Counters and
+    the last values are held, and the last RETAINED events and candidate scores, whatever the number of events."""
 
-    def __init__(self, silence_ms: int | None = None):
-        self.silence_ms = silence_ms
+    def __init__(self, silence_ms: int | None = None, most: int = RETAINED):
+        self.silence_ms, self.most = silence_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("run", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        last, seen, status, agent, evaluations, best = self.state.get() or (0, 0, None, None, 0, None)
-        for x in pd.concat(list(rows)).sort_values(["seq", "type"]).itertuples():
-            if 0 < x.seq <= last:
+        self.events, self.scores = handle.getListState("events", HELD), handle.getListState("scores", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        s = dict(zip(STATE.names, held, strict=True)) if held else dict.fromkeys(STATE.names) | dict.fromkeys(("last_seq", "seen", "scores", "evaluations", "turns", "warnings"), 0)
+        events, scores = deque(self.events.get() if held else (), self.most), deque(self.scores.get() if held else (), self.most)
+        batch = sorted((row for df in rows for row in df[["seq", "type", "agent_id", "value"]].itertuples(index=False)), key=lambda x: (x.seq, x.type or ""))
+        for x in batch:
+            if 0 < x.seq <= s["last_seq"]:
                 continue
-            last, seen = max(last, int(x.seq)), seen + 1
-            status = _STATUS.get(x.type, status)
-            agent = x.agent_id if isinstance(x.agent_id, str) else agent
-            if x.type == "quality_eval_completed":
-                evaluations += 1
-                if x.value == x.value:
-                    best = max(best if best is not None else -1e300, min(1.0, float(x.value) / 100))
-        self.state.update((last, seen, status, agent, evaluations, best))
+            s["last_seq"], s["seen"] = max(s["last_seq"], int(x.seq)), s["seen"] + 1
+            row = (int(x.seq), x.type, None if x.value != x.value else float(x.value))
+            events.append(row)
+            if x.type == "candidate_score":
+                s["scores"] += 1
+                scores.append(row)
+            self._step(s, x)
+        self.state.update(tuple(s[n] for n in STATE.names))
+        if events:
+            self.events.put(list(events))
+        if scores:
+            self.scores.put(list(scores))
         if self.silence_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.silence_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silence_ms)
         yield self._row(key, False)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        state = self.state.get()
-        if state and state[2] in ("running", "evaluating"):
-            self.state.update((state[0], state[1], "interrupted", *state[3:]))
+    @staticmethod
+    def _step(s: dict, x) -> None:
+        """One event's effect on the machines of run, wave, phase, turn and exam."""
+        kind = x.type or ""
+        s["status"] = _STATUS.get(kind, s["status"])
+        s["agent_id"] = x.agent_id if isinstance(x.agent_id, str) else s["agent_id"]
+        if kind == "quality_eval_completed":
+            s["evaluations"] += 1
+            if x.value == x.value:
+                s["best_q"] = max(s["best_q"] if s["best_q"] is not None else -1e300, min(1.0, float(x.value) / 100))
+        elif kind in ("wave_started", "wave_completed"):
+            s["wave"] = (s["wave"] or 0) + (kind == "wave_started")
+            s["wave_status"] = "active" if kind == "wave_started" else "completed"
+        elif kind.startswith("phase_"):
+            s["phase_status"] = {"phase_started": "active", "phase_completed": "completed"}.get(kind, "failed")
+        elif kind == "agent_turn_completed":
+            s["turns"] += 1
+        elif kind.startswith(("exam_", "survivor_", "benchmark_")):
+            s["exam_stage"] = kind
+        elif kind == "warning":
+            s["warnings"] += 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        if held and held[STATE.names.index("status")] not in (None, *_ENDED):
+            at = STATE.names.index("status")
+            self.state.update((*held[:at], "interrupted", *held[at + 1 :]))
             yield self._row(key, True)
 
     def _row(self, key, expired: bool) -> pd.DataFrame:
-        last, seen, status, agent, evaluations, best = self.state.get()
-        return pd.DataFrame([(key[0], last, seen, status, agent, evaluations, best, min(seen, RETAINED), expired)], columns=OUTPUT.names)
+        held = self.state.get()
+        seen, scores = held[STATE.names.index("seen")], held[STATE.names.index("scores")]
+        return pd.DataFrame([(key[0], *held, min(seen, self.most), max(0, seen - self.most), min(scores, self.most), expired)], columns=OUTPUT.names)
 
     def close(self) -> None:
         pass
 
 
-def project_stream(events: DataFrame, silence_ms: int | None = None) -> DataFrame:
+def project_stream(events: DataFrame, silence_ms: int | None = None, most: int = RETAINED) -> DataFrame:
     """One row of state for each run that has news in a micro-batch (update mode); with silence_ms a running run that stays
     silent so long becomes interrupted. Needs the RocksDB state store."""
     ship(events.sparkSession)
     rows = events.withColumn("type", canonical_type(F.col("type"))).select("run_id", "seq", "type", "agent_id", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("run_id").transformWithStateInPandas(Fold(silence_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if silence_ms is not None else "None")
+    return rows.groupBy("run_id").transformWithStateInPandas(Fold(silence_ms, most), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if silence_ms is not None else "None")
 
 
 def upsert_sink(path: str, keys: list[str], order: str):
-    """A foreachBatch function that keeps the row of greatest `order` for each key as Parquet snapshots, one folder a batch."""
+    """A foreachBatch function that writes each batch's newest rows by key as a folder of its own: a batch costs what is new in it,
+    and one that is tried again overwrites its own folder. `newest` reads them, `compact` makes one folder of many."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}").unionByName(batch)
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return write
+
+
+def newest(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: str) -> DataFrame:
+    """The row of greatest `order`, then of the latest batch, for each key of what `upsert_sink` wrote."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.struct(order, "batch")).alias("r")).select("r.*")
+
+
+def compact(spark: SparkSession, path: str, into: str, schema: StructType, keys: list[str], order: str) -> None:
+    """Write the newest rows of a sink's folder as the first batch of another."""
+    newest(spark, path, schema, keys, order).write.mode("overwrite").parquet(f"{into}/batch=-1")

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators.runs import project_runs
 from lodestrata.plans.views import Inputs
 from lodestrata.sources import papers
-from lodestrata.streaming.runs import EVENT, ingest, project_stream, upsert_sink
+from lodestrata.streaming.runs import EVENT, OUTPUT, compact, ingest, newest, project_stream, upsert_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,13 +28,43 @@ def test_stream_equals_batch(spark, tmp_path, shuffled):
     stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = project_stream(stream).writeStream.foreachBatch(upsert_sink(f"{tmp_path}/out", ["run_id"], "last_seq")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(240)
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     names = ["run_id", "last_seq", "seen", "status", "agent_id", "evaluations", "best_q"]
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/{last}").select(*names).collect())
+    got = sorted(tuple(r) for r in newest(spark, f"{tmp_path}/out", OUTPUT, ["run_id"], "last_seq").select(*names).collect())
     kept = rows.where("seq > 20") if shuffled else rows  # what comes late is dropped
     assert got == sorted(tuple(r) for r in project_runs(kept).select(*names).collect())
 
 
+def streamed(spark, tmp_path, rows, trigger, **more):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+    return project_stream(stream, **more).writeStream.foreachBatch(upsert_sink(f"{tmp_path}/out", ["run_id"], "seen")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(**trigger).start()
+
+
+def test_windows_and_machines(spark, tmp_path):
+    kinds = ["run_started", "oleada_start", "agent_turn_start", "agent_turn_complete", "oleada_complete", "phase_started", "exam_validated", "warning"] + ["candidate_score"] * 30
+    rows = [(1, k + 1, None, t, "a", float(k), None) for k, t in enumerate(kinds)]
+    streamed(spark, tmp_path, rows, {"availableNow": True}, most=20).awaitTermination(240)
+    compact(spark, f"{tmp_path}/out", f"{tmp_path}/one", OUTPUT, ["run_id"], "seen")
+    x = newest(spark, f"{tmp_path}/one", OUTPUT, ["run_id"], "seen").first()
+    assert (x.seen, x.retained, x.dropped, x.scores, x.retained_scores) == (38, 20, 18, 30, 20)
+    assert (x.status, x.wave, x.wave_status, x.phase_status, x.turns, x.exam_stage, x.warnings) == ("running", 1, "completed", "active", 1, "exam_validated", 1)
+
+
+def test_silent_runs_are_interrupted_and_ended_ones_stay(spark, tmp_path):
+    rows = [(1, 1, None, "run_started", "a", None, None), (2, 1, None, "run_started", "a", None, None), (2, 2, None, "run_completed", "a", None, None)]
+    q = streamed(spark, tmp_path, rows, {"processingTime": "1 second"}, silence_ms=2000)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            got = {x.run_id: x for x in newest(spark, f"{tmp_path}/out", OUTPUT, ["run_id"], "seen").collect()} if (tmp_path / "out").exists() else {}
+            if 1 in got and got[1].status == "interrupted":
+                break
+    finally:
+        q.stop()
+    assert (got[1].status, got[1].expired, got[1].best_q) == ("interrupted", True, None) and (got[2].status, got[2].expired) == ("completed", False)
+
+
 def test_ingest_dedups_and_redacts(spark, tmp_path):
     files(spark, f"{tmp_path}/in")
     stream = ingest(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in").withColumn("payload", F.lit("token=abc")), "400 days")

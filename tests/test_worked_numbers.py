@@ -1,15 +1,20 @@
 """Worked numbers of the functions, one row each."""
 
+import difflib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers as ids
 from lodestrata.functions import maths, texts
-from lodestrata.operators.citations import canonicalize, coherence
-from lodestrata.operators.exams import leakage, reject_near_duplicates, score_multiselect
-from lodestrata.operators.frontier import update_pheromone
-from lodestrata.operators.resolution import scored, segment_bibliography
-from lodestrata.operators.runs import retained_window
+from lodestrata.operators.citations import canonicalize, coherence, structural
+from lodestrata.operators.exams import assert_public, leakage, reject_near_duplicates, score_multiselect
+from lodestrata.operators.frontier import draw, draw_distinct, update_pheromone
+from lodestrata.operators.ranks import ranked
+from lodestrata.operators.resolution import resolve_entries, scored, segment_bibliography, title_stage
+from lodestrata.operators.runs import retained_window, rollup_status
 
 
 def one(spark, **columns):
@@ -85,3 +90,123 @@ def test_bounded_window(spark):
     events = spark.range(1, 50_001).select((F.col("id") % 2).alias("run_id"), "id", F.col("id").alias("seq"))
     got = retained_window(events).groupBy("run_id").agg(F.count("*").alias("n"), F.first("seen").alias("seen"), F.first("dropped").alias("dropped")).collect()
     assert {(x.n, x.seen, x.dropped) for x in got} == {(1000, 25_000, 24_000)}
+
+
+def test_roll_up(spark):
+    rows = [(k, s) for k, x in enumerate((["failed", "completed"], ["failed", "pending"], ["skipped", "completed"], ["active", "failed"], ["pending"])) for s in x]
+    got = {x.k: x.status for x in rollup_status(spark.createDataFrame(rows, "k int, status string"), ["k"]).collect()}
+    assert got == {0: "completed", 1: "failed", 2: "completed", 3: "active", 4: "pending"}
+
+
+def test_json_is_redacted_at_any_depth(spark):
+    cases = {
+        '{"a": {"token": {"x": 1}}, "b": [{"password": 5}, "key=abc"]}': '{"a":{"token":"***"},"b":[{"password":"***"},"key=***"]}',
+        '{"z": 1, "a": null, "text": "no"}': '{"z":1,"a":null,"text":"no"}',
+        "secret=abc; x": "secret=***; x",
+        '["é", true]': '["é",true]',
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*cases, None])], "k int, p string").repartition(2)
+    got = {x.k: x.r for x in df.select("k", texts.redact_json(F.col("p")).alias("r")).collect()}
+    assert got == dict(enumerate([*cases.values(), None]))
+
+
+def jaccard(a, b):
+    words = lambda x: set(re.findall("[a-z0-9]+", x.lower()))
+    x, y = words(a), words(b)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    r = random.Random(3)
+    bank = []
+    for k in range(120):
+        w = r.choice(bank)[1].split() if bank and r.random() < 0.6 else [f"w{r.randrange(60)}" for _ in range(r.randrange(8, 30))]
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = f"v{r.randrange(20)}"
+        bank.append((k, " ".join(w)))
+    accepted = []
+    for k, q in bank:
+        if not any(jaccard(q, p) >= 0.85 for _, p in accepted):
+            accepted.append((k, q))
+    got = {x.item_id for x in reject_near_duplicates(spark.createDataFrame(bank, "item_id int, question string")).where("accepted").collect()}
+    assert got == {k for k, _ in accepted}
+
+
+def test_title_stage_and_cascade_against_brute_force(spark):
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in ("stone", "river", "light", "cell", "graph", "field") for b in ("s", "ing", "er", "al")]
+    title = lambda: " ".join(r.choice(words) for _ in range(r.randrange(4, 9)))
+    catalog = [(f"p{k}", title(), r.choice(["Ann Lee", "Bo Kim"]), 2000 + k % 5, ("s2", "oa")[k % 2], k % 2) for k in range(60)]
+    entries = []
+    for k in range(80):
+        c = r.choice(catalog)
+        w = c[1].split()
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = r.choice(words)
+        entries.append((f"e{k}", " ".join(w) + r.choice(["", "!", "."]), r.choice([c[2], "Cy Doe"]), c[3] + r.choice([0, 1, 4])))
+    schema = "id string, title string, author string, year int, provider string, provider_rank int"
+    cat = spark.createDataFrame(catalog, schema).withColumns({"authors": F.array("author"), "doi": F.lit(None).cast("string"), "arxiv": F.lit(None).cast("string"), "pmid": F.lit(None).cast("string"), "completeness": F.lit(3), "key": F.col("id")})
+    ent = spark.createDataFrame(entries, "entry_id string, title string, author string, year int").withColumns({"authors": F.array("author"), "doi": F.lit(None).cast("string"), "arxiv": F.lit(None).cast("string"), "pmid": F.lit(None).cast("string"), "keys": F.array().cast("array<string>")})
+    normal = lambda x: re.sub(r"[^a-z0-9]+", " ", x.lower()).strip()
+
+    def score(e, c):
+        a, b = normal(e[1]), normal(c[1])
+        t = 1.0 if a == b else 0.5 * difflib.SequenceMatcher(None, a, b).ratio() + 0.5 * jaccard(a, b)
+        au, y = float(e[2].split()[-1] == c[2].split()[-1]), float(abs(e[3] - c[3]) <= 2)
+        why = "title_mismatch" if t < 0.82 else "author_mismatch" if au < 0.34 else "year_mismatch" if y < 1 else None
+        conf = 0.6 * t + 0.25 * au + 0.15 * y
+        return t, conf, why or ("low_confidence" if conf < 0.75 else None), a == b or jaccard(a, b) >= 0.64
+
+    want = {}
+    for e in entries:
+        for p in ("s2", "oa"):
+            found = sorted(((-round(s[0], 6), -round(s[1], 6), c[0], s[2]) for c in catalog if c[4] == p and (s := score(e, c))[3]))[:5]
+            for t, conf, i, why in found:
+                want[e[0], i] = (round(-t, 6), round(-conf, 6), why)
+    got = {(x.entry_id, x.id): (round(x.title_score, 6), round(x.confidence, 6), x.reason) for x in title_stage(ent, cat).collect()}
+    assert got == want
+    results, evidence, _ = resolve_entries(ent, cat, spark.createDataFrame([], "alias string, id string"))
+    by = {x.entry_id: x for x in results.collect()}
+    assert set(by) == {e[0] for e in entries}
+    for e in entries:
+        ranked = sorted((c[5], *want[e[0], c[0]], c[0]) for c in catalog if (e[0], c[0]) in want and want[e[0], c[0]][2] is None)
+        first = [x for x in ranked if x[0] == ranked[0][0]] if ranked else []
+        status = "rejected" if not first else "resolved" if len(first) == 1 else "ambiguous"
+        assert by[e[0]].status == status, e
+        if status == "resolved":
+            assert by[e[0]].id == first[0][-1]
+
+
+def test_draws(spark):
+    weights = spark.createDataFrame([(a, f"c{k}", 1.0 if k else 7.0) for a in range(400) for k in range(4)], "agent_id int, id string, weight double")
+    share = lambda df: df.where("id = 'c0'").count() / 400
+    assert 0.6 < share(draw(weights, 1, 1)) < 0.8 and 0.15 < share(draw(weights, 1, 1, epsilon=1.0)) < 0.35
+    assert draw(weights, 1, 1, epsilon=0.25).where("explored").count() in range(60, 140)
+    few = weights.where("agent_id < 3")
+    priority = spark.createDataFrame([(a, float(a)) for a in range(400)], "agent_id int, priority double")
+    got = [tuple(x) for x in draw_distinct(few, 2, 1, priority).collect()]
+    assert len({a for a, _ in got}) == len({c for _, c in got}) == len(got) == 3
+    assert len(draw_distinct(weights, 2, 1, priority).collect()) == 4  # as many as there are candidates
+
+
+def test_private_columns_and_limits(spark):
+    with pytest.raises(ValueError, match="answer_key"):
+        assert_public(spark.range(1).select(F.array(F.struct(F.lit(1).alias("answer_key"))).alias("x")))
+    with pytest.raises(ValueError, match="rationale"):
+        assert_public(spark.createDataFrame([('{"rationale": "because"}',)], "payload string"), "payload")
+    assert assert_public(spark.createDataFrame([('{"a": 1}',)], "payload string"), "payload").count() == 1
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("z", "b")] + [(f"n{k}", f"n{k + 1}") for k in range(40)]
+    got = dict(tuple(x) for x in canonicalize(spark.createDataFrame(ring, "alias string, canonical_id string")).collect())
+    assert {got[x] for x in "abcz"} == {"a"} and {got[f"n{k}"] for k in range(40)} == {"n40"}
+    r = ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")), ["v"]).collect()
+    assert all(x.rank == x.v + 1 for x in r)
+
+
+def test_wave_without_visits_has_zeros(spark):
+    agents = spark.createDataFrame([(1,), (2,)], "agent_id int")
+    visits = spark.createDataFrame([(1, "p", 1)], "agent_id int, node string, ordinal int")
+    papers = spark.createDataFrame([("p", 0)], "id string, citation_count int")
+    vectors = spark.createDataFrame([("p", [1.0, 0.0])], "id string, embedding array<double>")
+    edges = spark.createDataFrame([], "src string, dst string")
+    got = {x.agent_id: tuple(x)[1:] for x in structural(agents, visits, papers, vectors, edges).collect()}
+    assert got[2] == (0.0,) * 5 and got[1] == pytest.approx((1 / 30, 1.0, 0.5, 1.0, (1 / 30 + 2.5) / 4))
