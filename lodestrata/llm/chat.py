@@ -1,7 +1,7 @@
 """Preference formatting: a pair's common turns are rendered once as the prompt, the rest as two completions.
 
-A conversation is the array of its turns in order. The longest common prefix of chosen and rejected is found by
-comparing them place by place; everything is a column expression.
+A conversation is the array of its turns in order, so it has to fit into a row: some hundred MB of text. The longest
+common prefix of chosen and rejected is found by comparing them place by place; everything is a column expression.
 """
 
 from __future__ import annotations
@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.tables import stored
+
 START, END = "<|im_start|>", "<|im_end|>"  #: fixed values of the template; <| in a text becomes < |
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """conv_id and turns: array of struct(role, text), by turn, then role and text; null text is empty, null role unknown."""
+    """conv_id and turns: array of struct(role, text), by turn (null first), then role and text; turns of one number all count. Null
+    text is empty, null role unknown; rows without conv_id are left out; other columns are ignored; an empty table gives no rows."""
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
@@ -46,10 +49,12 @@ def mask(turns: Column, texts: Column) -> Column:
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
     """pairs (conv_id, chosen, rejected: arrays of turns) to conv_id, n_prompt_turns, prompt, chosen, rejected and
-    their masks. A pair with equal turns has empty completions; null turns count as none.
+    their masks. A pair with equal turns has empty completions; null turns count as none; in a role, what isn't a letter,
+    digit, _ or - becomes _, so that it can't hold a mark of the template.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    rows = pairs.select("conv_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
+    clean = lambda x: F.transform(F.coalesce(x, none), lambda t: F.struct(F.regexp_replace(t["role"], "[^A-Za-z0-9_-]+", "_").alias("role"), t["text"].alias("text")))
+    rows = pairs.select("conv_id", clean(F.col("chosen")).alias("c"), clean(F.col("rejected")).alias("r"))
     rows = rows.withColumn("n", common_turns(F.col("c"), F.col("r")))
     rest = lambda x: F.slice(x, F.col("n") + 1, F.size(x))
     rows = rows.select("conv_id", "n", F.slice("c", F.lit(1), F.col("n")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
@@ -59,32 +64,37 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 
 def answer_swaps(conversations: DataFrame) -> DataFrame:
-    """A pair for each conversation with an assistant's turn: chosen is the conversation up to its last such turn;
-    in rejected that turn has the last answer of the conversation whose id differs in the lowest bit (empty, if it has none).
+    """A pair for each conversation: chosen is all of it; rejected leaves it at one of its assistant's turns, the (conv_id mod their
+    number)th from 0, and goes on with the conversation whose id differs in the lowest bit from that one's first assistant's
+    turn on (nothing, if it has none). Without an assistant's turn both are the whole.
     """
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
-    rows = turns_of(conversations).withColumn("last", last).where("last is not null").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    answers = rows.select(F.expr("conv_id ^ 1").alias("conv_id"), F.element_at("chosen", -1)["text"].alias("answer"))
-    both = rows.join(answers.hint("merge"), "conv_id", "left")
-    other = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("text")))
-    return both.select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), other).alias("rejected"))
+    rows = stored(turns_of(conversations), "op6-turns")
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    own = rows.withColumn("places", places)
+    other = rows.select(F.expr("conv_id ^ 1").alias("conv_id"), F.slice("turns", F.greatest(F.coalesce(F.array_min(places), F.lit(1)), F.lit(1)), F.when(F.size(places) > 0, F.size("turns")).otherwise(0)).alias("tail"))
+    both = own.join(other.hint("merge"), "conv_id", "left")
+    at = F.get("places", F.pmod("conv_id", F.greatest(F.size("places"), F.lit(1))).cast("int"))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    left = F.concat(F.slice("turns", F.lit(1), F.coalesce(at, F.lit(1)) - 1), F.coalesce("tail", none))
+    return both.select("conv_id", F.col("turns").alias("chosen"), F.when(F.size("places") == 0, F.col("turns")).otherwise(left).alias("rejected"))
 
 
 def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:
     return format_preferences(answer_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-_RENDER = "array_to_string(list_transform({x}, lambda t: '<|im_start|>' || t.role || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10)), '')"
-_MASK = "CASE WHEN len({x}) = 0 THEN '' ELSE (12 + 9 + 1)::VARCHAR || ':' || (length({x}) - 1)::VARCHAR END"
+_TEXT = "'<|im_start|>' || t.role || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10)"
+_RENDER = f"coalesce(array_to_string(list_transform({{x}}, lambda t: {_TEXT}), ''), '')"
+_SIZES = f"list_transform({{x}}, lambda t: length({_TEXT}))"
+_MASK = "coalesce(array_to_string(list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN {x}[i].role = 'assistant' THEN (coalesce(list_sum({s}[1:i - 1]), 0)::BIGINT + 12 + 9 + 1)::VARCHAR || ':' || (list_sum({s}[1:i])::BIGINT - 1)::VARCHAR END), lambda m: m IS NOT NULL), ','), '')"
 ORACLE_SQL = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
-l AS (SELECT conv_id, list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i END)) AS last, turns FROM c),
-d AS (SELECT conv_id, turns[1:last - 1] AS head, turns[last].text AS answer FROM l WHERE last IS NOT NULL),
-p AS (SELECT d.conv_id, d.head, d.answer AS a, coalesce(e.answer, '') AS b FROM d LEFT JOIN d e ON e.conv_id = xor(d.conv_id, 1)),
-q AS (SELECT conv_id, CASE WHEN a = b THEN list_append(head, struct_pack(role := 'assistant', text := a)) ELSE head END AS p,
-        CASE WHEN a = b THEN [] ELSE [struct_pack(role := 'assistant', text := a)] END AS c,
-        CASE WHEN a = b THEN [] ELSE [struct_pack(role := 'assistant', text := b)] END AS r FROM p),
-s AS (SELECT conv_id, len(p) AS n_prompt_turns, {_RENDER.format(x="p")} AS prompt, coalesce({_RENDER.format(x="c")}, '') AS chosen, coalesce({_RENDER.format(x="r")}, '') AS rejected FROM q)
-SELECT conv_id, n_prompt_turns, coalesce(prompt, '') AS prompt, chosen, rejected, {_MASK.format(x="chosen")} AS chosen_mask, {_MASK.format(x="rejected")} AS rejected_mask FROM s
+WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]+', '_', 'g') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS places FROM a),
+d AS (SELECT b.conv_id, b.turns AS c, CASE WHEN len(b.places) = 0 THEN b.turns ELSE list_concat(b.turns[1:b.places[b.conv_id % len(b.places) + 1] - 1], CASE WHEN len(o.places) > 0 THEN o.turns[o.places[1]:] ELSE [] END) END AS r FROM b LEFT JOIN b o ON o.conv_id = xor(b.conv_id, 1)),
+e AS (SELECT conv_id, c, r, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1, least(len(c), len(r))) AS n FROM d),
+f AS (SELECT conv_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM e),
+g AS (SELECT *, {_SIZES.format(x="c")} AS cs, {_SIZES.format(x="r")} AS rs FROM f)
+SELECT conv_id, n AS n_prompt_turns, {_RENDER.format(x="p")} AS prompt, {_RENDER.format(x="c")} AS chosen, {_RENDER.format(x="r")} AS rejected,
+       {_MASK.format(x="c", s="cs")} AS chosen_mask, {_MASK.format(x="r", s="rs")} AS rejected_mask FROM g
 """
