@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts
-from lodestrata.shipping import ship
 
 RANK = {"supported": 0, "disputed": 1, "proposed": 2, "unknown": 3}
 NEXT = {"propose": "proposed", "support": "supported", "dispute": "disputed", "reject": "rejected", "supersede": "superseded"}
@@ -36,21 +34,19 @@ def fold_claims(mutations: DataFrame) -> DataFrame:
     """run_id, claim, status, changes after mutations (run_id, ordinal, claim, action, backed) in order: support and dispute need
     backing (else the claim is proposed), rejected and superseded ones don't change again, one not proposed before is ignored.
 
-    A run's claims are folded apart, so a group is one claim's own history.
+    A claim's own history is a sorted array, folded as a column expression; a claim has as many mutations as it was argued over.
     """
-    ship(mutations.sparkSession)
-
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        status, changes = None, 0
-        for action, backed in rows.sort_values(["ordinal", "action"])[["action", "backed"]].itertuples(index=False):
-            if action not in NEXT or status in ("rejected", "superseded") or (status is None and action != "propose"):
-                continue
-            new = NEXT[action] if backed or action not in ("support", "dispute") else "proposed"
-            changes += new != status
-            status = new
-        return pd.DataFrame([(*key, status, changes)], columns=["run_id", "claim", "status", "changes"])
-
-    return mutations.groupBy("run_id", "claim").applyInPandas(fold, "run_id long, claim string, status string, changes long")
+    given = F.create_map(*[x for kv in NEXT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+
+    def step(acc: Column, m: Column) -> Column:
+        old = acc["status"]
+        idle = given[m["action"]].isNull() | old.isin("rejected", "superseded") | (old.isNull() & (m["action"] != "propose"))
+        new = F.when(F.coalesce(idle, F.lit(False)), old).when(m["backed"] | ~m["action"].isin("support", "dispute"), given[m["action"]]).otherwise("proposed")
+        return F.struct(new.alias("status"), (acc["changes"] + (~new.eqNullSafe(old)).cast("long")).alias("changes"))
+
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("changes"))
+    history = mutations.groupBy("run_id", "claim").agg(F.array_sort(F.collect_list(F.struct("ordinal", "action", "backed"))).alias("h"))
+    return history.select("run_id", "claim", F.aggregate("h", start, step).alias("s")).select("run_id", "claim", "s.status", "s.changes")
 
 
 def synthesis(claims: DataFrame, most_words: int) -> DataFrame:

@@ -29,7 +29,13 @@ def top_compact_claims(t):
     return lg.compact_claims(t.claims, 3)
 
 
-@query("itr_fold_claims")
+_MUTATIONS = "SELECT run_id, 'c' || (seq % 5) AS claim, row_number() OVER (PARTITION BY run_id, seq % 5 ORDER BY seq) AS k, CASE WHEN seq <= 5 THEN 'propose' WHEN event_id % 5 = 0 THEN 'support' WHEN event_id % 5 = 1 THEN 'dispute' WHEN event_id % 50 = 2 THEN 'reject' ELSE 'open' END AS action, event_id % 3 <> 0 AS backed FROM {run_events}"
+_NEW = "CASE WHEN action = 'open' OR r.status IN ('rejected', 'superseded') OR (r.status IS NULL AND action <> 'propose') THEN r.status WHEN action = 'propose' THEN 'proposed' WHEN action = 'reject' THEN 'rejected' WHEN NOT backed THEN 'proposed' WHEN action = 'support' THEN 'supported' ELSE 'disputed' END"
+
+
+@query("itr_fold_claims", f"""SELECT * FROM (WITH RECURSIVE m AS MATERIALIZED ({_MUTATIONS}), r AS (SELECT DISTINCT run_id, claim, 0::BIGINT AS k, NULL::VARCHAR AS status, 0::BIGINT AS changes FROM m UNION ALL
+  SELECT m.run_id, m.claim, m.k, {_NEW}, r.changes + ({_NEW} IS DISTINCT FROM r.status)::BIGINT FROM r JOIN m ON m.run_id = r.run_id AND m.claim = r.claim AND m.k = r.k + 1)
+  SELECT run_id, claim, arg_max(struct_pack(s := status), k).s AS status, arg_max(changes, k) AS changes FROM r GROUP BY run_id, claim) x""")
 def itr_fold_claims(t):
     k = c("event_id")
     action = F.when(c("seq") <= 5, "propose").when(k % 5 == 0, "support").when(k % 5 == 1, "dispute").when(k % 50 == 2, "reject").otherwise("open")
