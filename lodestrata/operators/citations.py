@@ -53,13 +53,26 @@ def insert_missing(current: DataFrame, incoming: DataFrame, keys: list[str], ord
     return current.unionByName(fresh.select(*current.columns))
 
 
+def lookup(df: DataFrame, keys: DataFrame, on: list[str], order: list | None = None) -> DataFrame:
+    """The rows of df that have one of the keys, in an order if one is given."""
+    out = df.join(keys.select(*on).distinct(), on, "left_semi")
+    return out.orderBy(*order) if order else out
+
+
+def readable(asked: DataFrame, papers: DataFrame) -> DataFrame:
+    """id, readable, integrated of ids: whether the paper is known and has an abstract, and whether it is known and integrated."""
+    known = papers.select("id", F.col("abstract").isNotNull().alias("__a"), F.coalesce("integrated", F.lit(False)).alias("__i"))
+    return asked.select("id").join(known, "id", "left").select("id", F.coalesce("__a", F.lit(False)).alias("readable"), F.coalesce("__i", F.lit(False)).alias("integrated"))
+
+
 def union_edges(references: DataFrame, citants: DataFrame) -> DataFrame:
     """src, dst of every edge of both directions once; citants are (paper, citing paper)."""
     return references.select("src", "dst").unionByName(citants.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, neighbor, mode: what a node cites (ref) and what cites it (cites)."""
+    """id, neighbor, mode: what a node cites (ref) and what cites it (cites). A hub is a hot key of either join; adaptive
+    execution splits its partition, since the nodes' side is one row a key."""
     out = nodes.join(edges, nodes["id"] == edges["src"]).select("id", F.col("dst").alias("neighbor"), F.lit("ref").alias("mode"))
     into = nodes.join(edges, nodes["id"] == edges["dst"]).select("id", F.col("src").alias("neighbor"), F.lit("cites").alias("mode"))
     return out.unionByName(into)

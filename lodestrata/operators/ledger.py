@@ -71,6 +71,19 @@ def final_answer(claims: DataFrame, acquired: DataFrame, least: int = 3) -> Data
     return rows.withColumn("section", section).groupBy("agent_id", "section").agg(F.count("*").alias("n"), (sure < least).alias("provisional"))
 
 
+def answer_sections(claims: DataFrame, acquired: DataFrame, least: int = 3, settings: int = 2) -> DataFrame:
+    """agent_id, and of its claims (claim_id, status, text, paper_id, setting) the texts that an answer says as supported, plausible,
+    contradictions and unknowns, each array by id; the cited papers, sorted; and whether it is provisional: fewer than
+    `least` papers with evidence, or from fewer than `settings` settings. An answer is one agent's claims, and bounded by them."""
+    credit = acquired.where(F.col("content_kind") != "metadata").select("paper_id", F.lit(True).alias("ok")).distinct()
+    ok = F.coalesce("ok", F.lit(False))
+    place = F.when((F.col("status") == "supported") & ok, "supported").when(F.col("status") == "disputed", "contradictions").when(F.col("status") == "unknown", "unknowns").otherwise("plausible")
+    rows = claims.join(credit, "paper_id", "left").withColumns({"place": place, "good": ok})
+    listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("place") == n, F.struct("claim_id", "text")))), lambda x: x["text"]).alias(n)
+    few = (F.count_distinct(F.when(F.col("good"), F.col("paper_id"))) < least) | (F.count_distinct(F.when(F.col("good"), F.col("setting"))) < settings)
+    return rows.groupBy("agent_id").agg(*[listed(n) for n in ("supported", "plausible", "contradictions", "unknowns")], F.array_sort(F.collect_set(F.when(F.col("good"), F.col("paper_id")))).alias("citations"), few.alias("provisional"))
+
+
 def freeze_bundle(claims: DataFrame) -> DataFrame:
     """agent_id, n, hash: one digest over an agent's claims in order of id."""
     one = F.concat_ws("|", F.col("claim_id").cast("string"), "status", "text")

@@ -231,6 +231,13 @@ def wave_summary(turns: DataFrame) -> DataFrame:
     return turns.groupBy("run_id", "wave").agg(F.count("*").alias("attempted"), F.count_if("ok").alias("integrated"), F.count_if(~F.col("ok")).alias("failed"), bad.alias("failed_agents"))
 
 
+def wave_report(turns: DataFrame) -> DataFrame:
+    """run_id, wave, attempted, integrated, evidence, and the sorted agents that completed, failed or were skipped, of turns (run_id,
+    wave, agent_id, outcome, integrated, evidence)."""
+    names = lambda x: F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") == x, F.col("agent_id").cast("string")))), ",").alias(x)
+    return turns.groupBy("run_id", "wave").agg(F.count("*").alias("attempted"), F.sum("integrated").alias("integrated"), F.sum("evidence").alias("evidence"), names("completed"), names("failed"), names("skipped"))
+
+
 def append_evaluations(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evaluations with the incoming ones, a compact event for each incoming one, q to four places)."""
     events = incoming.select("run_id", "wave", F.lit("quality_eval_completed").alias("type"), F.to_json(F.struct("wave", F.round("q", 4).alias("q"))).alias("payload"))

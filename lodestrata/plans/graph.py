@@ -97,15 +97,21 @@ def join_hydrate(t):
     return stubs.join(full, "id", "left").select("id", F.coalesce("title", "full").alias("title"))
 
 
-@query("flt_readable", "SELECT id, abstract IS NOT NULL AS readable FROM {papers}")
+@query("flt_readable", "SELECT q.id, coalesce(abstract IS NOT NULL AND p.id IS NOT NULL, false) AS readable, coalesce(p_partkey % 3 = 0, false) AS integrated FROM (SELECT id FROM {papers} UNION ALL SELECT 'x:' || p_partkey FROM {papers}) q LEFT JOIN {papers} p ON p.id = q.id")
 def flt_readable(t):
-    return t.papers.select("id", c("abstract").isNotNull().alias("readable"))
+    papers = t.papers.select("id", "abstract", (c("p_partkey") % 3 == 0).alias("integrated"))
+    return g.readable(t.papers.select("id").unionByName(t.papers.select(F.concat(F.lit("x:"), c("p_partkey").cast("string")).alias("id"))), papers)
 
 
 @query("flt_lookup", "SELECT id, title, year FROM {papers} WHERE title IN (SELECT title FROM {papers} WHERE p_partkey % 10 = 1)")
 def flt_lookup(t):
-    keys = t.papers.where("p_partkey % 10 = 1").select("title").where("title is not null").distinct()
-    return t.papers.join(keys, "title", "left_semi").select("id", "title", "year")
+    keys = t.papers.where("p_partkey % 10 = 1 and title is not null")
+    return g.lookup(t.papers, keys, ["title"]).select("id", "title", "year")
+
+
+@query("flt_lookup_aliases", "SELECT alias, canonical_id FROM {aliases} WHERE canonical_id IN (SELECT concat('alias:', CAST(o_custkey AS STRING)) FROM {orders})")
+def flt_lookup_aliases(t):
+    return g.lookup(t.aliases, t.orders.select(F.concat(F.lit("alias:"), c("o_custkey").cast("string")).alias("canonical_id")), ["canonical_id"])
 
 
 FRONTIER = """SELECT a.agent_id, p.id, p.p_partkey AS ordinal, CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE (p.p_partkey * 31 + a.agent_id * 17) % 101 / 100 END AS score,

@@ -54,6 +54,15 @@ def agg_final_answer(t):
     return lg.final_answer(t.claims, t.acquired)
 
 
+_PLACED = f"SELECT agent_id, claim_id, text, paper_id, claim_id % 3 AS setting, paper_id IN ({CREDIT}) AS good, CASE WHEN status = 'supported' AND paper_id IN ({CREDIT}) THEN 'supported' WHEN status = 'disputed' THEN 'contradictions' WHEN status = 'unknown' THEN 'unknowns' ELSE 'plausible' END AS place FROM {{claims}}"
+
+
+@query("agg_answer_sections", "SELECT agent_id, " + ", ".join(f"md5(coalesce(string_agg(CASE WHEN place = '{n}' THEN text END, '|' ORDER BY claim_id), '')) AS {n}" for n in ("supported", "plausible", "contradictions", "unknowns")) + f", coalesce(array_to_string(list_sort(list(DISTINCT paper_id) FILTER (good)), ','), '') AS citations, count(DISTINCT paper_id) FILTER (good) < 3 OR count(DISTINCT setting) FILTER (good) < 2 AS provisional FROM ({_PLACED}) p GROUP BY agent_id")
+def agg_answer_sections(t):
+    rows = lg.answer_sections(t.claims.withColumn("setting", c("claim_id") % 3), t.acquired)
+    return rows.select("agent_id", *[F.md5(F.array_join(n, "|").cast("binary")).alias(n) for n in ("supported", "plausible", "contradictions", "unknowns")], F.array_join("citations", ",").alias("citations"), "provisional")
+
+
 @query("exp_freeze_bundle", "SELECT agent_id, count(*) AS n, sha256(string_agg(sha256(claim_id || '|' || status || '|' || text), ',' ORDER BY claim_id)) AS hash FROM {claims} GROUP BY agent_id")
 def exp_freeze_bundle(t):
     return lg.freeze_bundle(t.claims)

@@ -225,3 +225,13 @@ def snk_artifact_events(t):
     rows = t.run_events.select("run_id", c("event_id").alias("artifact_id"), c("type").alias("kind"), c("payload").alias("content"), (c("event_id") % 3 == 0).alias("private"))
     news = rn.private_artifacts(rows.limit(0), rows)[1]
     return news.select("run_id", "type", F.get_json_object("payload", "$.artifact_id").cast("long").alias("artifact_id"), F.get_json_object("payload", "$.content").alias("content"))
+
+
+_TURNS = "SELECT c_nationkey AS run_id, c_custkey % 3 AS wave, c_custkey AS agent_id, CASE c_custkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'completed' END AS outcome, c_custkey % 5 AS integrated, c_custkey % 6 AS evidence FROM {customer}"
+
+
+@query("agg_wave_report", "SELECT run_id, wave, count(*) AS attempted, sum(integrated)::BIGINT AS integrated, sum(evidence)::BIGINT AS evidence, " + ", ".join(f"coalesce(array_to_string(list_sort(list(agent_id::VARCHAR) FILTER (outcome = '{n}')), ','), '') AS {n}" for n in ("completed", "failed", "skipped")) + f" FROM ({_TURNS}) x GROUP BY run_id, wave")
+def agg_wave_report(t):
+    from lodestrata.plans.views import spark_sql
+
+    return rn.wave_report(spark_sql(t.spark, t.sf_dir, _TURNS))

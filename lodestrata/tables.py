@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: list[str] = []  #: of the tables that this session has written and not deleted
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -31,4 +36,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS.append(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path in _PATHS:
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """What `stored` writes inside is deleted at the end, but for the tables put on the list that this gives."""
+    before, out = set(_PATHS), list(kept)
+    yield out
+    for path in [p for p in _PATHS if p not in before and p not in {getattr(t, "_stored_at", None) for t in out}]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _PATHS.remove(path)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers as ids
 from lodestrata.functions import maths, texts
+from lodestrata.operators.bibliography import build_reference_graph
 from lodestrata.operators.citations import canonicalize, coherence, structural
 from lodestrata.operators.exams import assert_public, leakage, reject_near_duplicates, score_multiselect
 from lodestrata.operators.frontier import draw, draw_distinct, update_pheromone
 from lodestrata.operators.ranks import ranked
 from lodestrata.operators.resolution import resolve_entries, scored, segment_bibliography, title_stage
 from lodestrata.operators.runs import retained_window, rollup_status
+from lodestrata.tables import drop, scratch, stored
 
 
 def one(spark, **columns):
@@ -210,3 +212,29 @@ def test_wave_without_visits_has_zeros(spark):
     edges = spark.createDataFrame([], "src string, dst string")
     got = {x.agent_id: tuple(x)[1:] for x in structural(agents, visits, papers, vectors, edges).collect()}
     assert got[2] == (0.0,) * 5 and got[1] == pytest.approx((1 / 30, 1.0, 0.5, 1.0, (1 / 30 + 2.5) / 4))
+
+
+def test_reference_graph(spark):
+    text = "Body\nReferences\n\n[1] Smith, A. On the red stone. 2001. doi:10.1000/1.\n[2] Jones, B. Nothing that anyone has listed.\n[3] Brown, C. A survey. arXiv:2101.00001v2. And more"
+    papers = spark.createDataFrame([(7, text), (8, "no section")], "paper_id long, text string")
+    none = (None,) * 3
+    mapped = [("7:1", "On the red stone", ["Smith, A."], 2001, "10.1000/1", None, None, 0.9), ("7:2", "Nothing that anyone has listed", ["Jones, B."], None, "10.5/invented", None, None, 0.9), ("7:3", "A survey", *none[:1], None, None, "2101.00001", None, 0.2)]
+    mapped = spark.createDataFrame(mapped, "entry_id string, title string, authors array<string>, year int, doi string, arxiv_id string, pmid string, confidence double")
+    catalog = spark.createDataFrame([("s2:1", "On the Red Stone", ["Ann Smith"], 2001, "10.1000/1", None, None, "s2", 1, 4, "k1")], "id string, title string, authors array<string>, year int, doi string, arxiv string, pmid string, provider string, provider_rank int, completeness int, key string")
+    out = build_reference_graph(papers, mapped, catalog, spark.createDataFrame([], "alias string, id string"))
+    assert {(x.dst, x.method) for x in out["edges"].where("not provisional").collect()} == {("s2:1", "doi")}
+    assert {x.entry_id: x.reason for x in out["provisional"].collect()} == {"7:2": "no_provider_match", "7:3": "low_parse_confidence"}
+    assert {x.paper_id: tuple(x)[1:] for x in out["accounts"].collect()} == {7: (3, 3, 1, 2, False), 8: (0, 0, 0, 0, True)}
+    assert out["edges"].where("provisional").count() == 2 and {(x.entry_id, x.method) for x in out["attempts"].collect()} >= {("7:2", "title")}
+
+
+def test_tables_are_deleted(spark):
+    with scratch(spark) as kept:
+        a, b = stored(spark.range(3), "a"), stored(spark.range(4), "b")
+        kept.append(b)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="not exist|does not|FILE_NOT"):
+        a.count()
+    drop(b)
+    with pytest.raises(Exception, match="not exist|does not|FILE_NOT"):
+        b.count()
