@@ -9,7 +9,7 @@ from lodestrata.functions import texts
 from lodestrata.tables import stored
 
 CREDITED = ("full_text", "abstract")
-MOST_WORDS = 200_000  #: of questions, to be broadcast
+MOST_WORDS, MOST_ALONE = 200_000, 1_000  #: words of questions, to be broadcast; questions that no claim shares a word with
 
 
 def resolving(refs: DataFrame, acquired: DataFrame) -> DataFrame:
@@ -96,8 +96,11 @@ def relevant_claims(claims: DataFrame, questions: DataFrame) -> DataFrame:
     a = claims.select("claim_id", F.explode(word(F.col("text"))).alias("word"))
     met = a.join(F.broadcast(q) if few else q.hint("merge"), "word").groupBy("question_id", "claim_id").agg(F.count("*").alias("overlap"))
     met = stored(met, "question-claims")
-    alone = questions.select("question_id").join(met.select("question_id").distinct(), "question_id", "left_anti")
-    every = claims.select("claim_id").join(F.broadcast(alone) if few else alone).select("question_id", "claim_id", F.lit(0).cast("long").alias("overlap"))
+    alone = [x.question_id for x in questions.select("question_id").join(met.select("question_id").distinct(), "question_id", "left_anti").limit(MOST_ALONE + 1).collect()]
+    if len(alone) > MOST_ALONE:
+        raise ValueError(f"more than {MOST_ALONE} questions share no word with any claim")
+    kind = questions.schema["question_id"].dataType
+    every = claims.select(F.explode(F.array(*[F.lit(x).cast(kind) for x in alone])).alias("question_id") if alone else F.lit(None).cast(kind).alias("question_id"), "claim_id", F.lit(0).cast("long").alias("overlap")).where("question_id is not null")
     order = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
     place = F.when(order > 0, order).otherwise(len(STATUS_ORDER) + 1)
     rows = met.unionByName(every).join(claims.select("claim_id", place.alias("place")), "claim_id")

@@ -79,7 +79,7 @@ def merge_priorities(frontier: DataFrame, scores: DataFrame, most: int = 30) ->
 def register_aliases(aliases: DataFrame, resolved: DataFrame) -> DataFrame:
     """aliases and the keys of resolved entries (keys array, id) that are new and not the id itself; the first by id counts."""
     new = resolved.select(F.explode("keys").alias("alias"), F.col("id").alias("canonical_id")).where("alias <> canonical_id").groupBy("alias").agg(F.min("canonical_id").alias("canonical_id"))
-    return aliases.unionByName(new.join(aliases.select("alias"), "alias", "left_anti"))
+    return aliases.unionByName(new.hint("merge").join(aliases.select("alias"), "alias", "left_anti"))
 
 
 def pending_papers(manifest: DataFrame, results: DataFrame, retry_failed: bool = False) -> DataFrame:

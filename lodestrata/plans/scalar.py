@@ -172,8 +172,8 @@ ETA = f"""SELECT p.id, (list_cosine_similarity(v.embedding::DOUBLE[], s.embeddin
 def eta_table(t):
     """papers with their eta components against the vector of the seed and eta itself."""
     c = F.col
-    seed = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("seed"))
-    near = t.papers.join(t.vectors, "id").join(F.broadcast(seed))
+    seed = t.embeddings.where("vec_id = 1").select("embedding").first()[0]  # one vector
+    near = t.papers.join(t.vectors, "id").withColumn("seed", F.array(*[F.lit(float(x)) for x in seed]))
     parts = maths.eta_components(maths.cosine(c("embedding"), c("seed")), c("citation_count"), c("year"), maths.provider_confidence(c("provider"), c("doi"), c("arxiv_id"), c("abstract"), c("title")))
     return near.select("id", parts.alias("e")).withColumn("eta", maths.eta(F.col("e"), _WEIGHTS))
 
