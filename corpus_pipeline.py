@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, decontaminate, ngram_join, pii, quality
-from lodestrata.tables import stored
+from lodestrata.tables import drop, scratch, stored
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 SHINGLE, PERCENT = 5, 80  #: words and similarity of near duplicates
@@ -66,7 +66,12 @@ ORACLE_SQL = None  # perplexity bands, boosted trees and byte-pair encoding can'
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage writes for itself, and the stage before it, are deleted when its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-stage-{name}")
+        with scratch(spark) as kept:
+            new = stored(stage(spark, docs, sf_dir), f"pipeline-stage-{name}")
+            kept.append(new)
+        drop(docs)
+        docs = new
     return docs

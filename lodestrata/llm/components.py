@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.tables import stored
+from lodestrata.tables import drop, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return stored(out.where("a <> b").distinct(), "star")
+    new = stored(out.where("a <> b").distinct(), "star")
+    drop(least)
+    return new
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        edges = _star(_star(edges, True), False)
+        half = _star(edges, True)
+        new = _star(half, False)
+        drop(edges, half)
+        edges = new
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.components import components
 from lodestrata.llm.postings import repeated
 from lodestrata.llm.text import LOWER, Chunk, chunks, has_repeated_ids, mix, numbered, texts_of, window_hashes
-from lodestrata.tables import stored
+from lodestrata.tables import drop, stored
 
 SIZE, PERCENT, ROUNDS = 4, 85, 2
 BUCKET_WORDS = 100_000
@@ -101,7 +101,9 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     part = first.join(segments.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b")).hint("merge"), ["b", "fragment"])
     part = part.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
     whole = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return stored(whole.where((100 + percent) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "op4-links")
+    links = stored(whole.where((100 + percent) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "op4-links")
+    drop(pairs)
+    return links
 
 
 def similar_sets(documents: DataFrame, *, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -146,10 +148,11 @@ def _similar(texts: DataFrame, size: int, percent: int, rounds: int) -> DataFram
     differ, room = _room(percent)
     links = None
     for k in range(rounds + 1):
+        labelled = None
         if links is None:
             rows = prefix.withColumn("component", F.col("doc_id"))
         else:
-            rows = stored(prefix.join(stored(components(links), "op4-labels").withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "op4-labelled")
+            rows = labelled = stored(prefix.join(stored(components(links), "op4-labels").withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "op4-labelled")
         lists = stored(rows.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "n", "component")).alias("h"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "h"), "op4-lists")
         rows = rows.join(lists.hint("merge"), "gram")
         if k < rounds:
@@ -159,6 +162,7 @@ def _similar(texts: DataFrame, size: int, percent: int, rounds: int) -> DataFram
             pairs = _last_pairs(rows, percent)
         pairs = pairs.where(differ & room).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
         found = _linked(pairs, segments, percent)
+        drop(lists, labelled) if labelled else drop(lists)
         links = found if links is None else links.unionByName(found)
     label = stored(components(links), "op4-components").withColumnRenamed("node", "class_id").withColumnRenamed("component", "component_id")
     return (
