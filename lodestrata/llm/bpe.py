@@ -25,7 +25,7 @@ from lodestrata.llm.text import pieces, texts_of
 #: The pattern that cuts text before the merges (byte-level pre-tokenisation).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = 1 << 16  #: characters of a text handled at a time
-REMEMBERED, PAIRS = 50_000, 200_000  #: words whose ids a worker remembers, and pairs of tokens: some 20 MB each
+REMEMBERED, PAIRS = 250_000, 300_000  #: words whose ids a worker remembers, and pairs of tokens: some 90 and 30 MB
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,6 +35,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+Word = tuple[str, tuple[int, ...], bytes]  #: ids joined by commas, ids, and the bytes that they stand for
+
+
 class Transducer:
     def __init__(self, vocabulary: str):
         """vocabulary: the JSON text of a byte-level BPE tokenizer."""
@@ -51,17 +54,24 @@ class Transducer:
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.bytes |= {i: s.encode() for s, i in self.specials.items()}
         self.pairs: dict[int, bool] = {}
-        self.ids = {token: i for token, i in ids.items() if self.merged(token) == [i]}  # those that an encoding can have
+        self.ids, self.parts, self.age = {}, {}, {}
+        for token, i in ids.items():  # those that an encoding can have; the two tokens that one is made of, and when
+            steps: list[tuple[int, int]] = []
+            if self.merged(token, steps) == [i]:
+                self.ids[token] = i
+                self.parts[i] = steps[-1] if steps else None
+                self.age[i] = self.rank[steps[-1]][0] if steps else -1
         self.lookahead = max(map(len, self.ids))  #: a token that ends later starts within so many bytes
         self.reach: dict[bytes, int] = {}  # by four bytes: the longest token that ends with them
         for token in self.ids:
             if len(token) > 3:
                 self.reach[token[-4:]] = max(len(token), self.reach.get(token[-4:], 0))
         self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.words: dict[str, Word] = {}  # in two generations: what is used again moves to the new one
+        self.before: dict[str, Word] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding of a token's or two tokens' bytes, merge by merge in order of rank."""
+    def merged(self, data: bytes, steps: list | None = None) -> list[int]:
+        """The encoding of a token's or two tokens' bytes, merge by merge in order of rank; steps gets the pairs that were merged."""
         parts, rank = [self.single[b] for b in data], self.rank
         while len(parts) > 1:
             best = min((rank[p] for p in zip(parts, parts[1:]) if p in rank), default=None)
@@ -70,6 +80,8 @@ class Transducer:
             out, k = [], 0
             while k < len(parts):
                 if k + 1 < len(parts) and rank.get((parts[k], parts[k + 1])) == best:
+                    if steps is not None:
+                        steps.append((parts[k], parts[k + 1]))
                     out.append(best[1])
                     k += 2
                 else:
@@ -83,9 +95,27 @@ class Transducer:
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether the encoding of two tokens' bytes is those two: whether no merge across the border comes before the merges that
+        made them. Those are undone latest first, of equal ones the right token's: what then meets at the border must have no merge
+        of a rank below the one undone last (of the same rank, the left of two goes first)."""
+        rank, parts, age = self.rank, self.parts, self.age
+        before = None  # rank of the merge undone last, and whether it made the left token
+        while True:
+            across = rank.get((a, b))
+            if across is not None and (before is None or across[0] < before[0] or across[0] == before[0] and not before[1]):
+                return False
+            x, y = age[a], age[b]
+            if x < 0 and y < 0:
+                return True
+            if x > y:
+                before, a = (x, True), parts[a][1]
+            else:
+                before, b = (y, False), parts[b][0]
+
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one pre-token's bytes, each as soon as it is stable."""
         longest, ids, fits, reach = self.lookahead, self.ids, self.fits, self.reach
@@ -145,34 +175,37 @@ class Transducer:
             end = parent[end]
         return out[::-1]
 
-    def word(self, word: str) -> tuple[str, tuple[int, ...]]:
-        data = word.encode()
-        ids = tuple(self.short(data) if len(data) <= self.lookahead else self.stream(data))
-        got = ",".join(map(str, ids)), ids
+    def word(self, word: str) -> Word:
+        got = self.before.get(word)
+        if got is None:
+            data = word.encode()
+            ids = tuple(self.short(data) if len(data) <= self.lookahead else self.stream(data))
+            data = b"".join([self.bytes[i] for i in ids])
+            got = ",".join(map(str, ids)), ids, data
         if len(word) <= 64:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
+            if len(self.words) >= REMEMBERED // 2:
+                self.before, self.words = self.words, {}
             self.words[word] = got
         return got
 
-    def encode(self, text: str) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(ids joined by commas, ids) of one pre-token or special token after the other."""
+    def encode(self, text: str) -> Iterator[list[Word]]:
+        """Lists of words, one of each pre-token or special token after the other."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
             yield from self._plain(text, at, m.start())
             i = self.specials[m[0]]
-            yield str(i), (i,)
+            yield [(str(i), (i,), m[0].encode())]
             at = m.end()
         yield from self._plain(text, at, len(text))
 
-    def _plain(self, text: str, at: int, end: int) -> Iterator[tuple[str, tuple[int, ...]]]:
-        words = self.words
+    def _plain(self, text: str, at: int, end: int) -> Iterator[list[Word]]:
+        new = self.word
         while at < end:
+            known = self.words.get
             cut = end
             if end - at > PIECE and (m := CUT.search(text, at + PIECE, end)):
                 cut = m.start() + 1
-            for w in self.pattern.findall(text[at:cut]):
-                yield words.get(w) or self.word(w)
+            yield [known(w) or new(w) for w in self.pattern.findall(text[at:cut])]
             at = cut
 
 
@@ -188,26 +221,21 @@ class Decoder:
 
     def feed(self, ids: Iterable[int], last: bool = False) -> str:
         tokens = self.tokens
-        return self.machine.decode(b"".join([tokens[i] for i in ids]), last)
+        return self.feed_bytes([tokens[i] for i in ids], last)
+
+    def feed_bytes(self, parts: Iterable[bytes], last: bool = False) -> str:
+        return self.machine.decode(b"".join(parts), last)
 
 
 def _digests(transducer: Transducer, text: str) -> tuple[int, str, str]:
     ids, decoded, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(transducer.bytes)
-    n, lot = 0, []
-
-    def take(last: bool) -> int:
+    n = 0
+    for lot in transducer.encode(text):
         if lot:
             ids.update((("," if n else "") + ",".join([x[0] for x in lot])).encode())
-        flat = [i for x in lot for i in x[1]]
-        decoded.update(decoder.feed(flat, last).encode())
-        return len(flat)
-
-    for got in transducer.encode(text):
-        lot.append(got)
-        if len(lot) >= 20_000:
-            n += take(False)
-            lot.clear()
-    n += take(True)
+            decoded.update(decoder.feed_bytes([x[2] for x in lot]).encode())
+            n += sum([len(x[1]) for x in lot])
+    decoded.update(decoder.feed((), True).encode())
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -245,7 +273,7 @@ def encode_texts(documents: DataFrame, path: str | None = None) -> DataFrame:
         t = loaded(vocabulary.value)
         for b in batches:
             for rows, data, bounds in pieces(b, "text"):
-                ids = [[i for x in t.encode(data[s:e].tobytes().decode()) for i in x[1]] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids = [[i for lot in t.encode(data[s:e].tobytes().decode()) for x in lot for i in x[1]] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 texts = [Decoder(t.bytes).feed(x, True) for x in ids]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "token_ids", "decoded"])
 

@@ -18,7 +18,7 @@ def pair():
 
 
 def ids(t, text):
-    return [i for x in t.encode(text) for i in x[1]]
+    return [i for lot in t.encode(text) for x in lot for i in x[1]]
 
 
 PARTS = ["a", "the", " ", "  ", "\n", "é", "日本", "😀", "'s", "'ll", "23", "--", "\x85", "\x1c", "​", " ", "ing", "<|endoftext|>", "!", "́", "²", "Ⅷ", "﻿", "x" * 50, " " * 40, "=-" * 70]
@@ -63,3 +63,14 @@ def test_table(spark, pair):
     assert got == want
     assert {r.doc_id: r.decoded for r in encode_texts(df).collect()} == {k: x or "" for k, x in enumerate(texts)}
     assert encode_digests(df.limit(0)).collect() == []
+
+
+def test_pairs_by_their_parts_are_those_of_the_merges():
+    t = Transducer(vocabulary_text())
+    r = random.Random(12)
+    every = list(t.parts)
+    short = [i for i in every if len(t.bytes[i]) < 4]
+    twins = [i for i in every if t.parts[i] and t.parts[i][0] == t.parts[i][1]]
+    pairs = [(r.choice(every), r.choice(every)) for _ in range(4000)] + [(r.choice(short), r.choice(short)) for _ in range(12_000)]
+    pairs += [(a, b) for x in twins for a, b in ((x, x), (x, t.parts[x][0]), (t.parts[x][0], x))]
+    assert [p for p in pairs if t.fits(*p) != (t.merged(t.bytes[p[0]] + t.bytes[p[1]]) == list(p))] == []

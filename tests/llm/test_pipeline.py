@@ -27,7 +27,7 @@ def test_stages_take_effect(spark):
     assert {d for d in before if before[d] != after[d].text} == hit
     t = bpe.Transducer(bpe.vocabulary_text())
     for x in held[5].collect():
-        ids_ = [i for y in t.encode(after[x.doc_id].text) for i in y[1]]
+        ids_ = [i for lot in t.encode(after[x.doc_id].text) for y in lot for i in y[1]]
         assert x.n_tokens == len(ids_) and x.decoded_sha256 == hashlib.sha256(after[x.doc_id].text.encode()).hexdigest()
 
 
