@@ -265,8 +265,16 @@ def train(pages: DataFrame, sample: int = SAMPLE, page_bytes: int = PAGE_BYTES)
     return fitted([x.html for x in rows])
 
 
+#: A page to train on in many frames where a table has none to train on (all are empty or too large).
+USUAL = (
+    "<html><head><title>A page</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav><article><h1>What the page is about</h1>"
+    + "".join(f"<p>{x}</p>" for x in ("This is the first paragraph, of one sentence.", "A second one goes on for longer, with a clause, and another, before it ends. Then it says more.", "Short.", "The last paragraph closes what the others began, as such pages do; it is followed by a footer."))
+    + "</article><footer>&copy; 2020 The site</footer></body></html>"
+)
+
+
 def fitted(sample: list[str]) -> Field:
-    """The field of some pages: labelled by their structure where they have one, else by density."""
+    """The field of some pages: labelled by their structure where they have one, else by density; without any text, that of USUAL."""
     parsed = [blocks(x) for x in sample]
     said: dict[str, int] = {}
     for page in parsed:
@@ -277,6 +285,9 @@ def fitted(sample: list[str]) -> Field:
     for k, page in enumerate(parsed):
         labels = structural_labels(page)
         labelled += variants(page, density_labels(page, common) if labels is None else labels, k)
+    for k in range(0 if labelled else 40):
+        page = blocks(USUAL)
+        labelled += variants(page, structural_labels(page) or [], k)
     return Field.trained(labelled)
 
 
