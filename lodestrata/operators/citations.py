@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,13 +145,12 @@ def source_distance(papers: DataFrame, edges: DataFrame, seed: str) -> DataFrame
 
 
 def diversity(visits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """agent_id, diversity: 1 less the mean cosine of all pairs of visited vectors, from the sum of unit vectors alone, one sum
-    for each dimension in one aggregate."""
+    """agent_id, diversity: 1 less the mean cosine of all pairs of visited vectors, from the sum of unit vectors alone, in one
+    aggregate."""
     unit = F.expr("transform(embedding, x -> cast(x as double) / sqrt(aggregate(embedding, 0D, (s, y) -> s + cast(y as double) * cast(y as double))))")
-    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    rows = visits.select("agent_id", "id").join(vectors.select("id", unit.alias("u")), "id")
-    sums = rows.groupBy("agent_id").agg(F.count("*").alias("n"), *[F.sum(F.get("u", F.lit(k))).alias(f"x{k}") for k in range(width)])
-    square = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"x{k}") * F.col(f"x{k}"), F.lit(0.0)) for k in range(width)], F.lit(0.0))
+    rows = visits.select("agent_id", "id").join(vectors.select("id", array_to_vector(unit).alias("u")), "id")
+    sums = rows.groupBy("agent_id").agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(F.col("u"))).alias("x"))
+    square = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x * x)
     mean = (square - F.col("n")) / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1))
     return sums.select("agent_id", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean)).alias("diversity"))
 
