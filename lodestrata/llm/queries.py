@@ -7,6 +7,7 @@ import importlib
 import corpus_pipeline
 
 OPERATORS = {
+    "op11_hard_negatives": "hard_negatives",
     "op9_html_extraction": "html_extract",
     "op2_benchmark_decontamination": "decontaminate",
     "op5_url_filters": "url_filter",
