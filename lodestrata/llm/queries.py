@@ -9,6 +9,7 @@ import corpus_pipeline
 OPERATORS = {
     "op11_hard_negatives": "hard_negatives",
     "op12_language_id": "lang_id",
+    "op13_conversation_repair": "conversation_repair",
     "op9_html_extraction": "html_extract",
     "op2_benchmark_decontamination": "decontaminate",
     "op5_url_filters": "url_filter",
