@@ -28,7 +28,7 @@ from lodestrata.tables import drop, scratch, stored
 BLOCK = 4096  #: rows of a block, about
 SAMPLE, CELLS = 2048, 1024  #: rows that pivots are chosen from, about, and pivots at most: the only fitted part
 GROUP = 4096  #: queries that meet a block in one task
-SHRINK, LEAF = 1.2, 48  #: radius of a level by that of the next, and points that are not divided further
+SHRINK, LEAF = 1.5, 64  #: radius of a level by that of the next, and points that are not divided further
 CHUNK = 512  #: points verified at a time
 LONG = (1 << 63) - 1
 EXACT = 2.0**53
@@ -74,20 +74,22 @@ def _apart(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(1))
 
 
-def farthest_first(points: np.ndarray, first: int, radius: float, most: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Centres, each the point farthest from those before it, until all lie within the radius or there are `most`;
-    each point's centre and the distance to it."""
+def farthest_first(points: np.ndarray, first: int, radius: float, most: int) -> tuple[list[int], np.ndarray]:
+    """Centres, each the point farthest from those before it, until all lie within the radius or there are `most`,
+    and each point's nearest."""
     centres, nearest = [first], np.zeros(len(points), np.int64)
-    far = _apart(points, points[first])
+    norms = (points * points).sum(1)
+    far = norms + norms[first] - 2 * (points @ points[first])  # squared, exact enough to choose by
     while len(centres) < most:
         new = int(far.argmax())
-        if far[new] <= radius:
+        if far[new] <= radius * radius:
             break
-        here = _apart(points, points[new])
+        here = norms + norms[new] - 2 * (points @ points[new])
         closer = here < far
+        closer[new] = True
         nearest[closer], far[closer] = len(centres), here[closer]
         centres.append(new)
-    return centres, nearest, far
+    return centres, nearest
 
 
 def cover_tree(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
@@ -105,7 +107,7 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int
         if end - start <= LEAF or radius == 0:
             continue
         level = radius if level is None else min(radius, level)
-        centres, nearest, _ = farthest_first(points[own], 0, level / SHRINK, len(own))
+        centres, nearest = farthest_first(points[own], 0, level / SHRINK, len(own))
         by = np.lexsort((np.arange(len(own)) != np.asarray(centres)[nearest], nearest))
         order[start:end] = own[by]
         edges = np.searchsorted(nearest[by], np.arange(len(centres) + 1))
@@ -143,44 +145,56 @@ class Tree:
         self.kids = [kids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.leaf = edges[:-1] == edges[1:]
 
-    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def scores(self, at: np.ndarray | slice, q: np.ndarray) -> np.ndarray:
         if self.exact:
             return (self.x[at] @ q).astype(np.int64)
         whole = np.vectorize(int, otypes=[object])
-        return np.clip(whole(self.x[at]) @ whole(q), -LONG - 1, LONG).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-
-    def best(self, q: np.ndarray, up: np.ndarray, low: np.ndarray, lo: int, hi: int, k: int, fits) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows in the window lo..hi that `fits` takes; of equal scores the least ids."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heap = [(-up[0], 0)] if up[0] >= lo and low[0] <= hi else []
+        return np.clip(whole(self.x[at]) @ whole(q), -LONG - 1, LONG).astype(np.int64) if len(self.x[at]) else np.zeros(0, np.int64)
+
+    def best(self, q: np.ndarray, up: np.ndarray, low: np.ndarray, windows: list[tuple[int, int]], k: int, fits) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best rows that `fits` takes in each window lo..hi; of equal scores the least ids. A row is scored
+        once for all windows."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
+        los, high = [lo for lo, _ in windows], max(hi for _, hi in windows)
+        lo = min(los)
+        heap = [(-up[0], 0)] if up[0] >= lo and low[0] <= high else []
         while heap:
             bound, node = heappop(heap)
             if -bound < lo:
                 break
             kids = np.array([node]) if self.leaf[node] else self.kids[node]
-            kids = kids[(up[kids] >= lo) & (low[kids] <= hi)]
+            kids = kids[(up[kids] >= lo) & (low[kids] <= high)]
             leaf = self.leaf[kids]
             for kid in kids[~leaf]:
-                heappush(heap, (-min(up[kid], hi), int(kid)))
+                heappush(heap, (-min(up[kid], high), int(kid)))
             kids = kids[leaf]
             kids = kids[np.argsort(-up[kids])]
             size = np.cumsum(self.end[kids] - self.start[kids])
+            all_scores = None
+            if len(size) and 4 * size[-1] > self.end[node] - self.start[node] and self.exact:  # most of the node: in one go, in place
+                all_scores = self.scores(slice(self.start[node], self.end[node]), q)
             at = 0
             while at < len(kids) and up[kids[at]] >= lo:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+                to = len(kids) if all_scores is not None else max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
                 few = kids[at:to]
                 n = self.end[few] - self.start[few]
                 rows = np.repeat(self.start[few] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows = rows[fits(rows)]
-                got = self.scores(rows, q)
-                good = (got >= lo) & (got <= hi)
-                ids, scores = np.concatenate([ids, self.ids[rows[good]]]), np.concatenate([scores, got[good]])
-                if len(ids) >= k:
-                    first = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[first], scores[first]
-                    lo = max(lo, int(scores[-1]))
+                got = self.scores(rows, q) if all_scores is None else all_scores[rows - self.start[node]]
+                good = np.flatnonzero((got >= lo) & (got <= high))
+                good = good[fits(rows[good])]
+                rows, got = rows[good], got[good]
+                for w, (_, hi) in enumerate(windows if len(rows) else ()):
+                    here = (got >= los[w]) & (got <= hi)
+                    if here.any():
+                        ids, scores = np.concatenate([found[w][0], self.ids[rows[here]]]), np.concatenate([found[w][1], got[here]])
+                        if len(ids) >= k:
+                            first = np.lexsort((ids, -scores))[:k]
+                            ids, scores = ids[first], scores[first]
+                            los[w] = max(los[w], int(scores[-1]))
+                        found[w] = ids, scores
+                lo = min(los)
                 at = to
-        return ids, scores
+        return found
 
 
 class Forest:
@@ -200,7 +214,7 @@ class Forest:
             sample[k, : len(x)] = x
         sample = augmented(sample, most)
         centre = int(_apart(sample, sample.mean(0)).argmin())
-        chosen, _, _ = farthest_first(sample, centre, 0.0, max(1, min(CELLS, self.n // BLOCK)))
+        chosen, _ = farthest_first(sample, centre, 0.0, max(1, min(CELLS, self.n // BLOCK)))
         self.pivots = pivots = sample[chosen]
 
         def deal(batches):
@@ -281,8 +295,7 @@ class Forest:
                     up, low = np.ascontiguousarray(up.T), np.ascontiguousarray(low.T)
                     for i, (me, label, windows) in enumerate(zip(few["vec_id"].to_pylist(), few["label"].to_pylist(), few["windows"].to_pylist(), strict=True)):
                         fits = (lambda r, me=me, label=label: (tree.labels[r] == label) & (tree.ids[r] != me)) if same else (lambda r, label=label: tree.labels[r] != label)
-                        for w in windows:
-                            ids, scores = tree.best(q[i], up[i], low[i], w["lo"], w["hi"], k, fits)
+                        for w, (ids, scores) in zip(windows, tree.best(q[i], up[i], low[i], [(w["lo"], w["hi"]) for w in windows], k, fits), strict=True):
                             out.append((np.full(len(ids), me), np.full(len(ids), w["key"]), ids, scores))
             columns = [np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in range(4)]
             return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["anchor_id", "key", "vec_id", "score"])

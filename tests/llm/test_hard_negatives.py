@@ -105,7 +105,7 @@ def test_search_skips_what_lies_outside(spark):
     fits = lambda rows: (met.append(len(rows)), np.ones(len(rows), bool))[1]
     for q in x[::100]:
         up, low = h.bounds((tree.x[tree.start] @ q)[:, None], np.array([np.sqrt(q @ q)]), tree.radius, most)
-        ids, scores = tree.best(q, up[:, 0], low[:, 0], -(1 << 62), 1 << 62, 5, fits)
+        (ids, scores), (wide, _) = tree.best(q, up[:, 0], low[:, 0], [(-(1 << 62), 1 << 62), (0, 1 << 62)], 5, fits)
         best = np.lexsort((np.arange(len(x)), -(x @ q)))[:5]
-        assert ids.tolist() == best.tolist() and scores.tolist() == (x @ q)[best].astype(int).tolist()
+        assert ids.tolist() == wide.tolist() == best.tolist() and scores.tolist() == (x @ q)[best].astype(int).tolist()
     assert sum(met) < 0.3 * len(x) * 32
