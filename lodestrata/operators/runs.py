@@ -19,9 +19,9 @@ LEGACY = {
     "agent_turn_start": "agent_turn_started",
     "agent_turn_complete": "agent_turn_completed",
     "agent_turn_skipped": "agent_turn_completed",
-    "evaluation_skipped": "quality_eval_skipped",
-    "evaluation_complete": "quality_eval_completed",
-    "evaluation_detail": "quality_eval_completed",
+    "evaluation_skipped": "quality_evaluation_skipped",
+    "evaluation_complete": "quality_evaluation_completed",
+    "evaluation_detail": "quality_evaluation_completed",
     "agent_step": "paper_integration_completed",
     "orchestrator_complete": "run_completed",
     "no_winner": "run_completed",
@@ -130,20 +130,22 @@ def stale_runs(runs: DataFrame, now: Column, seconds: int = 120, host: Column |
 
 def project_runs(events: DataFrame, most: int = RETAINED) -> DataFrame:
     """One row of state for each run from its log, in any order and with repeats: an event's number counts once; the last
-    status, current agent, number of evaluations, best q, and how many events were seen and are retained."""
+    status (the first end is final), current agent, number of evaluations, best q, and how many events were seen and are retained."""
     once = events.where("seq > 0").groupBy("run_id", "seq").agg(F.min(F.struct("type", "agent_id", "value")).alias("e")).select("run_id", "seq", "e.*")
+    from lodestrata.operators.machines import run_status
+
     kind = canonical_type(F.col("type"))
-    status = F.when(kind == "run_started", "running").when(kind == "run_completed", "completed").when(kind == "quality_eval_completed", "evaluating")
-    rows = once.withColumns({"kind": kind, "status": status})
-    ended = F.when(F.col("status").isNotNull(), F.col("seq"))
+    rows = once.withColumns({"kind": kind, "status": run_status(kind)})
+    fact = F.struct("seq", "status")
+    end = F.min(F.when(F.col("status").isin(*TERMINAL), fact))
     return rows.groupBy("run_id").agg(
         F.max("seq").alias("last_seq"),
         F.count("*").alias("seen"),
         F.least(F.count("*"), F.lit(most)).alias("retained"),
-        F.max_by("status", ended).alias("status"),
+        F.coalesce(end, F.max(F.when(F.col("status").isNotNull(), fact)))["status"].alias("status"),
         F.max_by("agent_id", F.when(F.col("agent_id").isNotNull(), F.col("seq"))).alias("agent_id"),
-        F.count_if(F.col("kind") == "quality_eval_completed").alias("evaluations"),
-        F.max(F.when(F.col("kind") == "quality_eval_completed", F.least(F.lit(1.0), F.col("value") / 100))).alias("best_q"),
+        F.count_if(F.col("kind") == "quality_evaluation_completed").alias("evaluations"),
+        F.max(F.when(F.col("kind") == "quality_evaluation_completed", F.least(F.lit(1.0), F.col("value") / 100))).alias("best_q"),
     )
 
 
@@ -194,7 +196,7 @@ def timeline(events: DataFrame) -> DataFrame:
 
 
 #: Which events stand in the timeline, and as what.
-ENTRIES = {"reference_mapping_started": "mapping", "reference_mapping_completed": "mapping", "discovery_completed": "discovery", "frontier_completed": "frontier", "paper_integration_completed": "paper", "warning": "warning"}
+ENTRIES = {"reference_mapping_started": "mapping", "reference_mapping_completed": "mapping", "neighbor_discovery_completed": "discovery", "frontier_reference_evaluation_completed": "frontier", "paper_integration_completed": "paper", "warning": "warning"}
 
 
 def timeline_rows(events: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def timeline_rows(events: DataFrame) -> DataFrame:
 def exam_projection(events: DataFrame) -> DataFrame:
     """run_id and what a run's examination has come to: sources, items, sound, selected, held out, survivor and uplift, each the
     last value that its event gave, and the last stage."""
-    names = {"sources": "exam_pack_built", "items": "exam_generated", "sound": "exam_validated", "held": "exam_split", "survivor": "survivor_selected", "uplift": "benchmark_completed"}
+    names = {"sources": "evidence_pack_frozen", "items": "exam_generated", "sound": "exam_validated", "held": "exam_partitioned", "survivor": "survivor_selected", "uplift": "benchmark_completed"}
     rows = events.where(F.col("type").isin(*names.values()))
     return rows.groupBy("run_id").agg(*[F.max_by("value", F.when(F.col("type") == t, F.col("seq"))).alias(n) for n, t in names.items()], F.max_by("type", "seq").alias("stage"))
 
@@ -240,7 +242,7 @@ def wave_report(turns: DataFrame) -> DataFrame:
 
 def append_evaluations(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evaluations with the incoming ones, a compact event for each incoming one, q to four places)."""
-    events = incoming.select("run_id", "wave", F.lit("quality_eval_completed").alias("type"), F.to_json(F.struct("wave", F.round("q", 4).alias("q"))).alias("payload"))
+    events = incoming.select("run_id", "wave", F.lit("quality_evaluation_completed").alias("type"), F.to_json(F.struct("wave", F.round("q", 4).alias("q"))).alias("payload"))
     return current.unionByName(incoming.select(*current.columns)), events
 
 

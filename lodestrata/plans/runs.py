@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import runs as rn
+from lodestrata.operators.machines import RUN
 from lodestrata.plans.registry import query
 
 c = F.col
@@ -97,9 +98,12 @@ def win_agent_labels(t):
     return rn.agent_labels(t.run_events)
 
 
-@query("job_project_runs", f"SELECT run_id, max(seq) AS last_seq, count(*) AS seen, least(count(*), 1000) AS retained, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(agent_id, seq) FILTER (agent_id IS NOT NULL) AS agent_id, count(*) FILTER (kind = 'quality_eval_completed') AS evaluations, max(least(1.0, value / 100)) FILTER (kind = 'quality_eval_completed') AS best_q FROM (SELECT *, CASE kind WHEN 'run_started' THEN 'running' WHEN 'run_completed' THEN 'completed' WHEN 'quality_eval_completed' THEN 'evaluating' END AS status FROM (SELECT *, {_LEGACY} AS kind FROM {{run_events}}) e) x GROUP BY run_id")
+_RUN_STATUS = "CASE WHEN kind = 'wave_phase_started' THEN 'running' " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in RUN.items()) + " END"
+
+
+@query("job_project_runs", f"SELECT run_id, max(seq) AS last_seq, count(*) AS seen, least(count(*), 1000) AS retained, coalesce(arg_min(status, seq) FILTER (status IN ('completed', 'cancelled', 'failed', 'interrupted')), arg_max(status, seq) FILTER (status IS NOT NULL)) AS status, arg_max(agent_id, seq) FILTER (agent_id IS NOT NULL) AS agent_id, count(*) FILTER (kind = 'quality_evaluation_completed') AS evaluations, max(least(1.0, value / 100)) FILTER (kind = 'quality_evaluation_completed') AS best_q FROM (SELECT *, {_RUN_STATUS} AS status FROM (SELECT *, {_LEGACY} AS kind FROM {{log_events}}) e) x GROUP BY run_id")
 def job_project_runs(t):
-    events = t.run_events
+    events = t.log_events
     return rn.project_runs(events.unionByName(events.where("seq % 2 = 0")))  # repeats change nothing
 
 
@@ -186,7 +190,7 @@ def snk_append_evaluations(t):
     return rn.append_evaluations(rows.where("wave <= 3"), rows.where("wave > 3"))[0]
 
 
-@query("snk_evaluation_events", "SELECT run_id, wave, 'quality_eval_completed' AS type, round(q, 4) AS q FROM {evaluations} WHERE wave > 3")
+@query("snk_evaluation_events", "SELECT run_id, wave, 'quality_evaluation_completed' AS type, round(q, 4) AS q FROM {evaluations} WHERE wave > 3")
 def snk_evaluation_events(t):
     rows = t.evaluations.select("run_id", "wave", "q")
     events = rn.append_evaluations(rows.where("wave <= 3"), rows.where("wave > 3"))[1]
@@ -198,18 +202,18 @@ def str_loose_numbers(t):
     return t.events.select("event_id", rn.loose_int(F.substr(F.concat("event_type", c("event_id").cast("string")), F.lit(6)), -1).alias("i"), rn.loose_float(c("value").cast("string")).alias("f"))
 
 
-_NEWS = "SELECT run_id, seq, agent_id, CASE event_id % 7 WHEN 0 THEN 'reference_mapping_started' WHEN 1 THEN 'reference_mapping_completed' WHEN 2 THEN 'discovery_completed' WHEN 3 THEN 'frontier_completed' WHEN 4 THEN 'agent_step' WHEN 5 THEN 'warning' ELSE 'candidate_score' END AS type FROM {run_events}"
+_NEWS = "SELECT run_id, seq, agent_id, CASE event_id % 7 WHEN 0 THEN 'reference_mapping_started' WHEN 1 THEN 'reference_mapping_completed' WHEN 2 THEN 'neighbor_discovery_completed' WHEN 3 THEN 'frontier_reference_evaluation_completed' WHEN 4 THEN 'agent_step' WHEN 5 THEN 'warning' ELSE 'candidate_score' END AS type FROM {run_events}"
 
 
 @query("stm_timeline", f"""SELECT entry_id, max(seq) AS seq, arg_max(status, seq) AS status FROM (SELECT seq, kind || ':' || run_id || ':' || CASE WHEN kind IN ('warning', 'paper') THEN seq::VARCHAR ELSE coalesce(agent_id, '-') END AS entry_id, status FROM
-  (SELECT *, CASE WHEN type LIKE 'reference%' THEN 'mapping' WHEN type LIKE 'discovery%' THEN 'discovery' WHEN type LIKE 'frontier%' THEN 'frontier' WHEN type = 'agent_step' THEN 'paper' WHEN type = 'warning' THEN 'warning' END AS kind, CASE WHEN type LIKE '%started' THEN 'active' WHEN type = 'warning' THEN 'failed' ELSE 'completed' END AS status FROM ({_NEWS}) n) x WHERE kind IS NOT NULL) y GROUP BY entry_id""")
+  (SELECT *, CASE WHEN type LIKE 'reference%' THEN 'mapping' WHEN type LIKE 'neighbor%' THEN 'discovery' WHEN type LIKE 'frontier%' THEN 'frontier' WHEN type = 'agent_step' THEN 'paper' WHEN type = 'warning' THEN 'warning' END AS kind, CASE WHEN type LIKE '%started' THEN 'active' WHEN type = 'warning' THEN 'failed' ELSE 'completed' END AS status FROM ({_NEWS}) n) x WHERE kind IS NOT NULL) y GROUP BY entry_id""")
 def stm_timeline(t):
     from lodestrata.plans.views import spark_sql
 
     return rn.timeline_rows(spark_sql(t.spark, t.sf_dir, _NEWS)).groupBy("entry_id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
 
 
-_STAGES = ("exam_pack_built", "exam_generated", "exam_validated", "exam_split", "survivor_selected", "benchmark_completed")
+_STAGES = ("evidence_pack_frozen", "exam_generated", "exam_validated", "exam_partitioned", "survivor_selected", "benchmark_completed")
 _EXAM = "SELECT run_id, seq, value, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_STAGES)) + " ELSE 'warning' END AS type FROM {run_events}"
 
 

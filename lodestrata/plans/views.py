@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_LOGGED = (
+    "orchestrator_start", "oleada_start", "oleada_complete", "wave_phase_started", "wave_phase_completed", "wave_phase_failed", "agent_turn_queued", "agent_turn_start", "agent_turn_complete", "agent_turn_failed",
+    "quality_evaluation_started", "evaluation_complete", "evaluation_skipped", "quality_evaluation_failed", "evaluation_settled", "paper_fetch_started", "paper_fetch_completed", "paper_fetch_failed", "agent_step",
+    "neighbor_discovery_started", "neighbor_discovery_failed", "evidence_pack_frozen", "exam_validated", "exam_partitioned", "survivor_selected", "benchmark_completed", "status", "reference_mapping_started",
+    "reference_mapping_completed", "frontier_reference_evaluation_completed", "candidate_score", "provider_failure",
+)
+
 VIEWS = {
     "cited": "SELECT l_partkey, count(*) AS n_cites FROM {lineitem} GROUP BY l_partkey",
     "papers": """SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'openalex' WHEN 1 THEN 's2' WHEN 2 THEN 'pmid' ELSE 'arxiv' END, ':', CAST(p_partkey AS STRING)) AS id,
@@ -45,6 +52,10 @@ VIEWS = {
         CASE event_type WHEN 'signup' THEN 'orchestrator_start' WHEN 'view' THEN 'agent_step' WHEN 'click' THEN 'candidate_selected'
         WHEN 'purchase' THEN 'evaluation_complete' ELSE 'warning' END AS type,
         CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('agent-', CAST(event_id % 5 AS STRING)) END AS agent_id, value, props AS payload, event_id FROM {events}""",
+    "log_events": f"""SELECT run_id, seq, ts, CASE WHEN event_id % 101 = 0 THEN 'run_failed' WHEN event_id % 103 = 0 THEN 'run_cancelled' WHEN event_id % 107 = 0 THEN 'run_interrupted' WHEN event_id % 109 = 0 THEN 'run_completed'
+        ELSE CASE event_id % {len(_LOGGED)} {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_LOGGED))} END END AS type, agent_id, value, event_id,
+        CASE WHEN event_id % 50 = 7 THEN concat(chr(123), '"oleada": ') WHEN event_id % 50 <> 8 THEN concat(chr(123), '"oleada": ', CAST(seq DIV 20 + 1 AS STRING), ', "turn": ', CAST(event_id % 2 AS STRING), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ', "phase": "evaluation"' ELSE ', "phase": "decision"' END,
+            ', "status": "', CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'cancelled' ELSE 'evaluating' END, '", "budget": ', CAST(event_id % 3 AS STRING), ', "paper_id": "p', CAST(event_id % 5 AS STRING), '", "message": "token=abc ', CAST(event_id % 9 AS STRING), '"', chr(125)) END AS payload FROM {{run_events}}""",
     "evaluations": """SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS BIGINT) AS wave, least(1.0, value / 100) AS q
         FROM {run_events} WHERE type = 'evaluation_complete'""",
     "bib_texts": """SELECT p_partkey AS doc_id, concat('Body of ', p_name, chr(10), 'References', chr(10),

@@ -4,10 +4,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators.machines import facts, fold
 from lodestrata.operators.runs import project_runs
 from lodestrata.plans.views import Inputs
 from lodestrata.sources import papers
-from lodestrata.streaming.runs import EVENT, OUTPUT, compact, ingest, newest, project_stream, upsert_sink
+from lodestrata.streaming.runs import EVENT, NODES, OUTPUT, compact, ingest, newest, node_stream, project_stream, upsert_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +52,33 @@ def test_windows_and_machines(spark, tmp_path):
     assert (x.status, x.wave, x.wave_status, x.phase_status, x.turns, x.exam_stage, x.warnings) == ("running", 1, "completed", "active", 1, "exam_validated", 1)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nodes_of_a_shuffled_stream_equal_batch(spark, tmp_path, seed):
+    """Every kind of event, in random order over four files, a part of them twice; runs that end well, badly, or more than once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = Inputs(spark, SF).log_events.select("run_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "agent_id", F.col("value").cast("double").alias("value"), "payload").where("run_id < 6").cache()
+    parts = rows.randomSplit([1.0] * 4, seed)
+    for p in (*parts, parts[1].union(parts[3])):
+        p.orderBy(F.rand(seed)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    keys = ["run_id", "machine", "node"]
+    node_stream(stream).writeStream.foreachBatch(upsert_sink(f"{tmp_path}/out", keys, "version")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(240)
+    names = [*keys, "seq", "status"]
+    got = sorted(tuple(r) for r in newest(spark, f"{tmp_path}/out", NODES, keys, "version").select(*names).collect())
+    want = sorted(tuple(r) for r in fold(facts(rows)).select(*names).collect())
+    assert got == want and {s for _, m, _, _, s in got if m == "run"} >= {"cancelled"} and any(m == "warning" for _, m, *_ in got)
+
+
+def test_an_end_is_final(spark, tmp_path):
+    kinds = ["run_started", "run_failed", "wave_started", "run_completed"]
+    rows = [(1, k + 1, None, t, "a", None, None) for k, t in enumerate(kinds)] + [(2, 1, None, "run_started", "a", None, None), (2, 2, None, "run_cancelled", "a", None, None), (3, 1, None, "run_interrupted", "a", None, None), (4, 1, None, "run_completed", "a", None, '{"status": "failed"}')]
+    batch = {r.run_id: r.status for r in project_runs(spark.createDataFrame(rows, EVENT)).collect()}
+    assert batch == {1: "failed", 2: "cancelled", 3: "interrupted", 4: "completed"}
+    assert {r.run_id: r.status for r in fold(facts(spark.createDataFrame(rows, EVENT))).where("machine = 'run'").collect()} == batch | {4: "failed"}
+    streamed(spark, tmp_path, rows, {"availableNow": True}).awaitTermination(240)
+    assert {r.run_id: r.status for r in newest(spark, f"{tmp_path}/out", OUTPUT, ["run_id"], "seen").collect()} == batch | {4: "failed"}
+
+
 def test_silent_runs_are_interrupted_and_ended_ones_stay(spark, tmp_path):
     rows = [(1, 1, None, "run_started", "a", None, None), (2, 1, None, "run_started", "a", None, None), (2, 2, None, "run_completed", "a", None, None)]
     q = streamed(spark, tmp_path, rows, {"processingTime": "1 second"}, silence_ms=2000)
