@@ -2,8 +2,8 @@
 
 run(spark, sf_dir) applies STAGES to the table documents, writing and reading Parquet between them. A row without doc_id
 can't be judged and goes with the first stage; null and empty texts fail the quality rules; extra columns are left out,
-missing ones of COLUMNS are null; rows of one doc_id with different texts share their fate: they stay in the first stage
-if one of them is kept, the second keeps one row of an id, and a leak in one is a leak in all; an empty table stays empty.
+missing ones of COLUMNS are null; rows of one doc_id with different texts share their fate in the first stage (they stay
+if one of them is kept) and the third (a leak in one is a leak in all), the second judges each text; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, decontaminate, ngram_join, pii, quality
+from lodestrata.llm.text import has_repeated_ids, numbered
 from lodestrata.tables import drop, scratch, stored
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -33,9 +34,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a similarity of 0.8 over 5-word shingles, the one with the least doc_id; repeated rows of it once."""
-    groups = ngram_join.similar_sets(docs, size=SHINGLE, percent=PERCENT).where("component_id = doc_id")
-    return _only(docs, groups, "pipeline-groups").dropDuplicates(["doc_id"])
+    """Of each component of texts with a similarity of 0.8 over 5-word shingles, the row with the least doc_id (then the least digest of
+    all its columns); repeated rows once. Texts are judged, not ids: of an id with several texts those stay that are no copies."""
+    docs = _documents(docs).where("doc_id is not null")
+    if not has_repeated_ids(docs):
+        return _only(docs, ngram_join.similar_sets(docs, size=SHINGLE, percent=PERCENT).where("component_id = doc_id"), "pipeline-groups")
+    rows = numbered(docs, "pipeline-rows")
+    groups = ngram_join.similar_sets(rows.select(F.col("row").alias("doc_id"), "text"), size=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("row"), "component_id")
+    own = rows.select("row", F.struct("doc_id", F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary")), "row").alias("name"))
+    kept = groups.join(own.hint("merge"), "row").groupBy("component_id").agg(F.min("name")["row"].alias("row"))
+    return rows.join(stored(kept.select("row"), "pipeline-kept").hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

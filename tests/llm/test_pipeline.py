@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from lodestrata.llm import bpe, decontaminate, ngram_join, pii, quality
 
@@ -48,6 +50,19 @@ def test_near_duplicates_are_those_of_five_words_and_four_fifths(spark):
     assert len({x.component_id for x in ngram_join.similar_sets(docs).collect()}) > 2
 
 
+@pytest.mark.parametrize("order", range(6))
+def test_several_texts_of_an_id_are_judged_by_text(spark, order):
+    """A copy goes and a text of its own stays, whatever the order of rows."""
+    a, b, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (7, a, "fr", "s", 1), (9, other, "en", "s", 1), (9, other, "en", "t", 1)]
+    import random
+
+    random.Random(order).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == [(1, a), (5, b), (9, other)]
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     text = "one two three four five six seven eight nine ten eleven twelve mail a@b.co"
     rows = [(1, text, "p", "k"), (1, text, "p", "k"), (2, None, None, None), (None, text, "p", "k"), (3, "", "p", "k"), (4, "short", "p", "k"), (5, text + " more words of it", "p", "k")]
