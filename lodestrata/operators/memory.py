@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts
+from lodestrata.operators.ranges import SPAN, filled, lagged
+from lodestrata.operators.ranks import ranked
+from lodestrata.tables import stored
 
 RELATIONS = ("support", "contradiction", "extension", "comparison", "replication", "background")  #: fixed values; others count as extension
 
@@ -124,23 +127,25 @@ def mark_integrated(papers: DataFrame, ids: DataFrame) -> DataFrame:
     return both.select("id", F.coalesce("provider", F.lit("unknown")).alias("provider"), "embedding", (F.coalesce("integrated", F.lit(False)) | F.col("__hit").isNotNull()).alias("integrated"))
 
 
-def append_research_events(current: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """run_id, seq, type, prev_state_hash, state_hash of incoming events (run_id, type, state) as the next ones of their runs: an
-    event without a state carries the hash on."""
+def append_research_events(current: DataFrame, incoming: DataFrame, order: str, span: int = SPAN) -> DataFrame:
+    """run_id, seq, type, state, prev_state_hash, state_hash of incoming events (run_id, type, state) as the next ones of their runs: an
+    event without a state carries the hash on. Numbers and hashes are worked out by ranges, so a run may be any share of all rows;
+    `ranges.snapshots` of the result are the rows to restore from."""
     last = current.groupBy("run_id").agg(F.max("seq").alias("last"), F.max_by("state_hash", "seq").alias("head"))
-    w = Window.partitionBy("run_id").orderBy(order)
-    rows = incoming.join(last, "run_id", "left").withColumn("k", F.row_number().over(w))
+    placed = stored(ranked(incoming, ["run_id", order], "__place"), "research-places")
+    first = placed.groupBy("run_id").agg(F.min("__place").alias("__first"))
     own = F.when(F.col("state").isNotNull(), texts.sha256_text(F.col("state")))
-    carried = F.coalesce(F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("head"))
-    rows = rows.withColumn("state_hash", carried)
-    return rows.select("run_id", (F.coalesce("last", F.lit(0)) + F.col("k")).cast("long").alias("seq"), "type", F.coalesce(F.lag("state_hash").over(w), F.col("head")).alias("prev_state_hash"), "state_hash")
+    rows = placed.join(first.hint("merge"), "run_id").join(last.hint("merge"), "run_id", "left")
+    rows = rows.withColumn("seq", (F.coalesce("last", F.lit(0)) + F.col("__place") - F.col("__first") + 1).cast("long"))
+    rows = filled(rows.select("run_id", "seq", "type", "state", "head"), "run_id", own, "state_hash", span=span).withColumn("state_hash", F.coalesce("state_hash", "head"))
+    rows = lagged(rows, "run_id", F.struct("state_hash"), "before", span=span)
+    return rows.select("run_id", "seq", "type", "state", F.when(F.col("before").isNull(), F.col("head")).otherwise(F.col("before.state_hash")).alias("prev_state_hash"), "state_hash")
 
 
-def research_chain(events: DataFrame) -> DataFrame:
+def research_chain(events: DataFrame, span: int = SPAN) -> DataFrame:
     """run_id, events, broken: how many events don't link to the hash of the one before."""
-    w = Window.partitionBy("run_id").orderBy("seq")
-    rows = events.withColumn("bad", ~F.col("prev_state_hash").eqNullSafe(F.lag("state_hash").over(w)))
-    return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if("bad").alias("broken"))
+    rows = lagged(events.select("run_id", "seq", "prev_state_hash", "state_hash"), "run_id", F.col("state_hash"), "before", span=span)
+    return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if(~F.col("prev_state_hash").eqNullSafe(F.col("before"))).alias("broken"))
 
 
 def fold_claim_statuses(mutations: DataFrame) -> DataFrame:

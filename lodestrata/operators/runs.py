@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts
+from lodestrata.operators.ranges import SPAN, filled, lagged
 
 #: Older names of event types.
 LEGACY = {
@@ -43,10 +44,9 @@ def append_events(current: DataFrame, incoming: DataFrame, order: str) -> DataFr
     return rows.select("run_id", (F.coalesce("last", F.lit(0)) + F.col("k")).cast("long").alias("seq"), "type", texts.redact_secrets(F.col("payload")).alias("payload"))
 
 
-def fill_agent(events: DataFrame) -> DataFrame:
+def fill_agent(events: DataFrame, span: int = SPAN) -> DataFrame:
     """events with agent: its own, else that of the last event of the run that had one."""
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("agent", F.last("agent_id", ignorenulls=True).over(w))
+    return filled(events, "run_id", F.col("agent_id"), "agent", span=span)
 
 
 def retained_window(events: DataFrame, most: int = RETAINED) -> DataFrame:
@@ -60,13 +60,14 @@ def retained_window(events: DataFrame, most: int = RETAINED) -> DataFrame:
     return some.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r").join(n, "run_id").withColumn("dropped", F.greatest(F.lit(0), F.col("seen") - most))
 
 
-def verify_chain(events: DataFrame) -> DataFrame:
+def verify_chain(events: DataFrame, span: int = SPAN) -> DataFrame:
     """run_id, events, broken, gaps of events (seq, state, prev_hash, state_hash): links to another hash than the one before,
-    states that don't have their hash, and jumps of seq."""
-    w = Window.partitionBy("run_id").orderBy("seq")
-    before, seq = F.lag("state_hash").over(w), F.lag("seq").over(w)
-    rows = events.withColumns({"bad": ~F.col("prev_hash").eqNullSafe(before) | (F.col("state_hash") != texts.sha256_text(F.col("state"))), "gap": F.col("seq") != F.coalesce(seq, F.lit(0)) + 1})
-    return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if("bad").alias("broken"), F.count_if("gap").alias("gaps"))
+    states that don't have their hash, and jumps of seq. Checked by ranges of seq, whose ends are stitched."""
+    own = events.select("run_id", "seq", "prev_hash", "state_hash", (F.col("state_hash") != texts.sha256_text(F.col("state"))).alias("wrong"))
+    rows = lagged(own, "run_id", F.struct("seq", "state_hash"), "before", span=span)
+    bad = F.col("wrong") | ~F.col("prev_hash").eqNullSafe(F.col("before.state_hash"))
+    gap = F.col("seq") != F.coalesce("before.seq", F.lit(0)) + 1
+    return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if(bad).alias("broken"), F.count_if(gap).alias("gaps"))
 
 
 def state_as_of(states: DataFrame, asked: DataFrame) -> DataFrame:

@@ -206,6 +206,20 @@ def join_relevant_claims(t):
     return ev.relevant_claims(t.claims, questions)
 
 
+_QUESTIONS = "SELECT item_id AS question_id, text FROM {benchmark} UNION ALL SELECT -1 - r_regionkey, '(%)' FROM {region} WHERE r_regionkey < 2 UNION ALL SELECT -100 - item_id, concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) FROM {benchmark}"
+
+
+@query("join_top_claims", f"""SELECT question_id, rank, claim_id, overlap FROM (SELECT question_id, claim_id, overlap, row_number() OVER (PARTITION BY question_id ORDER BY CASE status WHEN 'supported' THEN 1 WHEN 'disputed' THEN 2 WHEN 'proposed' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END, claim_id) AS rank FROM
+  (WITH q AS MATERIALIZED ({_QUESTIONS}), m AS MATERIALIZED ({_MET})
+  SELECT * FROM m UNION ALL SELECT question_id, claim_id, 0 FROM q, {{claims}} WHERE question_id NOT IN (SELECT question_id FROM m)) x JOIN {{claims}} c USING (claim_id)) y WHERE rank <= 10""")
+def join_top_claims(t):
+    from lodestrata.operators import retrieval as rt
+    from lodestrata.plans.views import spark_sql
+
+    index = rt.claim_index(t.claims, 64)
+    return rt.top_claims(index, spark_sql(t.spark, t.sf_dir, _QUESTIONS), 10)
+
+
 @query("win_build_pack", "SELECT paper_id, hash, CASE WHEN content_kind = 'metadata' THEN 'no_evidence' WHEN paper_id > min(CASE WHEN content_kind <> 'metadata' THEN paper_id END) OVER (PARTITION BY hash) THEN 'duplicate_content' ELSE 'included' END AS status FROM (SELECT a.paper_id, a.content_kind, sha256(d.text) AS hash FROM {acquired} a JOIN {documents} d ON d.doc_id = a.paper_id) x")
 def win_build_pack(t):
     rows = t.acquired.join(t.documents, c("doc_id") == c("paper_id")).select("paper_id", "content_kind", texts.sha256_text(c("text")).alias("hash"))

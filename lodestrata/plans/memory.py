@@ -129,7 +129,7 @@ def snk_append_research_events(t):
     rows = t.run_events.select("run_id", "seq", "type", F.when(c("event_id") % 3 != 0, c("event_id").cast("string")).alias("state"))
     none = rows.where("false").select("run_id", "seq", c("type").alias("state_hash"))
     first = mm.append_research_events(none, rows.where("seq <= 4"), "seq")
-    return mm.append_research_events(first.select("run_id", "seq", "state_hash"), rows.where("seq > 4"), "seq")
+    return mm.append_research_events(first.select("run_id", "seq", "state_hash"), rows.where("seq > 4"), "seq").drop("state")
 
 
 @query("win_research_chain", "SELECT run_id, count(*) AS events, count(*) FILTER (seq % 4 = 0) AS broken FROM {run_events} GROUP BY run_id")
@@ -139,6 +139,50 @@ def win_research_chain(t):
     return mm.research_chain(chain.withColumn("prev_state_hash", F.when(c("seq") % 4 == 0, "x").otherwise(c("prev_state_hash"))))
 
 
+_HOT = "SELECT run_id, seq, state, last_value(CASE WHEN state IS NOT NULL THEN sha256(state) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq) AS state_hash FROM {hot_events}"
+_EVERY = 40  #: numbers of a range, so that the run that holds a third of all events has many
+
+
+def _hot_chain(t):
+    """The events of runs of which one holds a third, appended as a chain."""
+    rows = t.hot_events.select("run_id", "event_id", F.lit("note").alias("type"), "state")
+    return mm.append_research_events(rows.where("false").select("run_id", F.lit(1).alias("seq"), c("state").alias("state_hash")), rows, "event_id", _EVERY)
+
+
+@query("snk_research_chain", f"SELECT run_id, seq, lag(state_hash) OVER (PARTITION BY run_id ORDER BY seq) AS prev_state_hash, state_hash FROM ({_HOT}) x")
+def snk_research_chain(t):
+    return _hot_chain(t).select("run_id", "seq", "prev_state_hash", "state_hash")
+
+
+@query("win_chain_ranges", f"""SELECT run_id, count(*) AS events, count(*) FILTER (CASE WHEN seq % 11 = 0 THEN before IS DISTINCT FROM 'x' ELSE false END OR CASE WHEN seq % 13 = 0 THEN sha256(coalesce(state, '') || 'y') <> state_hash ELSE state IS NOT NULL AND sha256(state) <> state_hash END) AS broken, count(*) FILTER (seq <> coalesce(last, 0) + 1) AS gaps FROM
+  (SELECT *, lag(seq) OVER (PARTITION BY run_id ORDER BY seq) AS last FROM (SELECT *, lag(state_hash) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM ({_HOT}) x WHERE seq % 17 <> 5)) y GROUP BY run_id""")
+def win_chain_ranges(t):
+    from lodestrata.operators import ranges as rg
+    from lodestrata.operators import runs as rn
+
+    rows = _hot_chain(t).where("seq % 17 <> 5")  # some events are lost; the links around them are mended, but for every eleventh
+    linked = rg.lagged(rows, "run_id", F.struct("state_hash"), "b", span=_EVERY)
+    prev = F.when(c("seq") % 11 == 0, "x").otherwise(c("b.state_hash"))
+    state = F.when(c("seq") % 13 == 0, F.concat(F.coalesce("state", F.lit("")), F.lit("y"))).otherwise(c("state"))
+    return rn.verify_chain(linked.select("run_id", "seq", state.alias("state"), prev.alias("prev_hash"), "state_hash"), _EVERY)
+
+
+@query("snk_snapshots", f"SELECT r.run_id, r.at AS seq, max(e.seq) AS state_seq, arg_max(e.state, e.seq) AS state, arg_max(e.state_hash, e.seq) AS state_hash FROM (SELECT DISTINCT run_id, seq // {_EVERY} * {_EVERY} AS at FROM {{hot_events}}) r JOIN ({_HOT}) e ON e.run_id = r.run_id AND e.seq < r.at AND e.state IS NOT NULL GROUP BY 1, 2")
+def snk_snapshots(t):
+    from lodestrata.operators import ranges as rg
+
+    return rg.snapshots(_hot_chain(t), _EVERY)
+
+
+@query("join_restored_states", "SELECT a.run_id, a.seq AS asof, max(e.seq) AS state_seq, arg_max(e.state, e.seq) AS state FROM {hot_events} a LEFT JOIN {hot_events} e ON e.run_id = a.run_id AND e.seq <= a.seq AND e.state IS NOT NULL WHERE a.event_id % 5 = 0 GROUP BY 1, 2")
+def join_restored_states(t):
+    from lodestrata.operators import ranges as rg
+    from lodestrata.tables import stored
+
+    chain = stored(_hot_chain(t), "hot-chain")
+    return rg.restored(chain, rg.snapshots(chain, _EVERY), t.hot_events.where("event_id % 5 = 0").select("run_id", c("seq").alias("asof")), _EVERY)
+
+
 _FOLD = "SELECT user_id AS claim_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_id % 6 WHEN 0 THEN 'propose' WHEN 1 THEN 'support' WHEN 2 THEN 'dispute' WHEN 3 THEN 'open' WHEN 4 THEN 'answer' ELSE CASE WHEN event_id % 5 = 0 THEN 'supersede' ELSE 'note' END END AS action, event_id % 4 <> 0 AS backed FROM {events}"
 
 

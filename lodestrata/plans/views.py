@@ -56,6 +56,8 @@ VIEWS = {
         ELSE CASE event_id % {len(_LOGGED)} {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_LOGGED))} END END AS type, agent_id, value, event_id,
         CASE WHEN event_id % 50 = 7 THEN concat(chr(123), '"oleada": ') WHEN event_id % 50 <> 8 THEN concat(chr(123), '"oleada": ', CAST(seq DIV 20 + 1 AS STRING), ', "turn": ', CAST(event_id % 2 AS STRING), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ', "phase": "evaluation"' ELSE ', "phase": "decision"' END,
             ', "status": "', CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'cancelled' ELSE 'evaluating' END, '", "budget": ', CAST(event_id % 3 AS STRING), ', "paper_id": "p', CAST(event_id % 5 AS STRING), '", "message": "token=abc ', CAST(event_id % 9 AS STRING), '"', chr(125)) END AS payload FROM {{run_events}}""",
+    "hot_events": """SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS BIGINT) AS seq, event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE concat('state ', CAST(event_id % 7 AS STRING)) END AS state
+        FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS run_id, event_id FROM {events}) x""",
     "evaluations": """SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS BIGINT) AS wave, least(1.0, value / 100) AS q
         FROM {run_events} WHERE type = 'evaluation_complete'""",
     "bib_texts": """SELECT p_partkey AS doc_id, concat('Body of ', p_name, chr(10), 'References', chr(10),
