@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import maths
 from lodestrata.operators.ranks import ranked
+from lodestrata.operators.topk import top_k
 from lodestrata.tables import stored
 
 
@@ -88,6 +89,53 @@ def greedy(candidates: DataFrame, capacity: int, key: str = "agent_id") -> DataF
     return rows.withColumn("reason", F.when(F.col("score") <= 0, "no_score").when(F.col("rank") <= capacity, "selected").otherwise("over_capacity"))
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """A number in (0, 1] that depends on the seed and the parts alone: 48 bits of their MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 1) / 2.0**48
+
+
+def select_actions(candidates: DataFrame, visited: DataFrame, states: DataFrame, seed: int) -> DataFrame:
+    """candidates (agent_id, id, score) with reason, selected and rank: what an agent visited (agent_id, id) and what has no positive score
+    isn't eligible; of the others as many as the agent's capacity are selected, by score to nine places, then a seeded rank, then id.
+
+    states: agent_id, max_actions, slots, fetches, tokens: the capacity is the least of max_actions, the free slots (max_actions where
+    there is none) and the fetches left, and 0 without tokens. Only as many rows of an agent as the greatest capacity meet in a task.
+    """
+    room = F.least("max_actions", F.when(F.col("slots") > 0, F.col("slots")).otherwise(F.col("max_actions")), "fetches")
+    capacity = states.select("agent_id", F.when(F.col("tokens") > 0, F.greatest(room, F.lit(0))).otherwise(0).alias("capacity"))
+    seen = visited.select("agent_id", "id", F.lit(True).alias("seen")).distinct()
+    reason = F.when(F.col("seen"), "already_visited").when(F.coalesce("score", F.lit(0.0)) <= 0, "non_positive_score").otherwise("eligible")
+    rows = stored(candidates.join(seen.hint("merge"), ["agent_id", "id"], "left").withColumn("reason", reason).drop("seen"), "candidates")
+    most = capacity.agg(F.max("capacity")).first()[0] or 0
+    fit = rows.where("reason = 'eligible'").select("agent_id", (-F.round("score", 9)).alias("place"), seeded(seed, F.col("id")).alias("tie"), "id")
+    best = top_k(fit, "agent_id", ["place", "tie", "id"], most) if most else fit.select("agent_id", "id", F.lit(0).cast("long").alias("rank")).limit(0)
+    chosen = best.join(capacity.hint("merge"), "agent_id").where(F.col("rank") <= F.col("capacity")).select("agent_id", "id", "rank")
+    rows = rows.join(stored(chosen, "chosen").hint("merge"), ["agent_id", "id"], "left")
+    return rows.withColumn("selected", F.col("rank").isNotNull())
+
+
+def score_frontier(frontier: DataFrame, pheromone: DataFrame, eta: DataFrame, agents: DataFrame, *, k: int, seed: int, turn: int, epsilon: float = 0.0, alpha: float = 1.5, beta: float = 2.0) -> DataFrame:
+    """The audit of one turn, a row for each candidate of the frontier (agent_id, src, id, mode): caste, direction, tau, eta, weight,
+    probability, explored, rank.
+
+    rank says in which order an agent's k draws without replacement took it: the k least of exponential times -ln(u) / weight are k
+    draws in proportion to weight; with probability epsilon an agent explores, and draws as if all weights were equal.
+    """
+    trail = pheromone.select("agent_id", "src", F.col("dst").alias("id"), "mode", "tau")
+    rows = frontier.join(trail.hint("merge"), ["agent_id", "src", "id", "mode"], "left").withColumn("tau", F.coalesce("tau", F.lit(1.0)))
+    rows = rows.join(eta.select("id", "eta").hint("merge"), "id", "left").join(agents.select("agent_id", "caste").hint("merge"), "agent_id").withColumn("eta", F.coalesce("eta", F.lit(0.0)))
+    d = maths.caste_direction(F.col("caste"), F.lit(0.5), F.lit(0.5))
+    rows = rows.withColumn("direction", F.when(F.col("mode") == "ref", d["ref"]).otherwise(d["cites"]))
+    rows = probabilities(rows.withColumn("weight", maths.transition_weight(F.col("tau"), alpha, F.col("eta"), beta, F.col("direction"))))
+    rows = stored(rows.withColumn("explored", seeded(seed, F.lit("explore"), F.lit(turn), F.col("agent_id")) < epsilon), "scored")
+    weight = F.when(F.col("explored"), 1.0).otherwise(F.greatest(F.col("weight"), F.lit(maths.EPS)))
+    time = -F.log(seeded(seed, F.lit(turn), F.col("agent_id"), F.col("src"), F.col("id"), F.col("mode"))) / weight
+    drawn = top_k(rows.select("agent_id", time.alias("time"), "id", "src", "mode"), "agent_id", ["time", "id", "src", "mode"], k)
+    rows = rows.join(stored(drawn.drop("time"), "drawn").hint("merge"), ["agent_id", "src", "id", "mode"], "left")
+    return rows.select("agent_id", "src", "id", "mode", "caste", "direction", "tau", "eta", "weight", "probability", "explored", "rank")
+
+
 def top_alternatives(scores: DataFrame, n: int = 12, key: str = "agent_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= n)
 
