@@ -89,11 +89,3 @@ def freeze_bundle(claims: DataFrame) -> DataFrame:
     one = F.concat_ws("|", F.col("claim_id").cast("string"), "status", "text")
     rows = claims.select("agent_id", "claim_id", texts.sha256_text(one).alias("h"))
     return rows.groupBy("agent_id").agg(F.count("*").alias("n"), texts.sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", "h"))), lambda x: x["h"]), ",")).alias("hash"))
-
-
-def render_notes(visits: DataFrame, papers: DataFrame, edges: DataFrame) -> DataFrame:
-    """agent_id, path, content: a Markdown note for each visited paper with its metadata and sorted links."""
-    into = edges.groupBy("dst").agg(F.count("*").alias("cited"), F.array_join(F.slice(F.array_sort(F.collect_set("src")), 1, 20), ", ").alias("links"))
-    rows = visits.join(papers, "id").join(into, papers["id"] == into["dst"], "left")
-    body = F.concat(F.lit("# "), F.coalesce("title", "id"), F.lit("\n\nYear: "), F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit("\nCited by: "), F.coalesce(F.col("cited").cast("string"), F.lit("0")), F.lit("\n"), F.coalesce("links", F.lit("")), F.lit("\n"))
-    return rows.select("agent_id", F.concat(F.replace("id", F.lit(":"), F.lit("_")), F.lit(".md")).alias("path"), body.alias("content"))

@@ -82,13 +82,6 @@ def register_aliases(aliases: DataFrame, resolved: DataFrame) -> DataFrame:
     return aliases.unionByName(new.hint("merge").join(aliases.select("alias"), "alias", "left_anti"))
 
 
-def pending_papers(manifest: DataFrame, results: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Papers without a reusable result: completed with the manifest's version, or failed unless those are tried again."""
-    keep = F.col("status") == "completed"
-    keep = keep if retry_failed else keep | (F.col("status") == "failed")
-    return manifest.join(results.where(keep).select("paper_id", "version"), ["paper_id", "version"], "left_anti")
-
-
 def composite(dimensions: DataFrame, weights: dict[str, float]) -> DataFrame:
     """key, score: the weighted mean of a rubric's dimensions; a dimension without a weight has 1."""
     w: Column = F.lit(1.0)

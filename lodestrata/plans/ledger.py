@@ -68,11 +68,6 @@ def exp_freeze_bundle(t):
     return lg.freeze_bundle(t.claims)
 
 
-@query("snk_render_notes", "SELECT v.agent_id, replace(p.id, ':', '_') || '.md' AS path, '# ' || coalesce(p.title, p.id) || chr(10) || chr(10) || 'Year: ' || coalesce(p.year::VARCHAR, '?') || chr(10) || 'Cited by: ' || coalesce(n, 0) || chr(10) || coalesce(links, '') || chr(10) AS content FROM {read_papers} v JOIN {papers} p ON p.id = v.id LEFT JOIN (SELECT dst, count(*) AS n, array_to_string(list_sort(list(src))[1:20], ', ') AS links FROM {edges} GROUP BY dst) i ON i.dst = p.id")
-def snk_render_notes(t):
-    return lg.render_notes(t.read_papers.select("agent_id", "id"), t.papers, t.edges)
-
-
 @query("join_reconcile", "SELECT p_partkey::VARCHAR AS entry_id, CASE WHEN p_partkey % 4 < 3 THEN 'r' || p_partkey END AS item, CASE p_partkey % 4 WHEN 3 THEN 'missing' WHEN 2 THEN 'ordinal' ELSE 'entry_id' END AS matched_by FROM {part}")
 def join_reconcile(t):
     k = c("p_partkey")
@@ -132,14 +127,6 @@ def set_register_aliases(t):
     return mp.register_aliases(t.aliases, new)
 
 
-@query("flt_pending_papers", "SELECT p_partkey AS paper_id, 1 AS version FROM {part} WHERE NOT (p_partkey % 3 = 0) AND NOT (p_partkey % 3 = 1)")
-def flt_pending_papers(t):
-    k = c("p_partkey")
-    manifest = t.part.select(k.alias("paper_id"), F.lit(1).alias("version"))
-    results = t.part.select(k.alias("paper_id"), F.when(k % 5 == 7, 2).otherwise(1).alias("version"), F.when(k % 3 == 0, "completed").when(k % 3 == 1, "failed").otherwise("running").alias("status"))
-    return mp.pending_papers(manifest, results)
-
-
 @query("agg_composite", "SELECT o_custkey AS key, round(sum(w * s) / sum(w), 6) AS score FROM (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 2.0 WHEN 'O' THEN 0.5 ELSE 1.0 END::DOUBLE AS w, (o_orderkey % 11) / 10 AS s FROM {orders}) x GROUP BY 1")
 def agg_composite(t):
     rows = t.orders.select(c("o_custkey").alias("key"), c("o_orderstatus").alias("dimension"), ((c("o_orderkey") % 11) / 10).alias("score"))

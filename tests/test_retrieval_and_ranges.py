@@ -46,7 +46,7 @@ def test_windows_by_ranges_equal_windows_by_key(spark):
 
 def test_no_task_sees_a_whole_run(spark):
     """The windows of the plan are by range, or over one row a range."""
-    df = spark.range(5000).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("v"))
+    df = spark.range(5000).select((F.col("id") % 2).alias("run_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("v"))
     for rows in (ranges.filled(df, "run_id", F.col("v"), "f", span=100), ranges.lagged(df, "run_id", F.col("v"), "l", span=100)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         by_key = [x for x in plan.splitlines() if re.search(r"\bWindow \[", x) and re.search(r"windowspecdefinition\(run_id#\d+L?, (?!__range)", x)]
