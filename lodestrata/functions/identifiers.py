@@ -137,11 +137,14 @@ def completeness(title: Column, doi: Column, arxiv: Column, year: Column, author
 
 
 def detect_seed(raw: Column) -> Column:
-    """struct(kind, value): a DOI, an arXiv id or the source's own id."""
+    """struct(kind, value, fetch_value): a DOI, an arXiv id or the source's own id; fetch_value is what a source is asked for, for an arXiv id
+    without address, prefix and .pdf but with its version."""
     raw = F.trim(raw)
-    doi, arxiv = normalize_doi(raw), normalize_arxiv(F.regexp_replace(raw, r"\.pdf$", ""))
+    fetch = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\s+", ""), r"(?i)^((https?://)?(www\.)?arxiv\.org/(abs|pdf)/|arxiv:)", ""), r"\.pdf$", "")
+    doi, arxiv = normalize_doi(raw), normalize_arxiv(fetch)
     kind = F.when(is_valid_doi(doi), "doi").when(is_valid_arxiv(arxiv), "arxiv").otherwise("native")
-    return F.struct(kind.alias("kind"), F.when(kind == "doi", doi).when(kind == "arxiv", arxiv).otherwise(raw).alias("value"))
+    pick = lambda a: F.when(kind == "doi", doi).when(kind == "arxiv", a).otherwise(raw)
+    return F.struct(kind.alias("kind"), pick(arxiv).alias("value"), pick(fetch).alias("fetch_value"))
 
 
 def extract_doi(c: Column) -> Column:

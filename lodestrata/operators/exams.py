@@ -151,8 +151,11 @@ def select_survivor(candidates: DataFrame) -> DataFrame:
 
 def blueprint(papers: DataFrame, quotas: DataFrame, seed: int, most: int = 10_000) -> DataFrame:
     """paper_id, question_id, label: each paper's questions with the quotas' labels in a seeded order. The quotas are a
-    manifest's, `most` labels at most."""
-    wanted = [(x.label, k) for x in quotas.select("label", "wanted").limit(most).collect() for k in range(1, x.wanted + 1)]
+    manifest's, `most` labels at most, else an error."""
+    rows = quotas.select("label", "wanted").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
+    wanted = [(x.label, k) for x in rows for k in range(1, x.wanted + 1)]
     labels = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("k")) for label, k in wanted])
     rows = papers.select("paper_id", F.inline(labels))
     order = Window.partitionBy("paper_id").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("paper_id").cast("string"), "label", F.col("k").cast("string")), 256))

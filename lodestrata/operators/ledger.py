@@ -11,12 +11,6 @@ RANK = {"supported": 0, "disputed": 1, "proposed": 2, "unknown": 3}
 NEXT = {"propose": "proposed", "support": "supported", "dispute": "disputed", "reject": "rejected", "supersede": "superseded"}
 
 
-def evidence_rows(papers: DataFrame, most: int = 240) -> DataFrame:
-    """evidence_id, paper_id, content_hash, excerpt of papers with an abstract."""
-    rows = papers.where("abstract is not null")
-    return rows.select(texts.stable_id("ev", F.col("id"), F.lit("abstract")).alias("evidence_id"), F.col("id").alias("paper_id"), texts.sha256_text(F.col("abstract")).alias("content_hash"), texts.excerpt(F.col("abstract"), most).alias("excerpt"))
-
-
 def claims_from_findings(dossiers: DataFrame) -> DataFrame:
     """paper_id, k, text, status, confidence: a claim for each finding that isn't blank, supported at 0.7 with evidence, else
     proposed at 0.4."""

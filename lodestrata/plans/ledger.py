@@ -13,11 +13,6 @@ CREDIT = "SELECT DISTINCT paper_id FROM {acquired} WHERE content_kind <> 'metada
 _RANK = "CASE status WHEN 'supported' THEN 0 WHEN 'disputed' THEN 1 WHEN 'proposed' THEN 2 WHEN 'unknown' THEN 3 END"
 
 
-@query("exp_evidence_rows", "SELECT 'ev:' || left(sha256(id || '|abstract'), 16) AS evidence_id, id AS paper_id, sha256(abstract) AS content_hash, left(abstract, 240) AS excerpt FROM {papers} WHERE abstract IS NOT NULL")
-def exp_evidence_rows(t):
-    return lg.evidence_rows(t.papers)
-
-
 @query("exp_claims_from_findings", "SELECT id AS paper_id, k, unnest AS text, CASE WHEN credited THEN 'supported' ELSE 'proposed' END AS status, CASE WHEN credited THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence FROM (SELECT id, abstract IS NOT NULL AS credited, unnest([0::BIGINT, 2]) AS k, unnest([author, p_t]) AS unnest FROM (SELECT *, coalesce(title, 'none') AS p_t FROM {papers}) p) x")
 def exp_claims_from_findings(t):
     rows = t.papers.select(c("id").alias("paper_id"), c("abstract").isNotNull().alias("credited"), F.array(c("author"), F.lit("  "), F.coalesce("title", F.lit("none"))).alias("findings"))

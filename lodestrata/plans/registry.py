@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.plans.views import Inputs, duck_sql
 
-MODULES = ("scalar", "graph", "evidence", "exams", "runs", "machines", "waves", "ledger", "memory", "outcomes", "reports", "sources")
+MODULES = ("scalar", "graph", "evidence", "exams", "runs", "machines", "waves", "ledger", "memory", "outcomes", "reports", "bank", "sources")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -161,12 +161,6 @@ def snk_latest_artifact(t):
     return t.run_events.groupBy("run_id", c("type").alias("kind")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("artifact_id"))
 
 
-@query("flt_evaluation_summary", "SELECT run_id, wave, q FROM {evaluations} WHERE q > 0.2")
-def flt_evaluation_summary(t):
-    rows = t.evaluations.select(F.to_json(F.struct("run_id", "wave", "q")).alias("j"))
-    return rows.select(F.from_json("j", "run_id long, wave long, q double").alias("e")).select("e.run_id", "e.wave", "e.q").where("q > 0.2")
-
-
 @query("agg_across_run_ci", "SELECT count(*) AS runs, round(avg(u), 6) AS mean, round(avg(u) - 1.96 * stddev_samp(u) / sqrt(count(*)), 6) AS low, round(avg(u) + 1.96 * stddev_samp(u) / sqrt(count(*)), 6) AS high FROM (SELECT run_id, max(q) - min(q) AS u FROM {evaluations} GROUP BY run_id) x")
 def agg_across_run_ci(t):
     rows = rn.across_run_ci(t.evaluations.groupBy("run_id").agg((F.max("q") - F.min("q")).alias("uplift")))
