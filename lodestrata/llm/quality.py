@@ -29,7 +29,7 @@ from lodestrata.tables import stored
 ORDER, DOCUMENTS = 4, 2  #: code points in an n-gram (four of 16 bits fill a long); documents that must hold a known one
 BROADCAST = 4_000_000  #: entries of the model; more are joined by shuffle
 HELD, CHUNK = 2_000_000, 1 << 19  #: n-grams that a counting task holds before it sends them on; bytes of text that are handled at a time
-BELOW, ABOVE, SHORT = 16.0, 16.0, 5.0  #: distances from median to quartile; nats, divided by the square root of the length
+BELOW, ABOVE, SHORT = 16.0, 16.0, 14.0  #: distances from median to quartile; nats, divided by the square root of the length
 BIN = 0.001  #: log-perplexities are counted in bins so wide for median and quartiles
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
@@ -67,8 +67,9 @@ def _by_model(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (model, gram, n, documents) for the n-grams that a task sees."""
-    held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+    """Rows (model, k, gram, n, documents) for the n-grams of each order k that a task sees: how often (of the highest order alone) and in
+    how many documents."""
+    held: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
 
     def merged(parts):
         gram, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -78,32 +79,36 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
         return gram[heads], np.add.reduceat(n[order], heads), np.add.reduceat(docs[order], heads)
 
     def rows():
-        for name, parts in held.items():
+        for (name, order), parts in held.items():
             gram, n, docs = merged(parts)
-            for k in range(0, len(gram), 200_000):
-                i = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram[i])), pa.array(gram[i].view(np.int64)), pa.array(n[i]), pa.array(docs[i])], ["model", "gram", "n", "documents"])
+            for at in range(0, len(gram), 200_000):
+                i = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram[i])), pa.array(np.full(len(gram[i]), order, np.int32)), pa.array(gram[i].view(np.int64)), pa.array(n[i]), pa.array(docs[i])], ["model", "k", "gram", "n", "documents"])
 
     for b in batches:
         for c in chunks(b, "text", CHUNK):
             gram, sizes = ngrams(c)
             names, model = _by_model(c)
             doc = np.repeat(np.arange(len(c)), sizes)
-            for k, name in enumerate(names):
-                mine = np.flatnonzero(model[doc] == k)
-                if not len(mine):
-                    continue
-                order = mine[np.argsort(gram[mine], kind="stable")]
-                g, d = gram[order], doc[order]
-                new = np.concatenate([[True], g[1:] != g[:-1]])
-                heads = np.flatnonzero(new)
-                other = new | np.concatenate([[True], d[1:] != d[:-1]])
-                parts = held.setdefault(str(name), [])
-                parts.append((g[heads], np.diff(np.append(heads, len(g))), np.add.reduceat(other.astype(np.int64), heads)))
-                if len(parts) > 8:
-                    held[str(name)] = [merged(parts)]
+            for m, name in enumerate(names):
+                mine = np.flatnonzero(model[doc] == m)  # places of n-grams; from order to order one for each document and n-gram
+                for k in range(ORDER, 0, -1):
+                    if not len(mine):
+                        break
+                    own = gram[mine] & np.uint64((1 << 16 * k) - 1)
+                    by = np.argsort(own, kind="stable")
+                    g, d = own[by], doc[mine[by]]
+                    new = np.concatenate([[True], g[1:] != g[:-1]])
+                    heads = np.flatnonzero(new)
+                    other = new | np.concatenate([[True], d[1:] != d[:-1]])
+                    n = np.diff(np.append(heads, len(g))) if k == ORDER else np.zeros(len(heads), np.int64)
+                    parts = held.setdefault((str(name), k), [])
+                    parts.append((g[heads], n, np.add.reduceat(other.astype(np.int64), heads)))
+                    if len(parts) > 8:
+                        held[str(name), k] = [merged(parts)]
+                    mine = np.sort(mine[by[other]])
             if sum(len(x[0]) for parts in held.values() for x in parts) > HELD:
-                held = {name: [merged(parts)] for name, parts in held.items()}
+                held = {key: [merged(parts)] for key, parts in held.items()}
                 if sum(len(x[0]) for parts in held.values() for x in parts) > HELD // 2:
                     yield from rows()
                     held = {}
@@ -127,18 +132,25 @@ def _levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (model, gram, documents, p) and (model, context, documents, left).
 
     p is the smoothed probability of the n-gram's last code point; where fewer than DOCUMENTS hold the n-gram, that of
-    the order below times what is left of the context.
+    the order below times what is left of the context. How many documents hold an n-gram is counted for each order by
+    itself, and a context counts as the n-gram that it is; that of a text's first code point is in each text once.
     """
-    tables = [counts.select("model", "gram", F.col("n").alias("c"), "documents")]
+    of = lambda k: counts.where(F.col("k") == k).select("model", "gram", "n", "documents")
+    tables = [of(ORDER).withColumnRenamed("n", "c")]
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")
-        tables.insert(0, stored(tables[0].groupBy("model", suffix).agg(F.count("*").alias("c"), F.sum("documents").alias("documents")), f"op7-order{k}"))
+        longer = tables[0].select("model", suffix, F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("documents"))
+        held = of(k).select("model", "gram", F.lit(0).cast("long").alias("c"), "documents")
+        tables.insert(0, stored(longer.unionByName(held).groupBy("model", "gram").agg(F.sum("c").alias("c"), F.sum("documents").alias("documents")), f"op7-order{k}"))
     out: list[tuple[DataFrame, DataFrame]] = []
     for k, rows in enumerate(tables, 1):
         taken = F.broadcast(_discounts(rows))  # a row for each language
         rows = rows.withColumns({"context": F.shiftrightunsigned("gram", 16), "suffix": F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))}).join(taken, "model")
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         contexts = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum(off).alias("off"), F.sum("documents").alias("context_documents"))
+        if k > 1:
+            held = tables[k - 2].select("model", F.col("gram").alias("context"), F.col("documents").alias("held"))
+            contexts = contexts.join(held.hint("merge"), ["model", "context"], "left").withColumn("context_documents", F.coalesce("held", "context_documents"))
         contexts = contexts.select("model", "context", "total", "context_documents", F.when(F.col("context_documents") >= DOCUMENTS, F.col("off") / F.col("total")).otherwise(1.0).alias("left"))
         contexts = stored(contexts, f"op7-contexts{k}")
         lower = F.lit(1.0) / (F.col("kinds") + 1)
@@ -291,7 +303,7 @@ def measure(documents: DataFrame, *, broadcast: int = BROADCAST) -> DataFrame:
     """Counts and log_perplexity (mean -ln p of a code point) of every row, by a model of the same documents."""
     spark = documents.sparkSession
     texts = _texts(documents)
-    counts = stored(texts.mapInArrow(_count, "model string, gram long, n long, documents long").groupBy("model", "gram").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")), "op7-counts")
+    counts = stored(texts.mapInArrow(_count, "model string, k int, gram long, n long, documents long").groupBy("model", "k", "gram").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")), "op7-counts")
     levels = _levels(counts)
     entries = _entries(levels)
     slim = ("doc_id", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestrata.llm.quality import BROADCAST, score
 from lodestrata.llm.text import mix
@@ -20,15 +21,14 @@ def brute(text):
 
 
 def kneser_ney(texts):
-    """-ln p of each code point of each text, by dictionaries: modified Kneser-Ney of order 4, n-grams of one text unseen."""
+    """-ln p of each code point of each text, by dictionaries: modified Kneser-Ney of order 4; n-grams and contexts that one text alone
+    holds are unseen, whatever their order."""
     padded = ["\uffff" * 3 + t for t in texts]
     grams = [[t[i - 3 : i + 1] for i in range(3, len(t))] for t in padded]
     c = {4: Counter(g for x in grams for g in x)}
     df = {4: Counter(g for x in grams for g in set(x))}
     for k in (3, 2, 1):
-        c[k], df[k] = Counter(g[1:] for g in c[k + 1]), Counter()
-        for g, n in df[k + 1].items():
-            df[k][g[1:]] += n
+        c[k], df[k] = Counter(g[1:] for g in c[k + 1]), Counter(g for x in grams for g in {y[4 - k :] for y in x})
     d, total, off, seen = {}, {}, {}, {}
     for k in range(1, 5):
         n = {j: sum(v == j for v in c[k].values()) for j in (1, 2, 3, 4)}
@@ -41,6 +41,8 @@ def kneser_ney(texts):
             total[k][g[:-1]] += v
             off[k][g[:-1]] += d[k][min(v, 3)]
             seen[k][g[:-1]] += df[k][g]
+        for context in seen[k] if k > 1 else ():
+            seen[k][context] = df[k - 1].get(context, seen[k][context])
 
     def p(g):
         k = len(g)
@@ -65,6 +67,23 @@ def test_perplexities_are_those_of_dictionaries_by_broadcast_and_by_join(spark):
             assert abs(got[k] - x) < 1e-5, (most, k, texts[k])
 
 
+def test_a_text_does_not_vouch_for_itself(spark):
+    """Letters that one text alone has stay unknown however long it is and whatever stands before them, at every order."""
+    r = random.Random(6)
+    plain = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(40)]
+    alien = "".join(r.choice("жщюя ") for _ in range(3000))
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*plain, alien])], "doc_id long, text string, lang string")
+    from lodestrata.llm import quality
+
+    counts = quality._texts(df).mapInArrow(quality._count, "model string, k int, gram long, n long, documents long").groupBy("k", "gram").agg(F.sum("documents").alias("documents")).collect()
+    own = [x for x in counts if chr(x.gram & 0xFFFF) in "жщюя"]
+    assert {x.k for x in own} == {1, 2, 3, 4} and {x.documents for x in own} == {1}
+    got = {x.doc_id: x.log_perplexity for x in score(df).collect()}
+    kinds = len(set("".join(plain)) | set(alien))
+    assert got[40] > 0.75 * math.log(kinds + 1) + 0.5 > max(got[k] for k in range(40)) - 1
+    assert abs(got[40] - kneser_ney([*plain, alien])[40]) < 1e-5
+
+
 def test_counts_and_verdicts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice(["on", "er", "th", "a", "é", "st", "in"]) for _ in range(r.randrange(1, 4)))
