@@ -56,11 +56,11 @@ def merge_claims(claims: DataFrame, acquired: DataFrame) -> DataFrame:
     )
     if "concepts" in claims.columns:
         each = rows.select("key", F.explode("concepts").alias("concept")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("concept")).alias("concepts"))
-        out = out.join(each, "key", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+        out = out.join(each.hint("merge"), "key", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
     if "evidence" in claims.columns:
         refs = rows.select("key", "claim_id", F.explode("evidence").alias("e"))
         first = refs.groupBy("key", F.col("e.evidence_id").alias("evidence_id")).agg(F.min_by("e", "claim_id").alias("e"))
-        out = out.join(first.groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("evidence")), "key", "left")
+        out = out.join(first.groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("evidence")).hint("merge"), "key", "left")
     return out
 
 
@@ -103,7 +103,7 @@ def relevant_claims(claims: DataFrame, questions: DataFrame) -> DataFrame:
     every = claims.select(F.explode(F.array(*[F.lit(x).cast(kind) for x in alone])).alias("question_id") if alone else F.lit(None).cast(kind).alias("question_id"), "claim_id", F.lit(0).cast("long").alias("overlap")).where("question_id is not null")
     order = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
     place = F.when(order > 0, order).otherwise(len(STATUS_ORDER) + 1)
-    rows = met.unionByName(every).join(claims.select("claim_id", place.alias("place")), "claim_id")
+    rows = met.unionByName(every).hint("merge").join(claims.select("claim_id", place.alias("place")), "claim_id")
     return rows.select("question_id", "claim_id", "overlap", F.row_number().over(Window.partitionBy("question_id").orderBy("place", "claim_id")).cast("long").alias("rank"))
 
 

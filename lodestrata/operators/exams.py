@@ -57,7 +57,7 @@ def validate_answers(answers: DataFrame, questions: DataFrame, options: tuple[st
     """responder, item_id, option_id, reason of every pair of responder and question and every answer to none: missing,
     invalid_option, unknown_question or null."""
     wanted = _for_each_responder(questions.select("item_id", F.lit(True).alias("known")), answers)
-    both = wanted.join(answers.withColumn("given", F.lit(True)), ["responder", "item_id"], "full")
+    both = wanted.hint("merge").join(answers.withColumn("given", F.lit(True)), ["responder", "item_id"], "full")
     reason = F.when(F.col("known").isNull(), "unknown_question").when(F.col("given").isNull(), "missing").when(~F.col("option_id").isin(*options), "invalid_option")
     return both.select("responder", "item_id", "option_id", reason.alias("reason"))
 
@@ -65,7 +65,7 @@ def validate_answers(answers: DataFrame, questions: DataFrame, options: tuple[st
 def graded(answers: DataFrame, items: DataFrame) -> DataFrame:
     """responder, item_id, category, difficulty, correct of every responder and item; what is missing is wrong."""
     wanted = _for_each_responder(items, answers)
-    both = wanted.join(answers, ["responder", "item_id"], "left")
+    both = wanted.hint("merge").join(answers, ["responder", "item_id"], "left")
     return both.select("responder", "item_id", "category", "difficulty", F.coalesce(F.col("option_id") == F.col("correct_option_id"), F.lit(False)).alias("correct"))
 
 
@@ -114,7 +114,7 @@ def reject_near_duplicates(items: DataFrame, least: float = 0.85) -> DataFrame:
     take = F.size("s") - F.ceil(F.lit(least) * F.size("s")).cast("int") + 1
     keys = ranked.select("item_id", F.explode(F.slice("s", F.lit(1), take)).alias("k")).select("item_id", F.col("k.x").alias("x"))
     pairs = keys.hint("merge").join(keys.withColumnRenamed("item_id", "earlier"), "x").where("earlier < item_id").select("item_id", "earlier").distinct()
-    both = pairs.join(words, "item_id").join(words.select(F.col("item_id").alias("earlier"), F.col("w").alias("v")), "earlier")
+    both = pairs.hint("merge").join(words, "item_id").hint("merge").join(words.select(F.col("item_id").alias("earlier"), F.col("w").alias("v")), "earlier")
     alike = stored(both.where(ids.jaccard(F.col("w"), F.col("v")) >= least).select("item_id", "earlier"), "alike")
     decided = items.select("item_id").join(alike.select("item_id").distinct(), "item_id", "left_anti").withColumn("accepted", F.lit(True))
     open_ = alike
@@ -194,7 +194,7 @@ def validate_suite(questions: DataFrame, papers: DataFrame, quotas: dict[str, di
     for name, column in (("category", F.col("category")), ("difficulty", F.col("difficulty")), ("correct_option_count", F.size("correct").cast("string"))):
         wanted = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(n).cast("long").alias("wanted")) for k, n in quotas[name].items()])
         found = own.groupBy("paper_id", column.alias("label")).agg(F.count("*").alias("found"))
-        both = found.join(known.select("paper_id", F.inline(wanted)), ["paper_id", "label"], "full").where("not found <=> wanted")
+        both = found.join(known.select("paper_id", F.inline(wanted)).hint("merge"), ["paper_id", "label"], "full").where("not found <=> wanted")
         out = out.unionByName(both.select(F.lit(f"invalid_{name}_distribution").alias("code"), none.alias("question_id"), F.col("paper_id").alias("detail")).distinct())
     return out
 

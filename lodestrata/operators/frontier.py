@@ -38,8 +38,8 @@ def transition_table(frontier: DataFrame, pheromone: DataFrame, eta: DataFrame,
     """agent_id, src, id, mode, tau, weight of every candidate of the frontier (agent_id, src, id, mode): a trail never walked
     is 1, an unknown eta 0."""
     trail = pheromone.select("agent_id", "src", F.col("dst").alias("id"), "mode", "tau")
-    rows = frontier.join(trail, ["agent_id", "src", "id", "mode"], "left").withColumn("tau", F.coalesce("tau", F.lit(1.0)))
-    rows = rows.join(eta.select("id", "eta"), "id", "left").join(agents.select("agent_id", "caste"), "agent_id")
+    rows = frontier.hint("merge").join(trail, ["agent_id", "src", "id", "mode"], "left").withColumn("tau", F.coalesce("tau", F.lit(1.0)))
+    rows = rows.hint("merge").join(eta.select("id", "eta"), "id", "left").hint("merge").join(agents.select("agent_id", "caste"), "agent_id")
     d = maths.caste_direction(F.col("caste"), F.lit(0.5), F.lit(0.5))
     w = maths.transition_weight(F.col("tau"), alpha, F.coalesce("eta", F.lit(0.0)), beta, F.when(F.col("mode") == "ref", d["ref"]).otherwise(d["cites"]))
     return rows.select("agent_id", "src", "id", "mode", "tau", w.alias("weight"))

@@ -74,7 +74,7 @@ def title_candidates(entries: DataFrame, catalog: DataFrame, least: float = THRE
 
     pairs = prefix(e, "entry_id").hint("merge").join(prefix(c, "id"), "token").select("entry_id", "id").distinct()
     same = e.join(c.select("id", "norm"), "norm").where("norm <> ''").select("entry_id", "id")
-    both = pairs.unionByName(same).distinct().join(e.select("entry_id", F.col("norm").alias("a"), F.col("tokens").alias("x")), "entry_id").join(c.select("id", F.col("norm").alias("b"), F.col("tokens").alias("y")), "id")
+    both = pairs.unionByName(same).distinct().hint("merge").join(e.select("entry_id", F.col("norm").alias("a"), F.col("tokens").alias("x")), "entry_id").hint("merge").join(c.select("id", F.col("norm").alias("b"), F.col("tokens").alias("y")), "id")
     jac = ids.jaccard(F.col("x"), F.col("y"))
     return both.select("entry_id", "id", "a", "b", jac.alias("jaccard")).where((F.col("a") == F.col("b")) | (F.col("jaccard") >= t))
 
@@ -113,7 +113,7 @@ def _with_both(pairs: DataFrame, entries: DataFrame, catalog: DataFrame) -> Data
     """(entry_id, id) with what `scored` compares, and the candidate's provider, rank, completeness and dedup key."""
     e = entries.select("entry_id", "authors", "year", ids.normalize_title(F.col("title")).alias("a"), ids.title_tokens(F.col("title")).alias("x"))
     c = catalog.select("id", F.col("authors").alias("candidate_authors"), F.col("year").alias("candidate_year"), ids.normalize_title(F.col("title")).alias("b"), ids.title_tokens(F.col("title")).alias("y"), "provider", "provider_rank", "completeness", "key")
-    both = pairs.join(e, "entry_id").join(c, "id")
+    both = pairs.hint("merge").join(e, "entry_id").hint("merge").join(c, "id")
     return both.withColumn("jaccard", ids.jaccard(F.col("x"), F.col("y"))).drop("x", "y")
 
 
