@@ -10,6 +10,7 @@ from lodestrata.operators import exams as ex
 from lodestrata.plans.exams import _GRADED
 from lodestrata.plans.registry import query
 from lodestrata.plans.views import spark_sql
+from lodestrata.sources import papers as src
 from lodestrata.tables import new_path
 
 c = F.col
@@ -121,3 +122,18 @@ def str_fetch_values(t):
     arxiv = F.concat(F.lit("2101."), (10000 + k % 10000).cast("string"))
     raw = F.when(k % 5 == 0, F.concat(F.lit(" https://doi.org/10.1000/"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("https://arxiv.org/pdf/"), arxiv, F.lit("v2.pdf"))).when(k % 5 == 2, F.concat(F.lit("arXiv: "), arxiv, F.lit("v2 "))).when(k % 5 == 3, arxiv).otherwise(F.concat(F.lit("W"), k.cast("string")))
     return t.documents.select("doc_id", ids.detect_seed(raw).alias("s")).select("doc_id", "s.*")
+
+
+@query("src_manifest", """SELECT 'category' AS kind, category AS label, count(*) AS wanted FROM {exam_items} GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, count(*) FROM {exam_items} GROUP BY 2
+  UNION ALL SELECT 'paper', paper_id, NULL FROM (SELECT 'n' || n_nationkey AS paper_id FROM {nation}) p""")
+def src_manifest(t):
+    """A manifest of the bank, written as one JSON document over several lines and read back."""
+    counted = lambda name: t.exam_items.groupBy(name).agg(F.count("*").cast("int").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(name, "n"))).alias(name))  # noqa: E731  # a bank's labels
+    papers = t.nation.agg(F.collect_list(F.struct(F.concat(F.lit("n"), c("n_nationkey").cast("string")).alias("paper_id"), c("n_name").alias("title"))).alias("papers"))
+    row = papers.join(F.broadcast(counted("category"))).join(F.broadcast(counted("difficulty")))  # one row each
+    text = F.to_json(F.struct("papers", c("category").alias("categories"), c("difficulty").alias("difficulties"), F.lit("x").alias("bank_sha256")), {"pretty": "true"})
+    path = new_path(t.spark, "manifest")
+    row.select(text.alias("value")).write.text(path)
+    read = src.read_manifest(t.spark, path)
+    labels = [read.select(F.lit(kind).alias("kind"), F.explode(name).alias("label", "n")).select("kind", "label", c("n").cast("long").alias("wanted")) for kind, name in (("category", "categories"), ("difficulty", "difficulties"))]
+    return labels[0].unionByName(labels[1]).unionByName(read.select(F.lit("paper").alias("kind"), F.explode("papers.paper_id").alias("label"), F.lit(None).cast("long").alias("wanted")))
