@@ -9,8 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = 1000  #: rows of an Arrow batch: at some kB a text, a few MB in the executor and again in its Python worker
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session's context."""
+    """Send this package to the executors, once a session's context. A session that leaves Arrow's batches at Spark's 10,000 rows gets BATCH:
+    whole texts of that many rows would be held off the heap by every task, twice."""
+    if int(spark.conf.get(_BATCH)) == 10_000:
+        spark.conf.set(_BATCH, str(BATCH))
     context = spark.sparkContext
     if getattr(context, "_lodestrata_shipped", False):
         return
