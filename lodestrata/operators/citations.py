@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import maths
 from lodestrata.tables import stored
 
+FEW = 50_000  #: links that are joined up by the driver
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order, by partial aggregates."""
@@ -109,29 +112,61 @@ def k_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return seen
 
 
+def _joined_up(links: pa.Table) -> pa.Table:
+    """v, to: the least node that each node of links (a, b) is joined to."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return pa.table({"v": pa.array(up, pa.int64()), "to": pa.array([top(x) for x in up], pa.int64())})
+
+
 def coherence(visits: DataFrame, edges: DataFrame) -> DataFrame:
     """agent_id, coherence: the share of an agent's visited nodes that its first one reaches inside the visited set, over
     edges of either direction.
 
-    Each node takes the least label among its own and its neighbours', then the label of that label, until none changes.
+    Nodes are numbered, and each round moves every node that has edges to the one of least hash among itself and its
+    neighbours; edges then link the nodes moved to. That shrinks any graph by a share a round, chains and stars too, so all
+    rounds together cost little more than the first, and only sizes of clusters and the place of each first node are kept.
+    The last FEW links are joined up at once.
     """
     nodes = visits.groupBy("agent_id", "node").agg(F.min("ordinal").alias("ordinal"))
-    a, b = nodes.select("agent_id", F.col("node").alias("src")), nodes.select("agent_id", F.col("node").alias("dst"))
+    nodes = stored(nodes.withColumn("v", F.monotonically_increasing_id()), "nodes")
+    a, b = nodes.select("agent_id", F.col("node").alias("src"), F.col("v").alias("a")), nodes.select("agent_id", F.col("node").alias("dst"), F.col("v").alias("b"))
     inside = edges.join(a, "src").join(b, ["agent_id", "dst"])
-    both = stored(inside.select("agent_id", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(inside.select("agent_id", F.col("dst").alias("node"), F.col("src").alias("next"))).distinct(), "inside")
-    labels = stored(nodes.select("agent_id", "node", "ordinal", F.col("node").alias("label")), "labels")
-    while True:  # labels jump ahead, so a chain of n nodes takes about log(n) rounds
-        near = both.join(labels.select("agent_id", F.col("node").alias("next"), "label"), ["agent_id", "next"]).groupBy("agent_id", "node").agg(F.min("label").alias("near"))
-        low = labels.join(near, ["agent_id", "node"], "left").select("agent_id", "node", "ordinal", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        low = stored(low, "labels")
-        jump = low.select("agent_id", F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(low.join(jump, ["agent_id", "label"], "left").select("agent_id", "node", "ordinal", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
-        labels = new.select("agent_id", "node", "ordinal", "label")
-        if new.where("label <> was").isEmpty():
+    links = stored(inside.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inside")
+    first = stored(nodes.groupBy("agent_id").agg(F.min_by("v", F.struct("ordinal", "node")).alias("v"), F.count("*").alias("n")), "first")
+    sizes = None
+    turn = 0
+    while not links.isEmpty():
+        turn += 1
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
+        last = links.limit(FEW + 1).toArrow()
+        if last.num_rows <= FEW:
+            near = visits.sparkSession.createDataFrame(_joined_up(last))
+        else:
+            ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("rank", rank("b"))
+            near = ways.groupBy(F.col("a").alias("v")).agg(F.min_by("b", "rank").alias("b"), F.min("rank").alias("rank"))
+            near = near.select("v", F.when(rank("v") < F.col("rank"), F.col("v")).otherwise(F.col("b")).alias("to"))
+        near = stored(near, "near")
+        met = near.withColumn("n", F.lit(1).cast("long")) if sizes is None else sizes.join(near, "v", "left").select(F.coalesce("to", "v").alias("to"), "n")
+        sizes = stored(met.groupBy(F.col("to").alias("v")).agg(F.sum("n").alias("n")), "sizes")
+        first = stored(first.join(near, "v", "left").select("agent_id", F.coalesce("to", "v").alias("v"), "n"), "first")
+        if last.num_rows <= FEW:
             break
-    first = labels.groupBy("agent_id").agg(F.min_by("label", F.struct("ordinal", "node")).alias("label"), F.count("*").alias("n"))
-    reached = labels.groupBy("agent_id", "label").agg(F.count("*").alias("reached"))
-    return first.join(reached, ["agent_id", "label"]).select("agent_id", (F.col("reached") / F.col("n")).alias("coherence"))
+        x, y = near.select(F.col("v").alias("a"), F.col("to").alias("x")), near.select(F.col("v").alias("b"), F.col("to").alias("y"))
+        moved = links.join(x, "a").join(y, "b").where("x <> y")
+        links = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "inside")
+    if sizes is None:
+        return first.select("agent_id", (F.lit(1) / F.col("n")).alias("coherence"))
+    reached = sizes.withColumnRenamed("n", "reached")
+    return first.join(reached, "v", "left").select("agent_id", (F.coalesce("reached", F.lit(1)) / F.col("n")).alias("coherence"))
 
 
 def source_distance(papers: DataFrame, edges: DataFrame, seed: str) -> DataFrame:

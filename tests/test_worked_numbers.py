@@ -64,6 +64,30 @@ def test_graph(spark):
     assert got["a"] == got["b"] == "c" and got["x"] == got["y"] and "s" not in got
 
 
+def test_coherence_shrinks_its_graph(spark, monkeypatch):
+    from lodestrata.operators import citations
+
+    names = []
+    keep = citations.stored
+    monkeypatch.setattr(citations, "stored", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(citations, "FEW", 4)
+    r = random.Random(2)
+    chain = [(1, f"c{k:03}", k) for k in range(60)]
+    other = [(2, f"n{k:02}", k) for k in range(40)]
+    links = [(f"c{k:03}", f"c{k + 1:03}") for k in range(59) if k != 44] + [(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(26)] + [("n00", "n00"), ("c003", "n01")]
+    reach = {"n00"}
+    for _ in range(40):
+        reach |= {y for a, b in links for x, y in ((a, b), (b, a)) if x in reach and y[0] == "n"}
+    visits = spark.createDataFrame(chain + other, "agent_id int, node string, ordinal int")
+    got = {x.agent_id: x.coherence for x in coherence(visits, spark.createDataFrame(links, "src string, dst string")).collect()}
+    assert got == {1: pytest.approx(45 / 60), 2: pytest.approx(len(reach) / 40)}
+    assert "labels" not in names and names.count("inside") > 2  # edges are rewritten smaller, not all labels each round
+    monkeypatch.setattr(citations, "FEW", 50_000)
+    names.clear()
+    assert {x.agent_id: x.coherence for x in coherence(visits, spark.createDataFrame(links, "src string, dst string")).collect()} == got
+    assert names.count("inside") == 1
+
+
 def test_exams(spark):
     letters = lambda s: F.array(*[F.lit(x) for x in s])
     q = spark.range(3).select(F.col("id").alias("item_id"), letters("ABCD").alias("options"), letters("AC").alias("key"))
