@@ -190,7 +190,8 @@ def diversity(visits: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def structural(agents: DataFrame, visits: DataFrame, papers: DataFrame, vectors: DataFrame, edges: DataFrame, size: int = 30) -> DataFrame:
     """agent_id, coverage, diversity, depth, coherence and r, their mean; an agent without visits has zeros. visits: agent_id,
-    node, ordinal."""
+    node, ordinal; they are written once, since each part reads them."""
+    visits = stored(visits.select("agent_id", "node", "ordinal"), "visits")
     read = visits.select("agent_id", F.col("node").alias("id"))
     counts = visits.groupBy("agent_id").agg(F.least(F.lit(1.0), F.count("*") / size).alias("coverage"))
     depth = read.join(papers.select("id", "citation_count"), "id").groupBy("agent_id").agg(maths.sigmoid(F.log1p(F.avg("citation_count")) / 5).alias("depth"))
