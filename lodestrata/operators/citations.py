@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -180,8 +181,9 @@ def source_distance(papers: DataFrame, edges: DataFrame, seed: str) -> DataFrame
 def diversity(visits: DataFrame, vectors: DataFrame) -> DataFrame:
     """agent_id, diversity: 1 less the mean cosine of all pairs of visited vectors, from the sum of unit vectors alone, in one
     aggregate."""
-    unit = F.expr("transform(embedding, x -> cast(x as double) / sqrt(aggregate(embedding, 0D, (s, y) -> s + cast(y as double) * cast(y as double))))")
-    rows = visits.select("agent_id", "id").join(vectors.select("id", array_to_vector(unit).alias("u")), "id")
+    raw = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
+    unit = Normalizer(p=2.0, inputCol="raw", outputCol="u").transform(raw)  # in SQL a norm inside a lambda is taken again for every component
+    rows = visits.select("agent_id", "id").join(unit.select("id", "u"), "id")
     sums = rows.groupBy("agent_id").agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(F.col("u"))).alias("x"))
     square = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x * x)
     mean = (square - F.col("n")) / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1))

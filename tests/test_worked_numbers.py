@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import identifiers as ids
 from lodestrata.functions import maths, texts
 from lodestrata.operators.bibliography import build_reference_graph
-from lodestrata.operators.citations import canonicalize, coherence, structural
+from lodestrata.operators.citations import canonicalize, coherence, diversity, structural
 from lodestrata.operators.exams import assert_public, leakage, reject_near_duplicates, score_multiselect
 from lodestrata.operators.frontier import draw, draw_distinct, update_pheromone
 from lodestrata.operators.ranks import ranked
@@ -88,6 +88,14 @@ def test_coherence_shrinks_its_graph(spark, monkeypatch):
     assert names.count("inside") == 1
 
 
+def test_diversity_takes_each_norm_once(spark):
+    visits = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "agent_id int, id string")
+    vectors = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [-8.0, 6.0])], "id string, embedding array<float>")
+    rows = diversity(visits, vectors)
+    assert {x.agent_id: x.diversity for x in rows.collect()} == {1: pytest.approx(1.0), 2: 1.0}
+    assert "transform(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # a norm in its lambda was taken for each component
+
+
 def test_exams(spark):
     letters = lambda s: F.array(*[F.lit(x) for x in s])
     q = spark.range(3).select(F.col("id").alias("item_id"), letters("ABCD").alias("options"), letters("AC").alias("key"))
