@@ -19,8 +19,9 @@ def to_batches(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
 
 
 def pack_context(blocks: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """key, context: texts in order joined by an empty line, cut at `most` characters; texts past the cap aren't gathered."""
-    before = F.sum(F.char_length(text) + 2).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = blocks.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < most)
+    """key, context: texts in order (nulls first; ties by text) joined by an empty line, cut at `most` characters; null texts are left
+    out, a key without texts has an empty context. Texts past the cap aren't gathered."""
+    before = F.sum(F.char_length(text) + 2).over(Window.partitionBy(key).orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1))
+    rows = blocks.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < most + 2)  # a text just past the cap still has its empty line before it
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
     return rows.groupBy(key).agg(F.left(F.array_join(parts, "\n\n"), F.lit(most)).alias("context"))
