@@ -211,6 +211,52 @@ def test_title_stage_and_cascade_against_brute_force(spark):
             assert by[e[0]].id == first[0][-1]
 
 
+def test_copies_of_titles_make_no_pairs(spark, monkeypatch):
+    from lodestrata.operators import resolution
+
+    null = F.lit(None).cast("string")
+    ent = spark.range(120).select(F.col("id").cast("string").alias("entry_id"), F.lit("Red stone!").alias("title"), F.array(F.lit("Ann Lee")).alias("authors"), F.lit(2000).alias("year"))
+    cat = spark.range(90).select(F.format_string("p%02d", "id").alias("id"), F.lit("red STONE").alias("title"), F.array(F.lit("Ann Lee")).alias("authors"), F.lit(2000).alias("year"), F.lit("s2").alias("provider"), F.lit(1).alias("provider_rank"), F.lit(3).alias("completeness"), F.col("id").cast("string").alias("key"), null.alias("doi"))
+    kinds = {x.kind: x["count"] for x in resolution.title_candidates(ent, cat).groupBy("kind").count().collect()}
+    assert kinds == {"pair": 1, "entry": 120, "paper": 90}  # 10,800 pairs before
+    sizes = []
+    monkeypatch.setattr(resolution, "scored", lambda rows: sizes.append(rows.count()) or scored(rows))
+    got = {}
+    for x in title_stage(ent, cat, 3).collect():
+        got.setdefault(x.entry_id, []).append((x["rank"], x.id, x.accepted))
+    assert sizes == [1] and len(got) == 120
+    assert all(sorted(v) == [(1, "p00", True), (2, "p01", True), (3, "p02", True)] for v in got.values())
+
+
+def test_packed_context_orders_ties_and_keeps_the_line_before_the_cap(spark):
+    from lodestrata.operators.segments import pack_context
+
+    rows = [(1, 1, "b"), (1, 1, "a"), (1, None, "c"), (2, 1, "x" * 8), (2, 2, "y"), (3, 1, None)]
+    got = {x.k: x.context for x in pack_context(spark.createDataFrame(rows, "k int, turn int, text string"), "k", "turn", "text", 10).collect()}
+    assert got == {1: "c\n\na\n\nb", 2: "x" * 8 + "\n\n", 3: ""}
+
+
+def test_papers_that_share_an_arxiv_id_match_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.plans import registry
+
+    base = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    tail = ("alpha beta gamma delta", "alpha beta gama delta", "beta alpha gamma delta")
+    rows = None
+    for k, words in enumerate(tail):
+        more = base.withColumns({"p_partkey": F.col("p_partkey") + 30_000 * k, "p_name": F.concat("p_name", F.lit(" " + words))})
+        rows = more if rows is None else rows.unionByName(more)
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [(x.entry_id, x.id, x.accepted, x.reason) for x in registry.queries()["join_arxiv_stage"](spark, str(tmp_path)).collect()]
+    want = con.execute(f"select entry_id, id, accepted, reason from ({registry.oracle_sql()['join_arxiv_stage']}) x").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > len({x[0] for x in got})
+
+
 def test_draws(spark):
     weights = spark.createDataFrame([(a, f"c{k}", 1.0 if k else 7.0) for a in range(400) for k in range(4)], "agent_id int, id string, weight double")
     share = lambda df: df.where("id = 'c0'").count() / 400
