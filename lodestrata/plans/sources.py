@@ -12,6 +12,7 @@ from lodestrata.sources import papers as src
 from lodestrata.tables import new_path
 
 c = F.col
+FILE_KEYS = 20_000  #: keys of a file of XML
 
 
 def _written(df, column, spark, name: str) -> str:
@@ -21,10 +22,10 @@ def _written(df, column, spark, name: str) -> str:
 
 
 def _xml(df, column, key: str, spark, name: str) -> str:
-    """Files of one root element each, a line for each row of an input partition."""
+    """Files of one root element each, a line for each row of a range of FILE_KEYS keys, however the input is split."""
     path = new_path(spark, name)
     w = Window.partitionBy("p").orderBy(key)
-    rows = df.select(F.spark_partition_id().alias("p"), key, column.alias("x"))
+    rows = df.select(F.floor(c(key) / FILE_KEYS).alias("p"), key, column.alias("x"))
     rows = rows.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("p"))})
     line = F.concat(F.when(c("k") == 1, "<set>\n").otherwise(""), "x", F.when(c("k") == c("n"), "\n</set>").otherwise(""))
     rows.select("p", line.alias("value")).write.partitionBy("p").text(path)

@@ -257,6 +257,17 @@ def test_papers_that_share_an_arxiv_id_match_its_sql(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > len({x[0] for x in got})
 
 
+def test_xml_files_hold_a_range_of_keys_each(spark, monkeypatch):
+    from lodestrata.plans import sources
+
+    monkeypatch.setattr(sources, "FILE_KEYS", 100)
+    df = spark.range(0, 1000, 1, 1).select("id", F.lit("<entry></entry>").alias("x"))
+    path = sources._xml(df, F.col("x"), "id", spark, "t")
+    rows = spark.read.text(path)
+    assert {x["count"] for x in rows.where("value like '%<entry>%'").groupBy("p").count().collect()} == {100}
+    assert rows.where("value like '<set>%'").count() == rows.where("value like '%</set>'").count() == 10
+
+
 def test_draws(spark):
     weights = spark.createDataFrame([(a, f"c{k}", 1.0 if k else 7.0) for a in range(400) for k in range(4)], "agent_id int, id string, weight double")
     share = lambda df: df.where("id = 'c0'").count() / 400
