@@ -30,6 +30,7 @@ _NOTES = f"""SELECT v.agent_id, {_NAME.format('v.id')} || '.md' AS path, concat_
 
 @query("snk_render_notes", f"SELECT agent_id, path, sha256(content) AS content, length(content) AS size FROM ({_NOTES}) x")
 def snk_render_notes(t):
+    t = t.holding("edges")
     notes = nt.render_notes(t.visits_mixed.select("agent_id", c("node").alias("id")), t.papers, t.edges, 64)
     return notes.select("agent_id", "path", F.sha2(c("content").cast("binary"), 256).alias("content"), F.char_length("content").alias("size"))
 
@@ -38,6 +39,7 @@ def snk_render_notes(t):
   FROM {{agents}} a LEFT JOIN (SELECT agent_id, count(*) AS n, string_agg('- [[' || {_NAME.format('v.id')} || ']] — ' || coalesce(title, v.id), chr(10) ORDER BY ordinal, v.id) AS path FROM (SELECT agent_id, node AS id, min(ordinal) AS ordinal FROM {{visits_mixed}} GROUP BY 1, 2) v LEFT JOIN {{papers}} p ON p.id = v.id GROUP BY agent_id) v ON v.agent_id = a.agent_id
   LEFT JOIN (SELECT agent_id, count(*) AS e FROM ({_SEEN}) s JOIN {{edges}} e ON e.src = s.id GROUP BY 1) k ON k.agent_id = a.agent_id""")
 def snk_overviews(t):
+    t = t.holding("edges")
     agents = t.agents.select("agent_id", "caste", (c("budget") / 10).alias("quality"))
     return nt.render_overviews(agents, t.visits_mixed.select("agent_id", c("node").alias("id"), "ordinal"), t.papers, t.edges, 64)
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import notes, reports, reuse
@@ -74,3 +76,23 @@ def test_deltas_across_a_change_of_version(spark):
     checks = [(1, 1, 0), (1, 1, 3), (1, 2, 0)]
     got = {(x.run_id, x.seq): (round(x.integrity, 3), round(x.overall, 3), round(x.delta, 3)) for x in reports.composite_by_version(spark.createDataFrame(dims, "run_id long, seq long, version string, dimension string, score double"), spark.createDataFrame(checks, "run_id long, seq long, failures long"), {}).collect()}
     assert got == {(1, 1): (0.5, 0.5, 0.5), (1, 2): (1.0, 0.85, 0.35), (1, 3): (1.0, 0.95, 0.95), (1, 4): (1.0, 0.95, 0.95), (2, 1): (1.0, 0.75, 0.75)}
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_lines_are_joined_piece_by_piece(span):
+    """Whatever the batches, pieces put together in order are each key's lines, and only a task's ends and long keys are left open."""
+    r = random.Random(span)
+    keys = sorted([(a, f"k{r.randrange(40)}" if r.random() < 0.9 else None) for a in range(3) for _ in range(200)] + [(3, "hub")] * 500 + [(4, "z")], key=lambda x: (x[0], x[1] or ""))
+    rows = pa.table({"a": [x[0] for x in keys], "k": [x[1] for x in keys], "__line": [f"l{k}" for k in range(len(keys))]})
+    cuts = sorted(r.randrange(len(rows)) for _ in range(25))
+    tables = [rows.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    out = [x for t in notes._pieces(tables, ["a", "k"], span, 5) for x in t.to_pylist()]
+    assert [x["__part"] for x in out] == list(range(5, 5 + len(out))) and max(x["__n"] for x in out) <= span and sum(x["__n"] for x in out) == len(rows)
+    want = {k: [f"l{n}" for n, x in enumerate(keys) if x == k] for k in set(keys)}
+    for k, held in want.items():
+        mine = [x for x in out if (x["a"], x["k"]) == k]
+        assert "\n".join(x["__text"] for x in mine) == "\n".join(held)
+        assert not any(x["__whole"] for x in mine) or len(mine) == 1
+        if len(held) <= span and k not in (keys[0], keys[-1], (3, "hub")):
+            assert len(mine) == 1
+    assert any(x["__whole"] for x in out) == (span > 1 or any(len(x) == 1 for x in want.values()))
