@@ -89,8 +89,8 @@ def gain_per_cost(rows: DataFrame, base: str, other: str, *, replicates: int = 2
     b = rows.where(F.col("arm") == other).select("task", "quality", "tokens", "fetches")
     both = a.join(b.hint("merge"), "task").select("task", (F.col("quality") - F.col("__a")).alias("gain"), "tokens", "fetches")
     each = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-    u = seeded(seed, F.col("replicate"), F.col("task"))
-    times = F.when(F.col("replicate") == 0, 1).otherwise(sum(((u > p).cast("int") for p in POISSON), F.lit(0)))
+    each = each.withColumn("u", seeded(seed, F.col("replicate"), F.col("task")))  # a column of its own, so that it is worked out once and not for each bound
+    times = F.when(F.col("replicate") == 0, 1).otherwise(sum(((F.col("u") > p).cast("int") for p in POISSON), F.lit(0)))
     sums = each.withColumn("n", times).groupBy("replicate").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("gain", "tokens", "fetches")], F.sum("n").alias("tasks"))
     ratio = lambda of, by: F.when(F.col(by) > 0, of * F.col("gain") / F.greatest(F.col(by), F.lit(1)))
     told = sums.select("replicate", F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), ratio(of, by).alias("value")) for name, of, by in (("mean", 1, "tasks"), ("per_1000_tokens", 1000, "tokens"), ("per_fetch", 1, "fetches"))])).alias("m")).select("replicate", "m.*")
