@@ -86,19 +86,20 @@ def canonicalize(aliases: DataFrame) -> DataFrame:
     """alias, canonical_id at the end of each chain, by pointer jumping: each round doubles the steps taken.
 
     Self-aliases are dropped, an alias's first row by canonical id counts. Where steps as many as there are aliases lead to no
-    end, they have led into a cycle: its members, and what leads to it, map to its least id.
+    end, they have led into a cycle: its members, and what leads to it, map to its least id. Tables of steps are joined by
+    merging: their files are small, they themselves aren't, and a broadcast would pass them through the driver.
     """
     step = aliases.where("alias <> canonical_id").groupBy("alias").agg(F.min("canonical_id").alias("next")).withColumn("least", F.least("alias", "next"))
     step = stored(step, "aliases")
     rows, taken = step.count(), 1
     while taken < 2 * rows:
         ahead = step.select(F.col("alias").alias("next"), F.col("next").alias("further"), F.col("least").alias("there"))
-        moved = step.join(ahead, "next", "left").select("alias", F.coalesce("further", "next").alias("next"), F.least("least", "there").alias("least"), F.col("further").isNotNull().alias("moved"))
+        moved = step.join(ahead.hint("merge"), "next", "left").select("alias", F.coalesce("further", "next").alias("next"), F.least("least", "there").alias("least"), F.col("further").isNotNull().alias("moved"))
         step, taken = stored(moved, "aliases"), 2 * taken
         if step.where("moved").isEmpty():
             return step.select("alias", F.col("next").alias("canonical_id"))
     ring = step.select(F.col("alias").alias("next"), F.col("least").alias("ring"))
-    return step.join(ring, "next", "left").select("alias", F.coalesce("ring", "next").alias("canonical_id"))
+    return step.join(ring.hint("merge"), "next", "left").select("alias", F.coalesce("ring", "next").alias("canonical_id"))
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
