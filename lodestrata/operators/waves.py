@@ -56,6 +56,19 @@ class Trails:
         return Trails(stored(self.newest(), "trails"), [], self.rho, self.low, self.high)
 
 
+def concentrations(trails: Trails, waves: int) -> DataFrame:
+    """wave, concentration after each wave up to the last, in one pass: a trail has the strength of its newest row at that wave, which fades
+    until the next row's. An agent without trails at a wave doesn't count there; without any the concentration is 0."""
+    own = trails.rows().where(F.col("at") <= waves).groupBy(*KEY).agg(*[F.max(F.when(F.col("at") == k, F.col("tau"))).alias(f"t{k}") for k in range(waves + 1)])
+    fade = lambda tau, k: F.when(tau.isNotNull(), F.greatest(F.lit(trails.low), tau * F.pow(F.lit(1 - trails.rho), F.lit(k))))
+    at = lambda wave: F.coalesce(*[F.col(f"t{k}") if k == wave else fade(F.col(f"t{k}"), wave - k) for k in range(wave, -1, -1)])
+    sums = own.groupBy("agent_id").agg(*[f(at(wave)).alias(f"{name}{wave}") for wave in range(1, waves + 1) for name, f in (("m", F.max), ("a", F.avg))])
+    each = lambda wave: F.when(F.col(f"a{wave}") > 0, F.col(f"m{wave}") / F.greatest(f"a{wave}", F.lit(1e-300))).when(F.col(f"a{wave}").isNotNull(), 0.0)
+    row = sums.agg(*[F.coalesce(F.max(each(wave)), F.lit(0.0)).alias(f"c{wave}") for wave in range(1, waves + 1)])
+    told = F.array(*[F.struct(F.lit(wave).cast("long").alias("wave"), F.col(f"c{wave}").alias("concentration")) for wave in range(1, waves + 1)])
+    return row.select(F.explode(told).alias("r")).select("r.*")
+
+
 def concentration(trails: DataFrame) -> DataFrame:
     """concentration: the greatest over agents of an agent's greatest trail over its mean trail; 0 without trails."""
     mean = F.avg("tau")
@@ -105,12 +118,13 @@ def decide(qualities: DataFrame, spent: DataFrame, narrow: DataFrame, limits: Li
 
 def run_waves(trails: Trails, traversals: DataFrame, qualities: DataFrame, elapsed: DataFrame, waves: int, limits: Limits) -> tuple[DataFrame, Trails]:
     """(decisions, trails after the last wave) of traversals (wave, agent_id, src, dst, mode, deposit; each one fetch), one wave after the
-    other. elapsed: wave, elapsed seconds so far."""
-    narrow = None
+    other. elapsed: wave, elapsed seconds so far. The base, which has to be of before the first wave, and the deposits of each wave and trail
+    are written once, for all waves."""
+    walked = traversals.groupBy("wave", *KEY).agg(F.sum("deposit").alias("deposit"), F.count("*").alias("n"))
+    walked = stored(walked, "walked")
+    trails = Trails(stored(trails.base, "trails"), trails.deltas, trails.rho, trails.low, trails.high)
     for wave in range(1, waves + 1):
-        trails = trails.walk(traversals.where(F.col("wave") == wave), wave)
-        now = concentration(trails.current(wave)).select(F.lit(wave).cast("long").alias("wave"), "concentration")
-        narrow = now if narrow is None else narrow.unionByName(now)
-    used = traversals.groupBy("wave").agg(F.count("*").alias("n"))
+        trails = trails.walk(walked.where(F.col("wave") == wave), wave)
+    used = walked.groupBy("wave").agg(F.sum("n").alias("n"))
     spent = elapsed.join(used.hint("merge"), "wave", "left").select("wave", "elapsed", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("wave").rowsBetween(Window.unboundedPreceding, 0)).alias("fetches"))
-    return decide(qualities, spent, stored(narrow, "concentrations"), limits), trails
+    return decide(qualities, spent, concentrations(trails, waves), limits), trails

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import citations, reports
+from lodestrata.operators import citations, reports, waves
 
 
 def plan(df):
@@ -27,3 +27,26 @@ def test_steps_of_aliases_are_not_broadcast(spark, monkeypatch):
     out = citations.canonicalize(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "alias string, canonical_id string"))
     assert {tuple(x) for x in out.collect()} == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "x"), ("y", "x")}
     assert len(seen) > 1 and not any("Broadcast" in p for _, _, p in seen) and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_read_their_tables_once(spark, monkeypatch):
+    """Trails and traversals are worked out once for all waves, and the concentrations are those of each wave's own trails."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(1)
+        return float(x)
+
+    slow = F.udf(told, "double").asNondeterministic()
+    base = spark.range(30).select((F.col("id") % 3).alias("agent_id"), F.lit("s").alias("src"), F.col("id").cast("string").alias("dst"), F.lit("ref").alias("mode"), slow(F.col("id") / 10 + 0.1).alias("tau"), F.lit(0).cast("long").alias("at"))
+    walked = spark.range(40).select((F.col("id") % 4 + 1).alias("wave"), (F.col("id") % 4).alias("agent_id"), F.lit("s").alias("src"), (F.col("id") % 37).cast("string").alias("dst"), F.lit("ref").alias("mode"), slow(F.col("id") / 50).alias("deposit"))
+    qualities = spark.range(16).select((F.col("id") % 4 + 1).alias("wave"), F.floor(F.col("id") / 4).alias("agent_id"), (F.col("id") / 16).alias("q"), F.lit(5).alias("budget"))
+    elapsed = spark.range(1, 5).select(F.col("id").alias("wave"), F.lit(1.0).alias("elapsed"))
+    decided, trails = waves.run_waves(waves.Trails(base), walked, qualities, elapsed, 4, waves.Limits(10**9, 1e9, 9, 0.0, 1e9))
+    got = {x.wave: (x.fetches, round(x.concentration, 9)) for x in decided.collect()}
+    assert made.value == 70
+    want = {}
+    for wave in range(1, 5):
+        before = waves.Trails(trails.base, trails.deltas[:wave])
+        want[wave] = (10 * wave, round(waves.concentration(before.current(wave)).first()[0], 9))
+    assert got == want
