@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestrata.functions import texts
+from lodestrata.operators.notes import _starts
 from lodestrata.operators.ranges import SPAN, filled, lagged
 from lodestrata.operators.ranks import ranked
+from lodestrata.shipping import ship
 from lodestrata.tables import stored
 
+PLACES = ("supported", "disputed", "plausible", "unknown")  #: of what is said in an answer
+MOST_RANGES = 10_000  #: that places of questions are dealt to
 RELATIONS = ("support", "contradiction", "extension", "comparison", "replication", "background")  #: fixed values; others count as extension
 
 
@@ -68,21 +76,67 @@ def evidence_index(dossiers: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.groupBy("evidence_id").agg(F.min_by(F.struct("paper_id", "origin"), F.struct("o", "ordinal", "paper_id")).alias("r")).select("evidence_id", "r.*")
 
 
-def answer_questions(relevant: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """question_id and arrays supported, disputed, plausible, unknown of what a memory says: relevant (question_id, claim_id, rank),
-    claims (claim_id, text, status, papers: an array), sources (paper_id) that may be cited. A claim without such a source is
-    said without a citation; a proposed one needs one."""
+def answer_lines(relevant: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """question_id, place, rank, said of what a memory says: relevant (question_id, claim_id, rank), claims (claim_id, text, status, papers: an
+    array), sources (paper_id) that may be cited. place is supported, disputed, plausible, unknown or null for what isn't said. A claim
+    without such a source is said without a citation; a proposed one needs one."""
     cited = claims.select("claim_id", F.explode("papers").alias("paper_id")).hint("merge").join(sources.select("paper_id").distinct(), "paper_id", "left_semi").groupBy("claim_id").agg(F.array_sort(F.collect_set("paper_id")).alias("refs"))
     rows = relevant.join(claims.select("claim_id", "text", "status"), "claim_id").join(cited, "claim_id", "left")
     said = F.when(F.col("refs").isNull(), F.col("text")).otherwise(F.concat("text", F.lit(" ["), F.array_join("refs", ", "), F.lit("]")))
     place = F.when(F.col("status").isin("supported", "disputed"), F.col("status")).when((F.col("status") == "proposed") & F.col("refs").isNotNull(), "plausible").when(F.col("status").isin("unknown", "superseded"), "unknown")
-    rows = rows.select("question_id", "rank", place.alias("place"), F.when(F.col("status").isin("unknown", "superseded"), F.col("text")).otherwise(said).alias("said"))
+    return rows.select("question_id", place.alias("place"), "rank", F.when(F.col("status").isin("unknown", "superseded"), F.col("text")).otherwise(said).alias("said"))
+
+
+def answer_questions(relevant: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """question_id and arrays supported, disputed, plausible, unknown of `answer_lines`: a question's texts in one row."""
+    rows = answer_lines(relevant, claims, sources)
 
     def listed(name: str) -> Column:
         held = F.array_sort(F.collect_list(F.when(F.col("place") == name, F.struct("rank", "said"))))
         return F.transform(held, lambda x: x["said"]).alias(name)
 
-    return rows.groupBy("question_id").agg(*[listed(n) for n in ("supported", "disputed", "plausible", "unknown")])
+    return rows.groupBy("question_id").agg(*[listed(n) for n in PLACES])
+
+
+def _digests(tables, keys: list[str]):
+    """Tables of keys and the MD5 of their lines between line ends, of tables in order of their keys."""
+    now, state = None, None
+    for table in tables:
+        starts = [*_starts(table, keys).tolist(), len(table)]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(table[k][a].as_py() for k in keys)
+            text = "\n".join(table["__line"].slice(a, b - a).to_pylist())
+            if state is not None and key == now:
+                state.update(b"\n")
+            else:
+                if state is not None:
+                    yield pa.table({**dict(zip(keys, [[x] for x in now])), "md5": [state.hexdigest()]})
+                now, state = key, hashlib.md5()
+            state.update(text.encode())
+    if state is not None:
+        yield pa.table({**dict(zip(keys, [[x] for x in now])), "md5": [state.hexdigest()]})
+
+
+def answer_digests(lines: DataFrame) -> DataFrame:
+    """question_id and the MD5 of the lines of each place, in order of rank between line ends, of `answer_lines`. An MD5 is one state, so the
+    lines of a place of a question pass through one task; they stream, and each place of a question has a task of its own where it is large."""
+    ship(lines.sparkSession)
+    rows = stored(lines, "answer-lines")
+    keys = ["question_id", "place"]
+    said = rows.where("place is not null and said is not null")
+    n = said.select(*keys).distinct().count()
+    placed = said.repartitionByRange(max(1, min(4 * n, MOST_RANGES)), *keys).sortWithinPartitions(*keys, "rank", "said").select(*keys, F.col("said").alias("__line"))
+    kinds = rows.select(*keys, F.lit("").alias("md5")).schema
+
+    def digested(batches):
+        for table in _digests((pa.Table.from_batches([b]) for b in batches), keys):
+            yield from table.cast(pa.schema([pa.field(k, like[k]) for k in keys] + [pa.field("md5", pa.string())])).to_batches()
+
+    like = {f.name: f.type for f in to_arrow_schema(kinds)}
+    told = stored(placed.mapInArrow(digested, kinds), "answer-digests")
+    each = told.groupBy("question_id").agg(*[F.max(F.when(F.col("place") == x, F.col("md5"))).alias(x) for x in PLACES])
+    rows = rows.select("question_id").distinct().join(each.hint("merge"), "question_id", "left")
+    return rows.select("question_id", *[F.coalesce(x, F.md5(F.lit("").cast("binary"))).alias(x) for x in PLACES])
 
 
 def freeze_bundles(claims: DataFrame, sources: DataFrame) -> DataFrame:

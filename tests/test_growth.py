@@ -1,8 +1,12 @@
 """What keeps operators from growing faster than their input, seen in plans and in what is written."""
 
+import hashlib
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from lodestrata.operators import citations, reports, waves
+from lodestrata.operators import citations, evidence, memory, reports, retrieval, waves
 
 
 def plan(df):
@@ -50,3 +54,55 @@ def test_waves_read_their_tables_once(spark, monkeypatch):
         before = waves.Trails(trails.base, trails.deltas[:wave])
         want[wave] = (10 * wave, round(waves.concentration(before.current(wave)).first()[0], 9))
     assert got == want
+
+
+def test_labels_are_counted_without_sorting_papers(spark):
+    rows = [(x, k % 5, k) for k, x in enumerate([" Red", "red", "RED ", "blue", " ", None, "red"] * 4)] + [("Blue", 1, None), ("blue", None, 0)]
+    out = evidence.concepts(spark.createDataFrame(rows, "label string, paper_id long, ordinal long"))
+    assert {tuple(x) for x in out.collect()} == {("red", " Red", 5), ("blue", "Blue", 5)}
+    assert not re.search(r"SortAggregate\(key=\[[^\]]*paper_id", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_answers_are_hashed_as_they_stream(spark, monkeypatch):
+    """The digests are those of the arrays, also of places that no claim has, and no row holds a question's texts."""
+    r = random.Random(4)
+    claims = [(k, r.choice([f"text {k}\nmore", "", None, "é"]), r.choice(["supported", "disputed", "proposed", "unknown", "odd"]) if k % 5 else "supported", [k % 7]) for k in range(300)] + [(900, "x", "odd", [1])]
+    claims = spark.createDataFrame(claims, "claim_id long, text string, status string, papers array<long>").repartition(4)
+    relevant = claims.select(F.when(F.col("claim_id") == 900, 9).when(F.col("claim_id") % 5 == 0, 5).otherwise(F.col("claim_id") % 2).alias("question_id"), "claim_id", (-F.col("claim_id")).alias("rank"))
+    sources = spark.createDataFrame([(1,), (2,)], "paper_id long")
+    arrays = {x.question_id: tuple(hashlib.md5("\n".join(v for v in x[n] if v is not None).encode()).hexdigest() for n in memory.PLACES) for x in memory.answer_questions(relevant, claims, sources).collect()}
+    seen = _spied(monkeypatch, memory)
+    out = memory.answer_digests(memory.answer_lines(relevant, claims, sources))
+    assert {x.question_id: tuple(x[n] for n in memory.PLACES) for x in out.collect()} == arrays and len(arrays) == 4
+    assert not any("collect_list" in p for _, p, _ in seen)
+
+
+def test_words_are_no_bounds_of_ranges(spark, monkeypatch):
+    orders, ranked = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda df, order, name: (orders.append((order, dict(df.dtypes))), ranked(df, order, name))[1])
+    retrieval.claim_index(spark.createDataFrame([(1, "a b", "supported"), (2, "b", "unknown")], "claim_id long, text string, status string"))
+    assert orders and not any(kinds[c].startswith("array") for order, kinds in orders for c in order)
+
+
+def test_ranks_of_a_question_are_no_window_of_its_own(spark):
+    claims = spark.range(300).select(F.col("id").alias("claim_id"), F.when(F.col("id") % 3 == 0, "all odd").otherwise("all").alias("text"), F.when(F.col("id") % 2 == 0, "supported").otherwise("unknown").alias("status"))
+    out = evidence.relevant_claims(claims, spark.createDataFrame([(1, "all odd"), (2, "odd"), (3, "none")], "question_id long, text string"))
+    assert not re.search(r"windowspecdefinition\(question_id#\d+L?,", plan(out))
+    order = sorted(range(300), key=lambda k: (k % 2, k))
+    want = {(1, k, 2 if k % 3 == 0 else 1, n) for n, k in enumerate(order, 1)} | {(3, k, 0, n) for n, k in enumerate(order, 1)} | {(2, k, 1, n) for n, k in enumerate([k for k in order if k % 3 == 0], 1)}
+    assert {tuple(x) for x in out.collect()} == want
+
+
+def test_a_report_reads_its_visits_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(1)
+        return x
+
+    visits = spark.range(60).select((F.col("id") % 2).alias("run_id"), (F.col("id") % 6).alias("agent_id"), F.udf(told, "long").asNondeterministic()(F.when(F.col("id") != 7, F.col("id") % 15)).alias("id"))
+    evals = spark.range(12).select((F.col("id") % 2).alias("run_id"), F.floor(F.col("id") / 6 + 1).alias("wave"), (F.col("id") % 6).alias("agent_id"), (F.col("id") / 12).alias("q"), F.lit(1).alias("fetches"), F.lit(1.0).alias("elapsed"))
+    got = {(x.grain, x.run_id, x.agent_id): x.papers for x in reports.research_report(evals, visits).collect()}
+    assert made.value == 60
+    ids = [(k % 2, k % 6, k % 15) for k in range(60) if k != 7]
+    assert all(n == len({i for r, a, i in ids if r == run and (grain == "run" or a == agent)}) for (grain, run, agent), n in got.items() if grain != "wave")
