@@ -50,7 +50,8 @@ def load_index(spark: SparkSession, path: str, block: int = BLOCK) -> ClaimIndex
 def claim_index(claims: DataFrame, block: int = BLOCK) -> ClaimIndex:
     """The index of claims (claim_id, text, status). A block holds as many places as `block` at most, also of a word of all claims."""
     rows = claims.select("claim_id", status_place(F.col("status")).alias("status_place"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    placed = stored(ranked(rows, ["status_place", "claim_id", "words"], "place").select("place", "claim_id", "words"), "claim-places")
+    rows = stored(rows.withColumn("tie", F.xxhash64("words")), "claim-words")  # texts are cut once, and no words go into the bounds of ranges
+    placed = stored(ranked(rows, ["status_place", "claim_id", "tie"], "place").select("place", "claim_id", "words"), "claim-places")
     each = placed.select(F.explode("words").alias("word"), "place").withColumn("block", F.floor(F.col("place") / block).cast("long"))
     blocks = each.groupBy("word", "block").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn("n", F.size("places").cast("long"))
     in_order = Window.partitionBy("word").orderBy("block")  # a row for each block of a word
