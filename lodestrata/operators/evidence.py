@@ -77,8 +77,11 @@ def grounding(claims: DataFrame, acquired: DataFrame) -> DataFrame:
 
 def concepts(labels: DataFrame) -> DataFrame:
     """concept, label, papers: labels (label, paper_id, ordinal) by lower-cased label; the first seen spelling stays."""
-    key = F.lower(F.trim("label"))
-    return labels.where(key != "").groupBy(key.alias("concept")).agg(F.min_by("label", F.struct("ordinal", "label")).alias("label"), F.countDistinct("paper_id").alias("papers"))
+    rows = labels.select(F.lower(F.trim("label")).alias("concept"), "label", "paper_id", "ordinal").where("concept <> ''")
+    papers = rows.select("concept", "paper_id").distinct().groupBy("concept").agg(F.count("paper_id").alias("papers"))
+    spelt = rows.groupBy("concept", "label").agg(F.min("ordinal").alias("ordinal"), F.max(F.col("ordinal").isNull()).alias("none"))  # numbers alone, so that no task sorts its labels
+    first = F.struct(F.when(~F.col("none"), F.col("ordinal")).alias("ordinal"), F.col("label"))
+    return spelt.groupBy("concept").agg(F.min_by("label", first).alias("label")).join(papers.hint("merge"), "concept").select("concept", "label", "papers")
 
 
 STATUS_ORDER = ("supported", "disputed", "proposed", "unknown", "superseded")
