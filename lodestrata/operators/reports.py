@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import texts
 from lodestrata.operators.evidence import CREDITED
 from lodestrata.operators.frontier import seeded
+from lodestrata.tables import stored
 
 
 def research_report(evals: DataFrame, visits: DataFrame, top: int = 3) -> DataFrame:
@@ -15,8 +16,11 @@ def research_report(evals: DataFrame, visits: DataFrame, top: int = 3) -> DataFr
     gain of quality over waves, evaluations, fetches and seconds at the end, ranking of the `top` best agents, and papers visited.
 
     evals: run_id, wave, agent_id, q, fetches and elapsed so far; visits: run_id, agent_id, id. Aggregates of all grains are made in one
-    pass; an agent's papers and a wave's ranking are joined to them. Of equal qualities the least agent counts.
+    pass; an agent's papers and a wave's ranking are joined to them. Of equal qualities the least agent counts. Evaluations are dealt by
+    agent, since a small file's rows would all be sorted for three grains by one task; visits are made distinct once.
     """
+    evals = stored(evals.repartition("run_id", "agent_id"), "report-evaluations")
+    visits = stored(visits.select("run_id", "agent_id", "id").distinct(), "report-visits")
     best = F.struct(F.col("q").alias("q"), (-F.col("agent_id")).alias("k"), F.col("agent_id").alias("agent_id"))
     at = lambda f: f(F.struct("wave", "q"))["q"]
     sets = evals.groupingSets([["run_id"], ["run_id", "wave"], ["run_id", "agent_id"]], "run_id", "wave", "agent_id").agg(
@@ -26,8 +30,8 @@ def research_report(evals: DataFrame, visits: DataFrame, top: int = 3) -> DataFr
     place = F.row_number().over(Window.partitionBy("run_id", "wave").orderBy(F.desc("q"), "agent_id"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "agent_id", "q"))), lambda x: F.format_string("%s=%.2f", x["agent_id"].cast("string"), x["q"])), ", ")
     ranking = evals.withColumn("r", place).where(F.col("r") <= top).groupBy("run_id", "wave").agg(listed.alias("ranking")).withColumn("grain", F.lit("wave"))
-    own = visits.groupBy("run_id", "agent_id").agg(F.count_distinct("id").alias("papers")).withColumn("grain", F.lit("agent"))
-    whole = visits.groupBy("run_id").agg(F.count_distinct("id").alias("all_papers")).withColumn("grain", F.lit("run"))
+    own = visits.groupBy("run_id", "agent_id").agg(F.count("id").alias("papers")).withColumn("grain", F.lit("agent"))
+    whole = visits.select("run_id", "id").distinct().groupBy("run_id").agg(F.count("id").alias("all_papers")).withColumn("grain", F.lit("run"))
     rows = sets.withColumn("grain", grain).join(ranking.hint("merge"), ["grain", "run_id", "wave"], "left").join(own.hint("merge"), ["grain", "run_id", "agent_id"], "left").join(whole.hint("merge"), ["grain", "run_id"], "left")
     seen = F.when(F.col("grain") != "wave", F.coalesce("papers", "all_papers", F.lit(0)))
     gain = F.when(F.col("grain") != "wave", F.col("last_q") - F.col("first_q"))
