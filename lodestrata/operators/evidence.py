@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts
+from lodestrata.operators.ranks import ranked
 from lodestrata.tables import stored
 
 CREDITED = ("full_text", "abstract")
@@ -91,12 +92,13 @@ def relevant_claims(claims: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, claim_id, overlap, rank: claims that share words ([a-z0-9]+) with a question; where none does, all claims
     (overlap 0). rank orders a question's claims by status, then id.
 
-    The questions are one responder's and few, so their words, of a checked number, are what is sent to the claims; claims
-    are grouped by claim and question in place before anything is shuffled."""
+    The questions are one responder's and few, so their words, of a checked number, are what is sent to the claims; claims are dealt by
+    id, not as their files lie, so a task's matches don't grow with the files. Ranks are places in one order of all rows, less those before
+    the question's, so no task sees all claims of a question."""
     word = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda x: x != "")
     q = stored(questions.select("question_id", F.explode(word(F.col("text"))).alias("word")), "question-words")
     few = q.count() <= MOST_WORDS
-    a = claims.select("claim_id", F.explode(word(F.col("text"))).alias("word"))
+    a = claims.select("claim_id", "text").repartition("claim_id").select("claim_id", F.explode(word(F.col("text"))).alias("word"))
     met = a.join(F.broadcast(q) if few else q.hint("merge"), "word").groupBy("question_id", "claim_id").agg(F.count("*").alias("overlap"))
     met = stored(met, "question-claims")
     alone = [x.question_id for x in questions.select("question_id").join(met.select("question_id").distinct(), "question_id", "left_anti").limit(MOST_ALONE + 1).collect()]
@@ -107,7 +109,12 @@ def relevant_claims(claims: DataFrame, questions: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
     place = F.when(order > 0, order).otherwise(len(STATUS_ORDER) + 1)
     rows = met.unionByName(every).hint("merge").join(claims.select("claim_id", place.alias("place")), "claim_id")
-    return rows.select("question_id", "claim_id", "overlap", F.row_number().over(Window.partitionBy("question_id").orderBy("place", "claim_id")).cast("long").alias("rank"))
+    rows = stored(rows.select("question_id", "claim_id", "overlap", "place"), "question-places")
+    counts = rows.groupBy("question_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("question_id").rowsBetween(Window.unboundedPreceding, -1))  # a row for each question
+    heads = counts.select("question_id", F.coalesce(before, F.lit(0)).alias("head"))
+    placed = ranked(rows, ["question_id", "place", "claim_id"], "rank").join(F.broadcast(heads) if few else heads.hint("merge"), "question_id")
+    return placed.select("question_id", "claim_id", "overlap", (F.col("rank") - F.col("head")).alias("rank"))
 
 
 def build_pack(sources: DataFrame) -> DataFrame:
