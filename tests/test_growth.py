@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import citations, evidence, memory, reports, retrieval, waves
+from lodestrata.functions import identifiers as ids
+from lodestrata.operators import citations, evidence, memory, reports, resolution, retrieval, waves
 
 
 def plan(df):
@@ -106,3 +107,29 @@ def test_a_report_reads_its_visits_once(spark):
     assert made.value == 60
     ids = [(k % 2, k % 6, k % 15) for k in range(60) if k != 7]
     assert all(n == len({i for r, a, i in ids if r == run and (grain == "run" or a == agent)}) for (grain, run, agent), n in got.items() if grain != "wave")
+
+
+def test_entries_meet_the_best_papers_of_a_title_alone(spark, monkeypatch):
+    """Entries and papers of one title in many years, by many authors: k papers an entry and provider are scored, not all of them."""
+    r = random.Random(8)
+    names = [f"A. N{k}" for k in range(12)]
+    people = lambda: r.choice([None, [], [r.choice(names)], r.sample(names, 2), r.sample(names, 3)])
+    year = lambda: r.choice([None, *range(1990, 2010)])
+    titles = ["red stone river deep", "red stone river deep hill", "other words"]
+    papers = [(f"p{k:03d}", r.choice(titles[:2]), people(), year(), r.choice(["s2", "oa"]), 1, 3, str(k)) for k in range(400)]
+    entries = [(f"e{k}", r.choice(titles), people(), year()) for k in range(60)]
+    cat = spark.createDataFrame(papers, "id string, title string, authors array<string>, year int, provider string, provider_rank int, completeness int, key string")
+    ent = spark.createDataFrame(entries, "entry_id string, title string, authors array<string>, year int")
+    sizes, scored = [], resolution.scored
+    monkeypatch.setattr(resolution, "scored", lambda rows: sizes.append(rows.count()) or scored(rows))
+    rows = resolution.title_stage(ent, cat, 4).collect()
+    assert len(sizes) == 1 and sizes[0] <= 60 * 2 * 4  # every class met every list and year of its title before
+    e = ent.select("entry_id", "authors", "year", F.col("title").alias("a"), ids.title_tokens(F.col("title")).alias("x"))
+    c = cat.select("id", "provider", F.col("authors").alias("candidate_authors"), F.col("year").alias("candidate_year"), F.col("title").alias("b"), ids.title_tokens(F.col("title")).alias("y"))
+    want = {}
+    for x in scored(e.crossJoin(c).withColumn("jaccard", ids.jaccard(F.col("x"), F.col("y")))).where("jaccard >= 0.64").collect():
+        want.setdefault((x.entry_id, x.provider), []).append((-round(x.title_score, 6), -round(x.confidence, 6), x.id, x.author_score, x.year_score))
+    got = {}
+    for x in rows:
+        got.setdefault((x.entry_id, x.provider), []).append((x["rank"], -round(x.title_score, 6), -round(x.confidence, 6), x.id, x.author_score, x.year_score))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(v, key=lambda x: x[:3])[:4] for k, v in want.items()}
