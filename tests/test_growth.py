@@ -133,3 +133,23 @@ def test_entries_meet_the_best_papers_of_a_title_alone(spark, monkeypatch):
     for x in rows:
         got.setdefault((x.entry_id, x.provider), []).append((x["rank"], -round(x.title_score, 6), -round(x.confidence, 6), x.id, x.author_score, x.year_score))
     assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(v, key=lambda x: x[:3])[:4] for k, v in want.items()}
+
+
+def test_entries_of_one_identifier_are_judged_by_classes(spark, monkeypatch):
+    """Entries and papers that share identifiers aren't paired one by one, and the results are those of all the evidence."""
+    r = random.Random(9)
+    some = lambda *x: r.choice([None, *x])
+    ids_of = lambda: (some("10.1000/1", "10.1000/2", "bad"), some("2101.00001", "2101.00002"), some("7", "8"))
+    facts = lambda: (some("red stone", "blue river"), some([], ["A. Lee"], ["B. Kim"]), some(2000, 2008))
+    entries = [(f"e{k:03d}", *ids_of(), *facts()) for k in range(200)]
+    papers = [(f"p{k:03d}", *ids_of(), *facts(), *r.choice([("s2", 1), ("oa", 2)]), k % 3, f"k{k % 40}") for k in range(150)]
+    ent = spark.createDataFrame(entries, "entry_id string, doi string, arxiv string, pmid string, title string, authors array<string>, year int").withColumn("keys", F.array(F.col("entry_id")))
+    cat = spark.createDataFrame(papers, "id string, doi string, arxiv string, pmid string, title string, authors array<string>, year int, provider string, provider_rank int, completeness int, key string")
+    sizes, stored = [], resolution.stored
+    monkeypatch.setattr(resolution, "stored", lambda df, name: (sizes.append(df.count()), stored(df, name))[1])
+    results, evidence, attempts = resolution.resolve_entries(ent, cat, spark.createDataFrame([("e000", "p001")], "alias string, id string"), 3)
+    assert max(sizes) <= 200  # evidence of every pair was written before
+    got = {tuple(x) for x in results.collect()}
+    want = {tuple(x) for x in resolution.decide(evidence, attempts).collect()} | {("e000", "resolved", "p001", "alias", 1.0, None)}
+    assert len(got) == 200 and got >= want and all(x[1:] == ("rejected", None, None, 0.0, "no_provider_match") for x in got - want)
+    assert {x[1] for x in got} == {"resolved", "ambiguous", "rejected"}
