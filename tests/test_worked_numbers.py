@@ -327,3 +327,18 @@ def test_tables_are_deleted(spark):
     drop(b)
     with pytest.raises(Exception, match="not exist|does not|FILE_NOT"):
         b.count()
+
+
+def test_first_of_tied_candidates_is_the_least(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.plans import registry
+
+    rows = [(1, 5, 1, 9), (1, 5, 1, 3), (1, 5, 1, 7), (2, None, 1, 4), (2, None, 1, 2), (3, 8, 2, 6), (3, 8, 1, None), (3, 8, 1, 1)]
+    for order in (rows, rows[::-1]):
+        path = str(tmp_path / f"{order is rows}")
+        spark.createDataFrame(order, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view lineitem as select * from '{path}/lineitem.parquet/*.parquet'")
+        got = {tuple(x) for x in registry.queries()["win_dedupe_candidates"](spark, path).collect()}
+        assert got == {(1, 3), (2, 2), (3, None)} == set(con.execute(registry.oracle_sql()["win_dedupe_candidates"]).fetchall())
