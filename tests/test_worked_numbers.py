@@ -342,3 +342,18 @@ def test_first_of_tied_candidates_is_the_least(spark, tmp_path):
         con.execute(f"create view lineitem as select * from '{path}/lineitem.parquet/*.parquet'")
         got = {tuple(x) for x in registry.queries()["win_dedupe_candidates"](spark, path).collect()}
         assert got == {(1, 3), (2, 2), (3, None)} == set(con.execute(registry.oracle_sql()["win_dedupe_candidates"]).fetchall())
+
+
+def test_surnames_of_odd_texts_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.plans import registry
+
+    words = ["Such is", "such, x", "", None, "a\tb c", "\ta b", " ,, ", "--- b", "such\tx y", "a\x0bb", "  a b", "León, J. x", "no such"]
+    texts_ = [(2 * k + odd, w) for k, w in enumerate(words) for odd in (0, 1)]
+    spark.createDataFrame(texts_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {x.doc_id: (x.surname, x.overlap) for x in registry.queries()["str_surnames"](spark, str(tmp_path)).collect()}
+    assert got == {i: (s, float(o)) for i, s, o in con.execute(registry.oracle_sql()["str_surnames"]).fetchall()}
+    assert [got[i] for i in (0, 1, 4, 6, 9, 12)] == [("such", 1.0), ("such", 1.0), ("", 0.0), (None, 0.0), ("b", 1.0), ("", 0.0)]
