@@ -357,3 +357,26 @@ def test_surnames_of_odd_texts_match_their_sql(spark, tmp_path):
     got = {x.doc_id: (x.surname, x.overlap) for x in registry.queries()["str_surnames"](spark, str(tmp_path)).collect()}
     assert got == {i: (s, float(o)) for i, s, o in con.execute(registry.oracle_sql()["str_surnames"]).fetchall()}
     assert [got[i] for i in (0, 1, 4, 6, 9, 12)] == [("such", 1.0), ("such", 1.0), ("", 0.0), (None, 0.0), ("b", 1.0), ("", 0.0)]
+
+
+def test_title_classes_hold_every_pair_of_entries_and_papers(spark, tmp_path):
+    """Pairs of classes with their members are all pairs that the whole join gives, also of titles without a word."""
+    import duckdb
+
+    from lodestrata.plans import evidence, registry, views
+
+    names = ["!!!", "?", "The", "of the", "red stone", "Red  stone!", "red stone hill", "old red stone hill", "red stone hill top", "ring"]
+    rows = [(k, names[k % 10] if k < 70 else names[k % 3], "b", "t", 5) for k in range(1, 90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.queries()["join_title_candidates"](spark, str(tmp_path)).collect()
+    members = {}
+    for x in got:
+        members.setdefault((x.kind, x["class"]), []).append(x.item)
+    pairs = sorted((e, p, x.jaccard) for x in got if x.kind == "pair" for e in members["entry", x.item] for p in members["paper", x["class"]])
+    e, k = (f"SELECT {key}, {evidence._TITLE.format('title')} AS {a}, {evidence._TOKENS.format('title')} AS {x} FROM {table} WHERE title IS NOT NULL" for key, a, x, table in (("entry_id", "a", "x", f"({evidence._E}) q"), ("id", "b", "y", "{papers}")))
+    whole = f"SELECT entry_id, id, round(jaccard, 6) FROM (SELECT entry_id, id, a, b, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS jaccard FROM ({e}) e, ({k}) k) z WHERE a = b OR jaccard >= 2 * 0.82 - 1"
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert pairs == sorted(con.execute(views.duck_sql(whole)).fetchall()) and len(pairs) > 500
